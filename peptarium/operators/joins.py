@@ -187,41 +187,75 @@ def containment(queries: DataFrame, chains: DataFrame, on: Sequence[str], wildca
     )
 
 
-def kmer_index(df: DataFrame, key: str, seq: str, k: int, pos: str = "pos") -> DataFrame:
-    """One row per k-mer position of every sequence."""
+CHUNK = 256
+
+
+def kmer_index(df: DataFrame, key: Sequence[str], seq: str, k: int, pos: str = "pos") -> DataFrame:
+    """One row per k-mer position (0-based) of every whole sequence.
+
+    Sequences are cut into overlapping chunks first: a substring costs its offset, so windows over one
+    long string would cost the square of its length.
+    """
     n = F.length(seq) - k + 1
-    at = df.where(n > 0).withColumn(pos, F.explode(F.sequence(F.lit(0), n - 1)))
-    return at.select(key, pos, F.substring(F.col(seq), F.col(pos) + 1, F.lit(k)).alias("kmer"))
+    chunks = df.where(n > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), n - 1, F.lit(CHUNK))))
+    chunks = chunks.select(*key, "_at", F.substring(F.col(seq), F.col("_at") + 1, F.lit(CHUNK + k - 1)).alias("_chunk"))
+    inside = chunks.withColumn("_i", F.explode(F.sequence(F.lit(0), F.length("_chunk") - k)))
+    return inside.select(
+        *key, (F.col("_at") + F.col("_i")).alias(pos), F.substring(F.col("_chunk"), F.col("_i") + 1, F.lit(k)).alias("kmer")
+    )
 
 
-def contained_passages(documents: DataFrame, passages: DataFrame, k: int = 24) -> DataFrame:
-    """Which whole passages occur inside which whole documents, and the first offset of each.
+def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
+    """Which whole passages (``p_id, p_text``) occur inside which whole documents (``doc_id, text``).
 
-    Documents and passages meet on one anchor k-mer per passage, so only documents that hold the anchor
-    are compared. The anchor is the passage k-mer seen least often in the documents, which keeps
-    the candidate list short. Passages shorter than ``k`` are anchored on their own length.
+    The inner words of a passage are whole words of any text that contains it, so both sides meet on
+    runs of up to ``words`` inner words and only those candidates are compared. Each passage uses its
+    rarest run. Passages without inner words meet on their whole text as a character window.
     """
-    sized = passages.withColumn("_k", F.least(F.length("p_text"), F.lit(k))).where(F.col("_k") > 0)
-    lengths = [r[0] for r in sized.select("_k").distinct().orderBy("_k").collect()]  # at most k values
-    parts = []
-    for length in lengths:
-        mine = sized.where(F.col("_k") == length)
-        grams = kmer_index(mine, "p_id", "p_text", length)
-        in_docs = kmer_index(documents, "doc_id", "text", length, "d_pos").join(
-            F.broadcast(grams.select("kmer").distinct()) if grams.count() < 1_000_000 else grams.select("kmer").distinct(),
-            "kmer",
-            "left_semi",
+    tokens = lambda c: F.split(F.col(c), r"\s+")
+
+    def shingles(array: Column, n: int) -> Column:
+        last = F.size(array) - n
+        return F.when(
+            last >= 0,
+            F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(array, i + j) for j in range(n)])),
+        )
+
+    cut = passages.withColumn("_w", tokens("p_text"))
+    cut = cut.withColumn("_inner", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    cut = cut.withColumn("_n", F.least(F.size("_inner"), F.lit(words)))
+    sizes = [r[0] for r in cut.select("_n").distinct().orderBy("_n").collect()]  # at most words + 1 values
+    candidates = []
+    for n in sizes:
+        mine = cut.where(F.col("_n") == n)
+        if n:
+            grams = mine.select("p_id", F.explode(shingles(F.col("_inner"), n)).alias("gram"))
+            in_docs = documents.select("doc_id", F.explode(F.array_distinct(shingles(tokens("text"), n))).alias("gram"))
+        else:
+            exact = mine.withColumn("_len", F.length("p_text")).where(F.col("_len") > 0)
+            grams = exact.select("p_id", F.xxhash64("p_text").alias("gram"))
+            widths = [r[0] for r in exact.select("_len").distinct().collect()]  # two-word texts: few lengths
+            if not widths:
+                continue
+            in_docs = reduce(
+                DataFrame.unionByName,
+                [kmer_index(documents, ["doc_id"], "text", w).select("doc_id", F.xxhash64("kmer").alias("gram")) for w in widths],
+            ).distinct()
+        wanted = grams.select("gram").distinct()
+        in_docs = in_docs.join(wanted, "gram", "left_semi")
+        seen = in_docs.groupBy("gram").agg(F.count(F.lit(1)).alias("_seen"))
+        anchor = (
+            grams.join(seen, "gram", "left")
+            .fillna(0, ["_seen"])
+            .groupBy("p_id")
+            .agg(F.min(F.struct("_seen", "gram")).alias("a"))
+            .select("p_id", F.col("a.gram").alias("gram"))
         )
-        seen = in_docs.groupBy("kmer").agg(F.count(F.lit(1)).alias("_seen"))
-        anchor = grams.join(seen, "kmer", "left").fillna(0, ["_seen"])
-        anchor = anchor.groupBy("p_id").agg(F.min(F.struct("_seen", "pos", "kmer")).alias("a"))
-        anchor = anchor.select("p_id", F.col("a.pos").alias("pos"), F.col("a.kmer").alias("kmer"))
-        starts = in_docs.join(anchor, "kmer").select("p_id", "doc_id", (F.col("d_pos") - F.col("pos")).alias("start"))
-        starts = starts.where(F.col("start") >= 0)
-        texts = starts.join(mine.select("p_id", "p_text"), "p_id").join(documents.select("doc_id", "text"), "doc_id")
-        same = F.substring(F.col("text"), F.col("start") + 1, F.length("p_text")) == F.col("p_text")
-        parts.append(texts.where(same).groupBy("p_id", "doc_id").agg(F.min("start").alias("start")))
-    return reduce(DataFrame.unionByName, parts)
+        candidates.append(lookup(in_docs, anchor, ["gram"], "inner").select("p_id", "doc_id"))
+    pairs = reduce(DataFrame.unionByName, candidates)
+    texts = pairs.join(passages, "p_id").join(documents.select("doc_id", "text"), "doc_id")
+    start = F.instr(F.col("text"), F.col("p_text"))
+    return texts.withColumn("start", start - 1).where(F.col("start") >= 0).select("p_id", "doc_id", "start")
 
 
 def longest_block(a: DataFrame, b: DataFrame, on: Sequence[str], min_len: int = 5) -> DataFrame:
@@ -232,12 +266,7 @@ def longest_block(a: DataFrame, b: DataFrame, on: Sequence[str], min_len: int =
     """
     on = list(on)
 
-    def grams(df: DataFrame, seq: str, pos: str) -> DataFrame:
-        n = F.length(seq) - min_len + 1
-        at = df.where(n > 0).withColumn(pos, F.explode(F.sequence(F.lit(0), n - 1)))
-        return at.select(*on, pos, F.substring(F.col(seq), F.col(pos) + 1, F.lit(min_len)).alias("kmer"))
-
-    shared = grams(a, "a_seq", "a_pos").join(grams(b, "b_seq", "b_pos"), [*on, "kmer"])
+    shared = kmer_index(a, on, "a_seq", min_len, "a_pos").join(kmer_index(b, on, "b_seq", min_len, "b_pos"), [*on, "kmer"])
     shared = shared.withColumn("_diagonal", F.col("b_pos") - F.col("a_pos"))
     # gaps and islands: position minus rank is constant along a run of neighbours
     ranked = running_total(shared, [*on, "_diagonal"], [F.col("a_pos")], out="_r")
