@@ -145,12 +145,10 @@ def value_ladder(
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
     steps = running_total(steps, groups, [order], "n_ties", "below", small=small)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    if not groups:
-        return beside(steps, sizes)
     if small:
-        return null_safe_join(steps, sizes, groups, "inner")
-    return lookup(steps, sizes, groups, "inner", small=False)
+        return steps.withColumn("n", F.sum("n_ties").over(Window.partitionBy(*groups)))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    return lookup(steps, sizes, groups, "inner", small=False) if groups else beside(steps, sizes)
 
 
 def average_rank() -> Column:
@@ -158,7 +156,7 @@ def average_rank() -> Column:
     return F.col("below") + (F.col("n_ties") + 1) / 2.0
 
 
-def with_rank(
+def rank_table(
     df: DataFrame,
     value: str,
     groups: Sequence[str] = (),
@@ -167,7 +165,7 @@ def with_rank(
     pct: bool = False,
     small: bool | None = None,
 ) -> DataFrame:
-    """Rank every row by ``value`` inside its group; null values rank null.
+    """Rank of every distinct (group, value), with ``_ties``, the number of rows that hold it.
 
     ``method`` is one of average, min, max, dense; ``pct`` divides by the number of ranked rows
     (by the number of distinct values for dense).
@@ -185,18 +183,42 @@ def with_rank(
     elif method == "dense":
         ladder = running_total(ladder, groups, [F.col(value)], out="_dense", small=small)
         top = ladder.groupBy(*groups).agg((F.max("_dense") + 1).alias("_distinct"))
-        if groups:
-            ladder = lookup(ladder, top, groups, "inner", small=small)
-        else:
-            ladder = beside(ladder, top)
+        ladder = lookup(ladder, top, groups, "inner", small=small) if groups else beside(ladder, top)
         rank, size = F.col("_dense") + 1.0, F.col("_distinct")
     else:
         raise ValueError(f"unknown rank method: {method!r}")
     score = rank / size if pct else rank
-    ranks = ladder.select(*groups, value, score.alias(out), F.col("n_ties").alias("_ties"))
+    return ladder.select(*groups, value, score.alias(out), F.col("n_ties").alias("_ties"))
+
+
+def with_rank(
+    df: DataFrame,
+    value: str,
+    groups: Sequence[str] = (),
+    out: str = "rank",
+    method: str = "average",
+    pct: bool = False,
+    small: bool | None = None,
+) -> DataFrame:
+    """Rank every row by ``value`` inside its group; null values rank null."""
+    if small is None:
+        small = fits_one_task(df)
+    ranks = rank_table(df, value, groups, out, method, pct, small)
     return lookup(df, ranks, [*groups, value], weight="_ties", small=small)
 
 
+def with_ranks(
+    df: DataFrame, columns: dict[str, str], groups: Sequence[str] = (), pct: bool = False, small: bool | None = None
+) -> DataFrame:
+    """Average ranks of several columns (``{value: out}``). All are ranked from ``df`` itself, then joined in turn."""
+    if small is None:
+        small = fits_one_task(df)
+    tables = {v: rank_table(df.select(*groups, v), v, groups, out, pct=pct, small=small) for v, out in columns.items()}
+    for v, ranks in tables.items():
+        df = lookup(df, ranks, [*groups, v], weight="_ties", small=small)
+    return df
+
+
 def quantiles(
     df: DataFrame,
     groups: Sequence[str],

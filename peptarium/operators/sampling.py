@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peptarium.functions.keys import stable_hash
 from peptarium.functions.numeric import num
-from peptarium.operators.ordering import first_per, fits_one_task, lookup, row_rank, top_k, with_rank
+from peptarium.operators.ordering import first_per, fits_one_task, lookup, row_rank, top_k, with_ranks
 from peptarium.session import freeze
 
 CANDIDATES = 1000
@@ -115,10 +115,7 @@ def sample_half(df: DataFrame, group: str, axes: Sequence[str], total: int, key:
     """FPS over percentile-standardised axes with even quotas; rows with a missing axis take no part."""
     rows = df.select(group, key, *[num(a).alias(a) for a in axes]).dropna()
     rows = rows.withColumnsRenamed({a: f"_raw_{a}" for a in axes})
-    small = fits_one_task(rows)
-    for a in axes:
-        rows = with_rank(rows, f"_raw_{a}", out=a, pct=True, small=small).drop(f"_raw_{a}")
-    rows = freeze(rows)
+    rows = freeze(with_ranks(rows, {f"_raw_{a}": a for a in axes}, pct=True).select(group, key, *axes))
     return fps(rows, group, axes, quotas(rows, group, total), key).select(group, key, "fps_order")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peptarium.functions.numeric import logistic, num
-from peptarium.operators.ordering import beside, fits_one_task, lookup, null_safe_join, quantiles, row_rank, top_k, value_ladder, with_rank
+from peptarium.operators.ordering import beside, fits_one_task, lookup, null_safe_join, quantiles, rank_table, row_rank, top_k, with_rank, with_ranks
 from peptarium.operators.predicates import Condition, all_of, gate, require_columns
 from peptarium.plans.presets import Metric, PassBonus, Preset
 
@@ -88,12 +88,14 @@ def transform_metrics(df: DataFrame, metrics: Sequence[Metric], scope: Sequence[
         df = df.withColumn(f"score_{m.column}", TRANSFORMS[m.transform](F.col(x[m.column]), m, named))
     df = df.drop(*[c for c in df.columns if any(c == f"_{s}_{m.column}" for m in shaped for s in _needs(m))])
 
+    if ranked:
+        df = with_ranks(df, {x[m.column]: f"_pct_{m.column}" for m in ranked}, scope, pct=True, small=small)
     for m in ranked:
-        df = with_rank(df, x[m.column], scope, "_pct", pct=True, small=small)
-        oriented = F.col("_pct") if m.better == "high" else F.lit(1.0) - F.col("_pct")
+        pct = F.col(f"_pct_{m.column}")
+        oriented = pct if m.better == "high" else F.lit(1.0) - pct
         if scope:  # a row without a scope value belongs to no population
             oriented = F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scope]), oriented)
-        df = df.withColumn(f"score_{m.column}", oriented).drop("_pct")
+        df = df.withColumn(f"score_{m.column}", oriented).drop(f"_pct_{m.column}")
     return df.drop(*x.values())
 
 
@@ -166,14 +168,16 @@ def swap_term(df: DataFrame, old_term: str, value: str, weight: float, method: s
 def calibrate_ties(df: DataFrame, value: str, stored: str, weight: float) -> DataFrame:
     """Which tie method reproduces a stored score: one row per method with its largest error."""
     small = fits_one_task(df)
+    methods = ("average", "min", "max", "dense")
+    tables = [rank_table(df, value, out=f"_{m}", method=m, pct=True, small=small) for m in methods]
     ladder_rows = df
-    for method in ("average", "min", "max", "dense"):
-        ladder_rows = with_rank(ladder_rows, value, out=f"_{method}", method=method, pct=True, small=small)
+    for table in tables:
+        ladder_rows = lookup(ladder_rows, table, [value], weight="_ties", small=small)
     target = F.col(stored) / F.lit(weight)
     errors = ladder_rows.agg(
-        *[F.max(F.abs(F.lit(1.0) - F.col(f"_{m}") - target)).alias(m) for m in ("average", "min", "max", "dense")]
+        *[F.max(F.abs(F.lit(1.0) - F.col(f"_{m}") - target)).alias(m) for m in methods]
     )
-    return errors.unpivot([], ["average", "min", "max", "dense"], "method", "max_error")
+    return errors.unpivot([], list(methods), "method", "max_error")
 
 
 def compare_presets(df: DataFrame, first: Preset, second: Preset, key: Sequence[str], value: str, group: str = "id") -> DataFrame:
@@ -193,7 +197,3 @@ def compare_presets(df: DataFrame, first: Preset, second: Preset, key: Sequence[
     )
     fresh = picks["b"].join(picks["a"], [group, *key], "left_anti").groupBy(group).agg(F.count(F.lit(1)).alias("n_new"))
     return per_side.join(fresh, group, "left").fillna(0, ["n_new"])
-
-
-def pooled_ladder(df: DataFrame, value: str) -> DataFrame:
-    return value_ladder(df, [], value)

@@ -13,13 +13,12 @@ from peptarium.operators.ordering import (
     average_rank,
     beside,
     first_per,
-    fits_one_task,
     lookup,
     null_safe_join,
     quantiles,
     row_rank,
     value_ladder,
-    with_rank,
+    with_ranks,
 )
 from peptarium.operators.predicates import FOUR_FILTER, Condition, all_of
 from peptarium.operators.scoring import best_first, score_and_select
@@ -120,9 +119,8 @@ def _paired(df: DataFrame, x: str, y: str, keep: Sequence[str] = ()) -> DataFram
 
 
 def _ranked_pair(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    small = fits_one_task(rows)
-    ranked = with_rank(rows, "_x", groups, "_rx", small=small)
-    return with_rank(ranked, "_y", groups, "_ry", small=small).withColumn("_x", F.col("_rx")).withColumn("_y", F.col("_ry"))
+    ranked = with_ranks(rows, {"_x": "_rx", "_y": "_ry"}, groups)
+    return ranked.withColumn("_x", F.col("_rx")).withColumn("_y", F.col("_ry"))
 
 
 def safe_corr(x: str = "_x", y: str = "_y") -> Column:
