@@ -118,7 +118,7 @@ def contigs(spark: SparkSession, sf: str) -> DataFrame:
 
 CONTIGS_SQL = """contigs AS (SELECT 't' || (p_partkey % 400) AS id, p_partkey AS contig_id,
   n || '-' || n || '/A' || a || '-' || (a+f-1) || '/' || g || '-' || g || '/A' || (a+40) || '-' || (a+39+s) || '/' || c || '-' || c AS contig_string,
-  '104-104' AS contig_length, list_distinct([a-1, a+f-2, a+39, a+38+s]) AS epitope_resindices, 2 AS epitope_chunks,
+  '104-104' AS contig_length, CASE WHEN f = 1 THEN [a-1, a+39, a+38+s] ELSE [a-1, a+f-2, a+39, a+38+s] END AS epitope_resindices, 2 AS epitope_chunks,
   '/data/' || p_brand || '/' || p_partkey || '.pdb' AS input_pdb, n, a, f, g, s, c
   FROM (SELECT *, p_size % 30 AS n, p_partkey % 50 + 1 AS a, p_size % 9 + 1 AS f, p_size % 20 + 2 AS s, p_size % 7 + 3 AS g,
     104 - p_size % 30 - (p_size % 9 + 1) - (p_size % 20 + 2) - (p_size % 7 + 3) AS c FROM part))"""

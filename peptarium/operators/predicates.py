@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptarium.functions.numeric import as_col, num
+from peptarium.functions.keys import stable_hash
+from peptarium.functions.numeric import num
 from peptarium.operators.ordering import row_rank
 
 COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq}
@@ -204,7 +205,7 @@ def to_library_schema(df: DataFrame, types: dict[str, str] = LIBRARY_TYPES, keep
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """A seeded sample of n rows: the n smallest hashes of (key, seed)."""
-    return df.withColumn("_h", F.xxhash64(*key, F.lit(seed))).orderBy("_h", *key).limit(n).drop("_h")
+    return df.withColumn("_h", stable_hash(*key, seed=seed)).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def even_sample(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -22,6 +22,7 @@ def local_session(cpus: str | int = "*", app: str = "peptarium", shuffle_partiti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PEPTARIUM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
