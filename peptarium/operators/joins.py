@@ -172,14 +172,15 @@ def containment(queries: DataFrame, chains: DataFrame, on: Sequence[str], wildca
         hit = joined.withColumn("start", F.when(start > 0, start - 1))
     else:
         # a chain window matches when each of its letters is the wildcard or the query's letter
-        letters_q = F.split(q, "")
+        joined = joined.withColumn("_q", F.split(q, ""))
+        letters_q = F.col("_q")
         fits = lambda i: F.forall(
             F.zip_with(F.split(F.substring(c, i + 1, F.length(q)), ""), letters_q, lambda x, y: (x == wildcard) | (x == y)),
             lambda ok: ok,
         )
         span = F.length(c) - F.length(q)
         starts = F.when(span >= 0, F.filter(F.sequence(F.lit(0), F.greatest(span, F.lit(0))), fits))
-        hit = joined.withColumn("start", F.try_element_at(starts, F.lit(1)))
+        hit = joined.withColumn("start", F.try_element_at(starts, F.lit(1))).drop("_q")
     return (
         hit.where(F.col("start").isNotNull())
         .withColumn("trim_n", F.col("start"))
@@ -214,11 +215,12 @@ def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4
     """
     tokens = lambda c: F.split(F.col(c), r"\s+")
 
-    def shingles(array: Column, n: int) -> Column:
+    def shingles(array: str, n: int) -> Column:
+        # the word array must be a column of its own: an expression would be split again per position
         last = F.size(array) - n
         return F.when(
             last >= 0,
-            F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(array, i + j) for j in range(n)])),
+            F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col(array), i + j) for j in range(n)])),
         )
 
     cut = passages.withColumn("_w", tokens("p_text"))
@@ -229,8 +231,9 @@ def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4
     for n in sizes:
         mine = cut.where(F.col("_n") == n)
         if n:
-            grams = mine.select("p_id", F.explode(shingles(F.col("_inner"), n)).alias("gram"))
-            in_docs = documents.select("doc_id", F.explode(F.array_distinct(shingles(tokens("text"), n))).alias("gram"))
+            grams = mine.select("p_id", F.explode(shingles("_inner", n)).alias("gram"))
+            worded = documents.select("doc_id", tokens("text").alias("_w"))
+            in_docs = worded.select("doc_id", F.explode(F.array_distinct(shingles("_w", n))).alias("gram"))
         else:
             exact = mine.withColumn("_len", F.length("p_text")).where(F.col("_len") > 0)
             grams = exact.select("p_id", F.xxhash64("p_text").alias("gram"))
