@@ -128,7 +128,7 @@ def _place_hexamers(seq: Column, key: Column, count: Column, seed: int) -> Colum
         marked = F.regexp_replace(state["seq"], _SPOT, "|")
         spots = F.length(marked) - F.length(state["seq"])
         pick = F.pmod(stable_hash(key, count, i, seed=seed), F.greatest(spots, F.lit(1))).cast("int")
-        at = F.length(F.substring_index(marked, "|", pick + 1)) - pick
+        at = F.length(F.call_function("substring_index", marked, F.lit("|"), pick + 1)) - pick
         placed = F.concat(F.left(state["seq"], at), F.lit(HEXAMER), F.right(state["seq"], F.length(state["seq"]) - at - 6))
         return F.when(spots > 0, F.struct(placed.alias("seq"), (state["placed"] + 1).alias("placed"))).otherwise(state)
 
@@ -188,21 +188,32 @@ def build_controls(
     )
 
 
-def tile_starts(length: Column, mer: int, step: int, cterm: bool = True) -> Column:
-    """1-based window starts; a last window at the C-terminus when the grid stops short of it."""
-    last = length - mer + 1
-    grid = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step))
-    if cterm:
-        grid = F.array_union(grid, F.array(last))
-    return F.when(length >= mer, grid)
+_WINDOWS_PER_CHUNK = 64
 
 
 def tile(
     df: DataFrame, seq_col: str, mer: int, step: int, cterm: bool = True, prefix: str = "", start_col: str = "start"
 ) -> DataFrame:
-    """One row per window: ``start``, ``tile`` and ``construct`` (constant prefix + tile)."""
+    """One row per window: ``start`` (1-based), ``tile`` and ``construct`` (constant prefix + tile).
+
+    Windows start at 1, 1+step, ...; with ``cterm`` a last window ends at the C-terminus when the grid
+    stops short of it. Sequences shorter than ``mer`` give none. Windows are cut from chunks, since a
+    substring costs its offset.
+    """
+    last = F.length(seq_col) - mer + 1
+    reach = step * (_WINDOWS_PER_CHUNK - 1)
+    at = lambda start, span: F.struct(start.cast("int").alias("at"), span.cast("int").alias("span"))
+    chunks = F.transform(
+        F.sequence(F.lit(1), last, F.lit(step * _WINDOWS_PER_CHUNK)), lambda s: at(s, F.least(F.lit(reach), last - s))
+    )
+    if cterm:
+        chunks = F.when((last - 1) % step > 0, F.concat(chunks, F.array(at(last, F.lit(0))))).otherwise(chunks)
+    cut = df.where(last >= 1).withColumn("_c", F.explode(chunks))
+    cut = cut.withColumn("_chunk", F.substring(F.col(seq_col), F.col("_c.at"), F.lit(reach + mer)))
+    cut = cut.withColumn("_off", F.explode(F.sequence(F.lit(0), F.col("_c.span"), F.lit(step))))
     return (
-        df.withColumn(start_col, F.explode(tile_starts(F.length(seq_col), mer, step, cterm)))
-        .withColumn("tile", F.substring(F.col(seq_col), F.col(start_col), F.lit(mer)))
+        cut.withColumn(start_col, F.col("_c.at") + F.col("_off"))
+        .withColumn("tile", F.substring(F.col("_chunk"), F.col("_off") + 1, F.lit(mer)))
         .withColumn("construct", F.concat(F.lit(prefix), F.col("tile")))
+        .drop("_c", "_chunk", "_off")
     )
