@@ -116,21 +116,31 @@ def mutate_island(c: str | Column, n: int, every_other: bool = False) -> Column:
 
 
 # A spot is six lower-case residues with no upper-case residue within the margin on either side.
+# Fixed-length look-behinds are tried one by one: much cheaper than one of variable length.
 _SPOT = (
-    r"(?<![A-Z].{0,%d})(?=[a-z]{6}(?!.{0,%d}[A-Z]))" % (EPITOPE_MARGIN - 1, EPITOPE_MARGIN - 1)
+    f"(?=[a-z]{{6}}(?:[^A-Z]{{{EPITOPE_MARGIN}}}|[^A-Z]{{0,{EPITOPE_MARGIN - 1}}}$))"
+    + "".join(f"(?<![A-Z]{'.' * d})" for d in range(EPITOPE_MARGIN))
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _place_hexamers(seq: Column, key: Column, count: Column, seed: int) -> Column:
     """Struct(seq, placed) after up to ``count`` sequential placements at hash-picked spots."""
 
     def step(state: Column, i: Column) -> Column:
-        marked = F.regexp_replace(state["seq"], _SPOT, "|")
-        spots = F.length(marked) - F.length(state["seq"])
-        pick = F.pmod(stable_hash(key, count, i, seed=seed), F.greatest(spots, F.lit(1))).cast("int")
-        at = F.length(F.call_function("substring_index", marked, F.lit("|"), pick + 1)) - pick
-        placed = F.concat(F.left(state["seq"], at), F.lit(HEXAMER), F.right(state["seq"], F.length(state["seq"]) - at - 6))
-        return F.when(spots > 0, F.struct(placed.alias("seq"), (state["placed"] + 1).alias("placed"))).otherwise(state)
+        def place(marked: Column) -> Column:
+            spots = F.length(marked) - F.length(state["seq"])
+            pick = F.pmod(stable_hash(key, count, i, seed=seed), F.greatest(spots, F.lit(1))).cast("int")
+            at = F.length(F.call_function("substring_index", marked, F.lit("|"), pick + 1)) - pick
+            placed = F.concat(F.left(state["seq"], at), F.lit(HEXAMER), F.right(state["seq"], F.length(state["seq"]) - at - 6))
+            return F.when(spots > 0, F.struct(placed.alias("seq"), (state["placed"] + 1).alias("placed"))).otherwise(state)
+
+        # once a placement failed, later ones fail too
+        return F.when(state["placed"] == i - 1, _let(F.regexp_replace(state["seq"], _SPOT, "|"), place)).otherwise(state)
 
     start = F.struct(seq.alias("seq"), F.lit(0).alias("placed"))
     return F.aggregate(F.sequence(F.lit(1), count), start, step)
@@ -138,12 +148,13 @@ def _place_hexamers(seq: Column, key: Column, count: Column, seed: int) -> Colum
 
 def disrupt(c: str | Column, key: str | Column, seed: int = 0, most: int = 4, least: int = 1) -> Column:
     """Struct(seq, placed): the largest hexamer count from ``most`` down that fits; null when none does."""
-    tries = F.transform(
-        F.sequence(F.lit(most), F.lit(least), F.lit(-1)),
-        lambda n: F.struct(n.alias("n"), _place_hexamers(as_col(c), as_col(key), n, seed).alias("r")),
-    )
-    fits = F.filter(tries, lambda t: t["r"]["placed"] == t["n"])
-    return F.try_element_at(fits, F.lit(1))["r"]
+    none = F.lit(None).cast("struct<seq:string,placed:int>")
+
+    def attempt(found: Column, n: Column) -> Column:
+        fresh = _let(_place_hexamers(as_col(c), as_col(key), n, seed), lambda r: F.when(r["placed"] == n, r))
+        return F.when(found.isNotNull(), found).otherwise(fresh)
+
+    return F.aggregate(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), none, attempt)
 
 
 def build_controls(
