@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peptarium.operators.ordering import beside, lookup
-from peptarium.operators.spatial import XYZ, carve, count_within_radius, min_distance, nearest_up_to, within_radius
+from peptarium.operators.spatial import XYZ, carve, count_within_radius, hits, min_distance, nearest_up_to
 
 # The cylinder and its carve distance.
 RADIUS, HEIGHT, OFFSET, CARVE = 16.0, 40.0, -4.0, 1.0
@@ -401,11 +401,10 @@ def probe_panel(
     ]
     set_down = spun.select(*keys, "probe", "spin", *where)
     poses = placed.select(*keys, "probe").withColumn("spin", F.explode(F.sequence(F.lit(0), F.lit(spins - 1))))
-    # the design side of the distance join carries every pose, so a pose is a group of its own
-    shifted = lookup(points.select(*keys, "res_idx", *XYZ), poses.groupBy(*keys).agg(F.collect_list(F.struct("probe", "spin")).alias("_poses")), keys, "inner")
-    shifted = shifted.select(*keys, "res_idx", *XYZ, F.inline("_poses"))
-    hits = within_radius(shifted, set_down, cutoff, [*keys, "probe", "spin"]).groupBy(*keys, "probe", "spin").agg(F.count(F.lit(1)).alias("n"))
-    counts = poses.join(hits, [*keys, "probe", "spin"], "left").fillna(0, ["n"])
+    # many poses meet the few points of their design: the design's points are the side that is copied
+    struck = hits(set_down, points, cutoff, keys, ["probe", "spin"], ["res_idx"])
+    per_pose = struck.groupBy(*keys, "probe", "spin").agg(F.count(F.lit(1)).alias("n"))
+    counts = poses.join(per_pose, [*keys, "probe", "spin"], "left").fillna(0, ["n"])
     best = counts.groupBy(*keys, "probe").agg(F.min("n").alias("n"))
     return best.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_probes"), F.min("n").alias("probe_min_clash"), F.avg("n").alias("probe_mean_clash")

@@ -37,9 +37,11 @@ def squared_distance() -> Column:
     return reduce(lambda a, b: a + b, [(F.col(x) - F.col(f"_t{x}")) * (F.col(x) - F.col(f"_t{x}")) for x in XYZ])
 
 
-def _meet(points: DataFrame, targets: DataFrame, r: float, group: Sequence[str], near: Column, how: str) -> DataFrame:
+def _meet(
+    points: DataFrame, targets: DataFrame, r: float, group: Sequence[str], near: Column, how: str, extra: Sequence[str] = ()
+) -> DataFrame:
     left = _own_cell(points, r).withColumnsRenamed({c: f"_p{c}" for c in group})
-    right = _spread(targets, group, r)
+    right = _spread(targets, group, r, extra)
     condition = near
     for c in group:
         condition = condition & (F.col(f"_p{c}") == F.col(c))
@@ -83,3 +85,12 @@ def nearest_up_to(points: DataFrame, targets: DataFrame, limit: float, group: Se
     met = _meet(points.select(*group, *key, *XYZ), targets, limit, group, squared_distance() <= F.lit(limit * limit), "inner")
     near = met.groupBy(*group, *key).agg(F.sqrt(F.min(squared_distance())).alias("target_dist"))
     return points.join(near, [*group, *key], "left")
+
+
+def hits(points: DataFrame, targets: DataFrame, r: float, group: Sequence[str], point_key: Sequence[str], target_key: Sequence[str]) -> DataFrame:
+    """Distinct (group, point key, target key) with a pair strictly closer than ``r``.
+
+    The targets are the side that is copied to neighbouring cells: make it the smaller one.
+    """
+    met = _meet(points.select(*group, *point_key, *XYZ), targets, r, group, squared_distance() < F.lit(r * r), "inner", target_key)
+    return met.select(*group, *point_key, *target_key).distinct()

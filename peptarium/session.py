@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,11 @@ def freeze(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder path below the cluster's checkpoint folder, for tables that are written and read back."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}"
