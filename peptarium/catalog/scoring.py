@@ -78,17 +78,17 @@ REGISTRY.add("w4_sigmoid_fixed", transformed_sql(sig_sql(X, 2.5, 1.2, -1.0)))(tr
 REGISTRY.add("w5_identity", transformed_sql(f"-{X}"))(transformed(one_metric("identity")))
 
 
-@REGISTRY.add("w7_composite_pooled", f"WITH {POOL_SQL} SELECT key, round({ranked_sql()}, 6) AS composite FROM pool")
+@REGISTRY.add("w7_composite_pooled", f"WITH {POOL_SQL} SELECT key, round({ranked_sql()}, 8) AS composite FROM pool")
 def composite_pooled(spark, sf):
-    return r6(scoring.score(pool(spark, sf), PRESETS["antibody"]).select("key", "composite"))
+    return r6(scoring.score(pool(spark, sf), PRESETS["antibody"]).select("key", "composite"), 8)
 
 
 @REGISTRY.add(
     "w7_composite_missing_metric",
-    f"WITH {POOL_SQL} SELECT key, round({' + '.join(f'{w / 0.85} * coalesce({pct_sql(c)}, 0.0)' for c, w in RANKED.items() if c != OVERALL_RMSD)}, 6) AS composite FROM pool",
+    f"WITH {POOL_SQL} SELECT key, round({' + '.join(f'{w / 0.85} * coalesce({pct_sql(c)}, 0.0)' for c, w in RANKED.items() if c != OVERALL_RMSD)}, 8) AS composite FROM pool",
 )
 def composite_missing_metric(spark, sf):
-    return r6(scoring.score(pool(spark, sf).drop(OVERALL_RMSD), PRESETS["antibody"]).select("key", "composite"))
+    return r6(scoring.score(pool(spark, sf).drop(OVERALL_RMSD), PRESETS["antibody"]).select("key", "composite"), 8)
 
 
 @REGISTRY.add(
@@ -105,7 +105,7 @@ W12 = {"cylinder_native_aware": 0.35, EPITOPE_RMSD: 0.35, OVERALL_RMSD: 0.15, EP
 def topk_sql(composite: str, k: int, group: str = "id", where: str = "true") -> str:
     return f"""WITH {POOL_SQL}, s AS (SELECT key, id, antigen, {composite} AS composite FROM pool WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY composite DESC, key) AS rn FROM s)
-SELECT key, id, round(composite, 6) AS composite FROM r WHERE rn <= {k}"""
+SELECT key, id, round(composite, 8) AS composite FROM r WHERE rn <= {k}"""
 
 
 for preset_name, expression in (
@@ -116,7 +116,7 @@ for preset_name, expression in (
 
     def preset_select(spark, sf, name=preset_name):
         picked = scoring.score_and_select(pool(spark, sf), PRESETS[name], KEY)
-        return r6(picked.select("key", "id", "composite"))
+        return r6(picked.select("key", "id", "composite"), 8)
 
     REGISTRY.add(f"w9_preset_{preset_name}", topk_sql(expression, 5))(preset_select)
 
@@ -136,7 +136,7 @@ WORLD_SQL = {
 for world in WORLD_SQL:
 
     def world_select(spark, sf, name=world):
-        return r6(scoring.score_and_select(pool(spark, sf), comparison_presets()[name], KEY).select("key", "id", "composite"))
+        return r6(scoring.score_and_select(pool(spark, sf), comparison_presets()[name], KEY).select("key", "id", "composite"), 8)
 
     floor = "overall_rmsd <= 3.0 AND epitope_pae < 8.0" if world == "hard_floor" else "true"
     REGISTRY.add(f"w10_world_{world}", topk_sql(WORLD_SQL[world], 10, where=floor))(world_select)
@@ -145,16 +145,16 @@ for world in WORLD_SQL:
 @REGISTRY.add("w11_topk_per_group", topk_sql(SOFT_BONUS_SQL, 5, "antigen"))
 def topk_per_group(spark, sf):
     scored = scoring.score(pool(spark, sf), PRESETS["antibody_softgate"])
-    return r6(scoring.top_k(scored, ["antigen"], scoring.best_first(KEY), 5).select("key", "id", "composite"))
+    return r6(scoring.top_k(scored, ["antigen"], scoring.best_first(KEY), 5).select("key", "id", "composite"), 8)
 
 
 @REGISTRY.add(
     "w11_topk_global",
-    f"WITH {POOL_SQL}, s AS (SELECT key, {SOFT_BONUS_SQL} AS composite FROM pool) SELECT key, round(composite, 6) AS composite FROM s ORDER BY s.composite DESC, key LIMIT 5",
+    f"WITH {POOL_SQL}, s AS (SELECT key, {SOFT_BONUS_SQL} AS composite FROM pool) SELECT key, round(composite, 8) AS composite FROM s ORDER BY s.composite DESC, key LIMIT 5",
 )
 def topk_global(spark, sf):
     rows = pool(spark, sf).drop("id")
-    return r6(scoring.score_and_select(rows, PRESETS["antibody_softgate"], KEY).select("key", "composite"))
+    return r6(scoring.score_and_select(rows, PRESETS["antibody_softgate"], KEY).select("key", "composite"), 8)
 
 
 @REGISTRY.add(
@@ -265,11 +265,11 @@ def neighbour_runs(spark, sf):
     "f1_score_and_rank",
     f"""WITH {POOL_SQL}, s AS (SELECT key, id, {SOFT_BONUS_SQL} AS composite FROM pool WHERE NOT (id::VARCHAR LIKE '7%')),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY composite DESC, key) AS rank_in_group FROM s)
-SELECT key, id, round(composite, 6) AS composite, rank_in_group FROM r WHERE rank_in_group <= 5""",
+SELECT key, id, round(composite, 8) AS composite, rank_in_group FROM r WHERE rank_in_group <= 5""",
 )
 def score_and_rank(spark, sf):
     _, cut = score_component(pool(spark, sf), PRESETS["antibody_softgate"], ["id"], KEY, 5, exclude=["7"])
-    return r6(cut.select("key", "id", "composite", "rank_in_group"))
+    return r6(cut.select("key", "id", "composite", "rank_in_group"), 8)
 
 
 @REGISTRY.add(

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from peptarium.operators.ordering import beside, lookup
 from peptarium.operators.spatial import XYZ, carve, count_within_radius, hits, min_distance, nearest_up_to
@@ -82,10 +83,11 @@ def kabsch_rmsd(pairs: DataFrame, key: Sequence[str], min_pairs: int = 3, out: s
     return with_gram.select(*key, F.col("n").alias("n_pairs"), rmsd.alias(out))
 
 
-_TRANSFORM = "struct<r00:double,r01:double,r02:double,r10:double,r11:double,r12:double,r20:double,r21:double,r22:double>"
+def _doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
 
 
-@F.pandas_udf(_TRANSFORM)
+@F.pandas_udf(_doubles(*[f"r{i}{j}" for i in range(3) for j in range(3)]))
 def _rotation(sums: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Proper rotation of each 3x3 cross-sum matrix, a whole Arrow batch at a time."""
     for batch in sums:
@@ -147,7 +149,7 @@ def rmsd_variant(
 # ---------------------------------------------------------------- plane frames and cylinders
 
 
-@F.pandas_udf("struct<nx:double,ny:double,nz:double>")
+@F.pandas_udf(_doubles("nx", "ny", "nz"))
 def _least_axis(cov: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Unit axis of least variance of each covariance (xx,yy,zz,xy,xz,yz), a batch at a time."""
     for batch in cov:

@@ -24,7 +24,9 @@ from peptarium.operators.predicates import FOUR_FILTER, Condition, all_of
 from peptarium.operators.scoring import best_first, score_and_select
 from peptarium.plans.presets import SCORED, Preset
 
-COUNT = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -39,7 +41,7 @@ def pass_rates(df: DataFrame, dataset: str, conditions: Sequence[Condition] = FO
     """Per data set: passes of each filter and of all together, over all rows and over valid rows."""
     named = [(c.column, c.test()) for c in conditions] + [("all_filters", all_of(conditions))]
     counted = df.groupBy(dataset).agg(
-        COUNT.alias("n_all"),
+        n_rows().alias("n_all"),
         F.sum(valid_row(conditions).cast("bigint")).alias("n_valid"),
         *[F.sum(test.cast("bigint")).alias(f"_{name}") for name, test in named],
     )
@@ -65,7 +67,7 @@ def passes_per_group(a: DataFrame, b: DataFrame, group: str, flag: str = "is_pas
 def split_summary(df: DataFrame, group: str, medians: Sequence[str], conditions: Sequence[Condition] = FOUR_FILTER) -> DataFrame:
     """Per group: rows, valid rows, passes, both rates and the medians of some metrics."""
     counts = df.groupBy(group).agg(
-        COUNT.alias("n_total"),
+        n_rows().alias("n_total"),
         F.sum(valid_row(conditions).cast("bigint")).alias("n_valid"),
         F.sum(all_of(conditions).cast("bigint")).alias("n_pass"),
     )
@@ -85,18 +87,18 @@ def medians_wide(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -
 def gate_summary(df: DataFrame, keys: Sequence[str], column: str, threshold: float, size: str, order: str) -> DataFrame:
     """Per island: designs, designs past the gate, and the first island size."""
     passed = F.coalesce(num(column) <= threshold, F.lit(False))
-    return df.groupBy(*keys).agg(COUNT.alias("n_designs"), F.sum(passed.cast("bigint")).alias("n_gated"), F.min_by(size, order).alias("island_size"))
+    return df.groupBy(*keys).agg(n_rows().alias("n_designs"), F.sum(passed.cast("bigint")).alias("n_gated"), F.min_by(size, order).alias("island_size"))
 
 
 def gate_feasibility(summary: DataFrame, k: int) -> DataFrame:
     """How many islands have k gated designs, none, or fewer than k."""
     n = F.col("n_gated")
     count = lambda c: F.sum(c.cast("bigint"))
-    return summary.agg(COUNT.alias("n_islands"), count(n >= k).alias("n_enough"), count(n == 0).alias("n_empty"), count(n < k).alias("n_short"))
+    return summary.agg(n_rows().alias("n_islands"), count(n >= k).alias("n_enough"), count(n == 0).alias("n_empty"), count(n < k).alias("n_short"))
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    counts = df.groupBy(column).agg(COUNT.alias("n"))
+    counts = df.groupBy(column).agg(n_rows().alias("n"))
     return counts.orderBy(F.col("n").desc(), F.col(column).asc()).limit(top) if top else counts
 
 
@@ -133,14 +135,14 @@ def corr(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
     rows = _paired(df, x, y)
     if method == "spearman":
         rows = _ranked_pair(rows, [])
-    return rows.agg(COUNT.alias("n"), safe_corr().alias("r"))
+    return rows.agg(n_rows().alias("n"), safe_corr().alias("r"))
 
 
 def corr_by_group(df: DataFrame, group: str, x: str, y: str, min_n: int = 12, method: str = "pearson") -> DataFrame:
     rows = _paired(df, x, y, [group]).where(F.col(group).isNotNull())
     if method == "spearman":
         rows = _ranked_pair(rows, [group])
-    return rows.groupBy(group).agg(COUNT.alias("n"), safe_corr().alias("r")).where(F.col("n") >= min_n)
+    return rows.groupBy(group).agg(n_rows().alias("n"), safe_corr().alias("r")).where(F.col("n") >= min_n)
 
 
 def within_corr(df: DataFrame, group: str, x: str, y: str, method: str = "pearson") -> DataFrame:
@@ -152,25 +154,25 @@ def within_corr(df: DataFrame, group: str, x: str, y: str, method: str = "pearso
     rows = _paired(df, x, y, [group]).where(F.col(group).isNotNull())
     if method == "pearson":
         per = rows.groupBy(group).agg(
-            COUNT.alias("n"),
-            (COUNT * F.covar_pop("_x", "_y")).alias("sxy"),
-            (COUNT * F.var_pop("_x")).alias("sxx"),
-            (COUNT * F.var_pop("_y")).alias("syy"),
+            n_rows().alias("n"),
+            (n_rows() * F.covar_pop("_x", "_y")).alias("sxy"),
+            (n_rows() * F.var_pop("_x")).alias("sxx"),
+            (n_rows() * F.var_pop("_y")).alias("syy"),
         )
         out = per.agg(F.sum("n").alias("n"), (F.sum("sxy") / F.sqrt(F.sum("sxx") * F.sum("syy"))).alias("r"))
     else:
-        means = rows.groupBy(group).agg(COUNT.alias("_rows"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+        means = rows.groupBy(group).agg(n_rows().alias("_rows"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
         centred = lookup(rows, means, [group], weight="_rows")
         # rounding folds values that differ only by summation order into one tie
         centred = centred.select(F.round(F.col("_x") - F.col("_mx"), 9).alias("_x"), F.round(F.col("_y") - F.col("_my"), 9).alias("_y"))
-        out = _ranked_pair(centred, []).agg(COUNT.alias("n"), safe_corr().alias("r"))
+        out = _ranked_pair(centred, []).agg(n_rows().alias("n"), safe_corr().alias("r"))
     return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
 
 
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = _paired(df, x, y)
     return rows.agg(
-        COUNT.alias("n"),
+        n_rows().alias("n"),
         F.regr_slope("_y", "_x").alias("slope"),
         F.regr_intercept("_y", "_x").alias("intercept"),
         F.regr_r2("_y", "_x").alias("r2"),
@@ -209,8 +211,8 @@ def set_pr(predicted: DataFrame, true: DataFrame, cell: Sequence[str], member: S
     key = [*design, *member]
     cells = predicted.select(*cell).distinct()
     hits = predicted.join(true.withColumn("_t", F.lit(1)), key, "left")
-    sizes = hits.groupBy(*cell, *design).agg(COUNT.alias("n_pred"), F.sum(F.coalesce("_t", F.lit(0))).alias("tp"))
-    truth = true.groupBy(*design).agg(COUNT.alias("n_true"))
+    sizes = hits.groupBy(*cell, *design).agg(n_rows().alias("n_pred"), F.sum(F.coalesce("_t", F.lit(0))).alias("tp"))
+    truth = true.groupBy(*design).agg(n_rows().alias("n_true"))
     designs = predicted.select(*design).unionByName(true.select(*design)).distinct().join(truth, list(design), "left")
     grid = cells.agg(F.collect_list(F.struct(*cell)).alias("_cells"))  # the parameter grid, a fixed few cells
     every = beside(designs, grid).select(*design, "n_true", F.inline("_cells"))
@@ -219,7 +221,7 @@ def set_pr(predicted: DataFrame, true: DataFrame, cell: Sequence[str], member: S
         F.sum("tp").alias("tp"),
         F.sum(F.col("n_pred") - F.col("tp")).alias("fp"),
         F.sum(F.col("n_true") - F.col("tp")).alias("fn"),
-        COUNT.alias("n_designs"),
+        n_rows().alias("n_designs"),
         safe_corr("n_pred", "n_true").alias("pearson_r"),
     )
     return out.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn")))
@@ -229,11 +231,11 @@ def pr_at(df: DataFrame, score: str, label: str, fracs: Sequence[float], key: Se
     """Precision and recall when the lowest fraction by score is kept; ``key`` makes ties stable."""
     rows = df.select(*key, num(score).alias("_s"), F.col(label).cast("int").alias("_l")).where(F.col("_s").isNotNull())
     ranked = row_rank(rows, [], [F.col("_s").asc(), *[F.col(k) for k in key]], out="_r")
-    total = rows.agg(COUNT.alias("_n"), F.sum("_l").alias("_pos"))
+    total = rows.agg(n_rows().alias("_n"), F.sum("_l").alias("_pos"))
     cut = F.greatest(F.lit(1), F.rint(F.col("_f") * F.col("_n")).cast("bigint"))
     wanted = beside(ranked.select("_r", "_l"), total).select("_r", "_l", "_n", "_pos", F.explode(F.array(*[F.lit(float(f)) for f in fracs])).alias("_f"))
     kept = wanted.where(F.col("_r") <= cut)
-    out = kept.groupBy(F.col("_f").alias("frac")).agg(COUNT.alias("kept"), F.sum("_l").alias("tp"), F.max("_pos").alias("_pos"))
+    out = kept.groupBy(F.col("_f").alias("frac")).agg(n_rows().alias("kept"), F.sum("_l").alias("tp"), F.max("_pos").alias("_pos"))
     return out.select("frac", "kept", "tp", (F.col("tp") / F.col("kept")).alias("precision"), rate(F.col("tp"), F.col("_pos")).alias("recall"))
 
 
@@ -278,11 +280,11 @@ def capture_curve(df: DataFrame, group: str, ks: Sequence[int], key: Sequence[st
     ranked = row_rank(df.select(group, *key, composite, F.col(flag).cast("boolean").alias("_p")), [group], best_first(key, composite), out="_r")
     passers = ranked.where("_p")
     kept = [F.sum((F.col("_r") <= k).cast("bigint")).alias(f"_k{k}") for k in ks]
-    per = passers.groupBy(group).agg(COUNT.alias("n"), *kept)
+    per = passers.groupBy(group).agg(n_rows().alias("n"), *kept)
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_k{k}").alias("kept")) for k in ks])
     long = per.select(group, "n", F.inline(rows))
     return long.groupBy("k").agg(
-        COUNT.alias("n_groups"),
+        n_rows().alias("n_groups"),
         F.avg((F.col("kept") > 0).cast("double")).alias("coverage"),
         F.avg(F.col("kept") / F.least(F.col("n"), F.col("k"))).alias("recall"),
     )
@@ -317,7 +319,7 @@ def band_report(
         F.sum((F.col("_a") >= t).cast("bigint")).alias(f"after_ge{t:g}"),
     )]
     return cells.groupBy("band").agg(
-        COUNT.alias("n"),
+        n_rows().alias("n"),
         F.avg("_b").alias("mean_before"),
         F.avg("_a").alias("mean_after"),
         F.sum((F.col("_a") < F.col("_b")).cast("bigint")).alias("n_carved"),
@@ -334,8 +336,8 @@ def selectivity(df: DataFrame, truth: str, before: str, after: str, threshold: f
     """Share flagged before and after per band of true clash; null where a band has too few rows."""
     rows = df.select(num(truth).alias("_t"), num(before).alias("_b"), num(after).alias("_a")).where(F.col("_t") >= 0)
     band = F.coalesce(*[F.when(F.col("_t") >= e, F.lit(i)) for i, e in reversed(list(enumerate(SELECTIVITY_EDGES)))])
-    flagged = lambda c: F.when(COUNT >= min_n, F.avg(F.coalesce(F.col(c) >= threshold, F.lit(False)).cast("double")))
-    return rows.groupBy(band.alias("band")).agg(COUNT.alias("n"), flagged("_b").alias("share_before"), flagged("_a").alias("share_after"))
+    flagged = lambda c: F.when(n_rows() >= min_n, F.avg(F.coalesce(F.col(c) >= threshold, F.lit(False)).cast("double")))
+    return rows.groupBy(band.alias("band")).agg(n_rows().alias("n"), flagged("_b").alias("share_before"), flagged("_a").alias("share_after"))
 
 
 def clip_limits(df: DataFrame, column: str, low: float | None, high: float, fixed_low: float = 0.0) -> tuple[float, float]:
@@ -353,8 +355,8 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, group
     # the upper edge belongs to the last bin
     index = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
     rows = df.where(num(column).isNotNull())
-    counts = rows.groupBy(*groups, index.cast("int").alias("bin")).agg(COUNT.alias("n"))
-    totals = rows.groupBy(*groups).agg(COUNT.alias("_total"))
+    counts = rows.groupBy(*groups, index.cast("int").alias("bin")).agg(n_rows().alias("n"))
+    totals = rows.groupBy(*groups).agg(n_rows().alias("_total"))
     joined = counts.join(totals, list(groups)) if groups else beside(counts, totals)
     return joined.select(
         *groups, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("edge"), "n", (F.col("n") / (F.col("_total") * F.lit(width))).alias("density")
@@ -381,7 +383,7 @@ def world_table(df: DataFrame, presets: dict[str, Preset], key: Sequence[str], g
     ]
     both = reduce(DataFrame.unionByName, picks)
     scoped = both.select("world", F.explode(F.array(F.col(group).cast("string"), F.lit("*"))).alias("scope"), *SCORED)
-    n = scoped.groupBy("world", "scope").agg(COUNT.alias("n"))
+    n = scoped.groupBy("world", "scope").agg(n_rows().alias("n"))
     return n.join(medians_wide(scoped, ["world", "scope"], SCORED), ["world", "scope"], "left")
 
 
@@ -409,7 +411,7 @@ HELIX_CODES, STRAND_CODES = "HGI", "EB"
 def ss_composition(codes: DataFrame, key: Sequence[str], code: str = "code") -> DataFrame:
     """Helix, strand and loop fractions of each key's residue codes and the dominant class."""
     helix, strand = F.col(code).isin(list(HELIX_CODES)), F.col(code).isin(list(STRAND_CODES))
-    counts = codes.groupBy(*key).agg(COUNT.alias("n_residues"), F.sum(helix.cast("bigint")).alias("n_helix"), F.sum(strand.cast("bigint")).alias("n_strand"))
+    counts = codes.groupBy(*key).agg(n_rows().alias("n_residues"), F.sum(helix.cast("bigint")).alias("n_helix"), F.sum(strand.cast("bigint")).alias("n_strand"))
     counts = counts.withColumn("n_loop", F.col("n_residues") - F.col("n_helix") - F.col("n_strand"))
     counts = counts.withColumns({f"frac_{c}": F.col(f"n_{c}") / F.col("n_residues") for c in ("helix", "strand", "loop")})
     h, s, loop = F.col("n_helix"), F.col("n_strand"), F.col("n_loop")
@@ -420,15 +422,15 @@ def ss_composition(codes: DataFrame, key: Sequence[str], code: str = "code") ->
 def ss_vs_pass(composition: DataFrame, rates: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(mean pass rate by dominant class, correlation of each fraction with the pass rate)."""
     joined = composition.join(rates, list(key))
-    by_class = joined.groupBy("dominant_ss").agg(COUNT.alias("n_epitopes"), F.avg("pass_rate").alias("mean_pass_rate"), F.sum("n_passing").alias("total_passing"))
+    by_class = joined.groupBy("dominant_ss").agg(n_rows().alias("n_epitopes"), F.avg("pass_rate").alias("mean_pass_rate"), F.sum("n_passing").alias("total_passing"))
     fractions = ("frac_helix", "frac_strand", "frac_loop")
     long = joined.select("pass_rate", F.inline(F.array(*[F.struct(F.lit(c).alias("fraction"), F.col(c).alias("v")) for c in fractions])))
-    return by_class, long.groupBy("fraction").agg(COUNT.alias("n"), safe_corr("v", "pass_rate").alias("r"))
+    return by_class, long.groupBy("fraction").agg(n_rows().alias("n"), safe_corr("v", "pass_rate").alias("r"))
 
 
 def tile_summary(tiles: DataFrame, targets: DataFrame, key: Sequence[str]) -> DataFrame:
     """Per target: its length columns and the number of tiles (0 for a target too short to tile)."""
-    counts = tiles.groupBy(*key).agg(COUNT.alias("tiles"))
+    counts = tiles.groupBy(*key).agg(n_rows().alias("tiles"))
     return targets.join(counts, list(key), "left").fillna(0, ["tiles"])
 
 
@@ -436,7 +438,7 @@ def readout_summary(df: DataFrame, ab: str, enrichment: str, flag: str) -> DataF
     """Per antibody: members, passers, median enrichment and share above baseline."""
     rows = df.where(F.col(ab).isNotNull()).withColumn("_e", num(enrichment))
     counts = rows.groupBy(ab).agg(
-        COUNT.alias("n"),
+        n_rows().alias("n"),
         F.sum(F.col(flag).cast("bigint")).alias("n_pass"),
         F.avg(F.when(F.col("_e").isNotNull(), (F.col("_e") > 0).cast("double"))).alias("frac_above"),
     )

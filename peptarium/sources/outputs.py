@@ -27,7 +27,7 @@ def pae_matrix(c: str | Column) -> Column:
 
 def read_pae(spark: SparkSession, path: str) -> DataFrame:
     """(design_id, pae) of every full confidence file under ``path``; summary files never count."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     full = files.where(~F.element_at(F.split("path", "/"), -1).contains("summary"))
     name = F.regexp_replace(stem(F.col("path")), "_(full_)?confidences$", "")
     return full.select(name.alias("design_id"), pae_matrix("value").alias("pae"))
@@ -51,7 +51,7 @@ def summary_scalars(c: str | Column) -> Column:
 
 
 def read_summary_scalars(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.regexp_replace(stem(F.col("_metadata.file_path")), "_summary_confidences$", "")
     return files.select(name.alias("design_id"), summary_scalars("value").alias("s")).select("design_id", "s.*")
 

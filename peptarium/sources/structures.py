@@ -83,7 +83,7 @@ def mmcif_atoms(files: DataFrame, text: str = "value", source: str = "design_id"
 
 
 def read_atoms_mmcif(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path).select("value", stem(F.col("_metadata.file_path")).alias("design_id"))
+    files = spark.read.text(path, wholetext=True).select("value", stem(F.col("_metadata.file_path")).alias("design_id"))
     return mmcif_atoms(files)
 
 
