@@ -13,6 +13,7 @@ from peptarium.functions.sequences import ORDER_PREFIX, ORDER_SUFFIX
 from peptarium.operators import joins as J
 from peptarium.operators import scoring, sets
 from peptarium.plans.presets import PRESETS
+from peptarium.session import spread
 
 
 @REGISTRY.add(
@@ -186,7 +187,8 @@ def containment_wildcard(spark, sf):
 @REGISTRY.add("j18_contained_passages", "SELECT item_id AS p_id, doc_id, instr(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contained_passages(spark, sf):
     passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("p_id"), F.col("text").alias("p_text"))
-    found = J.contained_passages(table(spark, sf, "documents").select("doc_id", "text"), passages)
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    found = J.contained_passages(documents, passages)
     return found.withColumn("start", F.col("start").cast("bigint"))
 
 

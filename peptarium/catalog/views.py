@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peptarium.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -126,7 +128,7 @@ CONTIGS_SQL = """contigs AS (SELECT 't' || (p_partkey % 400) AS id, p_partkey AS
 
 def seqs(spark: SparkSession, sf: str) -> DataFrame:
     """Whole document texts as peptide-like strings: ASCII letters only, upper case."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     return d.select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"), "lang", "source")
 
 
@@ -135,7 +137,7 @@ SEQS_SQL = "seqs AS (SELECT doc_id AS id, upper(regexp_replace(text, '[^A-Za-z]'
 
 def cased(spark: SparkSession, sf: str) -> DataFrame:
     """Whole document texts as case-encoded strings: ASCII letters with their own case."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     return d.select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("scaffoldEPITOPE"), F.col("source").alias("target"))
 
 

@@ -12,6 +12,7 @@ from peptarium.functions.keys import strip_encoding
 from peptarium.functions.numeric import log10_1p, log_enrichment, num
 from peptarium.functions.sequences import translate
 from peptarium.operators.ordering import first_per, lookup, running_total
+from peptarium.session import freeze
 
 
 def lookup_first(df: DataFrame, ref: DataFrame, on: str, columns: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -189,6 +190,7 @@ def containment(queries: DataFrame, chains: DataFrame, on: Sequence[str], wildca
 
 
 CHUNK = 256
+BROADCAST_HASHES = 1_000_000
 
 
 def kmer_index(df: DataFrame, key: Sequence[str], seq: str, k: int, pos: str = "pos") -> DataFrame:
@@ -245,7 +247,10 @@ def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4
                 [kmer_index(documents, ["doc_id"], "text", w).select("doc_id", F.xxhash64("kmer").alias("gram")) for w in widths],
             ).distinct()
         wanted = grams.select("gram").distinct()
-        in_docs = in_docs.join(wanted, "gram", "left_semi")
+        if wanted.count() <= BROADCAST_HASHES:  # 8 bytes each; a larger set is shuffled against the documents
+            wanted = F.broadcast(wanted)
+        # written once: only document runs that some passage has are left
+        in_docs = freeze(in_docs.join(wanted, "gram", "left_semi"))
         seen = in_docs.groupBy("gram").agg(F.count(F.lit(1)).alias("_seen"))
         anchor = (
             grams.join(seen, "gram", "left")

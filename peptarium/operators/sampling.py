@@ -89,7 +89,7 @@ def fps(df: DataFrame, group: str, axes: Sequence[str], quota: DataFrame, key: s
     picked = freeze(start.join(wanted.select(group), group, "left_semi"))
     fresh, far = picked, None
     order = [F.col("_far").desc(), F.col(key).asc()]
-    schema = picked.schema
+    schema, rounds = picked.schema, 0
     while True:
         room = picked.groupBy(group).agg(F.count(F.lit(1)).alias("_done")).join(wanted, group)
         room = room.withColumn("_room", F.col("quota") - F.col("_done")).where(F.col("_room") > 0).select(group, "_room", "_done")
@@ -108,7 +108,10 @@ def fps(df: DataFrame, group: str, axes: Sequence[str], quota: DataFrame, key: s
         fresh = freeze(block.where(F.col("fps_order").isNotNull()))
         if fresh.isEmpty():
             return picked
-        picked = freeze(picked.unionByName(fresh))
+        rounds += 1
+        picked = picked.unionByName(fresh)
+        if rounds % 20 == 0:  # keep the plan short when a quota needs many rounds
+            picked = freeze(picked)
 
 
 def sample_half(df: DataFrame, group: str, axes: Sequence[str], total: int, key: str) -> DataFrame:

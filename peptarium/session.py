@@ -46,6 +46,16 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give per-row heavy work at least one partition per core.
+
+    Only acts on inputs read as fewer partitions than there are cores, such as one small file with a
+    single row group. Large tables are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the cluster's checkpoint folder, for tables that are written and read back."""
     named = spark.conf.get("spark.checkpoint.dir", None)
