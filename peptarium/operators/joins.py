@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peptarium.functions.keys import strip_encoding
 from peptarium.functions.numeric import log10_1p, log_enrichment, num
 from peptarium.functions.sequences import translate
-from peptarium.operators.ordering import first_per, lookup, running_total
+from peptarium.operators.ordering import first_per, lookup
 from peptarium.session import freeze
 
 
@@ -269,24 +269,35 @@ def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4
 def longest_block(a: DataFrame, b: DataFrame, on: Sequence[str], min_len: int = 5) -> DataFrame:
     """Longest run two paired sequences share (at least ``min_len``) and where it starts in each.
 
-    Shared k-mers of a pair lie on diagonals; a run is a chain of neighbours on one diagonal. Ties go
-    to the earliest start in a, then in b. ``on`` must pair at most one row of each side.
+    Shared k-mers of a pair lie on diagonals. Only k-mers that begin or end a run are joined (the letter
+    before or after differs), so repeats inside a long run produce no rows. Ties go to the earliest start
+    in a, then in b. ``on`` must pair at most one row of each side.
     """
     on = list(on)
 
-    shared = kmer_index(a, on, "a_seq", min_len, "a_pos").join(kmer_index(b, on, "b_seq", min_len, "b_pos"), [*on, "kmer"])
-    shared = shared.withColumn("_diagonal", F.col("b_pos") - F.col("a_pos"))
-    # gaps and islands: position minus rank is constant along a run of neighbours
-    ranked = running_total(shared, [*on, "_diagonal"], [F.col("a_pos")], out="_r")
-    runs = ranked.groupBy(*on, "_diagonal", (F.col("a_pos") - F.col("_r")).alias("_run")).agg(
-        F.count(F.lit(1)).alias("_len"), F.min("a_pos").alias("a_start"), F.min("b_pos").alias("b_start")
-    )
-    best = runs.groupBy(*on).agg(
-        F.min(F.struct((-F.col("_len")).alias("neg"), "a_start", "b_start")).alias("best")
-    )
-    return best.select(
-        *on, (-F.col("best.neg") + min_len - 1).alias("size"), F.col("best.a_start").alias("a_start"), F.col("best.b_start").alias("b_start")
-    )
+    def edges(df: DataFrame, seq: str, side: str, pads: tuple[str, str]) -> DataFrame:
+        # the pads differ between the sides: a sequence end never matches
+        padded = df.where(F.length(seq) >= min_len).select(*on, F.concat(F.lit(pads[0]), seq, F.lit(pads[1])).alias("_s"))
+        w = kmer_index(padded, on, "_s", min_len + 2, f"{side}_pos")
+        return w.select(
+            *on,
+            f"{side}_pos",
+            F.substring(F.col("kmer"), F.lit(2), F.lit(min_len)).alias("_mer"),
+            F.left("kmer", F.lit(1)).alias(f"_{side}_prev"),
+            F.right("kmer", F.lit(1)).alias(f"_{side}_next"),
+        )
+
+    left, right = edges(a, "a_seq", "a", ("\u0001", "\u0002")), edges(b, "b_seq", "b", ("\u0003", "\u0004"))
+    begins, ends = F.col("_a_prev") != F.col("_b_prev"), F.col("_a_next") != F.col("_b_next")
+    met = left.join(right, [*on, "_mer"]).where(begins | ends)
+    marks = met.select(*on, "a_pos", "b_pos", (F.col("b_pos") - F.col("a_pos")).alias("_diagonal"), begins.alias("_begins"), ends.alias("_ends"))
+    # one diagonal of one pair: never more rows than the sequence is long
+    along = Window.partitionBy(*on, "_diagonal").orderBy("a_pos")
+    last = F.when(F.col("_ends"), F.col("a_pos")).otherwise(F.lead("a_pos").over(along))
+    runs = marks.withColumn("_last", last).where("_begins")
+    size = F.col("_last") - F.col("a_pos") + min_len
+    best = runs.groupBy(*on).agg(F.min(F.struct((-size).alias("neg"), "a_pos", "b_pos")).alias("best"))
+    return best.select(*on, (-F.col("best.neg")).alias("size"), F.col("best.a_pos").alias("a_start"), F.col("best.b_pos").alias("b_start"))
 
 
 def pair_residues(a: DataFrame, b: DataFrame, key: str, min_shared: int = 3) -> DataFrame:

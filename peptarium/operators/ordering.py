@@ -105,12 +105,15 @@ def running_total(
     offsets = totals.withColumn(
         "_offset",
         F.coalesce(F.sum("_in_slice").over(Window.partitionBy(*groups).orderBy("_slice").rowsBetween(*earlier)), F.lit(0)),
-    ).drop("_in_slice")
+    ).select(*groups, "_slice", "_offset")
+    # slices follow the group order, so only the first group of a slice can continue from an earlier one:
+    # at most one non-zero offset per slice, which is what bounds the broadcast
+    carried = F.broadcast(offsets.where(F.col("_offset") > 0))
     w = Window.partitionBy(*groups, "_slice").orderBy(*order).rowsBetween(*earlier)
     local = sliced.withColumn("_local", F.coalesce(F.sum(amount).over(w), F.lit(0)))
     return (
-        null_safe_join(local, offsets, [*groups, "_slice"], "inner")
-        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
+        null_safe_join(local, carried, [*groups, "_slice"])
+        .withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint"))
         .drop("_slice", "_local", "_offset")
     )
 

@@ -44,15 +44,31 @@ def all_of(conditions: Sequence[Condition]) -> Column:
     return reduce(operator.and_, (c.test() for c in conditions), F.lit(True))
 
 
+def row_filter(df: DataFrame, condition: Condition) -> Column:
+    """The condition as a filter. On a numeric column it is a bare comparison, which the file scan can take.
+
+    NaN sorts above every number in Spark, so it fails ``<``, ``<=`` and ``==`` by itself.
+    """
+    numeric = dict(df.dtypes)[condition.column] in ("double", "float", "int", "bigint", "smallint", "tinyint")
+    if not numeric or condition.if_null is not None:
+        return condition.test()
+    value = F.col(condition.column)
+    test = COMPARE[condition.op](value, F.lit(float(condition.threshold)))
+    return test if condition.op in ("<", "<=", "==") else test & ~F.isnan(value)
+
+
 def gate(df: DataFrame, column: str, threshold: float) -> DataFrame:
     """Keep rows with ``column <= threshold``; nulls go, an absent column is an error."""
     require_columns(df, [column])
-    return df.where(num(column) <= F.lit(float(threshold)))
+    return df.where(row_filter(df, Condition(column, "<=", threshold)))
 
 
 def gates(df: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
     """Apply every condition whose column exists."""
-    return df.where(all_of([c for c in conditions if c.column in df.columns]))
+    for c in conditions:
+        if c.column in df.columns:
+            df = df.where(row_filter(df, c))
+    return df
 
 
 # The published pass criteria and their variants.
@@ -205,7 +221,11 @@ def to_library_schema(df: DataFrame, types: dict[str, str] = LIBRARY_TYPES, keep
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """A seeded sample of n rows: the n smallest hashes of (key, seed)."""
-    return df.withColumn("_h", stable_hash(*key, seed=seed)).orderBy("_h", *key).limit(n).drop("_h")
+    hashed = df.withColumn("_h", stable_hash(*key, seed=seed))
+    if n <= 100_000:
+        return hashed.orderBy("_h", *key).limit(n).drop("_h")
+    # a limit gathers n rows of every partition in one task, so a large sample is cut by rank
+    return row_rank(hashed, [], ["_h", *key], out="_n").where(F.col("_n") <= n).drop("_h", "_n")
 
 
 def even_sample(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from peptarium.functions.numeric import logistic, num
 from peptarium.operators.ordering import beside, fits_one_task, lookup, null_safe_join, quantiles, rank_table, row_rank, top_k, with_rank, with_ranks
-from peptarium.operators.predicates import Condition, all_of, gate, require_columns
+from peptarium.operators.predicates import Condition, gate, gates, require_columns
 from peptarium.plans.presets import Metric, PassBonus, Preset
 
 # name -> (value, metric, stats) -> score; stats maps min, max, avg, sd, median to columns
@@ -107,8 +107,8 @@ def pass_indicator(bonus: PassBonus) -> Column:
 
 def score(df: DataFrame, preset: Preset) -> DataFrame:
     """Gate, transform and fold into ``composite``. Keeps every gated row."""
-    for c, op, t in preset.prefilter:
-        df = df.where(all_of([Condition(c, op, t)]))
+    require_columns(df, [c for c, _, _ in preset.prefilter])
+    df = gates(df, [Condition(*f) for f in preset.prefilter])
     if preset.gate:
         df = gate(df, *preset.gate)
     present = [m for m in preset.metrics if m.column in df.columns]

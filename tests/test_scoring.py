@@ -133,3 +133,13 @@ def test_within_corr_matches_demeaning(spark):
     d = f - f.groupby("g").transform("mean").assign(g=0)
     got = stats.within_corr(spark.createDataFrame(f), "g", "x", "y").first()
     assert got["r"] == pytest.approx(np.corrcoef(d["x"], d["y"])[0, 1])
+
+
+def test_gate_reaches_the_file_scan(spark, tmp_path):
+    rows = [(1.0,), (float("nan"),), (None,), (9.0,)]
+    spark.createDataFrame(rows, "m double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    kept = gate(df, "m", 2)
+    assert "LessThanOrEqual(m,2.0)" in kept._jdf.queryExecution().toString()
+    assert [r["m"] for r in kept.collect()] == [1.0]
+    assert [r["m"] for r in gates(df, [Condition("m", ">", 2)]).collect()] == [9.0]
