@@ -411,12 +411,48 @@ def even_quotas(spark, sf):
 AXES = ["epitope_chunk_rmsd", "overall_rmsd", "epitope_pae"]
 
 
-@REGISTRY.add("d1_farthest_point_sample")
+def fps_sql(rows: str, name: str, axes: list[str], picks: int) -> str:
+    """CTEs ending in ``name`` (antigen, key, fps_order): greedy max-min picks per antigen, one CTE per pick."""
+    usable = " AND ".join(f"{a} IS NOT NULL" for a in axes)
+    pct = ", ".join(
+        f"(rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0) / count(*) OVER () AS p{i}" for i, a in enumerate(axes)
+    )
+    dims = range(len(axes))
+    gap = lambda other: " + ".join(f"(r.p{i} - {other}{i}) * (r.p{i} - {other}{i})" for i in dims)
+    pick = lambda level, order: (
+        f"{name}_k{level} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY antigen ORDER BY {order}, key) AS rn FROM {name}_m{level}) WHERE rn = 1)"
+    )
+    p_list = ", ".join(f"r.p{i}" for i in dims)
+    parts = [
+        f"{name}_r AS MATERIALIZED (SELECT antigen, key, {pct} FROM {rows} WHERE {usable})",
+        f"{name}_c AS (SELECT antigen, {', '.join(f'avg(p{i}) AS c{i}' for i in dims)} FROM {name}_r GROUP BY antigen)",
+        f"{name}_m0 AS (SELECT r.antigen, r.key, {p_list}, {gap('c.c')} AS far FROM {name}_r r JOIN {name}_c c USING (antigen))",
+        pick(0, "far"),
+    ]
+    for n in range(1, picks):
+        old = f"{gap('k.p')}" if n == 1 else f"least(r.far, {gap('k.p')})"
+        parts.append(
+            f"{name}_m{n} AS MATERIALIZED (SELECT r.antigen, r.key, {p_list}, {old} AS far FROM {name}_m{n - 1} r JOIN {name}_k{n - 1} k ON r.antigen = k.antigen AND r.key <> k.key)"
+        )
+        parts.append(pick(n, "far DESC"))
+    union = " UNION ALL ".join(f"SELECT antigen, key, {n} AS fps_order FROM {name}_k{n}" for n in range(picks))
+    return ", ".join([*parts, f"{name} AS ({union})"])
+
+
+@REGISTRY.add(
+    "d1_farthest_point_sample",
+    f"WITH {POOL_SQL}, {fps_sql('pool', 'f', [*AXES, 'af3_n_clash_res'], 20)} SELECT antigen, key, fps_order FROM f",
+)
 def farthest_points(spark, sf):
     return sampling.sample_half(pool(spark, sf), "antigen", [*AXES, "af3_n_clash_res"], 60, "key")
 
 
-@REGISTRY.add("d3_titration")
+@REGISTRY.add(
+    "d3_titration",
+    f"""WITH {POOL_SQL}, {fps_sql('pool', 'f', [*AXES, 'af3_n_clash_res'], 10)}, rest AS (SELECT * FROM pool WHERE key NOT IN (SELECT key FROM f)),
+{fps_sql('rest', 'h', [*AXES, 'cylinder_native_aware'], 10)}
+SELECT antigen, key, fps_order, 'af3_n_clash_res' AS access_sampled FROM f UNION ALL SELECT antigen, key, fps_order, 'cylinder_native_aware' FROM h""",
+)
 def titration(spark, sf):
     return sampling.titration(pool(spark, sf), "antigen", AXES, "af3_n_clash_res", "cylinder_native_aware", 60, "key")
 
