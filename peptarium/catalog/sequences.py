@@ -107,12 +107,55 @@ def mutate_islands(spark, sf):
     return cased(spark, sf).select("id", S.mutate_island(s, 1).alias("first_island"), S.mutate_island(s, 2).alias("second_island"), S.mutate_island(s, 1, True).alias("every_other"))
 
 
-@REGISTRY.add("n8_scaffold_disruption")
+def disrupt_sql(source: str, name: str, seed: int, most: int = 4) -> str:
+    """CTEs ending in ``name`` (id, seq, placed): hexamer placements spelled out one by one.
+
+    ``source`` has id, key and seq of letters only. Upper-case letters cut a sequence into lower-case pieces;
+    starts in a piece keep four residues to a neighbour on either side and none to a sequence end.
+    """
+    parts, done = [], []
+    for n in range(most, 0, -1):
+        left = " AND ".join(f"id NOT IN (SELECT id FROM {d})" for d in done) or "true"
+        parts.append(f"{name}_{n}_0 AS (SELECT id, key, seq, 0 AS placed FROM {source} WHERE {left})")
+        for i in range(1, n + 1):
+            at = f"{name}_{n}_{i}"
+            parts.append(
+                f"""{at}a AS (SELECT id, key, seq, string_split_regex(seq, '[A-Z]') AS pieces FROM {name}_{n}_{i - 1}),
+{at}b AS (SELECT id, key, seq, len(pieces) AS np, unnest(list_transform(pieces, lambda c: length(c))) AS n, unnest(range(1, len(pieces) + 1)) AS k FROM {at}a),
+{at}c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + k - 1 AS u FROM {at}b),
+{at}d AS (SELECT *, CASE WHEN k = 1 THEN u ELSE u + 4 END AS lo, CASE WHEN k = np THEN u + n - 6 ELSE u + n - 10 END AS hi FROM {at}c),
+{at}e AS (SELECT *, greatest(hi - lo + 1, 0) AS spots FROM {at}d),
+{at}f AS (SELECT *, sum(spots) OVER (PARTITION BY id ORDER BY k)::BIGINT AS cum, sum(spots) OVER (PARTITION BY id)::BIGINT AS total FROM {at}e),
+{at}g AS (SELECT *, ('0x' || substr(md5(key || '|{n}|{i}|{seed}'), 1, 15))::BIGINT % greatest(total, 1) AS pick FROM {at}f),
+{at} AS MATERIALIZED (SELECT id, key, left(seq, lo + pick - (cum - spots)) || 'PPDDGG' || substr(seq, lo + pick - (cum - spots) + 7) AS seq, {i} AS placed FROM {at}g WHERE total > 0 AND pick >= cum - spots AND pick < cum)"""
+            )
+        done.append(f"{name}_{n}_{n}")
+    union = " UNION ALL ".join(f"SELECT id, seq, placed FROM {d}" for d in done)
+    return ", ".join([*parts, f"{name} AS ({union})"])
+
+
+@REGISTRY.add(
+    "n8_scaffold_disruption",
+    f"""WITH {CASED_SQL}, src AS (SELECT id, id::VARCHAR AS key, scaffoldEPITOPE AS seq FROM cased), {disrupt_sql("src", "x", 0)}
+SELECT id, placed::INTEGER AS placed, x.seq FROM cased LEFT JOIN x USING (id)""",
+)
 def scaffold_disruption(spark, sf):
     return cased(spark, sf).select("id", S.disrupt("scaffoldEPITOPE", F.col("id").cast("string")).alias("d")).select("id", "d.placed", F.col("d.seq").alias("seq"))
 
 
-@REGISTRY.add("n9_control_expansion")
+ISLAND_SQL = """SELECT 'd' || id || '_epitopeIsland1Mut>A' AS design_ID, target, m.h || repeat('A', length(m.m)) || m.t AS mutated FROM (SELECT *, regexp_extract(scaffoldEPITOPE, '^([^A-Z]*)([A-Z]+)(.*)$', ['h', 'm', 't']) AS m FROM cased) WHERE m.m <> ''
+  UNION ALL SELECT 'd' || id || '_epitopeIsland2Mut>A', target, m.h || repeat('A', length(m.m)) || m.t FROM (SELECT *, regexp_extract(scaffoldEPITOPE, '^([^A-Z]*[A-Z]+[^A-Z]+)([A-Z]+)(.*)$', ['h', 'm', 't']) AS m FROM cased) WHERE m.m <> ''
+  UNION ALL SELECT 'd' || id || '_scaffoldMutX' || placed, target, many.seq FROM many JOIN cased USING (id)"""
+CONTROL_SRC = "src AS (SELECT id, 'd' || id AS key, scaffoldEPITOPE AS seq FROM cased WHERE scaffoldEPITOPE <> '')"
+
+
+@REGISTRY.add(
+    "n9_control_expansion",
+    f"""WITH {CASED_SQL}, {CONTROL_SRC}, {disrupt_sql("src", "one", 0, 1)}, {disrupt_sql("src", "many", 1)},
+m AS ({ISLAND_SQL} UNION ALL SELECT 'd' || id || '_scaffoldMutX1', target, one.seq FROM one JOIN cased USING (id))
+SELECT left(upper(mutated), 103) AS sequence, 'scaffoldedAbEpitope' AS category, 'RFD' AS model, upper(mutated) AS designedSequence, length(mutated)::INTEGER AS designedSequenceLength,
+  design_ID, target, mutated AS scaffoldEPITOPE FROM m""",
+)
 def control_expansion(spark, sf):
     designs = cased(spark, sf).select(F.concat(F.lit("d"), "id").alias("design_ID"), F.col("scaffoldEPITOPE").alias("designedSequence"), "target")
     return S.build_controls(designs, single_hexamer=True)
@@ -260,7 +303,12 @@ def upper_runs(spark, sf):
     return cased(spark, sf).select("id", F.explode(S.islands("scaffoldEPITOPE")).alias("island"))
 
 
-@REGISTRY.add("f8_control_mutants")
+@REGISTRY.add(
+    "f8_control_mutants",
+    f"""WITH {CASED_SQL}, {CONTROL_SRC}, {disrupt_sql("src", "many", 1)}, m AS ({ISLAND_SQL}),
+r AS (SELECT 'd' || id AS base, row_number() OVER (PARTITION BY target ORDER BY {HASH.format(x="'d' || id || '|0'")}, 'd' || id) AS rn FROM cased)
+SELECT design_ID, target, length(mutated)::INTEGER AS designedSequenceLength, mutated AS scaffoldEPITOPE FROM m JOIN r ON split_part(design_ID, '_', 1) = base WHERE rn <= 15""",
+)
 def control_mutants(spark, sf):
     designs = cased(spark, sf).select(F.concat(F.lit("d"), "id").alias("design_ID"), F.col("scaffoldEPITOPE").alias("designedSequence"), "target")
     from peptarium.operators.ordering import row_rank
