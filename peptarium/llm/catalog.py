@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptarium.llm import bbit_minhash, complement_packing, language_id, line_runs, rule_ledger, scaled_sketch, super_kmers
+from peptarium.llm import (
+    bbit_minhash,
+    complement_packing,
+    language_id,
+    line_runs,
+    mixing,
+    rule_ledger,
+    scaled_sketch,
+    super_kmers,
+    warc_index,
+)
 from peptarium.llm.common import table
 
 QUERIES = {}
@@ -145,3 +155,25 @@ FROM (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) LEFT JOIN sizes USI
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_capture_index",
+    r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS best FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN best > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best > page_id THEN best END AS refers_to
+FROM r
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op8_temperature_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_weight")
