@@ -218,5 +218,7 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Rows of the first document of each group; columns unchanged."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("_id != component").select(F.col("_id").alias("_gone"), F.col("_row").alias("_gone_row")).distinct()
-    return docs.join(gone, (id_key() == F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_row")), "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text")).where("_id != component").select("_id", "_row").distinct()
+    wide = docs.select(F.struct(*docs.columns).alias("_doc"), id_key().alias("_id"), F.xxhash64("text").alias("_row"))
+    left = wide.join(gone, ["_id", "_row"], "left_anti")
+    return left.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ from peptarium.llm import (
     language_id,
     line_runs,
     mixing,
+    pii_crf,
     rule_ledger,
     scaled_sketch,
     super_kmers,
@@ -177,3 +178,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_temperature_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_weight")
+
+
+@query("op1_skip_chain_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")

@@ -30,7 +30,7 @@ from peptarium.llm.common import id_key, id_of, slices, stored
 CAPACITY = 2048
 END_ID = 0
 CACHE = 150_000
-SALTS = 64
+SALTS = 1024
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -177,7 +177,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = stored(pieces(docs, tokenizer_path, capacity), "pieces")
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row", "piece"), F.lit(SALTS * 16)).cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row", "piece"), F.lit(SALTS)).cast("int"))
     groups = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = groups.select("length", "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))

@@ -102,7 +102,7 @@ def mix(
     seed: int = SEED,
     blocks: int = BLOCKS,
 ) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, and ``mix_epoch`` (from 1), ``mix_block`` (the place
+    """``docs`` (less columns of the three new names) with each row as often as the mix takes it, and ``mix_epoch`` (from 1), ``mix_block`` (the place
     of its block in the source's permutation, from 1) and ``mix_weight``.
 
     Only narrow rows (id, row hash, source, tokens) are counted, numbered and joined by source; the
@@ -152,9 +152,9 @@ def mix(
         .where("_copies > 0")
         .withColumnRenamed("_source", "_s")
     )
-    keep = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_weight")]
-    wide = docs.select(*keep, id_key().alias("_id"), F.xxhash64("text").alias("_row"), F.col("source").alias("_source"))
+    wide = docs.select(F.struct(*docs.columns).alias("_doc"), id_key().alias("_id"), F.xxhash64("text").alias("_row"), F.col("source").alias("_source"))
     met = wide.join(taken, (wide["_id"] == taken["_id"]) & (wide["_row"] == taken["_row"]) & wide["_source"].eqNullSafe(taken["_s"]))
+    keep = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_weight")]
     return met.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*keep, "mix_epoch", "mix_block", "mix_weight")
 
 

@@ -102,8 +102,8 @@ def mask_of(rules: Sequence[str]) -> int:
     return sum(bits[r] for r in rules)
 
 
-def ledger(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, the measurements and ``fail_bits``, one row per input row."""
+def _measured(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """Carried columns as _c0, _c1, ..., then the measurements and ``fail_bits``."""
     source = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     fields = [(f"_c{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(carry)]
 
@@ -117,8 +117,17 @@ def ledger(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     bits = F.lit(0)
     for i, (_, failed) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(1 << i)).otherwise(F.lit(0)))
-    measured = source.mapInArrow(run, schema).withColumn("fail_bits", bits)
-    return measured.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *MEASURES, "fail_bits")
+    return source.mapInArrow(run, schema).withColumn("fail_bits", bits)
+
+
+def ledger(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``carry`` columns, the measurements and ``fail_bits``, one row per input row.
+
+    A carried column that is named like a measurement is left out.
+    """
+    entries = _measured(docs, carry)
+    named = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c not in (*MEASURES, "fail_bits")]
+    return entries.select(*named, *MEASURES, "fail_bits")
 
 
 def passes(policy: str = PRODUCTION, bits: str = "fail_bits") -> Column:
@@ -151,4 +160,5 @@ def ablations(entries: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """Rows whose ledger entry passes ``policy``; columns unchanged."""
-    return ledger(docs, docs.columns).where(passes(policy)).select(*docs.columns)
+    kept = _measured(docs, docs.columns).where(passes(policy))
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
