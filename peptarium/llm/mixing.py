@@ -51,18 +51,18 @@ class Temperature:
 def temperatures(sizes: DataFrame, exponents: list[float]) -> list[Temperature]:
     """What each exponent gives, in one aggregate over (source, tokens)."""
     live = sizes.where("tokens > 0")
-    total = live.agg(F.sum("tokens").alias("total"))
-    p = F.col("tokens") / F.col("total")
-    sums = []
-    for i, a in enumerate(exponents):
-        w = F.pow(p, F.lit(a))
-        sums += [F.sum(w).alias(f"z{i}"), F.sum(w * a * F.log(p)).alias(f"s{i}"), F.min(w / p).alias(f"lo{i}"), F.max(w / p).alias(f"hi{i}")]
-    row = live.join(F.broadcast(total)).agg(*sums).first()
-    if row["z0"] is None:
+    total = live.agg(F.sum("tokens")).first()[0]
+    if not total:
         return [Temperature(a, 1.0, 0.0, 1.0, 1.0) for a in exponents]
+    p, a = F.col("tokens") / F.lit(float(total)), F.col("a")
+    w = F.pow(p, a)
+    sums = (
+        live.withColumn("a", F.explode(F.array(*map(F.lit, exponents))))
+        .groupBy("a")
+        .agg(F.sum(w).alias("z"), F.sum(w * a * F.log(p)).alias("s"), F.min(w / p).alias("lo"), F.max(w / p).alias("hi"))
+    )
     return [
-        Temperature(a, row[f"z{i}"], math.log(row[f"z{i}"]) - row[f"s{i}"] / row[f"z{i}"], row[f"lo{i}"] / row[f"z{i}"], row[f"hi{i}"] / row[f"z{i}"])
-        for i, a in enumerate(exponents)
+        Temperature(r["a"], r["z"], math.log(r["z"]) - r["s"] / r["z"], r["lo"] / r["z"], r["hi"] / r["z"]) for r in sorted(sums.collect())
     ]
 
 

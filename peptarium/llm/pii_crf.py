@@ -4,7 +4,7 @@ Base spans come from fixed patterns. The field adds to them: its nodes are the t
 digit or ``@`` (all others are observed as ``other``, which cuts the chain exactly), labelled ``other`` or one of
 the four kinds. Neighbouring nodes share a chain potential. Tokens that are alike however far apart (same
 letters and digits once case and punctuation are dropped, or the local part of an address) share a skip
-potential: each occurrence is linked with the next, so edges grow with tokens, not with pairs. Nodes inside base
+potential: each occurrence is linked with the one before and the first, so edges grow with tokens, not pairs. Nodes inside base
 spans are clamped to their kind; loopy sum-product passes the rest to a fixed number of rounds, and a node
 whose best kind has at least ``CONFIDENCE`` becomes a span, joined with its neighbour if both have one kind.
 
@@ -41,7 +41,9 @@ PATTERNS = {
 
 LABELS = ("other", *KINDS)
 EVIDENCE = re.compile(r"[@0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[@0-9][^\x20\x09-\x0D]*")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: the same matches as the pattern, without trying again inside a run of digits that has failed
+_IP_SCAN = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 EDGE_PUNCTUATION = " \t\n\x0b\x0c\r,;:!?\"'<>[]{}|*#$%&=~`"
 ROUNDS = 12
 CONFIDENCE = 0.8
@@ -96,7 +98,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         if kind == "email":
             spans += [(a, b, k) for a, b in _emails(text)]
         elif _NEEDS[kind] in text:
-            spans += [(m.start(), m.end(), k) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
+            scan = _IP_SCAN if kind == "ip" else PATTERNS[kind]
+            spans += [(m.start(), m.end(), k) for m in scan.finditer(text) if _valid(kind, m[0])]
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -139,9 +142,11 @@ class Graph:
 def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
     out = Graph([], [], [], [], [])
     by_kind = sorted(spans)
-    alike: dict[str, int] = {}
+    alike: dict[str, tuple[int, int]] = {}  # first and last node of a name
     end_before, j = -1, 0
     for m in TOKEN.finditer(text):
+        if not EVIDENCE.search(m[0]):
+            continue
         token = m[0].strip(EDGE_PUNCTUATION).rstrip(".")
         start = m.start() + m[0].find(token) if token else m.start()
         if not EVIDENCE.search(token):
@@ -161,9 +166,9 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
             names.add(re.sub(r"[\W_]+", "", token.partition("@")[0]).casefold())
         for name in sorted(names):
             if len(name) >= MIN_ALIKE:
-                if name in alike and alike[name] != n:
-                    out.skip.append((alike[name], n))
-                alike[name] = n
+                earlier = alike.get(name, ())
+                out.skip += [(a, n) for a in sorted(set(earlier) - {n})]
+                alike[name] = (earlier[0] if earlier else n, n)
     return out
 
 
