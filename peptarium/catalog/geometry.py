@@ -236,7 +236,7 @@ def sweep_auc(spark, sf):
 
 
 SPINS = 4
-PROBE_SQL = f"""first AS (SELECT label, min(vec_id) AS v FROM embeddings WHERE label < 3 GROUP BY label),
+PROBE_SQL = f"""first AS (SELECT label, min(vec_id) AS v FROM embeddings GROUP BY label),
 pr AS (SELECT label AS probe, x, y, z, res_idx FROM mirror JOIN first ON design_id = v),
 pc AS (SELECT probe, avg(x) FILTER (res_idx < 6) AS ex, avg(y) FILTER (res_idx < 6) AS ey, avg(z) FILTER (res_idx < 6) AS ez, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pr GROUP BY probe),
 pn AS (SELECT *, sqrt((mx-ex)*(mx-ex) + (my-ey)*(my-ey) + (mz-ez)*(mz-ez)) AS l FROM pc),
@@ -244,9 +244,9 @@ pb AS (SELECT probe, x - ex AS x, y - ey AS y, z - ez AS z, (mx-ex)/l AS ax, (my
 
 
 def _probes(spark, sf):
-    e = table(spark, sf, "embeddings").where("label < 3")
+    e = table(spark, sf, "embeddings")
     first = e.groupBy(F.col("label").alias("probe")).agg(F.min("vec_id").alias("design_id"))
-    p = mirrored(spark, sf).join(F.broadcast(first), "design_id")  # three reference shapes
+    p = mirrored(spark, sf).join(first, "design_id")  # one reference shape per label
     head = F.when(F.col("res_idx") < 6, 1)
     centre = p.groupBy("probe").agg(*[F.avg(F.when(head == 1, F.col(x))).alias(f"e{x}") for x in "xyz"], *[F.avg(x).alias(f"m{x}") for x in "xyz"])
     length = F.sqrt(sum(((F.col(f"m{x}") - F.col(f"e{x}")) * (F.col(f"m{x}") - F.col(f"e{x}")) for x in "xyz"), F.lit(0.0)))
@@ -371,6 +371,17 @@ def contact_islands(spark, sf):
     return runs(G.contact_epitope(atoms, "A", ["H"]).select("design_id", "res_num"), KEY, "res_num")
 
 
+@REGISTRY.add(
+    "g14_inserted_residues",
+    f"""WITH {POINTS_SQL} SELECT p.design_id, (p.res_idx - p.res_idx % 2)::BIGINT AS res_num, CASE WHEN p.res_idx % 2 = 1 THEN 'A' ELSE '' END AS icode, round(sqrt(min({D2})), 6) AS min_dist
+FROM points p JOIN points q ON p.design_id = q.design_id AND p.res_idx < 12 AND q.res_idx >= 12 GROUP BY p.design_id, p.res_idx HAVING min({D2}) <= 16.0""",
+)
+def inserted_contacts(spark, sf):
+    odd = F.col("res_idx") % 2
+    atoms = points(spark, sf).withColumns({"chain": F.when(F.col("res_idx") < 12, "A").otherwise("H"), "res_num": F.col("res_idx").cast("bigint") - odd, "icode": F.when(odd == 1, "A").otherwise("")})
+    return r6(G.contact_epitope(atoms, "A", ["H"]).select("design_id", "res_num", "icode", "min_dist"))
+
+
 # ---------------------------------------------------------------- whole metric row
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWYA"

@@ -132,12 +132,12 @@ def relabel(spark, sf):
 @REGISTRY.add(
     "j13_base_rank_filter",
     f"""WITH {POOL_SQL}, s AS (SELECT key, id, {SOFT_BONUS_SQL} AS c FROM pool), r AS (SELECT key, row_number() OVER (PARTITION BY id ORDER BY c DESC, key) AS rn FROM s)
-SELECT key || '_scaffoldMutX2' AS design_ID FROM r WHERE rn <= 15 AND NOT key LIKE '1%'""",
+SELECT key || '_scaffoldMutX2' AS design_ID FROM r WHERE rn <= 15""",
 )
 def base_rank_filter(spark, sf):
     rows = pool(spark, sf)
     ranked = scoring.rank_in_group(scoring.score(rows, PRESETS["antibody_softgate"]), ["id"], ["key"]).withColumnRenamed("key", "predID")
-    controls = rows.where(~F.col("key").startswith("1")).select(F.concat("key", F.lit("_scaffoldMutX2")).alias("design_ID"))
+    controls = rows.select(F.concat("key", F.lit("_scaffoldMutX2")).alias("design_ID"))
     return J.filter_by_base_rank(controls, ranked, 15, strip_mutation("design_ID"))
 
 
@@ -157,11 +157,13 @@ def restrict(spark, sf):
 @REGISTRY.add(
     "j18_containment",
     """SELECT d.doc_id, instr(d.text, l.piece) - 1 AS start, length(d.text) - length(l.piece) - (instr(d.text, l.piece) - 1) AS trim_c FROM documents d
-JOIN (SELECT doc_id, substr(text, 11, 40) AS piece FROM documents) l USING (doc_id) WHERE length(l.piece) = 40""",
+JOIN (SELECT doc_id, substr(text, length(text) // 4 + 1, greatest(length(text) // 2, 1)) AS piece FROM documents) l USING (doc_id) WHERE d.text <> ''""",
 )
 def containment(spark, sf):
     d = table(spark, sf, "documents")
-    queries = d.select("doc_id", F.substring("text", 11, 40).alias("q_seq")).where(F.length("q_seq") == 40)
+    size = F.length("text")
+    piece = F.substring(F.col("text"), (size / 4).cast("int") + 1, F.greatest((size / 2).cast("int"), F.lit(1)))
+    queries = d.where(size > 0).select("doc_id", piece.alias("q_seq"))
     found = J.containment(queries, d.select("doc_id", F.col("text").alias("c_seq")), ["doc_id"])
     return found.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("trim_c").cast("bigint").alias("trim_c"))
 

@@ -120,12 +120,17 @@ for preset_name, expression in (
 
     REGISTRY.add(f"w9_preset_{preset_name}", topk_sql(expression, 5))(preset_select)
 
+def soft_sql(dials) -> str:
+    return " + ".join(f"{w} * coalesce({sig_sql(c, m, k)}, 0.0)" for c, (w, m, k) in dials.items())
+
+
+STEEP_SQL = soft_sql({CLASH: (0.45, 6.0, 0.5), EPITOPE_RMSD: (0.25, 1.0, 4.0), OVERALL_RMSD: (0.20, 2.0, 4.0), EPITOPE_PAE: (0.10, 5.0, 1.2)})
 WORLD_SQL = {
     "percentile": ranked_sql(),
-    "softgate": " + ".join(
-        f"{w} * coalesce({sig_sql(c, m, k)}, 0.0)"
-        for c, (w, m, k) in {CLASH: (0.45, 6.0, 0.5), EPITOPE_RMSD: (0.25, 1.0, 4.0), OVERALL_RMSD: (0.20, 2.0, 4.0), EPITOPE_PAE: (0.10, 5.0, 1.2)}.items()
-    ),
+    "sigmoid_035": soft_sql({CLASH: (0.35, 6.0, 0.5), EPITOPE_RMSD: (0.35, 1.0, 4.0), OVERALL_RMSD: (0.15, 2.0, 2.0), EPITOPE_PAE: (0.15, 5.0, 1.0)}),
+    "sigmoid_050": soft_sql({CLASH: (0.50, 6.0, 0.5), EPITOPE_RMSD: (0.25, 1.0, 4.0), OVERALL_RMSD: (0.15, 2.0, 2.0), EPITOPE_PAE: (0.10, 5.0, 1.0)}),
+    "softgate": STEEP_SQL,
+    "softgate_bonus": f"{STEEP_SQL} + 2.0 * ({bonus_sql()})",
     "sigmoid_percentile_clash": f"0.35 * coalesce({pct_sql(CLASH)}, 0.0) + "
     + " + ".join(
         f"{w} * coalesce({sig_sql(c, m, k)}, 0.0)"

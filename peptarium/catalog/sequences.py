@@ -65,13 +65,14 @@ def case_encode_span(spark, sf):
 
 @REGISTRY.add(
     "n4_case_encode_unique",
-    f"""WITH {SEQS_SQL}, e AS (SELECT id, seq, substr(seq, 21, 3 + id % 5) AS epi FROM seqs WHERE length(seq) > 40),
+    f"""WITH {SEQS_SQL}, e AS (SELECT id, seq, substr(seq, length(seq) // 3 + 1, 3 + id % 5) AS epi FROM seqs WHERE seq <> ''),
 c AS (SELECT *, (length(seq) - length(replace(seq, epi, ''))) / length(epi) AS hits, instr(seq, epi) AS pos FROM e)
 SELECT id, CASE WHEN hits = 1 THEN 'ok' ELSE 'epitope_not_unique' END AS status,
   CASE WHEN hits = 1 THEN lower(substr(seq, 1, pos - 1)) || epi || lower(substr(seq, pos + length(epi))) END AS encoded FROM c""",
 )
 def case_encode_unique(spark, sf):
-    rows = seqs(spark, sf).where(F.length("seq") > 40).withColumn("epi", F.substring(F.col("seq"), F.lit(21), (F.col("id") % 5 + 3).cast("int")))
+    at = (F.length("seq") / 3).cast("int") + 1
+    rows = seqs(spark, sf).where("seq <> ''").withColumn("epi", F.substring(F.col("seq"), at, (F.col("id") % 5 + 3).cast("int")))
     return rows.select("id", S.case_encode_unique("seq", "epi").alias("e")).select("id", "e.status", "e.encoded")
 
 
@@ -182,20 +183,21 @@ def tile_summary(spark, sf):
     return stats.tile_summary(tiles, s.select("id", F.length("seq").alias("new_len")), ["id"])
 
 
-NATIVE_SQL = f"""{SEQS_SQL}, q AS (SELECT id, seq, CASE WHEN id % 10 = 0 THEN substr(seq, 16, 60) || 'QQ' ELSE substr(seq, 16, 60) END AS q FROM seqs WHERE length(seq) >= 75),
+NATIVE_SQL = f"""{SEQS_SQL}, q AS (SELECT id, seq, substr(seq, length(seq) // 5 + 1, greatest(length(seq) * 3 // 5, 1)) || CASE WHEN id % 10 = 0 THEN 'QQ' ELSE '' END AS q FROM seqs WHERE seq <> ''),
 n AS (SELECT id, q, CASE WHEN instr(seq, q) > 0 THEN substr(seq, instr(seq, q)) ELSE q END AS native, instr(seq, q) > 0 AS found FROM q)"""
 
 
 def _native(spark, sf):
-    s = seqs(spark, sf).where(F.length("seq") >= 75)
-    piece = F.substring("seq", 16, 60)
+    s = seqs(spark, sf).where("seq <> ''")
+    size = F.length("seq")
+    piece = F.substring(F.col("seq"), (size / 5).cast("int") + 1, F.greatest((size * 3 / 5).cast("int"), F.lit(1)))
     queries = s.select(F.col("id").alias("target"), F.col("id").alias("entry"), F.when(F.col("id") % 10 == 0, F.concat(piece, F.lit("QQ"))).otherwise(piece).alias("q_seq"))
     return flows.native_tiles(queries, s.select(F.col("id").alias("entry"), F.col("seq").alias("c_seq")))
 
 
 @REGISTRY.add(
     "n11_native_tiling",
-    f"""WITH {NATIVE_SQL}, w AS (SELECT id, native, unnest(range(1, length(native) - 28, 6)) AS start FROM n UNION SELECT id, native, length(native) - 29 FROM n)
+    f"""WITH {NATIVE_SQL}, w AS (SELECT id, native, unnest(range(1, length(native) - 28, 6)) AS start FROM n UNION SELECT id, native, length(native) - 29 FROM n WHERE length(native) >= 30)
 SELECT id AS target, start::INTEGER AS start, substr(native, start, 30) AS tile FROM w""",
 )
 def native_tiling(spark, sf):
@@ -206,7 +208,7 @@ def native_tiling(spark, sf):
     "f7_tiled_controls",
     f"""WITH {NATIVE_SQL} SELECT id AS target, length(q)::INTEGER AS old_len, length(native)::INTEGER AS new_len, (length(native) - length(q))::INTEGER AS recovered,
   CASE WHEN found THEN 'clean' ELSE 'needs_review' END AS status,
-  ((length(native) - 30) // 6 + 1 + CASE WHEN (length(native) - 30) % 6 > 0 THEN 1 ELSE 0 END)::BIGINT AS tiles FROM n""",
+  CASE WHEN length(native) < 30 THEN 0 ELSE (length(native) - 30) // 6 + 1 + CASE WHEN (length(native) - 30) % 6 > 0 THEN 1 ELSE 0 END END::BIGINT AS tiles FROM n""",
 )
 def tiled_controls(spark, sf):
     tiles, windows = _native(spark, sf)
@@ -329,7 +331,7 @@ def _library_parts(spark, sf):
         "target",
         F.lit("ok").alias("status"),
         (F.col("id") % 30 + 1).cast("int").alias("rank_in_group"),
-        (F.col("id") / 10.0).alias("mean_pae"),
+        (F.col("id") % 997 / 10.0).alias("mean_pae"),
         F.when(F.col("id") % 13 == 0, "too_few_epitope_pairs").otherwise("ok").alias("af3_clash_status"),
     )
     arms = [
@@ -341,7 +343,7 @@ def _library_parts(spark, sf):
 
 
 TRIMMED_SQL = "CASE WHEN length(s) <= 103 THEN s WHEN regexp_matches(s, '[a-z]$') THEN left(s, length(s) - 1) WHEN regexp_matches(s, '^[a-z]') THEN substr(s, 2) END"
-LIBRARY_SQL = f"""{CASED_SQL}, {SEQS_SQL}, b AS (SELECT id, 'x' || (id % 7) || '_p' || id AS token, scaffoldEPITOPE AS s, target, id % 30 + 1 AS rk, id / 10.0::DOUBLE AS mean_pae FROM cased WHERE length(scaffoldEPITOPE) > 0 AND id % 13 <> 0),
+LIBRARY_SQL = f"""{CASED_SQL}, {SEQS_SQL}, b AS (SELECT id, 'x' || (id % 7) || '_p' || id AS token, scaffoldEPITOPE AS s, target, id % 30 + 1 AS rk, (id % 997) / 10.0::DOUBLE AS mean_pae FROM cased WHERE length(scaffoldEPITOPE) > 0 AND id % 13 <> 0),
 a AS (SELECT 'C1' AS component, 0 AS pr, 'C1_' || token || '_r' || rk AS design_ID, {TRIMMED_SQL} AS d, mean_pae FROM b WHERE mean_pae < 60 AND rk <= 20
   UNION ALL SELECT 'C5', 3, 'C5_' || token, {TRIMMED_SQL}, mean_pae FROM b WHERE mean_pae > 30),
 w AS (SELECT id, seq, unnest(range(1, length(seq) - 101, 60)) AS st FROM seqs WHERE length(seq) >= 103 UNION SELECT id, seq, length(seq) - 102 FROM seqs WHERE length(seq) >= 103),
@@ -413,7 +415,18 @@ SELECT 'LIB_' || CASE WHEN length(substr(name, 5)) >= 6 THEN substr(name, 5) ELS
 )
 def order_job(spark, sf):
     oligos, peptides = oligo_views(spark, sf)
-    return flows.order_job(peptides, peptides.limit(0), oligos, ORDER_PREFIX, ORDER_SUFFIX, 6)["quote"]
+    return flows.order_job(peptides, _encoded(peptides), oligos, ORDER_PREFIX, ORDER_SUFFIX, 6)["quote"]
+
+
+@REGISTRY.add("f5_order_delta", f"WITH {OLIGO_SQL} SELECT name, seq FROM peptides WHERE seq NOT IN (SELECT seq FROM peptides WHERE substr(name, 5)::BIGINT % 3 = 0)")
+def order_delta(spark, sf):
+    oligos, peptides = oligo_views(spark, sf)
+    return flows.order_job(peptides, _encoded(peptides), oligos, ORDER_PREFIX, ORDER_SUFFIX, 6)["delta"].select("name", "seq")
+
+
+def _encoded(peptides):
+    """Peptides ordered before: every third by number."""
+    return peptides.where(F.substring("name", 5, 20).cast("bigint") % 3 == 0)
 
 
 @REGISTRY.add(
@@ -423,7 +436,7 @@ SELECT name AS subject, 'no_encoding' AS reason FROM peptides WHERE seq NOT IN (
 )
 def order_violations(spark, sf):
     oligos, peptides = oligo_views(spark, sf)
-    return flows.order_job(peptides, peptides.limit(0), oligos, ORDER_PREFIX, ORDER_SUFFIX, 6)["violations"]
+    return flows.order_job(peptides, _encoded(peptides), oligos, ORDER_PREFIX, ORDER_SUFFIX, 6)["violations"]
 
 
 @REGISTRY.add(

@@ -54,11 +54,11 @@ def named_peptide_lines(spark, sf):
     return spark.read.text(out).select(F.col("value").alias("line"))
 
 
-@REGISTRY.add("s3_read_fasta", f"WITH {SEQS_SQL} SELECT id || '_1|Chain' AS id, lang AS protein, source AS organism, seq FROM seqs")
+@REGISTRY.add("s3_read_fasta", f"WITH {SEQS_SQL} SELECT id || '_1>A|Chain' AS id, lang AS protein, source AS organism, seq FROM seqs")
 def read_fasta(spark, sf):
     out = shared_scratch(spark, "fasta")
     s = seqs(spark, sf)
-    header = F.concat(F.lit(">"), "id", F.lit("_1|Chain A|"), "lang", F.lit("|"), "source")
+    header = F.concat(F.lit(">"), "id", F.lit("_1>A|Chain A|"), "lang", F.lit("|"), "source")
     wrapped = F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n")
     s.select(F.concat(header, F.lit("\n"), wrapped).alias("value")).write.text(out)
     rows = fasta.read_fasta(spark, out)
@@ -112,6 +112,65 @@ def fixed_width(spark, sf):
     return rows.select("design_id", "chain", F.col("res_num").cast("bigint").alias("res_num"), "res_name", "atom_name", "x", "y", "z", "is_heavy")
 
 
+FILES_SQL = f"""{ATOMS_SQL}, filed AS (SELECT design_id::VARCHAR AS design_id, chain, res_idx, CASE WHEN res_idx % 3 = 2 THEN res_num - 1 ELSE res_num END AS res_num,
+  CASE WHEN res_idx % 3 = 2 THEN 'A' ELSE '' END AS icode, res_name, x, y, z FROM atoms)"""
+
+
+def _filed(spark, sf):
+    """Atoms with insertion codes: every third residue carries the number of the one before it and code A."""
+    inserted = F.col("res_idx") % 3 == 2
+    return _atoms(spark, sf).withColumns({"icode": F.when(inserted, "A").otherwise(""), "res_num": F.when(inserted, F.col("res_num") - 1).otherwise(F.col("res_num"))})
+
+
+def _pdb_files(spark, sf):
+    """One file per design: every fourth atom in two locations, and a second model with everything moved."""
+    a = _filed(spark, sf)
+    at = lambda mark, dx: F.format_string(
+        "ATOM  %5d  CA %s%s %s%4d%s   %8.3f%8.3f%8.3f  1.00  0.00           C", F.col("res_idx") + 1, mark, "res_name", "chain", "res_num",
+        F.when(F.col("icode") == "", " ").otherwise(F.col("icode")), F.col("x") + dx, "y", "z",
+    )
+    lines = F.when(F.col("res_idx") % 4 == 0, F.concat(at(F.lit("A"), 0.0), F.lit("\n"), at(F.lit("B"), 1.0))).otherwise(at(F.lit(" "), 0.0))
+    moved = at(F.lit(" "), 9.0)
+    rows = a.select(F.col("design_id").cast("string").alias("design_id"), F.struct("res_idx", lines.alias("l"), moved.alias("m")).alias("r"))
+    body = rows.groupBy("design_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # 21 atoms each
+    block = lambda f: F.array_join(F.transform("rs", lambda r: r[f]), "\n")
+    text = F.concat(F.lit("MODEL        1\n"), block("l"), F.lit("\nENDMDL\nMODEL        2\n"), block("m"), F.lit("\nENDMDL\nEND"))
+    out = shared_scratch(spark, "structures")
+    body.select(text.alias("value"), F.concat(F.lit("d"), "design_id").alias("file")).write.partitionBy("file").text(out)
+    return out
+
+
+@REGISTRY.add("s6_read_fixed_width", f"WITH {FILES_SQL} SELECT design_id, chain, res_num, icode, res_name, x, y, z FROM filed")
+def read_fixed_width(spark, sf):
+    files = spark.read.text(_pdb_files(spark, sf), wholetext=True)
+    atoms = structures.first_model_atoms(files.select(F.substring("file", 2, 99).alias("design_id"), "value"))
+    return atoms.select("design_id", "chain", F.col("res_num").cast("bigint").alias("res_num"), "icode", "res_name", "x", "y", "z")
+
+
+@REGISTRY.add(
+    "s8_inserted_residues",
+    f"WITH {FILES_SQL} SELECT design_id, 'A' AS chain, string_agg(CASE res_name WHEN 'ALA' THEN 'A' WHEN 'GLY' THEN 'G' WHEN 'SER' THEN 'S' ELSE 'X' END, '' ORDER BY res_idx) AS seq, count(*)::INTEGER AS n_res FROM filed WHERE chain = 'A' GROUP BY design_id",
+)
+def inserted_residues(spark, sf):
+    files = spark.read.text(_pdb_files(spark, sf), wholetext=True)
+    return structures.chain_sequence(structures.first_model_atoms(files.select(F.substring("file", 2, 99).alias("design_id"), "value")))
+
+
+@REGISTRY.add("s7_models_and_locations", f"WITH {FILES_SQL} SELECT design_id, chain, res_num, icode, res_name, x, y, z FROM filed")
+def models_and_locations(spark, sf):
+    names = ["group_PDB", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "auth_asym_id", "auth_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "pdbx_PDB_model_num"]
+    header = "\n".join(["data_x", "loop_", *[f"_atom_site.{n}" for n in names]]) + "\n"
+    code = F.when(F.col("icode") == "", "?").otherwise(F.col("icode"))
+    at = lambda mark, dx, model: F.format_string(f"ATOM C CA {mark} %s %s %d %s %.3f %.3f %.3f {model}", "res_name", "chain", "res_num", code, F.col("x") + dx, "y", "z")
+    lines = F.when(F.col("res_idx") % 4 == 0, F.concat(at("A", 0.0, 1), F.lit("\n"), at("B", 1.0, 1))).otherwise(at(".", 0.0, 1))
+    rows = _filed(spark, sf).select("design_id", F.struct("res_idx", lines.alias("l"), at(".", 9.0, 2).alias("m")).alias("r"))
+    body = rows.groupBy("design_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    block = lambda f: F.array_join(F.transform("rs", lambda r: r[f]), "\n")
+    text = F.concat(F.lit(header), block("l"), F.lit("\n"), block("m"), F.lit("\n#\n"))
+    atoms = structures.mmcif_atoms(body.select(F.col("design_id").cast("string").alias("design_id"), text.alias("value")))
+    return atoms.select("design_id", "chain", F.col("res_num").cast("bigint").alias("res_num"), "icode", "res_name", "x", "y", "z")
+
+
 def _cif(spark, sf):
     header = "\n".join(["data_x", "loop_", "_atom_site.group_PDB", "_atom_site.type_symbol", "_atom_site.label_atom_id", "_atom_site.label_comp_id", "_atom_site.label_asym_id",
                         "_atom_site.auth_asym_id", "_atom_site.label_seq_id", "_atom_site.auth_seq_id", "_atom_site.Cartn_x", "_atom_site.Cartn_y", "_atom_site.Cartn_z"])
@@ -225,7 +284,7 @@ def quote_file(spark, sf):
 
 @REGISTRY.add(
     "k4_component_blocks",
-    "SELECT o_orderpriority AS component, count(*) * CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS n, round(sum(CASE WHEN o_orderpriority = '5-LOW' THEN 7.0 WHEN o_orderpriority = '1-URGENT' THEN 2 * o_totalprice ELSE o_totalprice END), 2) AS total FROM orders GROUP BY 1",
+    "SELECT o_orderpriority AS component, count(*) * CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS n, round(sum(CASE WHEN o_orderpriority = '5-LOW' THEN 7.0 WHEN o_orderpriority = '1-URGENT' THEN 2 * o_totalprice ELSE o_totalprice END), 2) AS total FROM orders WHERE o_orderpriority <> '2-HIGH' GROUP BY 1",
 )
 def component_blocks(spark, sf):
     out = shared_scratch(spark, "library")
@@ -235,6 +294,7 @@ def component_blocks(spark, sf):
     for _ in range(2):
         K.write_component(low, out, "5-LOW")
     K.write_component(o.where("component = '1-URGENT'"), out, "1-URGENT", mode="append")
+    K.write_component(o.where("component = 'none'"), out, "2-HIGH")  # rebuilt from nothing: the block goes
     return spark.read.parquet(out).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 

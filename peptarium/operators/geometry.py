@@ -487,10 +487,16 @@ def smooth_density(voxels: DataFrame, bandwidth: float, size: float, truncate: f
 
 
 def contact_epitope(atoms: DataFrame, antigen: str, partners: Sequence[str], cutoff: float = 4.0, key: Sequence[str] = ("design_id",)) -> DataFrame:
-    """Antigen residues (by number) within ``cutoff`` of any partner atom, with the smallest distance."""
-    return min_distance(
-        atoms.where(F.col("chain") == antigen), atoms.where(F.col("chain").isin(list(partners))), cutoff, list(key), "res_num"
-    )
+    """Antigen residues within ``cutoff`` of any partner atom, with the smallest distance.
+
+    A residue is its number, and its insertion code where the atoms have one (``icode``, part of the result then).
+    """
+    antigens, others = atoms.where(F.col("chain") == antigen), atoms.where(F.col("chain").isin(list(partners)))
+    if "icode" not in atoms.columns:
+        return min_distance(antigens, others, cutoff, list(key), "res_num")
+    residue = F.struct("res_num", "icode")
+    found = min_distance(antigens.withColumn("_residue", residue), others, cutoff, list(key), "_residue")
+    return found.select("*", "_residue.*").drop("_residue")
 
 
 # ---------------------------------------------------------------- per-design metric row

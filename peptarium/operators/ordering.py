@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +42,13 @@ def lookup(
     how: str = "left",
     weight: str | None = None,
     small: bool | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right`` (unique on ``on``), splitting keys that hold many left rows.
 
+    Null keys match nothing, or each other with ``null_safe``. Null keys that match nothing are dealt
+    evenly, so they never share a task.
+
     ``weight`` names a right column that already counts the left rows of each key; without it the
     counts are taken from ``left``. Only keys above the task size are salted. There are at most
     ``rows / task size`` of them, which bounds the broadcast list of hot keys.
@@ -52,26 +57,33 @@ def lookup(
     drop = [weight] if weight and weight.startswith("_") else []
     if small is None:
         small = fits_one_task(left)
+    join = null_safe_join if null_safe else DataFrame.join
     if small or not on:
-        return left.join(right, on, how).drop(*drop)
+        return join(left, right, on, how).drop(*drop)
     limit = rows_per_task(left.sparkSession)
     if weight:
         hot = right.where(F.col(weight) > limit).select(*on, F.col(weight).alias("_rows"))
     else:
         hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     hot = hot.select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
+    lone = F.lit(1)
+    if not null_safe:
+        hot = hot.dropna(subset=on)
+        lone = F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on]), F.lit(2**31 - 1)).otherwise(F.lit(1))
+    # maps cannot be hashed; what is left of the row spreads it well enough
+    spread_by = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
     salted = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int"))
+        join(left, F.broadcast(hot), on, "left")
+        .withColumn("_parts", F.coalesce("_parts", lone))
+        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int"))
         .drop("_parts")
     )
     copies = (
-        right.join(F.broadcast(hot), on, "left")
+        join(right, F.broadcast(hot), on, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_parts")
     )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt", *drop)
+    return join(salted, copies, [*on, "_salt"], how).drop("_salt", *drop)
 
 
 def running_total(
@@ -151,7 +163,7 @@ def value_ladder(
     if small:
         return steps.withColumn("n", F.sum("n_ties").over(Window.partitionBy(*groups)))
     sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    return lookup(steps, sizes, groups, "inner", small=False) if groups else beside(steps, sizes)
+    return lookup(steps, sizes, groups, "inner", small=False, null_safe=True) if groups else beside(steps, sizes)
 
 
 def average_rank() -> Column:
@@ -186,7 +198,7 @@ def rank_table(
     elif method == "dense":
         ladder = running_total(ladder, groups, [F.col(value)], out="_dense", small=small)
         top = ladder.groupBy(*groups).agg((F.max("_dense") + 1).alias("_distinct"))
-        ladder = lookup(ladder, top, groups, "inner", small=small) if groups else beside(ladder, top)
+        ladder = lookup(ladder, top, groups, "inner", small=small, null_safe=True) if groups else beside(ladder, top)
         rank, size = F.col("_dense") + 1.0, F.col("_distinct")
     else:
         raise ValueError(f"unknown rank method: {method!r}")

@@ -200,7 +200,7 @@ def sweep_report(df: DataFrame, cell: Sequence[str], score: str, label: str) ->
     classes = df.select(*cell, num(score).alias("_s"), F.col(label).cast("boolean").alias("_l")).where(F.col("_s").isNotNull() & F.col("_l").isNotNull())
     mids = quantiles(classes, [*cell, "_l"], "_s", {"_m": 0.5})
     mids = mids.groupBy(*cell).agg(F.max(F.when(F.col("_l"), F.col("_m"))).alias("med_free"), F.max(F.when(~F.col("_l"), F.col("_m"))).alias("med_clash"))
-    return ranks.join(mids, list(cell), "left")
+    return null_safe_join(ranks, mids, list(cell))
 
 
 def set_pr(predicted: DataFrame, true: DataFrame, cell: Sequence[str], member: Sequence[str], design: Sequence[str]) -> DataFrame:
@@ -384,7 +384,7 @@ def world_table(df: DataFrame, presets: dict[str, Preset], key: Sequence[str], g
     both = reduce(DataFrame.unionByName, picks)
     scoped = both.select("world", F.explode(F.array(F.col(group).cast("string"), F.lit("*"))).alias("scope"), *SCORED)
     n = scoped.groupBy("world", "scope").agg(n_rows().alias("n"))
-    return n.join(medians_wide(scoped, ["world", "scope"], SCORED), ["world", "scope"], "left")
+    return null_safe_join(n, medians_wide(scoped, ["world", "scope"], SCORED), ["world", "scope"])
 
 
 def axis_coverage(pool: DataFrame, sample: DataFrame, columns: Sequence[str]) -> DataFrame:

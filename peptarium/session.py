@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,7 @@ def local_session(cpus: str | int = "*", app: str = "peptarium", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PEPTARIUM_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -33,16 +35,25 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK_CONF, str(ROWS_PER_TASK_DEFAULT)))
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines see, from ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only when nothing is
-    named (tests, a laptop) is a fresh local folder used.
+    Without that setting a fresh local folder serves a ``local`` master; on a cluster it is an error,
+    since executors do not see each other's disks.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage there; Spark removes it with the last reference."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -57,8 +68,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder path below the cluster's checkpoint folder, for tables that are written and read back."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}"
+    """A fresh folder path below the shared folder, for tables that are written and read back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

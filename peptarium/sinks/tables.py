@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -49,11 +49,21 @@ def write_quote(df: DataFrame, out: str, header: bool = True) -> None:
     write_pairs(df, out, ["name", "sequence"], header)
 
 
+def drop_component(spark: SparkSession, out: str, component: str) -> None:
+    """Remove one component's block, if there is one."""
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(component)
+    block = jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/component={name}")
+    block.getFileSystem(spark._jsc.hadoopConfiguration()).delete(block, True)
+
+
 def write_component(df: DataFrame, out: str, component: str, mode: str = "rebuild") -> None:
     """Write one component's block: ``append`` adds rows, ``rebuild`` replaces that block only."""
     rows = df.withColumn("component", F.lit(component))
     if mode == "append":
         rows.write.mode("append").partitionBy("component").parquet(out)
+    elif mode == "rebuild" and rows.isEmpty():
+        drop_component(df.sparkSession, out, component)  # dynamic overwrite leaves partitions it does not write
     elif mode == "rebuild":
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("component").parquet(out)
     else:

@@ -12,8 +12,8 @@ ORGANISM_SHORT = {"Homo sapiens": "human", "Mus musculus": "mouse", "Rattus norv
 
 
 def fasta_records(df: DataFrame, text: str = "value") -> DataFrame:
-    """Records split at ``>`` to (id, header, seq)."""
-    clean = F.regexp_replace(F.col(text), "\r", "")
+    """Records, cut where a line starts with ``>``, to (id, header, seq). Other ``>`` belong to their line."""
+    clean = F.regexp_replace(F.regexp_replace(F.col(text), "\r", ""), r"^\s*>", "")
     lines = F.split(clean, "\n")
     header = F.trim(F.element_at(lines, 1))
     seq = F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "")
@@ -22,8 +22,8 @@ def fasta_records(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Multi-record FASTA; the reader itself cuts the files at ``>`` so large files stay splittable."""
-    return fasta_records(spark.read.option("lineSep", ">").text(path))
+    """Multi-record FASTA; the reader itself cuts the files before each record so large files stay splittable."""
+    return fasta_records(spark.read.option("lineSep", "\n>").text(path))
 
 
 def fasta_header_fields(c: str | Column) -> Column:

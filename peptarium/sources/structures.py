@@ -1,7 +1,8 @@
 """Atom tables from fixed-width and mmCIF files, and chain sequences from atoms.
 
-Everything is column expressions on text: fixed-width files are one row per line, mmCIF files one row
-per file (their column order sits in a header), exploded to atoms.
+Everything is column expressions on text: files are read one row each, since models and mmCIF column
+order are stated once per file, and exploded to atoms. Only the first model counts; of alternate
+locations of an atom the first in the file stays. A residue is (chain, number, insertion code).
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ def fixed_width_atoms(lines: DataFrame, text: str = "value", source: str = "desi
     v = F.col(text)
     cut = lambda a, b: F.trim(F.substring(v, a + 1, b - a))
     rows = lines.where(v.startswith("ATOM") | v.startswith("HETATM"))
-    return rows.select(
+    atoms = rows.select(
         source,
         cut(21, 22).alias("chain"),
         cut(22, 26).try_cast("int").alias("res_num"),
         cut(26, 27).alias("icode"),
+        cut(16, 17).alias("altloc"),
         cut(17, 20).alias("res_name"),
         cut(12, 16).alias("atom_name"),
         cut(76, 78).alias("element"),
@@ -42,11 +44,24 @@ def fixed_width_atoms(lines: DataFrame, text: str = "value", source: str = "desi
         cut(38, 46).try_cast("double").alias("y"),
         cut(46, 54).try_cast("double").alias("z"),
     ).withColumn("is_heavy", is_heavy(F.col("element"), F.col("atom_name")))
+    return first_location(atoms, source)
+
+
+def first_location(atoms: DataFrame, source: str) -> DataFrame:
+    """Drop further alternate locations of an atom; rows without a location mark are not compared."""
+    marked = F.col("altloc") != ""
+    site = [source, "chain", "res_num", "icode", "atom_name"]
+    return atoms.where(~marked).unionByName(first_per(atoms.where(marked), site, ["serial"])).drop("altloc")
+
+
+def first_model_atoms(files: DataFrame, text: str = "value", source: str = "design_id") -> DataFrame:
+    """Atoms of the first model of whole fixed-width files, one row per file."""
+    model = F.element_at(F.split(F.col(text), r"\nENDMDL", 2), 1)
+    return fixed_width_atoms(files.select(source, F.explode(F.split(model, r"\r?\n")).alias(text)), text, source)
 
 
 def read_atoms_fixed_width(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select("value", stem(F.col("_metadata.file_path")).alias("design_id"))
-    return fixed_width_atoms(lines)
+    return first_model_atoms(spark.read.text(path, wholetext=True).select("value", stem(F.col("_metadata.file_path")).alias("design_id")))
 
 
 _TOKENS = r"""'[^']*'|"[^"]*"|\S+"""
@@ -60,18 +75,28 @@ def mmcif_atoms(files: DataFrame, text: str = "value", source: str = "design_id"
     """
     whole = F.regexp_replace(F.col(text), "\r", "")
     names = F.regexp_extract_all(F.regexp_extract(whole, _ATOM_SITE, 1), F.lit(r"_atom_site\.(\S+)"), F.lit(1))
-    located = files.select(source, names.alias("_names"), F.posexplode(F.split(F.regexp_extract(whole, _ATOM_SITE, 2), "\n")).alias("serial", "_line"))
-    tokens = F.transform(F.regexp_extract_all(F.col("_line"), F.lit(_TOKENS), F.lit(0)), lambda t: F.regexp_replace(t, r"""^(['"])(.*)\1$""", "$2"))
-    rows = located.withColumn("_t", tokens).where((F.size("_names") > 0) & (F.size("_t") >= F.size("_names")))
+
+    def tokens(line: Column) -> Column:
+        return F.transform(F.regexp_extract_all(line, F.lit(_TOKENS), F.lit(0)), lambda t: F.regexp_replace(t, r"""^(['"])(.*)\1$""", "$2"))
+
+    listed = files.select(source, names.alias("_names"), F.split(F.regexp_extract(whole, _ATOM_SITE, 2), "\n").alias("_lines"))
+    lead = tokens(F.get(F.filter("_lines", lambda x: F.length(F.trim(x)) > 0), 0))
+    located = listed.select(source, "_names", lead.alias("_lead"), F.posexplode("_lines").alias("serial", "_line"))
+    whole_rows = located.withColumn("_t", tokens(F.col("_line"))).where((F.size("_names") > 0) & (F.size("_t") >= F.size("_names")))
+    model = F.array_position("_names", "pdbx_PDB_model_num").cast("int")
+    rows = whole_rows.where((model == 0) | (F.get("_t", model - 1) == F.get("_lead", model - 1)))
 
     def column(*options: str) -> Column:
         picks = [F.when(F.array_position("_names", o) > 0, F.get("_t", F.array_position("_names", o).cast("int") - 1)) for o in options]
         return F.coalesce(*picks)
 
-    return rows.select(
+    named = lambda *options: F.coalesce(F.nullif(F.nullif(column(*options), F.lit("?")), F.lit(".")), F.lit(""))
+    atoms = rows.select(
         source,
         column("auth_asym_id", "label_asym_id").alias("chain"),
         column("auth_seq_id", "label_seq_id").try_cast("int").alias("res_num"),
+        named("pdbx_PDB_ins_code").alias("icode"),
+        named("label_alt_id").alias("altloc"),
         column("auth_comp_id", "label_comp_id").alias("res_name"),
         column("auth_atom_id", "label_atom_id").alias("atom_name"),
         F.coalesce(column("type_symbol"), F.lit("")).alias("element"),
@@ -80,6 +105,7 @@ def mmcif_atoms(files: DataFrame, text: str = "value", source: str = "design_id"
         column("Cartn_y").try_cast("double").alias("y"),
         column("Cartn_z").try_cast("double").alias("z"),
     ).withColumn("is_heavy", is_heavy(F.col("element"), F.col("atom_name")))
+    return first_location(atoms, source)
 
 
 def read_atoms_mmcif(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +115,8 @@ def read_atoms_mmcif(spark: SparkSession, path: str) -> DataFrame:
 
 def chain_sequences(atoms: DataFrame, source: str = "design_id", order: str = "serial") -> DataFrame:
     """One-letter sequence of every chain: first atom per residue, in file order."""
-    residues = atoms.groupBy(source, "chain", "res_num").agg(F.min(F.struct(order, "res_name")).alias("_f"))
+    number = ["res_num", *(["icode"] if "icode" in atoms.columns else [])]
+    residues = atoms.groupBy(source, "chain", *number).agg(F.min(F.struct(order, "res_name")).alias("_f"))
     # the sequence is the output value: one entry per residue of one chain
     placed = residues.select(source, "chain", F.struct(F.col(f"_f.{order}").alias("o"), residue_letter(F.col("_f.res_name")).alias("aa")).alias("_r"))
     grown = placed.groupBy(source, "chain").agg(F.collect_list("_r").alias("_rs"), F.min("_r.o").alias("first_at"))

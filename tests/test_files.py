@@ -141,3 +141,45 @@ def test_json_specs(spark, tmp_path):
     assert payload["modelSeeds"] == [7] and payload["sequences"][0]["protein"]["unpairedMsa"] == ">query\nACD\n"
     manifest = K.emit_json_specs(df, str(tmp_path / "specs"))
     assert manifest.first()["design_id"] == "d1"
+
+
+def test_fasta_with_marks_inside_headers(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">d1_epitopeIsland1Mut>A note\r\nACD\r\n>d2 a>b\r\nKL\r\n")
+    rows = {r["id"]: r for r in fasta.read_fasta(spark, str(tmp_path / "x.fasta")).collect()}
+    assert set(rows) == {"d1_epitopeIsland1Mut>A", "d2"} and rows["d1_epitopeIsland1Mut>A"]["seq"] == "ACD" and rows["d2"]["header"] == "d2 a>b"
+
+
+def test_first_model_locations_and_insertions(spark, tmp_path):
+    line = "ATOM  {:5d}  CA {}{} A{:4d}{}   {:8.3f}{:8.3f}{:8.3f}  1.00  0.00           C"
+    one = [line.format(1, " ", "ALA", 52, " ", 0, 0, 0), line.format(2, "A", "GLY", 52, "A", 1, 0, 0), line.format(3, "B", "GLY", 52, "A", 2, 0, 0), line.format(4, " ", "SER", 53, " ", 3, 0, 0)]
+    (tmp_path / "m.pdb").write_text("MODEL 1\r\n" + "\r\n".join(one) + "\r\nENDMDL\r\nMODEL 2\r\n" + "\r\n".join(one) + "\r\nENDMDL\r\n")
+    atoms = structures.read_atoms_fixed_width(spark, str(tmp_path / "m.pdb"))
+    assert sorted((r["res_num"], r["icode"], r["x"]) for r in atoms.collect()) == [(52, "", 0), (52, "A", 1), (53, "", 3)]
+    assert structures.chain_sequence(atoms).first()["seq"] == "AGS"
+
+
+def test_empty_rebuild_drops_the_block(spark, tmp_path):
+    out = str(tmp_path / "lib")
+    rows = spark.createDataFrame([(1,), (2,)], "v int")
+    for name in ("C1", "a/b c"):
+        K.write_component(rows, out, name)
+    K.write_component(rows.where("v > 5"), out, "a/b c")
+    K.write_component(rows.where("v > 5"), out, "never there")
+    assert spark.read.parquet(out).select("component").distinct().collect()[0][0] == "C1"
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from peptarium import session
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    for master, fine in (("local", True), ("local[8]", True), ("local-cluster[3,2,3000]", False), ("spark://h:7077", False), ("yarn", False)):
+        fake = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master))
+        if fine:
+            assert session.shared_folder(fake).startswith("/tmp/")
+        else:
+            with pytest.raises(RuntimeError, match="checkpoint"):
+                session.shared_folder(fake)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "hdfs:///x/"), sparkContext=SimpleNamespace(master="yarn"))
+    assert session.shared_scratch(named, "t").startswith("hdfs:///x/t-")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peptarium.operators import ordering as O
+from peptarium.operators import stats as S
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,42 @@ def test_top_k_beyond_the_pushdown_ceiling(spark, rows):
 def test_top_k_limits_before_the_shuffle(spark, rows):
     plan = O.top_k(spark.createDataFrame(rows), ["g"], [F.col("v"), F.col("k")], 5)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.fixture
+def holed(rows):
+    frame = rows.copy().astype({"g": object})
+    frame.loc[::3, "g"] = None
+    return frame
+
+
+def with_nulls(session, frame):
+    return session.createDataFrame([tuple(r) for r in frame.itertuples(index=False)], "k bigint, g string, v double")
+
+
+def test_null_groups_keep_their_quantiles_and_sizes(session, holed):
+    df = with_nulls(session, holed)
+    got = {r["g"]: r["mid"] for r in O.quantiles(df, ["g"], "v", {"mid": 0.5}).collect()}
+    want = {None if pd.isna(g) else g: part["v"].median() for g, part in holed.groupby("g", dropna=False)}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    ladder = O.value_ladder(df, ["g"], "v").groupBy("g").agg(F.max("n").alias("n"), F.sum("n_ties").alias("t")).collect()
+    assert all(r["n"] == r["t"] for r in ladder) and len(ladder) == len(want)
+
+
+def test_null_groups_in_statistics(session, holed):
+    df = with_nulls(session, holed).withColumn("label", F.col("k") % 3 == 1)
+    for table in (S.auc(df, "v", "label", ["g"]), S.sweep_report(df, ["g"], "v", "label")):
+        found = {r["g"]: r for r in table.collect()}
+        assert None in found and len(found) == holed["g"].nunique() + 1
+    mids = {r["g"]: r["med_free"] for r in S.sweep_report(df, ["g"], "v", "label").collect()}
+    part = holed[holed["g"].isna() & (holed["k"] % 3 == 1)]
+    assert (mids[None] is None) == part.empty and (part.empty or mids[None] == pytest.approx(part["v"].median()))
+
+
+def test_lookup_deals_null_keys_and_takes_maps(session, holed):
+    df = with_nulls(session, holed).withColumn("m", F.create_map("k", "v"))
+    names = session.createDataFrame([("hot", 1), ("a", 2), (None, 9)], "g string, id int")
+    got = O.lookup(df, names, ["g"])
+    assert got.count() == len(holed) and got.where("g is null and id is not null").count() == 0
+    safe = O.lookup(df, names, ["g"], null_safe=True)
+    assert safe.where("g is null and id = 9").count() == holed["g"].isna().sum() and safe.count() == len(holed)
