@@ -7,11 +7,11 @@
    from the packed bits: with collision chance c = 2**-BITS per position, J = (E - c) / (1 - c) for the
    share E of equal positions. Pairs more than ``SLACK`` (eight standard errors) under the threshold go;
    the rest are confirmed on the full sets. Confirmed links give components.
-4. Buckets whose members are still in different components are opened again: members of different
-   components are paired with each other, in buckets above ``HOT`` members only where they also share
-   one of the next ``WITHIN`` bands, which any pair at the threshold does (all but 3 in 100,000 of such
-   pairs) and chance pairs around a common passage do not. So no link between components is missed,
-   and a large group of copies costs one pair per member and band instead of all pairs.
+4. Buckets whose members are still in different components are opened again, and members of different
+   components are compared: as pairs in buckets of at most ``HOT`` members, else inside the tasks, in
+   blocks streamed past each other, so that a large group sends rows in proportion to its size and only
+   links come out. So no link between components is missed, and a group of copies costs one pair per
+   member and band.
 
 A pair at similarity 0.75 shares none of the 48 bands with probability (1 - 0.75**5)**48 = 2e-6.
 
@@ -24,18 +24,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peptarium.llm.common import MULTIPLIERS, Words, id_key, id_of, mixed, run_hashes, slices, stored
+from peptarium.llm.common import MULTIPLIERS, Words, id_key, id_of, mixed, partitions, run_hashes, slices, stored
 from peptarium.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 48, 5, 4
-HOT, WITHIN = 64, 8
+HOT, BLOCK, RUN = 64, 512, 8192
 NEED, OF = 75, 100
 SLACK = 0.25
 
@@ -159,25 +160,119 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components."""
-
-    def split(rows: DataFrame, key: str) -> DataFrame:
-        ends = rows.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select(key)
-        return rows.join(ends, key, "left_semi")
-
-    def meet(rows: DataFrame, key: str) -> DataFrame:
-        x = rows.select(key, F.col("node").alias("a"), F.col("c").alias("ca"))
-        y = rows.select(key, F.col("node").alias("b"), F.col("c").alias("cb"))
-        return x.join(y, key).where("a < b and ca != cb").select("a", "b")
-
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still span several components: key, band, node, c (its component), n."""
     rows = members.where("n > 2").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    left = stored(split(rows, "key").select("key", "band", "node", "c", "n"), "open")
-    small = meet(left.where(F.col("n") <= HOT), "key")
-    hot = left.where(F.col("n") > HOT).join(classes.select("node", "bands"), "node")
-    further = F.array(*[F.xxhash64("key", F.element_at("bands", (F.col("band") + j) % BANDS + 1)) for j in range(1, WITHIN + 1)])
-    deep = meet(split(hot.select("node", "c", F.explode(further).alias("sub")), "sub"), "sub")
-    return small.union(deep).distinct()
+    ends = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    return rows.join(ends, "key", "left_semi").select("key", "band", "node", "c", "n")
+
+
+def small_pairs(left: DataFrame) -> DataFrame:
+    """All pairs across components in buckets of at most ``HOT`` members."""
+    small = left.where(F.col("n") <= HOT)
+    x = small.select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
+    y = small.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
+    return x.join(y, "key").where("a < b and ca != cb").select("a", "b").distinct()
+
+
+def hot_links(left: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components in buckets above ``HOT`` members, compared inside the tasks.
+
+    In each bucket the largest component is the bulk; members of it need not meet each other. The rest is
+    cut into blocks of ``BLOCK``, all members into runs of ``RUN``, and each (block, run) is one group whose
+    run is streamed past the block. A pair is looked at in its first common band only, scored from the packed
+    bits, then confirmed on the full sets; one link per block member and component is reported.
+    """
+    hot = left.where(F.col("n") > HOT)
+    parts = hot.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
+    sized = parts.select("key", F.col("top.c").alias("bulk"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / RUN).cast("int").alias("runs"))
+    rows = hot.join(sized, "key").withColumn("rest", F.col("c") != F.col("bulk"))
+    at = F.xxhash64(F.lit("block"), "node")
+    block, run_no = F.pmod(at, F.col("blocks")).cast("int"), F.pmod(at, F.col("runs")).cast("int")
+    sides = F.array_union(
+        F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda r: F.struct(block.alias("b"), r.alias("r"), F.lit(0).alias("side")))).otherwise(
+            F.array().cast("array<struct<b:int,r:int,side:int>>")
+        ),
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("b"), run_no.alias("r"), F.lit(1).alias("side"))),
+    )
+    dealt = (
+        rows.join(classes.select("node", "bands", "packed"), "node")
+        .join(texts, "node")
+        .select("key", "band", "node", "c", "rest", "bands", "packed", "text", F.explode(sides).alias("at"))
+        .select(F.xxhash64("key", "at.b", "at.r").alias("g"), "at.side", "band", "node", "c", "rest", "bands", "packed", "text")
+    )
+    ordered = dealt.repartition(partitions(left.sparkSession), "g").sortWithinPartitions("g", "side", "node")
+    return ordered.mapInArrow(_stream_past_blocks, "a bigint, b bigint")
+
+
+@dataclass
+class Side:
+    node: np.ndarray
+    c: np.ndarray
+    rest: np.ndarray
+    band: np.ndarray
+    bands: np.ndarray
+    packed: np.ndarray
+    sets: list[np.ndarray]
+
+    def cut(self, a: int, b: int) -> Side:
+        return Side(self.node[a:b], self.c[a:b], self.rest[a:b], self.band[a:b], self.bands[a:b], self.packed[a:b], self.sets[a:b])
+
+    def plus(self, other: Side) -> Side:
+        return Side(*(np.concatenate([getattr(self, f), getattr(other, f)]) for f in ("node", "c", "rest", "band", "bands", "packed")), self.sets + other.sets)
+
+
+def _stream_past_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, block = None, None
+    for piece in slices(batches):
+        column = lambda name: piece.column(piece.schema.get_field_index(name))  # noqa: B023, E731
+        wide = lambda name: column(name).flatten().to_numpy().reshape(piece.num_rows, -1)  # noqa: B023, E731
+        g, side = column("g").to_numpy(), column("side").to_numpy()
+        now = Side(
+            column("node").to_numpy(),
+            column("c").to_numpy(),
+            column("rest").to_numpy(zero_copy_only=False),
+            column("band").to_numpy(),
+            wide("bands"),
+            wide("packed").view(np.uint64),
+            shingle_sets(column("text")),
+        )
+        cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(g)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if side[a] == 0:
+                block = block.plus(now.cut(a, b)) if block is not None and group == g[a] else now.cut(a, b)
+                group = g[a]
+            elif group == g[a]:
+                links = _links(block, now.cut(a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+
+
+def _links(block: Side, run: Side) -> tuple[list[int], list[int]]:
+    ones, out_a, out_b = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS))), [], []
+    chance, step = 2.0**-BITS, max(1, (1 << 22) // max(1, len(run.node) * BANDS))
+    sizes = np.array([len(s) for s in run.sets])
+    for a in range(0, len(block.node), step):
+        x = block.cut(a, a + step)
+        equal = x.bands[:, None, :] == run.bands[None, :, :]
+        near = (equal.argmax(axis=2) == x.band[:, None]) & equal.any(axis=2) & (x.c[:, None] != run.c) & (~run.rest | (x.node[:, None] < run.node))
+        i, j = np.nonzero(near)
+        z = x.packed[i] ^ run.packed[j]
+        any_bit = z
+        for k in range(1, BITS):
+            any_bit = any_bit | (z >> np.uint64(k))
+        share = 1 - np.bitwise_count(any_bit & ones).sum(axis=1) / (BANDS * ROWS)
+        good = (share - chance) / (1 - chance) >= NEED / OF - SLACK
+        i, j = i[good], j[good]
+        for k in np.unique(i).tolist():
+            own, others = x.sets[k], j[i == k]
+            flat = np.concatenate([run.sets[m] for m in others.tolist()])
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+            linked = others[OF * both >= NEED * (len(own) + sizes[others] - both)]
+            _, first = np.unique(run.c[linked], return_index=True)
+            out_a += [int(x.node[k])] * len(first)
+            out_b += run.node[linked[first]].tolist()
+    return out_a, out_b
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,8 +294,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stored(whole.join(needed, ["_id", "_row"]).select("node", "text"), "texts")
 
     links = stored(confirm(starred, classes, texts), "links")
-    more = open_pairs(members, components(links), classes).join(starred, ["a", "b"], "left_anti")
-    links = stored(links.union(confirm(more, classes, texts)), "links")
+    left = stored(open_members(members, components(links)), "open")
+    more = small_pairs(left).join(starred, ["a", "b"], "left_anti")
+    links = stored(links.union(confirm(more, classes, texts)).union(hot_links(left, classes, texts)), "links")
 
     joined = components(links).join(classes.select("node", "_id"), "node")
     least = joined.groupBy("component").agg(F.min("_id").alias("least"))
