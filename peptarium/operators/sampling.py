@@ -73,37 +73,34 @@ def _greedy_block(axes: Sequence[str], key: str, depth: int):
 def fps(df: DataFrame, group: str, axes: Sequence[str], quota: DataFrame, key: str, candidates: int = CANDIDATES) -> DataFrame:
     """Farthest-point sampling per group: start nearest the centroid, then greedy max-min distance.
 
-    Returns (group, key, axes, fps_order). No group is ever gathered: each round keeps, per group, the
-    ``candidates`` rows furthest from the picks so far (a rank limit that Spark applies before the shuffle),
-    picks among those while the result is provably the global one, and updates distances with the new
-    picks. At least one pick per unfinished group is made per round; usually most of the quota is.
-    ``candidates`` bounds memory, not the result.
+    Returns (group, key, axes, fps_order). No group is ever gathered: the axes are written once, and each
+    round measures every row of an unfinished group against the picks so far, keeps per group the
+    ``candidates`` rows furthest from them (a rank limit that Spark applies before the shuffle), and picks
+    among those while the result is provably the global one. Only the picks are written per round. At least
+    one pick per unfinished group is made per round; usually most of the quota is. ``candidates`` bounds
+    memory, not the result. A quota that covers the group returns it whole, in greedy order.
     """
     axes = list(axes)
-    rows = df.select(group, key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna()
+    rows = freeze(df.select(group, key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna())
     centre = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(a).alias(f"_c{a}") for a in axes])
     small = fits_one_task(rows)
     near = lookup(rows, centre, [group], weight="_rows", small=small).withColumn("_d", _square(axes, "_c"))
     wanted = quota.select(group, "quota").where(F.col("quota") > 0)
     start = first_per(near.where(F.col("_d").isNotNull()), [group], ["_d", key]).select(group, key, *axes, F.lit(0).alias("fps_order"))
     picked = freeze(start.join(wanted.select(group), group, "left_semi"))
-    fresh, far = picked, None
     order = [F.col("_far").desc(), F.col(key).asc()]
     schema, rounds = picked.schema, 0
     while True:
         room = picked.groupBy(group).agg(F.count(F.lit(1)).alias("_done")).join(wanted, group)
         room = room.withColumn("_room", F.col("quota") - F.col("_done")).where(F.col("_room") > 0).select(group, "_room", "_done")
-        # fresh picks per group are at most `candidates`
-        lists = fresh.groupBy(group).agg(F.collect_list(F.struct(*axes)).alias("_new"))
+        # picks per group are at most its quota
+        lists = picked.groupBy(group).agg(F.collect_list(F.struct(*axes)).alias("_picks"), F.collect_list(key).alias("_keys"))
         closest = F.array_min(
-            F.transform("_new", lambda p: sum(((F.col(a) - p[a]) * (F.col(a) - p[a]) for a in axes), F.lit(0.0)))
+            F.transform("_picks", lambda p: sum(((F.col(a) - p[a]) * (F.col(a) - p[a]) for a in axes), F.lit(0.0)))
         )
-        before = rows if far is None else far
-        moved = lookup(before, lists, [group], small=small).withColumn("_new_far", closest).drop("_new")
-        moved = moved.withColumn("_far", F.col("_new_far") if far is None else F.least("_far", "_new_far")).drop("_new_far")
-        open_rows = moved.join(room.select(group), group, "left_semi")
-        far = freeze(open_rows.join(fresh.select(group, key), [group, key], "left_anti"))
-        best = top_k(far, [group], order, candidates)
+        unfinished = lists.join(room.select(group), group, "left_semi")
+        met = lookup(rows, unfinished, [group], "inner", small=small).where(~F.array_contains("_keys", F.col(key)))
+        best = top_k(met.withColumn("_far", closest).drop("_picks", "_keys"), [group], order, candidates)
         block = best.join(room, group).groupBy(group).applyInPandas(_greedy_block(axes, key, candidates), schema)
         fresh = freeze(block.where(F.col("fps_order").isNotNull()))
         if fresh.isEmpty():
