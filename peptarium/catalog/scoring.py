@@ -138,13 +138,24 @@ WORLD_SQL = {
     ),
     "hard_floor": f"0.6 * coalesce({sig_sql(CLASH, 6.0, 0.5)}, 0.0) + 0.4 * coalesce({sig_sql(EPITOPE_RMSD, 1.0, 4.0)}, 0.0)",
 }
+
+
+def floor_of(world: str) -> str:
+    return "overall_rmsd <= 3.0 AND epitope_pae < 8.0" if world == "hard_floor" else "true"
+
+
+def world_sql(world: str) -> str:
+    """The selection of one preset, as a subquery of pool."""
+    return f"""SELECT '{world}' AS world, * EXCLUDE (c, rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, key) AS rn
+  FROM (SELECT *, {WORLD_SQL[world]} AS c FROM pool WHERE {floor_of(world)})) WHERE rn <= 10"""
+
+
 for world in WORLD_SQL:
 
     def world_select(spark, sf, name=world):
         return r6(scoring.score_and_select(pool(spark, sf), comparison_presets()[name], KEY).select("key", "id", "composite"), 8)
 
-    floor = "overall_rmsd <= 3.0 AND epitope_pae < 8.0" if world == "hard_floor" else "true"
-    REGISTRY.add(f"w10_world_{world}", topk_sql(WORLD_SQL[world], 10, where=floor))(world_select)
+    REGISTRY.add(f"w10_world_{world}", topk_sql(WORLD_SQL[world], 10, where=floor_of(world)))(world_select)
 
 
 @REGISTRY.add("w11_topk_per_group", topk_sql(SOFT_BONUS_SQL, 5, "antigen"))
@@ -279,17 +290,14 @@ def score_and_rank(spark, sf):
 
 @REGISTRY.add(
     "a20_world_table",
-    f"""WITH {POOL_SQL}, s AS (SELECT *, {ranked_sql()} AS ca, {WORLD_SQL["softgate"]} AS cb FROM pool),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ca DESC, key) AS ra, row_number() OVER (PARTITION BY id ORDER BY cb DESC, key) AS rb FROM s),
-w AS (SELECT 'percentile' AS world, * FROM r WHERE ra <= 10 UNION ALL SELECT 'softgate', * FROM r WHERE rb <= 10),
+    f"""WITH {POOL_SQL}, w AS ({' UNION ALL '.join(world_sql(w) for w in WORLD_SQL)}),
 z AS (SELECT *, unnest([id::VARCHAR, '*']) AS scope FROM w)
 SELECT world, scope, count(*) AS n, round(quantile_cont(af3_n_clash_res, 0.5), 7) AS median_af3_n_clash_res,
   round(quantile_cont(epitope_chunk_rmsd, 0.5), 7) AS median_epitope_chunk_rmsd, round(quantile_cont(overall_rmsd, 0.5), 7) AS median_overall_rmsd,
   round(quantile_cont(epitope_pae, 0.5), 7) AS median_epitope_pae FROM z GROUP BY world, scope""",
 )
 def world_table(spark, sf):
-    worlds = comparison_presets()
-    return r6(stats.world_table(pool(spark, sf), {w: worlds[w] for w in ("percentile", "softgate")}, KEY), 7)
+    return r6(stats.world_table(pool(spark, sf), comparison_presets(), KEY), 7)
 
 
 @REGISTRY.add(

@@ -56,6 +56,24 @@ def split_summary(spark, sf):
     return r6(out, 7).withColumns({c: F.round(c, 6) for c in ("rate_total", "rate_valid")})
 
 
+HOLED_SQL = "CASE WHEN island_index % 3 <> 0 THEN island_index % 3 END"
+
+
+def _holed(spark, sf):
+    """The pool with a group column that is null for a third of the rows."""
+    return pool(spark, sf).withColumn("grp", F.when(F.col("island_index") % 3 != 0, F.col("island_index") % 3))
+
+
+@REGISTRY.add(
+    "a3_split_summary_null_group",
+    f"""WITH {POOL_SQL}, h AS (SELECT *, {HOLED_SQL} AS grp FROM pool) SELECT grp, count(*) AS n_total, count(*) FILTER ({VALID_SQL}) AS n_valid,
+  count(*) FILTER ({NEAR_SQL}) AS n_pass, round(quantile_cont(epitope_pae, 0.5), 7) AS median_epitope_pae FROM h GROUP BY grp""",
+)
+def split_summary_null_group(spark, sf):
+    out = stats.split_summary(_holed(spark, sf), "grp", ["epitope_pae"], NEAR)
+    return r6(out.select("grp", "n_total", "n_valid", "n_pass", "median_epitope_pae"), 7)
+
+
 GATE_SQL = f"""{POOL_SQL}, g AS (SELECT id, island_index, count(*) AS n_designs, count(*) FILTER (epitope_pae <= 0.5) AS n_gated,
   min_by(af3_n_clash_res, key) AS island_size FROM pool GROUP BY id, island_index)"""
 
@@ -171,6 +189,17 @@ def auc(spark, sf):
     return r6(stats.auc(pool(spark, sf), "af3_n_clash_res", "label"))
 
 
+@REGISTRY.add(
+    "a11_auc_null_group",
+    f"""WITH {POOL_SQL}, v AS (SELECT {HOLED_SQL} AS grp, af3_n_clash_res AS s, label AS l FROM pool WHERE af3_n_clash_res IS NOT NULL),
+k AS (SELECT *, {AUC_RANKS.format(p='PARTITION BY grp ', g='grp, ')} AS r FROM v)
+SELECT grp, count(*) FILTER (l) AS n_pos, count(*) FILTER (NOT l) AS n_neg,
+  round((sum(r) FILTER (l) - count(*) FILTER (l) * (count(*) FILTER (l) + 1) / 2.0) / (count(*) FILTER (l) * count(*) FILTER (NOT l)), 6) AS auc FROM k GROUP BY grp""",
+)
+def auc_null_group(spark, sf):
+    return r6(stats.auc(_holed(spark, sf), "af3_n_clash_res", "label", ["grp"]))
+
+
 @REGISTRY.add(
     "a12_sweep_report",
     f"""WITH {POOL_SQL}, v AS (SELECT island_index, epitope_pae AS s, label AS l FROM pool WHERE epitope_pae IS NOT NULL),
