@@ -6,8 +6,8 @@ one packed string (its words joined by a space) to the bucket of that minimiser,
 meet. There the windows are sorted by hash, equal neighbours are compared word for word, and every window
 but the first in (doc_id, start) order is reported, as runs of starts.
 
-Map tasks first fold equal packed strings of their batch, so that a passage in a third of all documents
-sends one string per batch; later copies inside the batch are reported at once. A minimiser that heads
+Map tasks collect their strings in an outbox and fold equal ones, so that a passage in a third of all
+documents sends one string per outbox; later copies are reported at once. A minimiser that heads
 more than ``HOT_SHARE`` of the windows of some batch is hot: its windows leave their string and are dealt by
 their own hash instead, so that one bucket never holds all contexts of a common phrase. Which minimisers are
 hot changes only where windows meet, not the result.
@@ -19,24 +19,25 @@ whole and windows are judged on the input.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptarium.llm.common import Words, id_key, partitions, run_hashes, slices, stored
+from peptarium.llm.common import SPACE, Words, id_key, partitions, run_hashes, slices
 
 WINDOW = 20
-MINIMISER = 5
+MINIMISER = 3
 HOT_SHARE = 1 / 500
 HOT_LIST = 20_000
-MAP_BYTES = 8 << 20
+MAP_BYTES = 2 << 20
+OUTBOX_BYTES = 48 << 20
 BUCKETS_PER_PARTITION = 4
-_HOT_LIST_SALT = np.uint64(0x5851F42D4C957F2D)
+_HOT_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,10 +81,9 @@ def packed_words(words: Words) -> tuple[bytes, np.ndarray]:
     places = np.zeros(len(words) + 1, np.int64)
     np.cumsum(sizes + 1, out=places[1:])
     out = np.full(int(places[-1]), 0x20, np.uint8)
-    source = np.repeat(words.starts - places[:-1], sizes + 1) + np.arange(int(places[-1]))
-    last = np.zeros(int(places[-1]), bool)
-    last[places[1:] - 1] = True
-    out[~last] = words.data[source[~last]]
+    letters = np.ones(int(places[-1]), bool)
+    letters[places[1:] - 1] = False
+    out[letters] = words.data[~SPACE[words.data]]
     return out.tobytes(), places
 
 
@@ -110,57 +110,79 @@ def hot_minimisers(docs: DataFrame, share: float = HOT_SHARE) -> np.ndarray:
 _HEAD = np.dtype([("id", "<i8"), ("row", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
 
 
-def _send(words: Words, ids: np.ndarray, rows: np.ndarray, hot: np.ndarray, buckets: int):
-    """(bucket, block) records and the windows already known to repeat, for one map batch."""
-    s = Stretches(words)
-    text, places = packed_words(words)
-    start, windows, key, owner = s.start, s.windows, s.key, s.text
-    if len(hot) and len(start):
-        is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-        if is_hot.any():  # hot ones travel window by window, by the hash of the whole window
-            first, many = start[is_hot], windows[is_hot]
-            each = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
-            start = np.concatenate([start[~is_hot], each])
-            windows = np.concatenate([windows[~is_hot], np.ones(len(each), np.int64)])
-            owner = np.concatenate([owner[~is_hot], np.repeat(owner[is_hot], many)])
-            key = np.concatenate([key[~is_hot], run_hashes(s.h, WINDOW)[each] ^ _HOT_LIST_SALT])
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    begin, end = places[start], places[start + windows + WINDOW - 1] - 1
-    rank = np.lexsort((start - words.first[owner], rows[owner], ids[owner])) if len(start) else start
-    blocks: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-    known: dict[bytes, tuple[int, int]] = {}
-    late: list[tuple[int, int, int]] = []
-    local = start - words.first[owner]
-    for i in rank.tolist():
-        string = text[begin[i] : end[i]]
-        place = (int(ids[owner[i]]), int(local[i]))
-        first = known.setdefault(string, place)
-        if first is not place and first != place:
-            late.append((int(owner[i]), place[1], int(windows[i])))
-            continue
-        heads, strings = blocks[int(bucket[i])]
-        heads.append((place[0], int(rows[owner[i]]), place[1], int(windows[i]), len(string)))
-        strings.append(string)
-    for b, (heads, strings) in blocks.items():
-        raw = np.array(heads, _HEAD).tobytes() + b"".join(strings)
-        yield b, len(heads), zlib.compress(raw, 1)
-    yield from ((-1, o, (a, n)) for o, a, n in late)
+class Outbox:
+    """Strings on their way, by bucket, folding equal ones; flushed at ``OUTBOX_BYTES``."""
+
+    def __init__(self, hot: np.ndarray, buckets: int):
+        self.hot, self.buckets = hot, buckets
+        self._empty()
+
+    def _empty(self) -> None:
+        self.blocks: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        self.known: dict[bytes, tuple[int, int]] = {}
+        self.bytes = 0
+
+    def add(self, words: Words, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Takes a piece in; returns (_id, _row, start, n) of windows already known to repeat."""
+        s = Stretches(words)
+        text, places = packed_words(words)
+        start, windows, key, owner = s.start, s.windows, s.key, s.text
+        hot = self.hot
+        if len(hot) and len(start):
+            is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+            if is_hot.any():  # hot ones travel window by window, by the hash of the whole window
+                first, many = start[is_hot], windows[is_hot]
+                each = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+                start = np.concatenate([start[~is_hot], each])
+                windows = np.concatenate([windows[~is_hot], np.ones(len(each), np.int64)])
+                owner = np.concatenate([owner[~is_hot], np.repeat(owner[is_hot], many)])
+                key = np.concatenate([key[~is_hot], run_hashes(s.h, WINDOW)[each] ^ _HOT_SALT])
+        bucket = (key % np.uint64(self.buckets)).astype(np.int64)
+        begin, end = places[start], places[start + windows + WINDOW - 1] - 1
+        local = start - words.first[owner]
+        late = []
+        for b, x, y, i, row, at, n in zip(
+            *(v.tolist() for v in (bucket, begin, end, ids[owner], rows[owner], local, windows)), strict=True
+        ):
+            string = text[x:y]
+            first = self.known.setdefault(string, (i, at))
+            if first < (i, at):
+                late.append((i, row, at, n))
+                continue
+            self.known[string] = (i, at)  # an earlier one sent later: the bucket sees both
+            heads, strings = self.blocks[b]
+            heads.append((i, row, at, n, y - x))
+            strings.append(string)
+            self.bytes += y - x
+        return late
+
+    def flush(self, least: int = 0) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, strings in it, compressed block), if there are ``least`` bytes."""
+        if self.bytes < least:
+            return
+        for b, (heads, strings) in self.blocks.items():
+            yield b, len(heads), zstandard.compress(np.array(heads, _HEAD).tobytes() + b"".join(strings), 3)
+        self._empty()
 
 
 def travel(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, n, block for buckets; bucket -1 has windows known to repeat: _id, _row, start, n."""
+    """bucket, n, block; or, for windows already known to repeat, any bucket with _id, _row, start, n."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, limit=MAP_BYTES):
-            ids, rows = piece.column("_id").to_numpy(), piece.column("_row").to_numpy()
-            out = []
-            for b, n, what in _send(Words(piece.column("text")), ids, rows, shared.value, buckets):
-                out.append((b, n, what, None, None, None) if b >= 0 else (-1, what[1], None, int(ids[n]), int(rows[n]), what[0]))
+        box = Outbox(shared.value, buckets)
+
+        def rows_of(sent: list[tuple]) -> pa.RecordBatch:
             names = ["bucket", "n", "block", "_id", "_row", "start"]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            columns = list(zip(*sent, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+        for piece in slices(batches):
+            late = box.add(Words(piece.column("text")), piece.column("_id").to_numpy(), piece.column("_row").to_numpy())
+            yield rows_of([(row % buckets, n, None, i, row, at) for i, row, at, n in late])
+            yield rows_of([(*block, None, None, None) for block in box.flush(OUTBOX_BYTES)])
+        yield rows_of([(*block, None, None, None) for block in box.flush()])
 
     return keyed(docs).mapInArrow(run, "bucket bigint, n bigint, block binary, _id bigint, _row bigint, start bigint")
 
@@ -173,7 +195,7 @@ def _later_windows(blocks: list[bytes]) -> list[tuple[int, int, int, int]]:
     """(_id, _row, start, n) of windows of one bucket that are not the first of their kind."""
     ids, rows, starts, hashes, sources, firsts, datas, places_of = [], [], [], [], [], [], [], []
     for block in blocks:
-        raw = zlib.decompress(block[8:])
+        raw = zstandard.decompress(block[8:])
         count = int.from_bytes(block[:8], "little")
         heads = np.frombuffer(raw, _HEAD, count)
         text = raw[count * _HEAD.itemsize :]
@@ -230,32 +252,36 @@ def later_windows(sent: DataFrame, parts: int) -> DataFrame:
     """_id, _row, start, n: runs of windows that also start earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks = None, []
+        now, blocks, known = None, [], []
 
-        def done() -> pa.RecordBatch:
-            columns = list(zip(*_later_windows(blocks), strict=True)) or [()] * 4
+        def done(found: list) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_id", "_row", "start", "n"])
 
         for batch in batches:
-            for bucket, n, block in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            for bucket, n, block, i, row, start in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "block", "_id", "_row", "start")), strict=True):
+                if block is None:
+                    known.append((i, row, start, n))
+                    continue
                 if bucket != now and blocks:
-                    yield done()
+                    yield done(_later_windows(blocks))
                     blocks = []
                 now = bucket
                 blocks.append(n.to_bytes(8, "little") + block)
+            yield done(known)
+            known = []
         if blocks:
-            yield done()
+            yield done(_later_windows(blocks))
 
-    dealt = sent.where("bucket >= 0").select("bucket", "n", "block").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    known = sent.where("bucket < 0").select("_id", "_row", "start", "n")
-    return dealt.mapInArrow(run, "_id bigint, _row bigint, start bigint, n bigint").union(known)
+    dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "_id bigint, _row bigint, start bigint, n bigint")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), one row per input row."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    sent = stored(travel(docs, hot_minimisers(docs), parts * BUCKETS_PER_PARTITION), "super-k-mers")
+    sent = travel(docs, hot_minimisers(docs), parts * BUCKETS_PER_PARTITION)
     covers = later_windows(sent, parts).groupBy("_id", "_row").agg(F.collect_set(F.struct("start", "n")).alias("covers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
