@@ -11,6 +11,7 @@ from peptarium.functions.keys import stable_hash
 from peptarium.functions.numeric import as_col
 from peptarium.operators.ordering import first_per, row_rank, top_k
 
+# Fixed value: the grammar of a contig token.
 TOKEN = r"^(A?)(\d+)-(\d+)$"
 
 

@@ -428,13 +428,20 @@ def pae_blocks(df: DataFrame, matrix: str = "pae", epitope: str = "epitope_resin
         total = F.aggregate(cells, F.lit(0.0), lambda acc, v: acc + v)
         return F.when(F.size(cells) > 0, total / F.size(cells))
 
-    epi = lambda i: F.array_contains(F.col(epitope), i)
-    return df.withColumns(
-        {
-            "mean_pae": block_mean(lambda i: i >= 0),
-            "epitope_pae": block_mean(epi),
-            "scaffold_pae": block_mean(lambda i: ~epi(i)),
-        }
+    # membership is looked up once per index, not once per cell
+    side = F.greatest(F.size(matrix), F.array_max(F.transform(matrix, F.size)), F.lit(1))
+    member = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.array_contains(F.col(epitope), i))
+    epi = lambda i: F.get("_member", i)
+    return (
+        df.withColumn("_member", member)
+        .withColumns(
+            {
+                "mean_pae": block_mean(lambda i: i >= 0),
+                "epitope_pae": block_mean(epi),
+                "scaffold_pae": block_mean(lambda i: ~epi(i)),
+            }
+        )
+        .drop("_member")
     )
 
 

@@ -198,6 +198,7 @@ SHIPPED = {
     "af3_n_clash_res": "af3_clashes",
     "cylinder_native_aware": "cylinder_clashes",
 }
+# The output columns of the library table.
 IDENTITY_COLS = ("sequence", "category", "model", "designedSequence", "designedSequenceLength", "design_ID", "target")
 EXTRA_COLS = ("composite", "rank_in_group", "is_global_pass", "island_index")
 LIBRARY_TYPES = {
