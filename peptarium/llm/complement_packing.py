@@ -29,7 +29,7 @@ from peptarium.llm.common import id_key, id_of, slices, stored
 
 CAPACITY = 2048
 END_ID = 0
-CACHE = 300_000
+CACHE = 600_000
 SALTS = 1024
 
 
@@ -82,9 +82,9 @@ class TokenBytes:
             else:
                 rest.append(w)
         out = dict(zip(rest, self._each([w.decode() for w in rest]), strict=True))
-        cores, tails = list({c for c, _ in parts.values()}), list({t for _, t in parts.values()} - {""})
+        core_ids = {c: self.known.get(c.encode()) for c, _ in parts.values()}  # often known without the punctuation
+        cores, tails = [c for c, ids in core_ids.items() if ids is None], list({t for _, t in parts.values()} - {""})
         tail_ids = dict(zip(["", *tails], [b"", *self._each(tails)], strict=True))
-        core_ids: dict[str, bytes] = {}
         for k in range(0, len(cores), 1000):
             some = cores[k : k + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
