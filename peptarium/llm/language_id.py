@@ -30,7 +30,7 @@ from peptarium.llm.common import slices
 LONGEST = 5
 SAMPLE_PER_LANG = 5_000
 TOP = 20_000
-CACHE = 200_000
+CACHE = 400_000
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -45,20 +45,62 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """``tables[0]`` is for words, ``tables[n]`` for n-grams: entry to log frequency per language."""
+    """``tables[0]`` is for words, ``tables[n]`` for n-grams: entry to row of ``rows[n]``, log frequencies per language."""
 
     langs: list[str]
-    tables: list[dict[str, np.ndarray]]
-
-    def score_word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            found = [v for v in map(self.tables[n].get, grams(word, n)) if v is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+    tables: list[dict[str, int]]
+    rows: list[np.ndarray]
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """One row per word: its own log frequencies, else the mean over its longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.langs)))
+        own = self.tables[0]
+        found: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(LONGEST + 1)]  # word, first gram, gram rows
+        for k, word in enumerate(words):
+            row = own.get(word)
+            if row is not None:
+                found[0][0].append(k)
+                found[0][2].append(row)
+                continue
+            marked = f"_{word}_"
+            for n in range(min(LONGEST, len(marked)), 0, -1):
+                table = self.tables[n]
+                hits = [r for i in range(len(marked) - n + 1) if (r := table.get(marked[i : i + n])) is not None]
+                if hits:
+                    at, first, flat = found[n]
+                    at.append(k)
+                    first.append(len(flat))
+                    flat += hits
+                    break
+        if found[0][0]:
+            out[found[0][0]] = self.rows[0][found[0][2]]
+        for n, (at, first, flat) in enumerate(found):
+            if n and at:
+                sizes = np.diff([*first, len(flat)])
+                out[at] = np.add.reduceat(self.rows[n][flat].astype(np.float64), first) / sizes[:, None]
+        return out
+
+
+class Scorer:
+    """Scores of words met before, kept from piece to piece and task to task in a Python worker."""
+
+    def __init__(self, model: Model, size: int = CACHE):
+        self.model, self.size = model, size
+        self.place: dict[str, int] = {}
+        self.known = np.zeros((0, len(model.langs)))
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Summed scores of each text's words; no text may be empty."""
+        if len(self.place) > self.size:
+            self.place, self.known = {}, self.known[:0]
+        fresh = list({w for words in texts for w in words if w not in self.place})
+        self.place.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.known = np.concatenate([self.known, self.model.score_words(fresh)])
+        flat = np.fromiter(map(self.place.__getitem__, (w for words in texts for w in words)), np.int64)
+        return np.add.reduceat(self.known[flat], np.cumsum([0, *map(len, texts)])[:-1])
+
+
+_scorers: dict[int, Scorer] = {}
 
 
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
@@ -107,11 +149,11 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, top: int = TOP) -> M
     for lang, n, entry, k in zip(*(rows.column(c).to_pylist() for c in ("lang", "n", "entry", "k")), strict=True):
         counted[n].setdefault(entry, np.zeros(len(langs), np.float32))[place[lang]] = k
         totals[n, place[lang]] += k
-    for n, entries in enumerate(counted):
-        size = totals[n] + 0.5 * len(entries)
-        for entry, k in entries.items():
-            entries[entry] = np.log((k + 0.5) / size).astype(np.float32)
-    return Model(langs, counted)
+    logs = [
+        np.log((np.array(list(entries.values()), float).reshape(len(entries), len(langs)) + 0.5) / (totals[n] + 0.5 * len(entries))).astype(np.float32)
+        for n, entries in enumerate(counted)
+    ]
+    return Model(langs, [{entry: k for k, entry in enumerate(entries)} for entries in counted], logs)
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
@@ -119,26 +161,22 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        model = shared.value
+        if id(model) not in _scorers:
+            _scorers.clear()
+            _scorers[id(model)] = Scorer(model)
+        scorer = _scorers[id(model)]
         for piece in slices(batches):
-            names, scores = [], []
-            for text in piece.column("text").to_pylist():
-                words = words_in(text)
-                if not words or not model.langs:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(model.langs))
-                for w, k in Counter(words).items():
-                    got = cache.get(w)
-                    if got is None:
-                        got = cache[w] = model.score_word(w)
-                    total += k * got
-                best = int(np.argmax(total))
-                names.append(model.langs[best])
-                scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-                if len(cache) > CACHE:
-                    cache.clear()
+            words = [words_in(t) for t in piece.column("text").to_pylist()]
+            names, scores = ["und"] * len(words), np.zeros(len(words))
+            full = [i for i, w in enumerate(words) if w and model.langs]
+            if full:
+                total = scorer.totals([words[i] for i in full])
+                best = total.argmax(axis=1)
+                top = total[np.arange(len(full)), best]
+                scores[full] = 1 / np.exp(np.maximum(total - top[:, None], -700)).sum(axis=1)
+                for i, k in zip(full, best.tolist(), strict=True):
+                    names[i] = model.langs[k]
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],

@@ -249,11 +249,16 @@ def test_held_out_rows_are_not_learned_from(spark):
 
 
 def test_backoff_goes_to_shorter_grams():
-    five = {"_abcd": np.array([-1.0, -2.0])}
-    two = {"xy": np.array([-3.0, -1.0])}
-    model = language_id.Model(["a", "b"], [{"known": np.array([-5.0, -6.0])}, {}, two, {}, {}, five])
-    assert model.score_word("known").tolist() == [-5, -6] and model.score_word("abcd").tolist() == [-1, -2]
-    assert model.score_word("qxyq").tolist() == [-3, -1] and model.score_word("zz").tolist() == [0, 0]
+    tables = [{"known": 0}, {}, {"xy": 0}, {}, {}, {"_abcd": 0, "abcd_": 1}]
+    empty = np.zeros((0, 2))
+    rows = [np.array([[-5.0, -6.0]]), empty, np.array([[-3.0, -1.0]]), empty, empty, np.array([[-1.0, -2.0], [-3.0, -4.0]])]
+    model = language_id.Model(["a", "b"], tables, rows)
+    words = ["known", "abcd", "qxyq", "zz", "abcdz"]
+    assert model.score_words(words).tolist() == [[-5, -6], [-2, -3], [-3, -1], [0, 0], [-1, -2]]
+    assert model.score_words([]).shape == (0, 2)
+    scorer = language_id.Scorer(model, size=2)
+    for _ in range(3):  # also when the cache is full and starts again
+        assert scorer.totals([["known", "zz", "known"], ["abcd"], ["qxyq", "abcdz"]]).tolist() == [[-10, -12], [-2, -3], [-4, -3]]
 
 
 # --- personal data
