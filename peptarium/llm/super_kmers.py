@@ -35,7 +35,7 @@ MINIMISER = 3
 HOT_SHARE = 1 / 500
 HOT_LIST = 20_000
 MAP_BYTES = 2 << 20
-OUTBOX_BYTES = 48 << 20
+OUTBOX_BYTES = 24 << 20
 BUCKETS_PER_PARTITION = 4
 _HOT_SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -147,7 +147,10 @@ class Outbox:
             string = text[x:y]
             first = self.known.setdefault(string, (i, at))
             if first < (i, at):
-                late.append((i, row, at, n))
+                if late and late[-1][:2] == (i, row) and late[-1][2] + late[-1][3] == at:
+                    late[-1] = (i, row, late[-1][2], late[-1][3] + n)  # the next stretch of one long repeat
+                else:
+                    late.append((i, row, at, n))
                 continue
             self.known[string] = (i, at)  # an earlier one sent later: the bucket sees both
             heads, strings = self.blocks[b]
@@ -180,7 +183,7 @@ def travel(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
         for piece in slices(batches):
             late = box.add(Words(piece.column("text")), piece.column("_id").to_numpy(), piece.column("_row").to_numpy())
-            yield rows_of([(row % buckets, n, None, i, row, at) for i, row, at, n in late])
+            yield rows_of([(i % buckets, n, None, i, row, at) for i, row, at, n in late])
             yield rows_of([(*block, None, None, None) for block in box.flush(OUTBOX_BYTES)])
         yield rows_of([(*block, None, None, None) for block in box.flush()])
 
