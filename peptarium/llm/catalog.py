@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from peptarium.llm import (
     bbit_minhash,
+    bit_whitening,
     complement_packing,
     language_id,
     line_runs,
     mixing,
     pii_crf,
+    rendezvous,
     rule_ledger,
     scaled_sketch,
+    spill_alignment,
     super_kmers,
     warc_index,
 )
@@ -33,10 +36,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query(
@@ -185,3 +188,40 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in pii_crf.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
+
+
+@query("op11_bit_sliced_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_rendezvous_shards",
+    r"""
+WITH crc AS (
+  SELECT list(list_reduce([n] || range(1, 9), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size,
+         xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc
+), race AS (
+  SELECT r, s, -ln((('0x' || substr(md5(k || ':' || s), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) AS time
+  FROM (SELECT r, k, unnest(range(9)) AS s FROM d)
+), won AS (
+  SELECT r, arg_min(s, time) FILTER (s < 8) AS shard, arg_min(s, time) AS grown_shard FROM race GROUP BY r
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+FROM d JOIN won USING (r)
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendezvous.shard_records(table(spark, sf_dir, "documents")).withColumn("law", F.lit("key"))
+
+
+@query("op13_spill_counting")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spill_alignment.alignment_report(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
