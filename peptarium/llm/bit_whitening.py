@@ -198,7 +198,7 @@ def fit(df: DataFrame, column: str = "embedding", components: int = COMPONENTS)
 
 def centred(x: np.ndarray, model: Whitening) -> np.ndarray:
     """n * x - S, exact: longs where they hold it with room to square and add, else Python integers."""
-    reach = model.n * (int(x.max()) if x.max() > -x.min() else -int(x.min())) + max(abs(int(s)) for s in model.sums)
+    reach = model.n * max(int(x.max()), -int(x.min())) + max(abs(int(s)) for s in model.sums)
     if x.shape[1] * reach * reach < 2**63:
         return model.n * x - model.sums.astype(np.int64)
     return model.n * x.astype(object) - model.sums

@@ -15,9 +15,9 @@ Runs and levels are tables in the shared folder; a lost executor costs its tasks
 document is gathered in one place: a hot pair is one entry per chunk, a hot B id at most one entry per
 A id in a merge.
 
-Both tokenizers treat a word and the space before it apart from the rest (checked for the given files),
-so words are encoded and aligned once and remembered, the latest ``REMEMBERED`` of them or more. Texts are
-encoded whole where that does not hold.
+Both tokenizers treat a word and the space before it apart from the rest (checked for the given files), so
+very long texts are encoded in segments that end before a word. Where that does not hold they are encoded
+whole.
 
 Defined cases: texts that are null or empty, or that a tokenizer does not give back byte for byte, have no
 tokens, all counts 0 and an empty digest; long texts take part whole; rows that repeat an id or a text are
@@ -30,6 +30,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,8 +46,9 @@ BUCKETS = 32
 CHUNK_BYTES, CHUNK_DOCS = 1 << 24, 1 << 14
 FAN_IN = 64
 FRAME = 1 << 13
-REMEMBERED = 200_000
-LONG_WORD = 64
+A_BITS = 24  # a pair of ids is b << A_BITS | a; with the place in a chunk it fits a long
+SEGMENT = 1 << 16
+CUT = re.compile(r"(?<=\S) (?=\S)")
 
 _POINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _POINTS} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _POINTS)}
@@ -67,9 +69,20 @@ class TokenPair:
         names_a = {i: t for t, i in self.a.get_vocab().items()}
         self.bytes_a = [self._level(names_a.get(i, "")) for i in range(max(names_a) + 1)]
         self.bytes_b = [self._piece(i) for i in range(size_b)]
-        self.ends_a = np.array([len(x) for x in self.bytes_a])
-        self.ends_b = np.array([len(x) for x in self.bytes_b])
-        self.by_words = self._plain_a(path_a) and self._plain_b(size_b)
+        self.table_a, self.table_b = self._table(self.bytes_a), self._table(self.bytes_b)
+        self.names = [f"{i}{end}" for side, last in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(side)) for end in (",", last)]
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        if max(len(self.bytes_a), size_b) >= 1 << A_BITS:
+            raise ValueError(f"a vocabulary has more than 2**{A_BITS} tokens")
+        plain = self._plain_a(spec)
+        self.fast_a = self._ranked(spec) if plain else None
+        self.by_words = plain and self._plain_b(size_b)
+
+    @staticmethod
+    def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in tokens], np.int64)
+        return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
 
     @staticmethod
     def _level(token: str) -> bytes:
@@ -82,10 +95,8 @@ class TokenPair:
         return piece.replace("▁", " ").encode()
 
     @staticmethod
-    def _plain_a(path: str) -> bool:
+    def _plain_a(spec: dict) -> bool:
         """No normalizer, and byte-level words that begin at a space."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
@@ -95,73 +106,106 @@ class TokenPair:
         probe = "a  b½ Ａé 　x "
         return not any("▁" in p.lstrip("▁") for p in pieces) and self.b.decode(self.b.encode(probe)) == probe
 
-    def words(self, text: str) -> list[str]:
-        """Pieces of ``text`` whose joins by one space are the text, each of which is coded by itself.
+    def segments(self, text: str) -> list[str]:
+        """Pieces of ``text`` that join to it by one space, each coded by itself; only long texts have several.
 
-        A cut needs a single space with no white space of any kind beside it.
+        A cut needs a single space with no white space of any kind beside it: there a word of A begins, and no
+        piece of B goes across.
         """
-        if not self.by_words:
-            return [text]
-        words = text.split(" ")
-        if all(words) and len(text.split()) == len(words):
-            return words  # no other white space
-        out = [words[0]]
-        for w in words[1:]:
-            if w and not w[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(w)
-            else:
-                out[-1] += " " + w
-        return out
-
-    def align(self, words: list[str]) -> list[tuple]:
-        """Per word (groups as text, n_a, n_b, pairs as (b << 32 | a) of its links); None if bytes differ."""
-        out: list = []
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        ids_b = self.b.encode(words, num_threads=1)
-        for word, a, b in zip(words, ids_a, ids_b, strict=True):
-            raw = (" " + word).encode()
-            if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-                out.append(None)
-                continue
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            ends_a, ends_b = np.cumsum(self.ends_a[a]), np.cumsum(self.ends_b[b])
-            _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            cut_a, cut_b = [0, *(at_a + 1).tolist()], [0, *(at_b + 1).tolist()]
-            text_a, text_b = a.astype(str).tolist(), b.astype(str).tolist()
-            groups = ";".join(
-                ",".join(text_a[p:q]) + "|" + ",".join(text_b[r:s])
-                for p, q, r, s in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True)
-            )
-            out.append((groups, len(a), len(b), b[at_b] << 32 | a[at_a]))
-        return out
-
-
-class Aligner:
-    """Alignments of words, remembered for two generations."""
-
-    def __init__(self, pair: TokenPair, size: int = REMEMBERED):
-        self.pair, self.size = pair, size
-        self.new: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
-
-    def of(self, texts: list[list[str]]) -> dict[str, tuple | None]:
-        """The alignment of every word of these texts."""
-        distinct = {w for words in texts for w in words}
-        fresh = distinct.difference(self.new)
-        known = {w: self.old[w] for w in fresh if w in self.old}
-        unseen = [w for w in fresh if w not in known]
-        known.update(zip(unseen, self.pair.align(unseen), strict=True))
-        self.new.update((w, x) for w, x in known.items() if len(w) <= LONG_WORD)
-        found = {w: known[w] if w in known else self.new[w] for w in distinct}
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
-        return found
+        out, at = [], 0
+        while self.by_words and len(text) - at > SEGMENT:
+            cut = CUT.search(text, at + SEGMENT)
+            if cut is None:
+                break
+            out.append(text[at : cut.start()])
+            at = cut.end()
+        return [*out, text[at:]]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Flat A ids and B ids of all texts, and how many of each a text has."""
+        parts = [self.segments(t) if t else [] for t in texts]
+        n = np.array([len(p) for p in parts], np.int64)
+        flat = [x for p in parts for x in p]
+        out = []
+        for ids in ([self._code_a(" " + x) for x in flat], self.b.encode(flat, num_threads=1) if flat else []):
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+            ends = np.cumsum(n)
+            joined = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)])
+            out += [joined.astype(np.int64), sizes[ends] - sizes[ends - n]]
+        return out[0], out[2], out[1], out[3]
+
+    def _code_a(self, text: str) -> list[int]:
+        if self.fast_a is not None:
+            return self.fast_a.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def _ranked(self, spec: dict):
+        """A faster coder with the same merges, where ids rank them and words are split the usual way; else None.
+
+        In a vocabulary made by merging, two tokens that lie side by side and spell a third are its own merge.
+        """
+        import public_tokenizers
+        import tiktoken
+
+        vocab, merges = spec["model"]["vocab"], spec["model"].get("merges", [])
+        first = len(vocab) - len(merges) - len([t for t in spec.get("added_tokens", []) if t["content"] in vocab])
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        if first != 256 or any(vocab.get(x + y) != first + k for k, (x, y) in enumerate(pairs)):
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(first + len(merges))}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def spell(self, ids: np.ndarray, table: tuple) -> np.ndarray:
+        """The bytes of these tokens one after another."""
+        data, first, size = table
+        sizes = size[ids]
+        return data[np.repeat(first[ids] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+    def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """Per text (n_a, n_b, n_links, digest of its groups); the pairs (B id, A id) of all links, and their texts."""
+        a, b, n_a, n_b = self.encode(texts)
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+        bytes_a, bytes_b = self.table_a[2][a], self.table_b[2][b]
+        own = np.repeat(np.arange(len(texts)), n_a)
+        size = np.array([len(x) for x in raw], np.int64)
+        good = size > 0
+        for ids, counts, sizes, table in ((a, n_a, bytes_a, self.table_a), (b, n_b, bytes_b, self.table_b)):
+            sums = np.concatenate([[0], np.cumsum(sizes)])
+            ends = np.cumsum(counts)
+            spelled, first = self.spell(ids, table).tobytes(), sums[ends - counts].tolist()
+            good &= np.array([spelled[p : p + len(x)] == x for p, x in zip(first, raw, strict=True)], bool) & (sums[ends] - sums[ends - counts] == size)
+        if not good.all():  # texts that do not come back have no tokens
+            a, b = a[good[own]], b[np.repeat(good, n_b)]
+            n_a, n_b, own = n_a * good, n_b * good, own[good[own]]
+        ends_a, ends_b = np.cumsum(self.table_a[2][a]), np.cumsum(self.table_b[2][b])
+        at_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True, kind="table"))
+        at_b = np.searchsorted(ends_b, ends_a[at_a])
+        # tokens in the order of the digest: A ids, then B ids of each group, each with what follows it
+        sizes_a, sizes_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+        n_links = np.bincount(own[at_a], minlength=len(texts))
+        order = np.empty(len(a) + len(b), np.int64)
+        name = 2 * a
+        name[at_a] += 1
+        order[np.arange(len(a)) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)] = name
+        name = 2 * b
+        name[at_b] += 1
+        order[np.arange(len(b)) + np.repeat(np.cumsum(sizes_a), sizes_b)] = name + 2 * len(self.bytes_a)
+        names = self.names
+        words, at, out = order.tolist(), 0, []
+        for k, (x, y, links) in enumerate(zip(n_a.tolist(), n_b.tolist(), n_links.tolist(), strict=True)):
+            digest = ""
+            if links:
+                text = "".join([names[w] for w in words[at : at + x + y]])
+                digest = hashlib.sha256(text[:-1].encode()).hexdigest()
+                at += x + y
+            out.append((x, y, links, digest))
+        return out, b[at_b] << A_BITS | a[at_a], own[at_a]
 
 
 @cache
-def _aligner(path_a: str, path_b: str) -> Aligner:
+def _pair(path_a: str, path_b: str) -> TokenPair:
     """One per Python worker, kept from task to task."""
-    return Aligner(TokenPair(path_a, path_b))
+    return TokenPair(path_a, path_b)
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -201,20 +245,30 @@ class Chunk:
 
     def __init__(self, name: int):
         self.name, self.docs, self.bytes = name, 0, 0
-        self.pairs: list[np.ndarray] = []
+        self.pairs: list[np.ndarray] = []  # of every link
         self.held: list[np.ndarray] = []
 
+    def add(self, pairs: np.ndarray, texts: np.ndarray) -> None:
+        """Take the links of the next documents."""
+        self.pairs.append(pairs)
+        self.held.append((self.docs + texts).astype(np.uint16))
+
     def runs(self) -> list[tuple[int, list[bytes], bytes]]:
         """(bucket, count run, document run) for every bucket with records."""
         if not self.pairs:
             return []
-        names, place = np.unique(np.concatenate(self.pairs), return_inverse=True)
-        key = place.astype(np.int64) * CHUNK_DOCS + np.concatenate(self.held)
-        key, times = np.unique(key, return_counts=True)
-        place, doc = key // CHUNK_DOCS, (key % CHUNK_DOCS).astype(np.uint16)
+        key = np.concatenate(self.pairs) * CHUNK_DOCS + np.concatenate(self.held)
+        key.sort()
+        if not len(key):
+            return []
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[first], np.diff(first, append=len(key))
+        pair, doc = key // CHUNK_DOCS, (key % CHUNK_DOCS).astype(np.uint16)
+        starts = np.diff(pair, prepend=-1) != 0
+        names, place = pair[starts], np.cumsum(starts) - 1
         totals = np.bincount(place, times, len(names)).astype(np.int64)  # far below 2**53 in a chunk
         sizes = np.bincount(place, minlength=len(names))
-        bucket = (names >> 32) % BUCKETS
+        bucket = (names >> A_BITS) % BUCKETS
         out = []
         for k in np.unique(bucket).tolist():
             own = bucket == k
@@ -236,7 +290,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Two kinds of rows from one pass: a document's own columns, or (``bucket`` set) the run of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, first = _aligner(path_a, path_b), TaskContext.get().partitionId() << 32
+        pair, first = _pair(path_a, path_b), TaskContext.get().partitionId() << 32
         chunk = Chunk(first)
 
         def rows(local: list, ids: list, own: list[tuple], spilled: list[tuple]) -> pa.RecordBatch:
@@ -261,19 +315,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             while at < piece.num_rows:
                 take = min(piece.num_rows - at, CHUNK_DOCS - chunk.docs)
                 ids, texts = piece.column(0).slice(at, take).to_pylist(), piece.column(1).slice(at, take).to_pylist()
-                words = [aligner.pair.words(t) if t else [] for t in texts]
-                known = aligner.of(words)
-                own = []
-                for k, ws in enumerate(words):
-                    got = [known[w] for w in ws]
-                    if not got or None in got:
-                        own.append((0, 0, 0, ""))
-                        continue
-                    groups, n_a, n_b, pairs = zip(*got, strict=True)
-                    links = np.concatenate(pairs)
-                    chunk.pairs.append(links)
-                    chunk.held.append(np.full(len(links), chunk.docs + k, np.int64))
-                    own.append((sum(n_a), sum(n_b), len(links), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+                own, pairs, held = pair.align(texts)
+                chunk.add(pairs, held)
                 yield rows(list(range(chunk.docs, chunk.docs + take)), ids, own, [])
                 chunk.docs += take
                 chunk.bytes += int(sizes[at : at + take].sum())
@@ -343,7 +386,7 @@ def pair_counts(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 def _highest(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Whether each pair of a whole bucket has the highest count of its B id; pairs are in B-major order."""
-    starts = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
+    starts = np.flatnonzero(np.diff(pairs >> A_BITS, prepend=-1))
     return counts == np.repeat(np.maximum.reduceat(counts, starts), np.diff([*starts, len(pairs)]))
 
 

@@ -231,24 +231,33 @@ def test_alignment_query_over_its_whole_table(spark, plain):
     assert Counter(map(tuple, got)) == alignment(plain, rows)
 
 
-def test_words_join_back_and_code_alike():
+def test_segments_join_back_and_code_alike(monkeypatch):
     pair = spill_alignment.TokenPair(A, B)
-    assert pair.by_words
+    assert pair.by_words and pair.fast_a is not None
     rng = random.Random(9)
+    texts = ["".join(rng.choice("ab cE .'s\n0½İé漢▁\x1c　") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    whole = pair.align(texts)
+    monkeypatch.setattr(spill_alignment, "SEGMENT", 3)
+    assert all(" ".join(pair.segments(t)) == t for t in texts) and max(len(pair.segments(t)) for t in texts) > 2
+    cut = pair.align(texts)
+    assert whole[0] == cut[0] and whole[1].tolist() == cut[1].tolist() and whole[2].tolist() == cut[2].tolist()
+
+
+def test_fast_coder_agrees_with_the_tokenizer_file():
+    pair, plain = spill_alignment.TokenPair(A, B), Tokenizer.from_file(A)
+    plain.encode_special_tokens = True
+    rng = random.Random(10)
     for _ in range(3000):
-        text = "".join(rng.choice("ab cE .'s\n0½İé漢▁\x1c　") for _ in range(rng.randrange(1, 20)))
-        words = pair.words(text)
-        assert " ".join(words) == text
-        (whole,), parts = pair.align([text]), pair.align(words)
-        joined = None if None in parts else (";".join(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts))
-        assert joined == (None if whole is None else whole[:3])
+        text = "".join(rng.choice("ab cEthe ing .'s\n0½İé漢ß🙂\x00\x85<|endoftext|>") for _ in range(rng.randrange(1, 40)))
+        assert pair._code_a(text) == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_other_tokenizers_are_coded_whole(tmp_path):
     spec = json.loads(open(A, encoding="utf-8").read())
     spec["normalizer"] = {"type": "Lowercase"}
     (tmp_path / "t.json").write_text(json.dumps(spec))
-    assert not spill_alignment.TokenPair(str(tmp_path / "t.json"), B).by_words
+    pair = spill_alignment.TokenPair(str(tmp_path / "t.json"), B)
+    assert not pair.by_words and pair.fast_a is None and pair.segments("a b " * 100_000) == ["a b " * 100_000]
 
 
 def test_merges_are_exact_in_any_grouping():
