@@ -436,7 +436,65 @@ def extract_metrics(spark, sf):
     return r6(out).withColumns({c: F.round(c, 3) for c in ("overall_rmsd", "epitope_chunk_rmsd")})
 
 
-@REGISTRY.add("g15_extract_metrics_clashes")
+def axis_sql(row: str, value: str) -> str:
+    """The unit eigenvector of a symmetric matrix (xx..yz of ``row``) for ``value``, by the longest cross product."""
+    crosses = [f"[xy*yz - xz*(yy-{value}), xz*xy - (xx-{value})*yz, (xx-{value})*(yy-{value}) - xy*xy]",
+               f"[xy*(zz-{value}) - xz*yz, xz*xz - (xx-{value})*(zz-{value}), (xx-{value})*yz - xy*xz]",
+               f"[(yy-{value})*(zz-{value}) - yz*yz, yz*xz - xy*(zz-{value}), xy*yz - (yy-{value})*xz]"]
+    return f"SELECT *, (SELECT list_transform(k, lambda c: c / sqrt(s)) FROM (SELECT k, k[1]*k[1] + k[2]*k[2] + k[3]*k[3] AS s FROM (SELECT unnest([{', '.join(crosses)}]) AS k)) ORDER BY s DESC LIMIT 1)"
+
+
+def rotation_sql(pairs: str, out: str) -> str:
+    """CTE ``out``: rotation r00..r22 that carries centred p onto centred q, from eigenvectors v of H'H and u = Hv."""
+    h = ", ".join(f"count(*) * covar_pop({p}, {q}) AS h{i}{j}" for i, p in enumerate(("px", "py", "pz")) for j, q in enumerate(("qx", "qy", "qz")))
+    means = ", ".join(f"avg({c}) AS m{c}" for c in ("px", "py", "pz", "qx", "qy", "qz"))
+    g = ", ".join(f"h0{a}*h0{b} + h1{a}*h1{b} + h2{a}*h2{b} AS {n}" for n, a, b in (("xx", 0, 0), ("yy", 1, 1), ("zz", 2, 2), ("xy", 0, 1), ("xz", 0, 2), ("yz", 1, 2)))
+    cross = lambda a, b: f"[{a}[2]*{b}[3] - {a}[3]*{b}[2], {a}[3]*{b}[1] - {a}[1]*{b}[3], {a}[1]*{b}[2] - {a}[2]*{b}[1]]"
+    unit = lambda v: f"list_transform({v}, lambda c: c / sqrt({v}[1]*{v}[1] + {v}[2]*{v}[2] + {v}[3]*{v}[3]))"
+    apply = lambda v: "[" + ", ".join(f"h{i}0*{v}[1] + h{i}1*{v}[2] + h{i}2*{v}[3]" for i in range(3)) + "]"
+    r = ", ".join(f"v1[{i}]*u1[{j}] + v2[{i}]*u2[{j}] + v3[{i}]*u3[{j}] AS r{i - 1}{j - 1}" for i in (1, 2, 3) for j in (1, 2, 3))
+    return f"""{out}_s AS (SELECT design_id, count(*) AS n, {means}, {h} FROM {pairs} GROUP BY design_id HAVING count(*) >= 3),
+{out}_g AS (SELECT *, {g} FROM {out}_s),
+{eig_sql(out + '_g', out + '_e')},
+{out}_1 AS ({axis_sql(out, 'l1')} AS v1 FROM {out}_e),
+{out}_3 AS ({axis_sql(out, 'l3')} AS w3 FROM {out}_1),
+{out}_v AS (SELECT *, {cross('w3', 'v1')} AS v2 FROM {out}_3),
+{out}_w AS (SELECT *, {cross('v1', 'v2')} AS v3, {apply('v1')} AS a1, {apply('v2')} AS a2 FROM {out}_v),
+{out}_u AS (SELECT *, {unit('a1')} AS u1, {unit('a2')} AS u2 FROM {out}_w),
+{out}_x AS (SELECT *, {cross('u1', 'u2')} AS u3 FROM {out}_u),
+{out} AS (SELECT design_id, n, mpx, mpy, mpz, mqx, mqy, mqz, {r} FROM {out}_x)"""
+
+
+def turned_sql(at: str, back: bool = False) -> str:
+    """x, y, z of row alias ``at`` moved by the rotation in row alias ``t``, or back by its transpose."""
+    a, b = ("q", "p") if back else ("p", "q")
+    r = lambda i, j: f"t.r{j}{i}" if back else f"t.r{i}{j}"
+    return ", ".join(f"{' + '.join(f'{r(i, j)}*({at}.{y} - t.m{a}{y})' for j, y in enumerate('xyz'))} + t.m{b}{x} AS {x}" for i, x in enumerate("xyz"))
+
+
+@REGISTRY.add(
+    "g15_extract_metrics_clashes",
+    f"""WITH {BOTH},
+d AS (SELECT vec_id AS design_id, label, label::VARCHAR AS id, vec_id % 20 IN (1, 2, 3) AS out_of_run, CASE WHEN vec_id % 20 = 4 THEN 2 ELSE 0 END AS lo, CASE WHEN vec_id % 20 = 4 THEN 3 ELSE 5 END AS hi FROM embeddings),
+first AS (SELECT label, min(vec_id) AS v FROM embeddings GROUP BY label),
+pred AS (SELECT p.design_id, d.label, res_idx, x*0.9 + y*0.2 AS x, y*1.1 - z*0.1 AS y, z + x*0.15 AS z, res_idx BETWEEN lo AND hi AS is_epitope FROM points p JOIN d USING (design_id) WHERE NOT out_of_run),
+nat AS (SELECT label, res_idx, x, y, z FROM points JOIN first ON design_id = v),
+ab AS (SELECT label, x, y, z FROM mirror JOIN first ON design_id = v WHERE label <> 7),
+ep AS (SELECT design_id, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM pred p JOIN nat q USING (label, res_idx) WHERE is_epitope),
+{rotation_sql('ep', 'rot')}, {frame_sql('pred', 'f')}, {placed_sql('pred', 'f', 'cy')},
+moved AS (SELECT p.design_id, p.label, p.res_idx, {turned_sql('p')} FROM pred p JOIN rot t USING (design_id) WHERE NOT is_epitope),
+hit AS (SELECT m.design_id, count(DISTINCT m.res_idx) AS n FROM moved m JOIN ab q ON m.label = q.label AND (m.x-q.x)*(m.x-q.x) + (m.y-q.y)*(m.y-q.y) + (m.z-q.z)*(m.z-q.z) < {G.CLASH_CUTOFF ** 2} GROUP BY 1),
+ins AS (SELECT c.design_id, c.res_idx FROM cy c WHERE proj >= 0 AND proj <= {G.HEIGHT} AND dist <= {G.RADIUS} AND NOT is_epitope),
+near AS (SELECT DISTINCT m.design_id, m.res_idx FROM moved m JOIN nat q ON m.label = q.label AND (m.x-q.x)*(m.x-q.x) + (m.y-q.y)*(m.y-q.y) + (m.z-q.z)*(m.z-q.z) <= {G.CARVE ** 2}),
+aware AS (SELECT i.design_id, count(*) FILTER (k.res_idx IS NULL) AS n FROM ins i LEFT JOIN near k USING (design_id, res_idx) GROUP BY 1),
+back AS (SELECT d.design_id, q.res_idx, q.res_idx BETWEEN lo AND hi AS is_epitope, {turned_sql('q', back=True)} FROM nat q JOIN d USING (label) JOIN rot t ON t.design_id = d.design_id),
+{placed_sql('back', 'f', 'cb')},
+nin AS (SELECT design_id, count(*) FILTER (proj >= 0 AND proj <= {G.HEIGHT} AND dist <= {G.RADIUS} AND NOT is_epitope) AS n FROM cb GROUP BY 1),
+s AS (SELECT design_id, id, CASE WHEN out_of_run THEN 'not_run' WHEN rot.n IS NULL THEN 'too_few_epitope_pairs' WHEN id = '7' THEN 'no_antibody_atoms' ELSE 'ok' END AS af3_clash_status, rot.n IS NOT NULL AS aligned FROM d LEFT JOIN rot USING (design_id))
+SELECT s.design_id, af3_clash_status, CASE WHEN af3_clash_status = 'ok' THEN coalesce(hit.n, 0) END AS af3_n_clash_res, CASE WHEN af3_clash_status = 'ok' THEN coalesce(hit.n, 0) > 0 END AS af3_has_clash,
+  CASE WHEN aligned THEN coalesce(aware.n, 0) END AS cylinder_native_aware, CASE WHEN aligned THEN coalesce(nin.n, 0) END AS native_in_cylinder
+FROM s LEFT JOIN hit USING (design_id) LEFT JOIN aware USING (design_id) LEFT JOIN nin USING (design_id)""",
+)
 def extract_metrics_clashes(spark, sf):
     out = G.extract_metrics(*_metric_inputs(spark, sf))
     return out.select("design_id", "af3_clash_status", "af3_n_clash_res", "af3_has_clash", "cylinder_native_aware", "native_in_cylinder")

@@ -197,8 +197,8 @@ def contained_passages(spark, sf):
 @REGISTRY.add(
     "j19_longest_block",
     """WITH p AS (SELECT a.conv_id, a.turn, a.text AS s, b.text AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-x AS (SELECT conv_id, turn, i AS a_pos, substr(s, i::INT + 1, 5) AS g FROM p, range(100000) r(i) WHERE i <= length(s) - 5),
-y AS (SELECT conv_id, turn, i AS b_pos, substr(t, i::INT + 1, 5) AS g FROM p, range(100000) r(i) WHERE i <= length(t) - 5),
+x AS (SELECT conv_id, turn, i AS a_pos, substr(s, i::INT + 1, 5) AS g FROM p, (SELECT unnest(range((SELECT max(length(text)) FROM conversations))) AS i) r WHERE i <= length(s) - 5),
+y AS (SELECT conv_id, turn, i AS b_pos, substr(t, i::INT + 1, 5) AS g FROM p, (SELECT unnest(range((SELECT max(length(text)) FROM conversations))) AS i) r WHERE i <= length(t) - 5),
 m AS (SELECT conv_id, turn, a_pos, b_pos, b_pos - a_pos AS d FROM x JOIN y USING (conv_id, turn, g)),
 n AS (SELECT *, a_pos - row_number() OVER (PARTITION BY conv_id, turn, d ORDER BY a_pos) AS run FROM m),
 r AS (SELECT conv_id, turn, count(*) + 4 AS size, min(a_pos) AS a_start, min(b_pos) AS b_start FROM n GROUP BY conv_id, turn, d, run),
@@ -273,7 +273,9 @@ def mixed_sort(spark, sf):
 
 @REGISTRY.add("o2_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def top_n(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(50)
+    from peptarium.operators import ordering
+
+    return ordering.top_n(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"], 50)
 
 
 @REGISTRY.add(

@@ -184,7 +184,8 @@ def tile_summary(spark, sf):
 
 
 NATIVE_SQL = f"""{SEQS_SQL}, q AS (SELECT id, seq, substr(seq, length(seq) // 5 + 1, greatest(length(seq) * 3 // 5, 1)) || CASE WHEN id % 10 = 0 THEN 'QQ' ELSE '' END AS q FROM seqs WHERE seq <> ''),
-n AS (SELECT id, q, CASE WHEN instr(seq, q) > 0 THEN substr(seq, instr(seq, q)) ELSE q END AS native, instr(seq, q) > 0 AS found FROM q)"""
+c AS (SELECT id, q, CASE WHEN id % 3 = 0 THEN 'WWW' || seq || 'FIRST' ELSE seq END AS chain FROM q),
+n AS (SELECT id, q, CASE WHEN instr(chain, q) > 0 THEN substr(chain, instr(chain, q)) ELSE q END AS native, instr(chain, q) > 0 AS found FROM c)"""
 
 
 def _native(spark, sf):
@@ -192,7 +193,10 @@ def _native(spark, sf):
     size = F.length("seq")
     piece = F.substring(F.col("seq"), (size / 5).cast("int") + 1, F.greatest((size * 3 / 5).cast("int"), F.lit(1)))
     queries = s.select(F.col("id").alias("target"), F.col("id").alias("entry"), F.when(F.col("id") % 10 == 0, F.concat(piece, F.lit("QQ"))).otherwise(piece).alias("q_seq"))
-    return flows.native_tiles(queries, s.select(F.col("id").alias("entry"), F.col("seq").alias("c_seq")))
+    # every third entry has two chains that hold the target, the first of them further in
+    first = s.where(F.col("id") % 3 == 0).select(F.col("id").alias("entry"), F.concat(F.lit("WWW"), "seq", F.lit("FIRST")).alias("c_seq"), F.lit(0).alias("record"))
+    chains = s.select(F.col("id").alias("entry"), F.col("seq").alias("c_seq"), F.lit(1).alias("record")).unionByName(first)
+    return flows.native_tiles(queries, chains)
 
 
 @REGISTRY.add(
@@ -270,22 +274,41 @@ def _targets(spark, sf):
     return p.select(F.col("p_brand").alias("target"), F.array(island(650, F.col("one")), island(700, F.col("two"))).alias("islands"))
 
 
-COMP_SQL = f"""p AS (SELECT p_brand AS target, min(p_size) % 9 + 2 AS one, max(p_size) % 7 + 1 AS two FROM part GROUP BY p_brand),
-t AS (SELECT *, 103 - one - two - 9 AS room, unnest(range(1, 1001)) AS tr FROM p),
-u AS (SELECT *, {HASH.format(x="target || '|' || tr || '|1|5'")} % (room + 1) AS c1, {HASH.format(x="target || '|' || tr || '|2|5'")} % (room + 1) AS c2 FROM t),
-s AS (SELECT *, least(c1, c2) + 3 AS s1, greatest(c1, c2) - least(c1, c2) + 3 AS s2, room - greatest(c1, c2) + 3 AS s3 FROM u),
-g AS (SELECT target, one, two, s1, s2, s3, min(tr) AS tr FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY tr) AS n FROM g)"""
+def comp_sql(islands: str, lengths: str, seed: int) -> str:
+    """CTE ``r`` (target, n from 0, s1, s2, s3): splits of ``room`` in order, taken by a permutation of their ranks."""
+    return f"""p AS ({islands}), t AS (SELECT *, {lengths} AS room FROM p),
+e AS (SELECT target, v1, v2, room - v1 - v2 AS v3, row_number() OVER (PARTITION BY target ORDER BY v1, v2) - 1 AS rank, count(*) OVER (PARTITION BY target) AS total
+  FROM t, range(200) a(v1), range(200) b(v2) WHERE v1 + v2 <= room),
+h AS (SELECT target, any_value(total) AS total, {HASH.format(x=f"target || '|start|{seed}'")} % any_value(total) AS b, any_value(total) // 4 + 1 + {HASH.format(x=f"target || '|step|{seed}'")} % (any_value(total) // 2 + 1) AS a0 FROM e GROUP BY target),
+g AS (SELECT target, total, b, min(a0 + k) AS a FROM h, range(1000) r(k) WHERE gcd(a0 + k, total) = 1 GROUP BY ALL),
+r AS (SELECT e.target, n, v1 + 3 AS s1, v2 + 3 AS s2, v3 + 3 AS s3 FROM g, range(20) q(n) JOIN e ON e.target = g.target AND e.rank = (b + n * a) % g.total WHERE n < g.total)"""
+
+
+ISLANDS_OF_BRANDS = "SELECT p_brand AS target, min(p_size) % 9 + 2 AS one, max(p_size) % 7 + 1 AS two FROM part GROUP BY p_brand"
+COMP_SQL = comp_sql(ISLANDS_OF_BRANDS, "103 - one - two - 9", 5)
 
 
 @REGISTRY.add(
     "n16_compositions",
-    f"""WITH {COMP_SQL} SELECT (n - 1)::INTEGER AS contig_id, target, s1 || '-' || s1 || ',C650-' || (649 + one) || ',' || s2 || '-' || s2 || ',C700-' || (699 + two) || ',' || s3 || '-' || s3 AS contig_string,
-  s1 || ',' || s2 || ',' || s3 AS scaffold_segs FROM r WHERE n <= 20""",
+    f"""WITH {COMP_SQL} SELECT n::INTEGER AS contig_id, target, s1 || '-' || s1 || ',C650-' || (649 + one) || ',' || s2 || '-' || s2 || ',C700-' || (699 + two) || ',' || s3 || '-' || s3 AS contig_string,
+  s1 || ',' || s2 || ',' || s3 AS scaffold_segs FROM r JOIN p USING (target)""",
 )
 def compositions(spark, sf):
     return C.compositions(_targets(spark, sf), 20, seed=5).select("contig_id", "target", "contig_string", "scaffold_segs")
 
 
+@REGISTRY.add(
+    "n16_native_gaps",
+    f"""WITH p AS ({ISLANDS_OF_BRANDS}), t AS (SELECT *, 47 - two AS room, 48 - two AS total, {HASH.format(x="target || '|start|9'")} % (48 - two) AS b, (48 - two) // 4 + 1 + {HASH.format(x="target || '|step|9'")} % ((48 - two) // 2 + 1) AS a0 FROM p),
+g AS (SELECT t.*, (SELECT min(a0 + k) FROM range(1000) r(k) WHERE gcd(a0 + k, total) = 1) AS a FROM t),
+r AS (SELECT *, (b + n * a) % total + 3 AS s1, room - (b + n * a) % total + 3 AS s2 FROM g, range(30) q(n) WHERE n < total)
+SELECT n::INTEGER AS contig_id, target, s1 || '-' || s1 || ',C650-' || (649 + one) || ',' || (50 - one) || '-' || (50 - one) || ',C700-' || (699 + two) || ',' || s2 || '-' || s2 AS contig_string,
+  s1 || ',' || (50 - one) || ',' || s2 AS scaffold_segs FROM r""",
+)
+def compositions_native_gaps(spark, sf):
+    return C.compositions(_targets(spark, sf), 30, seed=9, native_gaps=True).select("contig_id", "target", "contig_string", "scaffold_segs")
+
+
 @REGISTRY.add("n18_list_length", f"WITH {CONTIGS_SQL} SELECT contig_id, CASE WHEN contig_id % 5 = 0 THEN NULL WHEN contig_id % 5 = 1 THEN 0 ELSE len(epitope_resindices) END::INTEGER AS n FROM contigs")
 def list_length(spark, sf):
     from peptarium.functions.keys import list_len

@@ -276,8 +276,9 @@ SELECT antigen, bin, round(any_value(lo) + bin * any_value(w), 6) AS edge, count
 )
 def histogram(spark, sf):
     rows = pool(spark, sf)
-    lo, hi = stats.clip_limits(rows, "mean_pae", 0.005, 0.995)
-    return r6(stats.histogram(rows, "mean_pae", lo, hi, 25, ["antigen"]))
+    values = stats.counted_values(rows, "mean_pae", ["antigen"])
+    lo, hi = stats.clip_limits(values, "mean_pae", 0.005, 0.995, steps=values)
+    return r6(stats.histogram(values, "mean_pae", lo, hi, 25, ["antigen"], "n_ties"))
 
 
 @REGISTRY.add(
@@ -288,8 +289,9 @@ SELECT bin, bin * 2.0::DOUBLE AS edge, count(*) AS n, round(count(*) / (sum(coun
 )
 def count_histogram(spark, sf):
     rows = pool(spark, sf)
-    lo, hi, bins = stats.count_bins(*stats.clip_limits(rows, "af3_n_clash_res", None, 0.995))
-    return r6(stats.histogram(rows, "af3_n_clash_res", lo, hi, bins))
+    values = stats.counted_values(rows, "af3_n_clash_res")
+    lo, hi, bins = stats.count_bins(*stats.clip_limits(values, "af3_n_clash_res", None, 0.995, steps=values))
+    return r6(stats.histogram(values, "af3_n_clash_res", lo, hi, bins, weight="n_ties"))
 
 
 @REGISTRY.add(

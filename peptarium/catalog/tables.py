@@ -8,6 +8,7 @@ from peptarium.catalog import REGISTRY
 from peptarium.catalog.views import CONTIGS_SQL, POINTS_SQL, SEQS_SQL, contigs, points, r6, seqs, table
 from peptarium.session import shared_scratch
 from peptarium.sinks import tables as K
+from peptarium.sinks.files import write_row_files
 from peptarium.sources import fasta, outputs, structures
 from peptarium.sources import tables as T
 
@@ -212,6 +213,58 @@ def pae_matrix(spark, sf):
     return r6(rows.select("vec_id", size.alias("n"), F.get(F.get("m", F.lit(1)), F.lit(3)).alias("cell")))
 
 
+@REGISTRY.add(
+    "s9_read_pae",
+    "SELECT vec_id::VARCHAR AS design_id, CASE WHEN vec_id % 7 = 3 THEN NULL ELSE 8 END::INTEGER AS n, CASE WHEN vec_id % 7 = 3 THEN NULL ELSE round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) END AS total FROM embeddings",
+)
+def read_pae(spark, sf):
+    """Confidence files, some without a matrix, beside summary files that must not be read."""
+    e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    matrix = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
+    text = F.when(F.col("vec_id") % 7 == 3, F.lit('{"pae": "none"}')).otherwise(F.to_json(F.struct(matrix.alias("pae"))))
+    name = lambda kind: F.concat(F.col("vec_id").cast("string"), F.lit(f"_{kind}confidences.json"))
+    out = shared_scratch(spark, "confidences")
+    write_row_files(e.select(name("full_"), text).unionByName(e.select(name("summary_").alias("a"), F.lit("{}").alias("b")).toDF(*e.select(name("full_"), text).columns)), out)
+    rows = outputs.read_pae(spark, out)
+    total = F.aggregate(F.flatten("pae"), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("design_id", F.when(F.col("pae").isNotNull(), F.size("pae")).alias("n"), F.round(total, 4).alias("total"))
+
+
+@REGISTRY.add(
+    "s10_read_summaries",
+    """SELECT vec_id::VARCHAR AS design_id, round(CAST(embedding[1] AS DOUBLE), 6) AS ptm, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE round(CAST(embedding[2] AS DOUBLE), 6) END AS ranking_score,
+  label::DOUBLE AS fraction_disordered, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS has_clash_af3, round(CAST(embedding[64] AS DOUBLE), 6) AS chain_pair_pae_min FROM embeddings WHERE vec_id % 9 <> 5""",
+)
+def read_summaries(spark, sf):
+    """Summary files; every ninth is cut short and dropped by policy."""
+    e = table(spark, sf, "embeddings")
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    body = F.to_json(F.struct(
+        at(0).alias("ptm"), F.when(F.col("vec_id") % 3 == 0, "bad").otherwise(at(1).cast("string")).alias("ranking_score"), F.col("label").alias("fraction_disordered"),
+        (F.col("vec_id") % 2 == 0).alias("has_clash"), F.array(F.array(at(63))).alias("chain_pair_pae_min"),
+    ))
+    text = F.when(F.col("vec_id") % 9 == 5, F.substring(body, 1, 20)).otherwise(body)
+    out = shared_scratch(spark, "summaries")
+    write_row_files(e.select(F.concat(F.col("vec_id").cast("string"), F.lit("_summary_confidences.json")), text), out)
+    return r6(outputs.read_summary_scalars(spark, out, bad="drop"))
+
+
+@REGISTRY.add(
+    "s11_index_folder",
+    """WITH f AS (SELECT lower(p_brand || '_m' || (p_partkey % 40)) AS design, p_brand || '_m' || (p_partkey % 40) || '_seed' || (p_partkey % 3) || '_' || p_partkey || '.cif' AS file FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY design ORDER BY CASE WHEN contains(file, '_seed1_') THEN 0 ELSE 1 END, file) AS n FROM f) SELECT design, file FROM r WHERE n = 1""",
+)
+def index_folder(spark, sf):
+    p = table(spark, sf, "part")
+    name = F.format_string("%s_m%d_seed%d_%d.cif", "p_brand", F.col("p_partkey") % 40, F.col("p_partkey") % 3, "p_partkey")
+    out = shared_scratch(spark, "artifacts")
+    write_row_files(p.select(name, F.col("p_name").alias("content")), out)
+    file = F.element_at(F.split("path", "/"), -1)
+    prefer = [F.when(F.col("path").contains("_seed1_"), 0).otherwise(1), file]
+    found = outputs.index_artifacts(spark, out, r"^(.+_m\d+)_seed\d+_\d+\.cif$", ["design"], prefer)
+    return found.select("design", F.regexp_replace(file, "%23", "#").alias("file"))
+
+
 @REGISTRY.add(
     "s10_summary_scalars",
     """SELECT event_id, value AS ptm, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS ranking_score, CAST(json_extract(props, '$.k') AS DOUBLE) AS fraction_disordered,
@@ -321,3 +374,14 @@ def json_manifest(spark, sf):
 )
 def payload(spark, sf):
     return K.sequence_payload(seqs(spark, sf).select(F.concat(F.lit("d"), "id").alias("name"), "seq"))
+
+
+PAYLOAD_SQL = REGISTRY.sql["k7_sequence_payload"]
+
+
+@REGISTRY.add("k7_payload_files", PAYLOAD_SQL)
+def payload_files(spark, sf):
+    """One request file per sequence, written and read back."""
+    out = shared_scratch(spark, "payloads")
+    K.emit_sequence_payload(seqs(spark, sf).select(F.concat(F.lit("d"), "id").alias("name"), "seq"), out)
+    return outputs.whole_files(spark, out, r"\.json$").select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("name"), F.col("value").alias("json"))

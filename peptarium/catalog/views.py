@@ -61,17 +61,17 @@ def near_pass():
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """21 points per vector from its first 63 floats, scaled to a protein's size; the first 6 are the epitope."""
+    """21 points per vector from its first 63 floats, scaled to a protein's size and moved along x by the last one; the first 6 are the epitope."""
     e = table(spark, sf, "embeddings")
     rows = e.select(
         F.col("vec_id").alias("design_id"), F.col("label").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("res_idx"), "embedding"
     )
     at = lambda k: (F.get("embedding", F.col("res_idx") * 3 + k).cast("double") * 40.0)
-    return rows.select("design_id", "id", "res_idx", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), (F.col("res_idx") < 6).alias("is_epitope"))
+    return rows.select("design_id", "id", "res_idx", (at(0) + F.get("embedding", F.lit(63)).cast("double")).alias("x"), at(1).alias("y"), at(2).alias("z"), (F.col("res_idx") < 6).alias("is_epitope"))
 
 
 POINTS_SQL = """points AS (SELECT vec_id AS design_id, label AS id, r AS res_idx,
-  CAST(embedding[r*3+1] AS DOUBLE) * 40.0 AS x, CAST(embedding[r*3+2] AS DOUBLE) * 40.0 AS y,
+  CAST(embedding[r*3+1] AS DOUBLE) * 40.0 + CAST(embedding[64] AS DOUBLE) AS x, CAST(embedding[r*3+2] AS DOUBLE) * 40.0 AS y,
   CAST(embedding[r*3+3] AS DOUBLE) * 40.0 AS z, r < 6 AS is_epitope
   FROM embeddings, (SELECT unnest(range(21)) AS r))"""
 
@@ -81,11 +81,11 @@ def mirrored(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     rows = e.select(F.col("vec_id").alias("design_id"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("res_idx"), "embedding")
     at = lambda k: (F.get("embedding", F.lit(63) - F.col("res_idx") * 3 - k).cast("double") * 40.0)
-    return rows.select("design_id", "res_idx", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), (F.col("res_idx") < 6).alias("is_epitope"))
+    return rows.select("design_id", "res_idx", (at(0) + F.get("embedding", F.lit(0)).cast("double")).alias("x"), at(1).alias("y"), at(2).alias("z"), (F.col("res_idx") < 6).alias("is_epitope"))
 
 
 MIRROR_SQL = """mirror AS (SELECT vec_id AS design_id, r AS res_idx,
-  CAST(embedding[64-r*3] AS DOUBLE) * 40.0 AS x, CAST(embedding[63-r*3] AS DOUBLE) * 40.0 AS y,
+  CAST(embedding[64-r*3] AS DOUBLE) * 40.0 + CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[63-r*3] AS DOUBLE) * 40.0 AS y,
   CAST(embedding[62-r*3] AS DOUBLE) * 40.0 AS z, r < 6 AS is_epitope
   FROM embeddings, (SELECT unnest(range(21)) AS r))"""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,6 +215,32 @@ def contig_ledger(df: DataFrame, length: int = 103) -> DataFrame:
     )
 
 
+def composition(rank: int, parts: int, room: int) -> list[int]:
+    """The ``rank``-th way, in ascending order, to write ``room`` as ``parts`` whole numbers from 0."""
+    out = []
+    for left in range(parts - 1, 0, -1):
+        value = 0
+        while rank >= (ways := math.comb(room - value + left - 1, left - 1)):
+            rank -= ways
+            value += 1
+        out.append(value)
+        room -= value
+    return [*out, room]
+
+
+def ranked_compositions(parts: int, room: int, n: int, first: int, second: int) -> list[list[int]]:
+    """min(n, how many there are) different compositions, picked by a seeded permutation of their ranks.
+
+    Ranks are ``start, start + step, ...`` modulo their number, with a step that has no divisor in common
+    with it; both come from the hashes ``first`` and ``second``.
+    """
+    total = math.comb(room + parts - 1, parts - 1)
+    start, step = first % total, total // 4 + 1 + second % (total // 2 + 1)
+    while math.gcd(step, total) != 1:
+        step += 1
+    return [composition((start + k * step) % total, parts, room) for k in range(min(n, total))]
+
+
 def compositions(
     targets: DataFrame,
     n: int,
@@ -221,12 +249,12 @@ def compositions(
     seed: int = 0,
     chain: str = "C",
     native_gaps: bool = False,
-    tries_per_contig: int = 50,
 ) -> DataFrame:
-    """Up to ``n`` distinct random contigs per target row (``target``, ``islands array<struct<a,b>>``).
+    """``n`` distinct random contigs per target row (``target``, ``islands array<struct<a,b>>``), all there are if fewer.
 
-    Free residues are split into scaffold segments by sorted uniform cuts (stars and bars); with
-    ``native_gaps`` the spacing between islands is kept and only the two flanks vary.
+    Free residues are split into scaffold segments; every split has a rank, and a seeded permutation of the
+    ranks says which are taken. With ``native_gaps`` the spacing between islands is kept and only the two
+    flanks vary.
     """
     sizes = F.transform("islands", lambda i: i["b"] - i["a"] + 1)
     motif = F.aggregate(sizes, F.lit(0), lambda a, s: a + s)
@@ -237,25 +265,20 @@ def compositions(
     kept = F.aggregate(gaps, F.lit(0), lambda a, g: a + g) if native_gaps else F.lit(0)
     parts = F.lit(2) if native_gaps else F.size("islands") + 1
     room = F.lit(length) - motif - kept - parts * min_each
-    draws = (
-        targets.withColumn("_parts", parts)
-        .withColumn("_room", F.when(room < 0, F.raise_error(F.lit("segments do not fit the length"))).otherwise(room))
-        .withColumn("_gaps", gaps)
-        .withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(n * tries_per_contig))))
-    )
-    cuts = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), F.col("_parts") - 1),
-            lambda j: F.pmod(stable_hash("target", "_try", j, seed=seed), F.col("_room") + 1).cast("int"),
-        )
-    )
-    edges = F.concat(F.array(F.lit(0)), cuts, F.array(F.col("_room")))
-    draws = draws.withColumn("_edges", edges)
-    free = F.transform(
-        F.sequence(F.lit(1), F.col("_parts")), lambda j: F.get("_edges", j) - F.get("_edges", j - 1) + min_each
-    )
+
+    @F.pandas_udf("array<array<int>>")
+    def picks(parts: pd.Series, room: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
+        rows = zip(parts.tolist(), room.tolist(), first.tolist(), second.tolist(), strict=True)
+        return pd.Series([ranked_compositions(p, r, n, a, b) for p, r, a, b in rows])
+
+    fitting = F.when(room < 0, F.raise_error(F.lit("segments do not fit the length"))).otherwise(room)
+    start, step = (stable_hash("target", F.lit(name), seed=seed) for name in ("start", "step"))
+    draws = targets.withColumns({"_parts": parts, "_gaps": gaps, "_room": fitting})
+    draws = draws.withColumn("_all", picks("_parts", "_room", start, step))
+    draws = draws.select("*", F.posexplode("_all").alias("contig_id", "_cut")).drop("_all")
+    draws = draws.withColumn("_free", F.transform("_cut", lambda x: x + min_each))
     segs = F.concat(F.slice("_free", 1, 1), F.col("_gaps"), F.slice("_free", 2, 1)) if native_gaps else F.col("_free")
-    draws = draws.withColumn("_free", free).withColumn("scaffold_segs", segs)
+    draws = draws.withColumn("scaffold_segs", segs)
     pieces = F.flatten(
         F.transform(
             "islands",
@@ -267,16 +290,12 @@ def compositions(
     )
     first = F.format_string("%d-%d", F.get("scaffold_segs", F.lit(0)), F.get("scaffold_segs", F.lit(0)))
     draws = draws.withColumn("contig_string", F.array_join(F.concat(F.array(first), pieces), ","))
-    unique = draws.groupBy("target", "contig_string").agg(
-        F.min_by(F.struct("_try", "scaffold_segs", "islands"), "_try").alias("_d")
-    )
-    kept_rows = top_k(unique.withColumn("_try", F.col("_d._try")), ["target"], [F.col("_try").asc()], n, out="_n")
-    return kept_rows.select(
-        (F.col("_n") - 1).alias("contig_id"),
+    return draws.select(
+        "contig_id",
         "target",
         F.lit(chain).alias("chain"),
         "contig_string",
-        F.array_join(F.col("_d.scaffold_segs").cast("array<string>"), ",").alias("scaffold_segs"),
-        F.array_join(F.transform(F.col("_d.islands"), lambda i: F.format_string("%d-%d", i["a"], i["b"])), ";").alias("islands"),
+        F.array_join(F.col("scaffold_segs").cast("array<string>"), ",").alias("scaffold_segs"),
+        F.array_join(F.transform("islands", lambda i: F.format_string("%d-%d", i["a"], i["b"])), ";").alias("islands"),
         F.lit(length).alias("total_len"),
     )

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from peptarium.operators.ordering import beside, lookup
-from peptarium.operators.spatial import XYZ, carve, count_within_radius, hits, min_distance, nearest_up_to
+from peptarium.operators.ordering import beside, fits_one_task, lookup
+from peptarium.operators.spatial import XYZ, carve, hits, min_distance, near_points, nearest_up_to
 
 # The cylinder and its carve distance.
 RADIUS, HEIGHT, OFFSET, CARVE = 16.0, 40.0, -4.0, 1.0
@@ -83,6 +83,13 @@ def kabsch_rmsd(pairs: DataFrame, key: Sequence[str], min_pairs: int = 3, out: s
     return with_gram.select(*key, F.col("n").alias("n_pairs"), rmsd.alias(out))
 
 
+def kabsch_rmsds(pairs: DataFrame, key: Sequence[str], parts: dict[str, Column], min_pairs: int = 3) -> DataFrame:
+    """Superposed RMSDs of several parts of the same pairs (``{out: which pairs}``), from one aggregate by (key, part)."""
+    member = F.array_compact(F.array(*[F.when(keep, F.lit(i)) for i, keep in enumerate(parts.values())]))
+    rows = kabsch_rmsd(pairs.select(*key, *_P, *_Q, F.explode(member).alias("_part")), [*key, "_part"], min_pairs)
+    return rows.groupBy(*key).agg(*[F.max(F.when(F.col("_part") == i, F.col("rmsd"))).alias(out) for i, out in enumerate(parts)])
+
+
 def _doubles(*names: str) -> StructType:
     return StructType([StructField(n, DoubleType()) for n in names])
 
@@ -115,9 +122,9 @@ def kabsch_transform(pairs: DataFrame, key: Sequence[str], min_pairs: int = 3) -
     return turned.select(*key, F.col("n").alias("n_pairs"), *[f"r{i}{j}" for i in range(3) for j in range(3)], *shift)
 
 
-def apply_transform(points: DataFrame, transforms: DataFrame, key: Sequence[str]) -> DataFrame:
+def apply_transform(points: DataFrame, transforms: DataFrame, key: Sequence[str], small: bool | None = None) -> DataFrame:
     """Move (x,y,z) by the transform of the key; points of keys without one are dropped."""
-    moved = lookup(points, transforms.drop("n_pairs"), key, "inner")
+    moved = lookup(points, transforms.drop("n_pairs"), key, "inner", small=small)
     new = [
         (F.col(f"t{i}") + reduce(lambda a, b: a + b, [F.col(f"r{i}{j}") * F.col(x) for j, x in enumerate(XYZ)])).alias(x)
         for i, x in enumerate(XYZ)
@@ -205,9 +212,11 @@ def along_axis(base: str = "base") -> tuple[Column, Column]:
     return proj, F.sqrt(perp[0] * perp[0] + perp[1] * perp[1] + perp[2] * perp[2])
 
 
-def in_cylinder(points: DataFrame, frames: DataFrame, key: Sequence[str], radius: float = RADIUS, height: float = HEIGHT) -> DataFrame:
+def in_cylinder(
+    points: DataFrame, frames: DataFrame, key: Sequence[str], radius: float = RADIUS, height: float = HEIGHT, small: bool | None = None
+) -> DataFrame:
     """Add ``proj``, ``dist`` and ``inside`` to every point of a key that has a frame."""
-    joined = lookup(points, frames, key, "inner")
+    joined = lookup(points, frames, key, "inner", small=small)
     proj, dist = along_axis()
     out = joined.select(*points.columns, proj.alias("proj"), dist.alias("dist"))
     return out.withColumn("inside", (F.col("proj") >= 0) & (F.col("proj") <= height) & (F.col("dist") <= radius))
@@ -404,7 +413,7 @@ def probe_panel(
     set_down = spun.select(*keys, "probe", "spin", *where)
     poses = placed.select(*keys, "probe").withColumn("spin", F.explode(F.sequence(F.lit(0), F.lit(spins - 1))))
     # many poses meet the few points of their design: the design's points are the side that is copied
-    struck = hits(set_down, points, cutoff, keys, ["probe", "spin"], ["res_idx"])
+    struck = hits(set_down, points, cutoff, keys, ["probe", "spin"], ["res_idx"], copied="targets")
     per_pose = struck.groupBy(*keys, "probe", "spin").agg(F.count(F.lit(1)).alias("n"))
     counts = poses.join(per_pose, [*keys, "probe", "spin"], "left").fillna(0, ["n"])
     best = counts.groupBy(*keys, "probe").agg(F.min("n").alias("n"))
@@ -539,18 +548,16 @@ def extract_metrics(
     base = base.withColumn("status", status)
     good = base.where(F.col("status") == "ok").select(*key, "id", "window_start", "design_epi", "predicted_epi", "native_epi")
 
-    # atoms of the design shifted into the prediction's numbering
-    meta = good.select(*key, "window_start", "predicted_epi")
-    mark = F.array_contains("predicted_epi", F.col("res_idx"))
-    shifted = (
-        design_atoms.join(meta, key)
-        .withColumn("res_idx", F.col("res_idx") + F.col("window_start"))
-        .withColumn("is_epitope", mark)
-        .drop("window_start", "predicted_epi")
-    )
-    predicted = predicted_atoms.join(meta, key).withColumn("is_epitope", mark).drop("window_start", "predicted_epi")
-    overall = rmsd_variant(shifted, predicted, key, out="overall_rmsd").drop("n_pairs")
-    epitope = rmsd_variant(shifted, predicted, key, part="epitope", out="epitope_chunk_rmsd").drop("n_pairs")
+    small = fits_one_task(design_atoms)
+    # one pairing of design and prediction, in the prediction's numbering, serves both RMSDs
+    meta = good.select(*key, "id", "window_start", "predicted_epi")
+    predicted = predicted_atoms.join(meta, key).withColumn("is_epitope", F.array_contains("predicted_epi", F.col("res_idx")))
+    predicted = predicted.drop("window_start", "predicted_epi")
+    side = lambda df, names: df.where(F.col("atom_name").isin(list(BACKBONE))).select(*key, "res_idx", "atom_name", *[F.col(x).alias(n) for x, n in zip(XYZ, names)])
+    shifted = design_atoms.join(meta.select(*key, "window_start"), key).withColumn("res_idx", F.col("res_idx") + F.col("window_start"))
+    paired = side(shifted, _P).join(side(predicted_atoms, _Q), [*key, "res_idx", "atom_name"])
+    paired = paired.join(meta.select(*key, "predicted_epi"), key).withColumn("is_epitope", F.array_contains("predicted_epi", F.col("res_idx")))
+    rmsds = kabsch_rmsds(paired, key, {"overall_rmsd": F.lit(True), "epitope_chunk_rmsd": F.col("is_epitope")})
     blocks = pae_blocks(pae.join(good.select(*key, F.col("predicted_epi").alias("epitope_resindices")), key))
 
     # epitope CA pairs, prediction to native
@@ -558,30 +565,34 @@ def extract_metrics(
     predicted_ca = predicted.where(F.col("atom_name") == "CA")
     native_ca = native_atoms.where((F.col("chain") == "A") & (F.col("atom_name") == "CA"))
     pairs = index.join(predicted_ca.select(*key, "res_idx", *[F.col(x).alias(p) for x, p in zip(XYZ, _P)]), [*key, "res_idx"])
-    pairs = pairs.join(native_ca.select("id", F.col("res_idx").alias("native_idx"), *[F.col(x).alias(q) for x, q in zip(XYZ, _Q)]), ["id", "native_idx"])
+    native_at = native_ca.select("id", F.col("res_idx").alias("native_idx"), *[F.col(x).alias(q) for x, q in zip(XYZ, _Q)])
+    pairs = pairs.join(native_at, ["id", "native_idx"])
     to_native = kabsch_transform(pairs, key)
-    back = pairs.select(*key, *[F.col(q).alias(p) for p, q in zip(_P, _Q)], *[F.col(p).alias(q) for p, q in zip(_P, _Q)])
-    to_predicted = kabsch_transform(back, key)
 
-    # real clash: scaffold heavy atoms moved to the native frame against antibody heavy atoms
+    # designs come to the native, never the other way round: its atoms are indexed once per id
     heavy = lambda df: df.where(F.col("element") != "H")
-    scaffold = heavy(predicted).where(~F.col("is_epitope")).select(*key, "res_idx", *XYZ)
-    ids = good.select(*key, "id")
-    fitted = apply_transform(scaffold, to_native, key)
-    antibody = heavy(native_atoms).where(F.col("chain") != "A")
-    ab_points = antibody.join(ids, "id").select(*key, *XYZ)
-    clash = count_within_radius(fitted, ab_points, clash_cutoff, key)
+    scaffold = heavy(predicted).where(~F.col("is_epitope")).select(*key, "id", "res_idx", *XYZ)
+    antibody = heavy(native_atoms).where(F.col("chain") != "A").select("id", *XYZ)
+    struck = near_points(apply_transform(scaffold, to_native, key, small), antibody, clash_cutoff, ["id"], copied="targets")
+    clash = struck.select(*key, "res_idx").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_clash_res"))
     with_ab = antibody.select("id").distinct().withColumn("_ab", F.lit(True))
 
-    # cylinder in the prediction's frame
+    # the cylinder stands in the prediction's frame; what is inside it is carved, and counted, in the native's
     frames = plane_frame(predicted_ca.select(*key, *XYZ, "is_epitope"), key)
-    native_heavy = heavy(native_atoms).where(F.col("chain") == "A").join(ids, "id")
-    native_marked = native_heavy.join(good.select(*key, "native_epi"), key).withColumn("is_epitope", F.array_contains("native_epi", F.col("res_idx")))
-    native_moved = apply_transform(native_marked.select(*key, "atom_name", "is_epitope", *XYZ), to_predicted, key)
-    scaffold_ca = predicted_ca.select(*key, "is_epitope", *XYZ)
-    counts = cylinder_counts_with(scaffold_ca, native_moved, frames, key, carve_dist)
+    scaffold_ca = predicted_ca.where(~F.col("is_epitope")).select(*key, "id", *XYZ)
+    inside = in_cylinder(scaffold_ca, frames, key, small=small).where(F.col("inside")).select(*key, "id", *XYZ)
+    plain = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("cylinder_ca_clashes"))
+    native_heavy = heavy(native_atoms).where(F.col("chain") == "A").select("id", *XYZ)
+    kept = carve(apply_transform(inside, to_native, key, small), native_heavy, carve_dist, ["id"], copied="targets")
+    aware = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("cylinder_native_aware"))
+    standing = frames.join(to_native, key).join(good.select(*key, "id", "native_epi"), key)
+    test = native_inside(standing, heavy(native_ca), key, designs.groupBy("id").agg(F.count(F.lit(1)).alias("_designs")))
+    counts = frames.select(*key)
+    for part in (plain, aware, test):
+        counts = counts.join(part, key, "left")
+    counts = counts.fillna(0, ["cylinder_ca_clashes", "cylinder_native_aware", "native_in_cylinder"])
 
-    out = base.join(overall, key, "left").join(epitope, key, "left")
+    out = base.join(rmsds, key, "left")
     out = out.join(blocks.select(*key, "mean_pae", "epitope_pae", "scaffold_pae"), key, "left")
     out = out.join(to_native.select(*key, F.col("n_pairs")), key, "left").join(with_ab, "id", "left")
     out = out.join(clash, key, "left").join(counts, key, "left")
@@ -611,10 +622,30 @@ def extract_metrics(
     )
 
 
-def cylinder_counts_with(points: DataFrame, native_heavy: DataFrame, frames: DataFrame, key: Sequence[str], carve_dist: float) -> DataFrame:
-    """``cylinder_counts`` where carving uses every native heavy atom and the test counts native CAs."""
-    carved = cylinder_counts(points, native_heavy, frames, key, carve_dist=carve_dist).drop("native_in_cylinder")
-    native_ca = native_heavy.where(F.col("atom_name") == "CA")
-    test = in_cylinder(native_ca, frames, key).where(F.col("inside") & ~F.col("is_epitope"))
-    test = test.groupBy(*key).agg(F.count(F.lit(1)).alias("native_in_cylinder"))
-    return carved.join(test, list(key), "left").fillna(0, ["native_in_cylinder"])
+def native_inside(
+    frames: DataFrame, native_ca: DataFrame, key: Sequence[str], weights: DataFrame, radius: float = RADIUS, height: float = HEIGHT
+) -> DataFrame:
+    """``native_in_cylinder``: non-epitope native CAs in each design's cylinder, moved to the native's frame.
+
+    ``frames`` has the frame, the transform to the native, ``id`` and ``native_epi``. The CAs of a native are
+    one row, a list no longer than its chain; designs look it up by id and count inside the row. ``weights``
+    has the number of designs per id (``_designs``), so that ids with very many are split.
+    """
+    listed = native_ca.groupBy("id").agg(F.collect_list(F.struct("res_idx", *XYZ)).alias("_cas")).join(weights, "id")
+    turn = lambda v: [reduce(lambda a, b: a + b, [F.col(f"r{i}{j}") * v[j] for j in range(3)]) for i in range(3)]
+    normal = turn([F.col(f"n{x}") for x in XYZ])
+    base = turn([F.col(f"base{x}") for x in XYZ])
+    moved = frames.select(
+        *key, "id", "native_epi", *[n.alias(f"n{x}") for n, x in zip(normal, XYZ)], *[(b + F.col(f"t{i}")).alias(f"base{x}") for i, (b, x) in enumerate(zip(base, XYZ))]
+    )
+
+    def counted(s: Column) -> Column:
+        v = [s[x] - F.col(f"base{x}") for x in XYZ]
+        n = [F.col(f"n{x}") for x in XYZ]
+        proj = v[0] * n[0] + v[1] * n[1] + v[2] * n[2]
+        perp = [v[i] - proj * n[i] for i in range(3)]
+        across = F.sqrt(perp[0] * perp[0] + perp[1] * perp[1] + perp[2] * perp[2])
+        return (proj >= 0) & (proj <= height) & (across <= radius) & ~F.array_contains("native_epi", s["res_idx"])
+
+    met = lookup(moved, listed, ["id"], "inner", weight="_designs", small=False)
+    return met.select(*key, F.size(F.filter("_cas", counted)).cast("bigint").alias("native_in_cylinder"))

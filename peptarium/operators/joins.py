@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,16 +175,7 @@ def containment(queries: DataFrame, chains: DataFrame, on: Sequence[str], wildca
         start = F.instr(c, q)
         hit = joined.withColumn("start", F.when(start > 0, start - 1))
     else:
-        # a chain window matches when each of its letters is the wildcard or the query's letter
-        joined = joined.withColumn("_q", F.split(q, ""))
-        letters_q = F.col("_q")
-        fits = lambda i: F.forall(
-            F.zip_with(F.split(F.substring(c, i + 1, F.length(q)), ""), letters_q, lambda x, y: (x == wildcard) | (x == y)),
-            lambda ok: ok,
-        )
-        span = F.length(c) - F.length(q)
-        starts = F.when(span >= 0, F.filter(F.sequence(F.lit(0), F.greatest(span, F.lit(0))), fits))
-        hit = joined.withColumn("start", F.try_element_at(starts, F.lit(1))).drop("_q")
+        hit = joined.withColumn("start", _first_fit(wildcard)(c, q))
     return (
         hit.where(F.col("start").isNotNull())
         .withColumn("trim_n", F.col("start"))
@@ -189,8 +183,36 @@ def containment(queries: DataFrame, chains: DataFrame, on: Sequence[str], wildca
     )
 
 
+def _first_fit(wildcard: str):
+    """Arrow batches of (chain, query) to the first place the query fits: bit i of the state says that the last
+    i + 1 letters of the chain fit the first i + 1 of the query, so one step per chain letter is enough."""
+
+    def first(chain: str, query: str) -> int | None:
+        all_fit = (1 << len(query)) - 1
+        masks: dict[str, int] = {wildcard: all_fit}
+        for i, letter in enumerate(query):
+            if letter != wildcard:
+                masks[letter] = masks.get(letter, 0) | 1 << i
+        state, done = 0, 1 << max(len(query) - 1, 0)
+        if not query:
+            return 0
+        for i, letter in enumerate(chain):
+            state = (state << 1 | 1) & masks.get(letter, 0)
+            if state & done:
+                return i - len(query) + 1
+        return None
+
+    @F.pandas_udf("int")
+    def place(chains: pd.Series, queries: pd.Series) -> pd.Series:
+        found = [None if c is None or q is None else first(c, q) for c, q in zip(chains, queries, strict=True)]
+        return pd.Series(found, dtype="Int32")
+
+    return place
+
+
 CHUNK = 256
 BROADCAST_HASHES = 1_000_000
+SHIP_CHARS = 2_000_000
 
 
 def kmer_index(df: DataFrame, key: Sequence[str], seq: str, k: int, pos: str = "pos") -> DataFrame:
@@ -208,13 +230,67 @@ def kmer_index(df: DataFrame, key: Sequence[str], seq: str, k: int, pos: str = "
     )
 
 
-def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
-    """Which whole passages (``p_id, p_text``) occur inside which whole documents (``doc_id, text``).
+def windows_of(df: DataFrame, key: Sequence[str], seq: str, widths: Sequence[int]) -> DataFrame:
+    """(key, gram): hashes of the windows of several widths at every place, from one pass over the texts."""
+    longest = max(widths)
+    chunks = df.where(F.length(seq) > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), F.length(seq) - 1, F.lit(CHUNK))))
+    chunks = chunks.select(*key, F.substring(F.col(seq), F.col("_at") + 1, F.lit(CHUNK + longest - 1)).alias("_chunk"))
+    inside = chunks.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.length("_chunk")))))
+    fits = F.filter(F.array(*[F.lit(w) for w in widths]), lambda w: F.col("_i") + w - 1 <= F.length("_chunk"))
+    hashes = F.transform(fits, lambda w: F.xxhash64(F.substring(F.col("_chunk"), F.col("_i"), w), w))
+    return inside.select(*key, F.explode(hashes).alias("gram"))
+
 
-    The inner words of a passage are whole words of any text that contains it, so both sides meet on
-    runs of up to ``words`` inner words and only those candidates are compared. Each passage uses its
-    rarest run. Passages without inner words meet on their whole text as a character window.
+def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4, ship: int = SHIP_CHARS) -> DataFrame:
+    """Which whole passages (``p_id, p_text``) occur inside which whole documents (``doc_id, text``), and where first.
+
+    Passages of at most ``ship`` characters together (checked) become one automaton that every task gets, and
+    all of them are found in one pass over each text. More are met by anchors: the inner words of a passage
+    are whole words of any text that contains it, so both sides meet on its rarest run of up to ``words`` inner
+    words; passages without inner words meet on their first characters, as many as the power of two that fits.
+    Only candidates are compared. Empty passages are in no document.
     """
+    chars = passages.agg(F.sum(F.length("p_text"))).first()[0] or 0
+    return _scan_for(documents, passages) if chars <= ship else _meet_on_anchors(documents, passages, words)
+
+
+def _scan_for(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    wanted = passages.where(F.length("p_text") > 0).select("p_id", "p_text").toArrow()  # at most SHIP_CHARS characters
+    places: dict[str, list[int]] = {}
+    for k, text in enumerate(wanted.column("p_text").to_pylist()):
+        places.setdefault(text, []).append(k)
+    ids = wanted.column("p_id").combine_chunks()
+    shared = documents.sparkSession.sparkContext.broadcast((places, ids))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        places, ids = shared.value
+        automaton = ahocorasick.Automaton()
+        for text, held in places.items():
+            automaton.add_word(text, (len(text), held))
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits, starts = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist() if places else ()):
+                first: dict[int, int] = {}
+                for end, (size, held) in automaton.iter(text or ""):
+                    if held[0] not in first:
+                        first.update(dict.fromkeys(held, end - size + 1))
+                rows += [row] * len(first)
+                hits += first.keys()
+                starts += first.values()
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(hits, pa.int64())), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32())],
+                ["p_id", "doc_id", "start"],
+            )
+
+    kinds = {"p_id": passages.schema["p_id"].dataType, "doc_id": documents.schema["doc_id"].dataType}
+    schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()) + ", start int"
+    return documents.select("doc_id", "text").mapInArrow(scan, schema)
+
+
+def _meet_on_anchors(documents: DataFrame, passages: DataFrame, words: int) -> DataFrame:
     tokens = lambda c: F.split(F.col(c), r"\s+")
 
     def shingles(array: str, n: int) -> Column:
@@ -237,15 +313,13 @@ def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4
             worded = documents.select("doc_id", tokens("text").alias("_w"))
             in_docs = worded.select("doc_id", F.explode(F.array_distinct(shingles("_w", n))).alias("gram"))
         else:
-            exact = mine.withColumn("_len", F.length("p_text")).where(F.col("_len") > 0)
-            grams = exact.select("p_id", F.xxhash64("p_text").alias("gram"))
-            widths = [r[0] for r in exact.select("_len").distinct().collect()]  # two-word texts: few lengths
+            width = F.lit(2) ** F.floor(F.log2(F.length("p_text")))
+            exact = mine.where(F.length("p_text") > 0).withColumn("_len", width.cast("int"))
+            widths = [r[0] for r in exact.select("_len").distinct().orderBy("_len").collect()]  # powers of two
             if not widths:
                 continue
-            in_docs = reduce(
-                DataFrame.unionByName,
-                [kmer_index(documents, ["doc_id"], "text", w).select("doc_id", F.xxhash64("kmer").alias("gram")) for w in widths],
-            ).distinct()
+            grams = exact.select("p_id", F.xxhash64(F.expr("left(p_text, _len)"), "_len").alias("gram"))
+            in_docs = windows_of(documents, ["doc_id"], "text", widths).distinct()
         wanted = grams.select("gram").distinct()
         if wanted.count() <= BROADCAST_HASHES:  # 8 bytes each; a larger set is shuffled against the documents
             wanted = F.broadcast(wanted)
@@ -269,35 +343,59 @@ def contained_passages(documents: DataFrame, passages: DataFrame, words: int = 4
 def longest_block(a: DataFrame, b: DataFrame, on: Sequence[str], min_len: int = 5) -> DataFrame:
     """Longest run two paired sequences share (at least ``min_len``) and where it starts in each.
 
-    Shared k-mers of a pair lie on diagonals. Only k-mers that begin or end a run are joined (the letter
-    before or after differs), so repeats inside a long run produce no rows. Ties go to the earliest start
-    in a, then in b. ``on`` must pair at most one row of each side.
+    Sequences of a pair meet in one row and are compared there, in memory in proportion to their length
+    whatever repeats in them. Ties go to the earliest start in a, then in b. ``on`` must pair at most one row
+    of each side.
     """
     on = list(on)
 
-    def edges(df: DataFrame, seq: str, side: str, pads: tuple[str, str]) -> DataFrame:
-        # the pads differ between the sides: a sequence end never matches
-        padded = df.where(F.length(seq) >= min_len).select(*on, F.concat(F.lit(pads[0]), seq, F.lit(pads[1])).alias("_s"))
-        w = kmer_index(padded, on, "_s", min_len + 2, f"{side}_pos")
-        return w.select(
-            *on,
-            f"{side}_pos",
-            F.substring(F.col("kmer"), F.lit(2), F.lit(min_len)).alias("_mer"),
-            F.left("kmer", F.lit(1)).alias(f"_{side}_prev"),
-            F.right("kmer", F.lit(1)).alias(f"_{side}_next"),
-        )
+    @F.pandas_udf("size int, a_start int, b_start int")
+    def block(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        found = [_longest_common(x, y, min_len) for x, y in zip(left, right, strict=True)]
+        return pd.DataFrame(found, columns=["size", "a_start", "b_start"]).astype("Int32")
+
+    long_enough = lambda df, seq: df.where(F.length(seq) >= min_len).select(*on, seq)
+    met = long_enough(a, "a_seq").join(long_enough(b, "b_seq"), on).withColumn("_found", block("a_seq", "b_seq"))
+    return met.select(*on, "_found.*").where(F.col("size").isNotNull())
 
-    left, right = edges(a, "a_seq", "a", ("\u0001", "\u0002")), edges(b, "b_seq", "b", ("\u0003", "\u0004"))
-    begins, ends = F.col("_a_prev") != F.col("_b_prev"), F.col("_a_next") != F.col("_b_next")
-    met = left.join(right, [*on, "_mer"]).where(begins | ends)
-    marks = met.select(*on, "a_pos", "b_pos", (F.col("b_pos") - F.col("a_pos")).alias("_diagonal"), begins.alias("_begins"), ends.alias("_ends"))
-    # one diagonal of one pair: never more rows than the sequence is long
-    along = Window.partitionBy(*on, "_diagonal").orderBy("a_pos")
-    last = F.when(F.col("_ends"), F.col("a_pos")).otherwise(F.lead("a_pos").over(along))
-    runs = marks.withColumn("_last", last).where("_begins")
-    size = F.col("_last") - F.col("a_pos") + min_len
-    best = runs.groupBy(*on).agg(F.min(F.struct((-size).alias("neg"), "a_pos", "b_pos")).alias("best"))
-    return best.select(*on, (-F.col("best.neg")).alias("size"), F.col("best.a_pos").alias("a_start"), F.col("best.b_pos").alias("b_start"))
+
+def _longest_common(a: str, b: str, least: int) -> tuple[int | None, int | None, int | None]:
+    """(size, start in a, start in b) of the longest common run of at least ``least`` letters.
+
+    Every place gets the rank of the 2**k letters from there, k rising while both texts share one; a run of
+    any length up to the next power of two is told by the ranks at its two ends. Ranks are exact, no hashes.
+    """
+    letters = np.frombuffer((a + b).encode("utf-32-le"), np.uint32)
+    split, n = len(a), len(a) + len(b)
+    rank = np.unique(letters, return_inverse=True)[1].astype(np.int64)
+    width = 1
+
+    def starts(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all runs of this size, of a and of b."""
+        key = rank[: n - size + 1] * (n + 1) + rank[size - width : n - width + 1]
+        return key[: max(split - size + 1, 0)], key[split:]
+
+    def shared(size: int) -> bool:
+        left, right = starts(size)
+        return bool(len(left) and len(right) and np.isin(left, right).any())
+
+    if not shared(1):
+        return None, None, None
+    while 2 * width <= min(split, n - split) and shared(2 * width):
+        key = rank[: n - 2 * width + 1] * (n + 1) + rank[width : n - width + 1]
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        width *= 2
+    low, high = width, min(2 * width, split, n - split) + 1  # shared at low, not at high
+    if high <= 2 * width and shared(high - 1):
+        low = high - 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if shared(middle) else (low, middle)
+    if low < least:
+        return None, None, None
+    left, right = starts(low)
+    at = int(np.flatnonzero(np.isin(left, right))[0])
+    return low, at, int(np.flatnonzero(right == left[at])[0])
 
 
 def pair_residues(a: DataFrame, b: DataFrame, key: str, min_shared: int = 3) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptarium.session import freeze, rows_per_task
+from peptarium.session import freeze, freeze_counted, rows_per_task
 
 
 def fits_one_task(df: DataFrame) -> bool:
@@ -222,47 +222,136 @@ def with_rank(
     return lookup(df, ranks, [*groups, value], weight="_ties", small=small)
 
 
+BROADCAST_STEPS = 100_000
+
+
 def with_ranks(
     df: DataFrame, columns: dict[str, str], groups: Sequence[str] = (), pct: bool = False, small: bool | None = None
 ) -> DataFrame:
-    """Average ranks of several columns (``{value: out}``). All are ranked from ``df`` itself, then joined in turn."""
+    """Average ranks of several columns (``{value: out}``) inside ``groups``; null values and null groups rank null.
+
+    The input is unpivoted and counted per (metric, group, value) once, whatever the number of metrics; that
+    table is written, and its size is what is checked. Metrics with at most ``BROADCAST_STEPS`` distinct
+    (group, value) get their ranks by a broadcast lookup. All others are ranked on narrow rows (row, metric,
+    value) together and pivoted back, so the wide rows move at most once. With a single such metric they are
+    joined to its ranks directly.
+    """
+    groups, metrics = list(groups), list(columns)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    if len({kinds[m] for m in metrics}) > 1:
+        df = df.withColumns({f"_as_{m}": F.col(m).cast("double") for m in metrics})
+        names = {f"_as_{m}": out for m, out in columns.items()}
+        return with_ranks(df, names, groups, pct, small).drop(*names)
+
+    def unpivoted(rows: DataFrame, chosen: Sequence[str], *keep: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(metrics.index(m)).alias("_metric"), F.col(m).alias("_value")) for m in chosen])
+        return rows.select(*keep, *groups, F.inline(cells)).dropna(subset=["_value", *groups])
+
+    steps = freeze(unpivoted(df, metrics).groupBy("_metric", *groups, "_value").agg(F.count(F.lit(1)).alias("_ties")))
+    sizes = {r["_metric"]: r["n"] for r in steps.groupBy("_metric").agg(F.count(F.lit(1)).alias("n")).collect()}
     if small is None:
-        small = fits_one_task(df)
-    tables = {v: rank_table(df.select(*groups, v), v, groups, out, pct=pct, small=small) for v, out in columns.items()}
-    for v, ranks in tables.items():
-        df = lookup(df, ranks, [*groups, v], weight="_ties", small=small)
+        small = sum(sizes.values()) <= rows_per_task(df.sparkSession)
+    scope = ["_metric", *groups]
+    ladder = running_total(steps, scope, ["_value"], "_ties", "_below", small=small)
+    rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
+    if pct:
+        if small:
+            ladder = ladder.withColumn("_n", F.sum("_ties").over(Window.partitionBy(*scope)))
+        else:
+            totals = steps.groupBy(*scope).agg(F.sum("_ties").alias("_n"))
+            ladder = lookup(ladder, totals, scope, "inner", small=False)
+        rank = rank / F.col("_n")
+    ranks = ladder.select(*scope, "_value", rank.alias("_rank"), "_ties")
+    large = [m for m in metrics if sizes.get(metrics.index(m), 0) > BROADCAST_STEPS]
+    for m in metrics:
+        if m not in large or len(large) == 1:
+            mine = ranks.where(F.col("_metric") == metrics.index(m)).select(
+                *groups, F.col("_value").alias(m), F.col("_rank").alias(columns[m]), "_ties"
+            )
+            if m in large:
+                df = lookup(df, mine, [*groups, m], weight="_ties", small=small)
+            else:
+                df = df.join(F.broadcast(mine.drop("_ties")), [*groups, m], "left")
+    if len(large) > 1:
+        wide = freeze(df.withColumn("_row", F.monotonically_increasing_id()))
+        narrow = lookup(unpivoted(wide, large, "_row"), ranks, [*scope, "_value"], "inner", weight="_ties", small=small)
+        found = narrow.groupBy("_row").agg(*[F.max(F.when(F.col("_metric") == metrics.index(m), F.col("_rank"))).alias(columns[m]) for m in large])
+        df = wide.join(found, "_row", "left").drop("_row")
     return df
 
 
+def _coarse(value: str) -> Column:
+    """A whole number that never falls as the value rises: 64 steps per factor e, zero and both signs apart."""
+    v = F.col(value).cast("double")
+    size = F.floor(F.log(F.abs(v)) * 64).cast("int") + 50_000  # log of the least double is above -746
+    edge = F.when(F.isnan(v), F.lit(300_000)).when(F.abs(v) == F.lit(float("inf")), F.signum(v).cast("int") * 200_000)
+    return edge.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
+
+
+def value_steps(df: DataFrame, groups: Sequence[str], value: str) -> tuple[DataFrame, int]:
+    """One written row per distinct (group, value) with its count ``n_ties``, null among them, and how many rows that is."""
+    return freeze_counted(df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_ties")))
+
+
 def quantiles(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     probs: dict[str, float],
     small: bool | None = None,
+    steps: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one output column per entry of ``probs``."""
+    """Exact quantiles with linear interpolation, one output column per entry of ``probs``.
+
+    The input is read once, into counts per distinct value (``steps``, if the caller has them). If those are
+    more than a task should hold, coarse buckets are counted first, and only values in a bucket with a wanted
+    rank are put in order.
+    """
     groups = list(groups)
+    if steps is None:
+        steps, n = value_steps(df, groups, value)
+    else:
+        n = steps.count() if small is None else 0
     if small is None:
-        small = fits_one_task(df)
+        small = n <= rows_per_task(df.sparkSession)
+    named, steps = steps.select(*groups), steps.where(F.col(value).isNotNull())
+    wants = [(i, side, p) for i, p in enumerate(probs.values()) for side in ("lo", "hi")]
+
+    def at(n: Column, side: str, p: float) -> Column:
+        position = F.lit(float(p)) * (n - 1)
+        return (F.floor(position) if side == "lo" else F.ceil(position)).cast("bigint")
+
     if small:
-        return df.groupBy(*groups).agg(*[F.percentile(value, p).alias(name) for name, p in probs.items()])
-    ladder = value_ladder(df, groups, value, small=False)
-    picks, results = [], []
+        all_of_group = Window.partitionBy(*groups)
+        earlier = all_of_group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ladder = steps.withColumn("_n", F.sum("n_ties").over(all_of_group)).withColumn("_below", F.coalesce(F.sum("n_ties").over(earlier), F.lit(0)))
+        offset = F.lit(0)
+    else:
+        coarse = steps.withColumn("_bucket", _coarse(value))
+        # at most some 200,000 buckets per group, usually a few hundred
+        counts = coarse.groupBy(*groups, "_bucket").agg(F.sum("n_ties").alias("_k"))
+        order = Window.partitionBy(*groups).orderBy("_bucket")
+        counts = counts.withColumn("_n", F.sum("_k").over(Window.partitionBy(*groups)))
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        holds = reduce(lambda a, b: a | b, [(F.col("_before") <= at(F.col("_n"), s, p)) & (at(F.col("_n"), s, p) < F.col("_before") + F.col("_k")) for _, s, p in wants])
+        wanted = counts.where(holds).select(*groups, "_bucket", "_n", "_before")
+        picked, m = freeze_counted(null_safe_join(coarse, wanted, [*groups, "_bucket"], "inner"))
+        ladder = running_total(picked, [*groups, "_bucket"], [value], "n_ties", "_below", small=m <= rows_per_task(df.sparkSession))
+        offset = F.col("_before")
+    below = F.col("_below") + offset
+    picks = [
+        F.max(F.when((below <= at(F.col("_n"), s, p)) & (at(F.col("_n"), s, p) < below + F.col("n_ties")), F.col(value))).alias(f"_{s}{i}")
+        for i, s, p in wants
+    ]
+    results = []
     for i, (name, p) in enumerate(probs.items()):
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        for side, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            here = (F.col("below") <= at) & (at < F.col("below") + F.col("n_ties"))
-            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{side}{i}"))
         part = F.lit(float(p)) * (F.col("_n") - 1)
-        results.append(
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (part - F.floor(part))).alias(name)
-        )
-    found = ladder.groupBy(*groups).agg(F.max("n").alias("_n"), *picks).select(*groups, *results)
+        results.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (part - F.floor(part))).alias(name))
+    found = ladder.groupBy(*groups).agg(F.max("_n").alias("_n"), *picks).select(*groups, *results)
     if not groups:
         return found
     # groups whose values are all null still get a (null) row
-    return null_safe_join(df.select(*groups).distinct(), found, groups)
+    return null_safe_join(named.distinct(), found, groups)
 
 
 def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, out: str | None = None) -> DataFrame:
@@ -281,6 +370,11 @@ def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int,
     return kept if out else kept.drop(name)
 
 
+def top_n(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows of the whole table in a total order: every task keeps n, the driver's side merges those."""
+    return df.orderBy(*order).limit(n)
+
+
 def first_per(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per group, the first in ``order``; map tasks send at most one row per group."""
     return top_k(df, groups, [F.col(o) if isinstance(o, str) else o for o in order], 1)

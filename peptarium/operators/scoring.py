@@ -65,8 +65,8 @@ def transform_metrics(df: DataFrame, metrics: Sequence[Metric], scope: Sequence[
     ranked = [m for m in metrics if m.transform == "percentile"]
     shaped = [m for m in metrics if m.transform != "percentile"]
     if small is None:
-        # pure column expressions need no size check
-        small = fits_one_task(df) if ranked or any(_needs(m) for m in shaped) else True
+        # pure column expressions need no size check, and ranks check the size of their own counts
+        small = fits_one_task(df) if any(_needs(m) for m in shaped) else None
     x = {m.column: f"_x_{m.column}" for m in metrics}
     df = df.withColumns({x[m.column]: num(m.column) for m in metrics})
 

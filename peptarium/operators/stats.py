@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peptarium.functions.numeric import num
@@ -18,6 +18,7 @@ from peptarium.operators.ordering import (
     quantiles,
     row_rank,
     value_ladder,
+    value_steps,
     with_ranks,
 )
 from peptarium.operators.predicates import FOUR_FILTER, Condition, all_of
@@ -340,24 +341,39 @@ def selectivity(df: DataFrame, truth: str, before: str, after: str, threshold: f
     return rows.groupBy(band.alias("band")).agg(n_rows().alias("n"), flagged("_b").alias("share_before"), flagged("_a").alias("share_after"))
 
 
-def clip_limits(df: DataFrame, column: str, low: float | None, high: float, fixed_low: float = 0.0) -> tuple[float, float]:
+def clip_limits(
+    df: DataFrame, column: str, low: float | None, high: float, fixed_low: float = 0.0, steps: DataFrame | None = None
+) -> tuple[float, float]:
     """Exact percentile limits of a histogram axis (two numbers, so they may come to the driver)."""
     probs = {"hi": high} | ({"lo": low} if low is not None else {})
     rows = df.select(num(column).alias("_v")).where(F.col("_v").isNotNull())
-    found = quantiles(rows, [], "_v", probs).first()
+    if steps is not None:
+        steps = steps.groupBy(F.col(column).alias("_v")).agg(F.sum("n_ties").alias("n_ties"))
+    found = quantiles(rows, [], "_v", probs, steps=steps).first()
     return (found["lo"] if low is not None else fixed_low), found["hi"]
 
 
-def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, groups: Sequence[str] = ()) -> DataFrame:
-    """Density over ``bins`` equal bins of [lo, hi]; values outside are clipped to the edges."""
+def counted_values(df: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Counts ``n_ties`` per (group, value), written once: limits, bins and totals all come from them."""
+    return value_steps(df.select(*groups, num(column).alias(column)), groups, column)[0]
+
+
+def histogram(
+    df: DataFrame, column: str, lo: float, hi: float, bins: int, groups: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Density over ``bins`` equal bins of [lo, hi]; values outside are clipped to the edges.
+
+    ``weight`` names a column that says how many rows each row stands for. Null groups are a group.
+    """
     width = (hi - lo) / bins
     v = F.greatest(F.lit(lo), F.least(F.lit(hi), num(column)))
     # the upper edge belongs to the last bin
     index = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
     rows = df.where(num(column).isNotNull())
-    counts = rows.groupBy(*groups, index.cast("int").alias("bin")).agg(n_rows().alias("n"))
-    totals = rows.groupBy(*groups).agg(n_rows().alias("_total"))
-    joined = counts.join(totals, list(groups)) if groups else beside(counts, totals)
+    n = F.sum(weight) if weight else n_rows()
+    counts = rows.groupBy(*groups, index.cast("int").alias("bin")).agg(n.alias("n"))
+    # at most ``bins`` rows per group
+    joined = counts.withColumn("_total", F.sum("n").over(Window.partitionBy(*groups)))
     return joined.select(
         *groups, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("edge"), "n", (F.col("n") / (F.col("_total") * F.lit(width))).alias("density")
     )

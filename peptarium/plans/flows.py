@@ -38,6 +38,7 @@ from peptarium.operators.scoring import rank_in_group, recut, score
 from peptarium.operators.sets import component_priority, dedupe_by_sequence, prefixed, union_all
 from peptarium.operators.validation import validate_peptides, verify_order
 from peptarium.plans.presets import Preset
+from peptarium.session import freeze_counted, rows_per_task
 from peptarium.sources.tables import keep_passing
 
 # Target prefixes left out of the known-antibody arms, and the constant part before a tile.
@@ -114,9 +115,9 @@ def tile_rows(tiles: DataFrame, category: str = "tiled30mer") -> DataFrame:
 
 def assemble(parts: Sequence[DataFrame], prefix: str = "LIB_", order: Sequence[str] = COMPONENT_ORDER) -> DataFrame:
     """Union, one row per sequence (first component wins), collapsed ids, contiguous numbering."""
-    unique = dedupe_by_sequence(union_all(parts), order, ["design_ID"])
+    unique, n = freeze_counted(dedupe_by_sequence(union_all(parts), order, ["design_ID"]))
     named = unique.withColumn("design_ID", collapse_id("design_ID")).withColumn("_c", component_priority(order))
-    numbered = number_members(named, ["_c", "design_ID", "sequence"], prefix)
+    numbered = number_members(named, ["_c", "design_ID", "sequence"], prefix, small=n <= rows_per_task(unique.sparkSession))
     return numbered.select("library_member", "component", *LIBRARY_TYPES)
 
 
@@ -142,7 +143,8 @@ def fold_external(library: DataFrame, external: DataFrame, category: str, prefix
     number = F.regexp_extract("library_member", r"(\d+)$", 1).cast("bigint")
     kept = exclude_values(library, "category", [category]).drop(*[c for c in library.columns if c.startswith("lx_")])
     both = union_all([kept.withColumn("_o", F.lit(0)).withColumn("_n", number).drop("library_member"), rows.withColumn("_o", F.lit(1)).withColumn("_n", F.lit(None).cast("bigint"))])
-    return number_members(both, ["_o", "_n", "design_ID", "sequence"], prefix).drop("_o", "_n")
+    both, n = freeze_counted(both)
+    return number_members(both, ["_o", "_n", "design_ID", "sequence"], prefix, small=n <= rows_per_task(both.sparkSession)).drop("_o", "_n")
 
 
 def superset_block(
@@ -209,18 +211,18 @@ def binding_join(
 
 
 def native_tiles(
-    queries: DataFrame, chains: DataFrame, entry: str = "entry", mer: int = TILE_MER, step: int = TILE_STEP, prefix: str = ""
+    queries: DataFrame, chains: DataFrame, entry: str = "entry", mer: int = TILE_MER, step: int = TILE_STEP, prefix: str = "", record: str = "record"
 ) -> tuple[DataFrame, DataFrame]:
     """(tiles, native windows): tile each target's chain from where the target's sequence begins in it.
 
+    Of several chains of an entry that hold the target, the first in the file counts; ``record`` sorts them.
     A target found in no chain of its entry is tiled on its own sequence and marked ``needs_review``.
     Each tile is checked to be part of its source.
     """
     found = containment(queries, chains, [entry])
-    native = found.select("target", F.substring(F.col("c_seq"), F.col("start") + 1, F.length("c_seq")).alias("native"), "start")
-    # the first chain in offset order, then the longest, stands for the target
-    best = native.groupBy("target").agg(F.min(F.struct("start", (-F.length("native")).alias("_l"), "native")).alias("b"))
-    windows = queries.join(best.select("target", F.col("b.native").alias("native")), "target", "left").select(
+    native = found.select("target", record, F.substring(F.col("c_seq"), F.col("start") + 1, F.length("c_seq")).alias("native"))
+    best = native.groupBy("target").agg(F.min_by("native", record).alias("native"))
+    windows = queries.join(best, "target", "left").select(
         "target",
         F.coalesce("native", "q_seq").alias("native"),
         F.length("q_seq").alias("old_len"),

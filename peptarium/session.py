@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_TASK_CONF = "spark.peptarium.rowsPerTask"
 ROWS_PER_TASK_DEFAULT = 2_000_000
@@ -57,6 +58,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freeze_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``freeze``, with the row count taken from the write itself."""
+    seen = Observation()
+    frozen = freeze(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return frozen, int(seen.get["n"])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give per-row heavy work at least one partition per core.
 

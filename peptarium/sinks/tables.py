@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from peptarium.functions.contigs import comma_contig
 from peptarium.functions.keys import number_from_text
+from peptarium.sinks.files import drop_partition, write_row_files
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -49,25 +50,21 @@ def write_quote(df: DataFrame, out: str, header: bool = True) -> None:
     write_pairs(df, out, ["name", "sequence"], header)
 
 
-def drop_component(spark: SparkSession, out: str, component: str) -> None:
-    """Remove one component's block, if there is one."""
-    jvm = spark._jvm
-    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(component)
-    block = jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/component={name}")
-    block.getFileSystem(spark._jsc.hadoopConfiguration()).delete(block, True)
-
-
 def write_component(df: DataFrame, out: str, component: str, mode: str = "rebuild") -> None:
-    """Write one component's block: ``append`` adds rows, ``rebuild`` replaces that block only."""
-    rows = df.withColumn("component", F.lit(component))
-    if mode == "append":
-        rows.write.mode("append").partitionBy("component").parquet(out)
-    elif mode == "rebuild" and rows.isEmpty():
-        drop_component(df.sparkSession, out, component)  # dynamic overwrite leaves partitions it does not write
-    elif mode == "rebuild":
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("component").parquet(out)
-    else:
+    """Write one component's block: ``append`` adds rows, ``rebuild`` replaces that block only.
+
+    Row counts come from the write itself: a block rebuilt from no rows is removed.
+    """
+    if mode not in ("append", "rebuild"):
         raise ValueError(f"unknown mode: {mode!r}")
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("component", F.lit(component)).write.partitionBy("component")
+    if mode == "append":
+        rows.mode("append").parquet(out)
+        return
+    rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
+    if not seen.get["n"]:  # dynamic overwrite leaves partitions it does not write
+        drop_partition(out, "component", component)
 
 
 def fixed_atoms(c: str | Column) -> Column:
@@ -109,16 +106,16 @@ def sequence_payload(df: DataFrame, seed: int = 1, name: str = "name", seq: str
     return df.select(F.col(name).alias("name"), F.to_json(body).alias("json"))
 
 
-def write_json_lines(df: DataFrame, out: str, key: str) -> DataFrame:
-    """Write (key, json) as JSON lines and return the (key, path) manifest of what was written."""
-    df.select(F.to_json(F.struct(key, "json")).alias("value")).write.mode("overwrite").text(out)
-    written = df.sparkSession.read.text(out).select("value", F.col("_metadata.file_path").alias("path"))
-    return written.select(F.get_json_object("value", f"$.{key}").alias(key), "path")
+def write_json_files(df: DataFrame, out: str, key: str) -> DataFrame:
+    """Write (key, json) as one ``<key>.json`` each and return the (key, path) manifest of what is there."""
+    write_row_files(df.select(F.concat(F.col(key).cast("string"), F.lit(".json")), "json"), out)
+    found = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(out).select("path")
+    return found.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias(key), "path")
 
 
 def emit_json_specs(df: DataFrame, out: str) -> DataFrame:
-    return write_json_lines(json_specs(df), out, "design_id")
+    return write_json_files(json_specs(df), out, "design_id")
 
 
 def emit_sequence_payload(df: DataFrame, out: str, seed: int = 1) -> DataFrame:
-    return write_json_lines(sequence_payload(df, seed), out, "name")
+    return write_json_files(sequence_payload(df, seed), out, "name")

@@ -25,12 +25,30 @@ def pae_matrix(c: str | Column) -> Column:
     return F.coalesce(*picks)
 
 
-def read_pae(spark: SparkSession, path: str) -> DataFrame:
-    """(design_id, pae) of every full confidence file under ``path``; summary files never count."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    full = files.where(~F.element_at(F.split("path", "/"), -1).contains("summary"))
+def whole_files(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """(value, path) of the files below ``path`` whose name matches ``wanted``, sub-folders included."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    named = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("_name"))
+    return named.where(F.col("_name").rlike(wanted)).drop("_name")
+
+
+def readable(df: DataFrame, ok: Column, bad: str) -> DataFrame:
+    """What to do with files that hold no usable value: ``null`` keeps their row, ``drop`` leaves it out, ``fail`` stops."""
+    if bad == "drop":
+        return df.where(ok)
+    if bad == "fail":
+        return df.where(ok | F.raise_error(F.concat(F.lit("unreadable file: "), F.col("path"))).cast("boolean"))
+    if bad != "null":
+        raise ValueError(f"unknown policy: {bad!r}")
+    return df
+
+
+def read_pae(spark: SparkSession, path: str, bad: str = "null") -> DataFrame:
+    """(design_id, pae) of every full confidence file below ``path``; summary files never count."""
+    full = whole_files(spark, path, r"\.json$").where(~F.element_at(F.split("path", "/"), -1).contains("summary"))
     name = F.regexp_replace(stem(F.col("path")), "_(full_)?confidences$", "")
-    return full.select(name.alias("design_id"), pae_matrix("value").alias("pae"))
+    rows = full.select("path", name.alias("design_id"), pae_matrix("value").alias("pae"))
+    return readable(rows, F.col("pae").isNotNull(), bad).drop("path")
 
 
 def summary_scalars(c: str | Column) -> Column:
@@ -50,10 +68,12 @@ def summary_scalars(c: str | Column) -> Column:
     )
 
 
-def read_summary_scalars(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    name = F.regexp_replace(stem(F.col("_metadata.file_path")), "_summary_confidences$", "")
-    return files.select(name.alias("design_id"), summary_scalars("value").alias("s")).select("design_id", "s.*")
+def read_summary_scalars(spark: SparkSession, path: str, bad: str = "null") -> DataFrame:
+    """(design_id, the scalars) of every summary file below ``path``; a file that is no JSON object is bad."""
+    files = whole_files(spark, path, r"summary.*\.json$")
+    name = F.regexp_replace(stem(F.col("path")), "_summary_confidences$", "")
+    rows = files.select("path", name.alias("design_id"), summary_scalars("value").alias("s"), F.json_object_keys("value").isNotNull().alias("_ok"))
+    return readable(rows, F.col("_ok"), bad).select("design_id", "s.*")
 
 
 def index_paths(paths: DataFrame, key_regex: str, keys: Sequence[str], prefer: Sequence[Column] = ()) -> DataFrame:

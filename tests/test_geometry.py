@@ -104,6 +104,64 @@ def test_distance_joins_match_brute_force(sliced, r):
     assert all(shortest[i] == pytest.approx(d[i].min()) for i in shortest)
 
 
+def near_keys(df):
+    return sorted((r["design_id"], r["res_idx"]) for r in df.select("design_id", "res_idx").collect())
+
+
+@pytest.mark.parametrize("dense", ["points", "targets", "both"])
+@pytest.mark.parametrize("more", ["points", "targets"])
+def test_dense_cells_are_cut_and_the_smaller_side_is_copied(sliced, dense, more):
+    rng = np.random.default_rng(11)
+    size = {"points": 150, "targets": 150} | {more: 400}
+    spots = {}
+    for side in ("points", "targets"):
+        xyz = rng.uniform(-20, 20, (size[side], 3))
+        if dense in (side, "both"):
+            xyz[:120] = rng.uniform(0.1, 0.9, (120, 3))  # one cell
+        spots[side] = xyz
+    points, targets = cloud(sliced, spots["points"], set()), cloud(sliced, spots["targets"], set())
+    copied, cut = R.layout(points, targets, 1.0, KEY)
+    assert copied == {"points": "targets", "targets": "points"}[more] and cut.count() > 0
+    left, right, _ = R.sides(points, targets, 1.0, KEY)
+    for side in (left, right):  # 40 rows a task
+        assert side.groupBy(*KEY, *R._CELL, *R._PARTS).count().agg(F.max("count")).first()[0] <= 80
+    d = np.sqrt(((spots["points"][:, None] - spots["targets"][None]) ** 2).sum(-1))
+    assert near_keys(R.near_points(points, targets, 1.0, KEY)) == [(1, i) for i in np.flatnonzero((d < 1).any(1)).tolist()]
+    assert near_keys(R.carve(points, targets, 1.0, KEY)) == [(1, i) for i in np.flatnonzero((d > 1).all(1)).tolist()]
+    got = {r["res_idx"]: r["min_dist"] for r in R.min_distance(points, targets, 1.0, KEY).collect()}
+    assert got == {i: pytest.approx(d[i].min()) for i in np.flatnonzero(d.min(1) <= 1).tolist()}
+    met = R.hits(points, targets.withColumnRenamed("res_idx", "t"), 1.0, KEY, ["res_idx"], ["t"]).collect()
+    assert sorted((r["res_idx"], r["t"]) for r in met) == [tuple(x) for x in np.argwhere(d < 1).tolist()]
+
+
+@pytest.mark.parametrize("copied", [None, "points", "targets"])
+def test_repeated_points_and_null_places_keep_their_rows(spark, copied):
+    rows = [(1, 0, 0.0, 0.0, 0.0)] * 3 + [(1, 1, 9.0, 9.0, 9.0), (1, 2, None, 0.0, 0.0), (None, 3, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "design_id int, res_idx int, x double, y double, z double")
+    targets = spark.createDataFrame([(1, 0.5, 0.0, 0.0)] * 5 + [(None, 0.0, 0.0, 0.0)], "design_id int, x double, y double, z double")
+    near = sorted((r["design_id"], r["res_idx"]) for r in R.near_points(points, targets, 1.0, KEY, copied).collect())
+    assert near == [(1, 0)] * 3
+    assert sorted(r["res_idx"] for r in R.carve(points, targets, 1.0, KEY, copied).collect()) == [1, 2, 3]
+
+
+def test_natives_are_not_copied_per_design(spark):
+    """The native side of the plan is read once per id, not joined to designs before it is indexed."""
+    rng = np.random.default_rng(3)
+    seq, n = "ACDEFGHIKLMN", 5
+    table = lambda pts, **kw: pd.DataFrame(pts, columns=list("xyz")).assign(res_idx=range(len(pts)), atom_name="CA", element="C", **kw)
+    atoms = [rng.normal(size=(12, 3)) * 6 for _ in range(n)]
+    design = spark.createDataFrame(pd.concat([table(a, design_id=k) for k, a in enumerate(atoms)]))
+    native = spark.createDataFrame(pd.concat([table(atoms[0][:6], id="t", chain="A"), table(atoms[0][8:9] + 0.5, id="t", chain="H")]))
+    designs = spark.createDataFrame([(k, "t", seq, seq, [0, 1, 2, 3], [0, 1, 2, 3]) for k in range(n)], "design_id int, id string, design_seq string, predicted_seq string, design_epi array<int>, native_epi array<int>")
+    pae = spark.createDataFrame([(k, np.ones((12, 12)).tolist()) for k in range(n)], "design_id int, pae array<array<double>>")
+    got = {r["design_id"]: r for r in G.extract_metrics(designs, design, design, native, pae, clash_cutoff=2.0).collect()}
+    for k, a in enumerate(atoms):
+        r, _ = kabsch(a[:4], atoms[0][:4])
+        moved = (a - a[:4].mean(0)) @ r.T + atoms[0][:4].mean(0)
+        far = np.sqrt(((moved[4:] - (atoms[0][8] + 0.5)) ** 2).sum(1))
+        assert got[k]["af3_n_clash_res"] == (far < 2.0).sum()
+
+
 def test_distance_join_never_crosses_groups(spark):
     one, two = cloud(spark, [(0, 0, 0)], set(), 1), cloud(spark, [(0, 0, 0)], set(), 2)
     assert R.within_radius(one, two, 1.0, KEY).count() == 0

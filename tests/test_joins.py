@@ -38,13 +38,45 @@ def test_longest_block_matches_difflib(sliced):
         assert got.get(i) == ((m.a, m.b, m.size) if m.size >= 5 else None)
 
 
-def test_contained_passages_match_brute_force(spark):
+def test_longest_block_of_long_repetitive_texts(spark):
+    rng = random.Random(6)
+    core = "".join(rng.choice("ACDE") for _ in range(30_000))
+    x, y = "AC" * 30_000 + core + "A" * 10_000, "A" * 20_000 + core + "AC" * 25_000
+    rows = [(1, x, y), (2, "A" * 100_000, "A" * 90_000), (3, "abcde", "vwxyz"), (4, "ab", "ab"), (5, "zzabcdezz", "abcde"), (6, "", "")]
+    pairs = spark.createDataFrame(rows, "k int, a_seq string, b_seq string")
+    got = {r["k"]: (r["size"], r["a_start"], r["b_start"]) for r in J.longest_block(pairs.select("k", "a_seq"), pairs.select("k", "b_seq"), ["k"]).collect()}
+    size, at, other = got.pop(1)
+    assert size >= 30_000 and x[at : at + size] == y[other : other + size]
+    assert got == {2: (90_000, 0, 0), 5: (5, 2, 0)}
+
+
+def test_wildcards_match_brute_force_and_stay_linear(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        chain = "".join(rng.choice("ABX") for _ in range(rng.randrange(0, 40)))
+        rows.append((k, "".join(rng.choice("AB") for _ in range(rng.randrange(1, 7))), chain))
+    rows += [(100, "A" * 300 + "B", "A" * 100_000 + "X"), (101, "B", None), (102, None, "A")]
+    df = spark.createDataFrame(rows, "k int, q_seq string, c_seq string")
+    got = {r["k"]: (r["start"], r["trim_c"]) for r in J.containment(df.select("k", "q_seq"), df.select("k", "c_seq"), ["k"], "X").collect()}
+    want = {}
+    for k, q, c in rows[:60]:
+        fits = [i for i in range(len(c) - len(q) + 1) if all(y in ("X", x) for x, y in zip(q, c[i:]))]
+        if fits:
+            want[k] = (fits[0], len(c) - len(q) - fits[0])
+    assert got == want | {100: (99_700, 0)}
+
+
+@pytest.mark.parametrize("ship", [J.SHIP_CHARS, 0])
+def test_contained_passages_match_brute_force(spark, ship):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "eps"]
     docs = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(30)]
     passages = [(0, docs[3][1][10:80]), (1, docs[4][1][:15]), (2, "alpha"), (3, "ta gam"), (4, "nowhere to be found"), (5, docs[5][1]), (6, "  beta "), (7, "pha be")]
-    got = J.contained_passages(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(passages, "p_id int, p_text string"))
-    want = {(p, d, t.find(s)) for p, s in passages for d, t in docs if s in t}
+    passages += [(10 + w, docs[7][1][5 : 5 + w]) for w in range(1, 12)] + [(40, "alpha"), (41, ""), (42, None), (43, "a\U0001f642b")]
+    docs += [(100, None), (101, ""), (102, "xx a\U0001f642b alpha")]
+    got = J.contained_passages(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(passages, "p_id int, p_text string"), ship=ship)
+    want = {(p, d, t.find(s)) for p, s in passages if s for d, t in docs if t and s in t}
     assert {(r["p_id"], r["doc_id"], r["start"]) for r in got.collect()} == want
 
 

@@ -72,6 +72,16 @@ def test_compositions_invariants(spark):
     assert sorted(r["contig_id"] for r in rows if r["target"] == "t") == list(range(30))
 
 
+def test_compositions_are_all_there_are(spark):
+    assert [C.composition(k, 3, 2) for k in range(6)] == [[0, 0, 2], [0, 1, 1], [0, 2, 0], [1, 0, 1], [1, 1, 0], [2, 0, 0]]
+    targets = spark.createDataFrame([("t", [(10, 14), (20, 20)]), ("u", [(5, 30)]), ("v", [(1, 54)])], "target string, islands array<struct<a:int,b:int>>")
+    rows = C.compositions(targets, 2000, length=60, seed=1).collect()
+    count = {t: len({r["contig_string"] for r in rows if r["target"] == t}) for t in "tuv"}
+    assert count == {"t": 1081, "u": 29, "v": 1} and len(rows) == sum(count.values())  # every split of 45, 28 and 0
+    few = C.ranked_compositions(6, 90, 50, 123, 456)
+    assert len({tuple(x) for x in few}) == 50 and all(sum(x) == 90 and min(x) >= 0 for x in few)
+
+
 def test_compositions_with_native_gaps(spark):
     targets = spark.createDataFrame([("t", [(10, 14), (20, 20), (30, 31)])], "target string, islands array<struct<a:int,b:int>>")
     for r in C.compositions(targets, 10, length=60, native_gaps=True).collect():
