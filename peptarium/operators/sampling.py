@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from peptarium.functions.keys import stable_hash
 from peptarium.functions.numeric import num
@@ -15,6 +16,8 @@ from peptarium.operators.ordering import first_per, fits_one_task, lookup, row_r
 from peptarium.session import freeze
 
 CANDIDATES = 1000
+CELLS = 4096  # per group
+REACH = 0.5  # of a squared distance
 
 
 def quotas(df: DataFrame, group: str, total: int) -> DataFrame:
@@ -37,14 +40,15 @@ def _square(axes: Sequence[str], other: str) -> Column:
 def _greedy_block(axes: Sequence[str], key: str, depth: int):
     """Greedy picks among one group's candidates, as long as no row outside can be further away.
 
-    Candidates are the ``depth`` rows furthest from what is chosen. Distances only shrink, so a
-    candidate that stays above the last candidate's distance beats every row not in the list.
+    Candidates are the ``depth`` rows furthest from what is chosen, in cells that can hold such rows.
+    Distances only shrink, so a candidate that stays above the last candidate's distance and above the
+    bound of the cells left out (``_limit``) beats every row not in the list.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_far", key], ascending=[False, True], kind="mergesort")
         whole = len(pdf) < depth
-        floor = -1.0 if whole else float(pdf["_far"].iloc[-1])
+        floor = max(-1.0 if whole else float(pdf["_far"].iloc[-1]), float(pdf["_limit"].iloc[0]))
         x = pdf[list(axes)].to_numpy(float)
         far = pdf["_far"].to_numpy(float).copy()
         names = pdf[key].to_numpy()
@@ -63,43 +67,83 @@ def _greedy_block(axes: Sequence[str], key: str, depth: int):
             far[chosen] = -2.0
             if len(chosen) == len(far):
                 break
-        out = pdf.iloc[chosen][[c for c in pdf.columns if c not in ("_far", "_room", "_done")]].copy()
+        out = pdf.iloc[chosen][[c for c in pdf.columns if c not in ("_far", "_room", "_done", "_limit")]].copy()
         out["fps_order"] = done + np.arange(len(chosen))
         return out
 
     return pick
 
 
-def fps(df: DataFrame, group: str, axes: Sequence[str], quota: DataFrame, key: str, candidates: int = CANDIDATES) -> DataFrame:
+def _open_cells(axes: Sequence[str]):
+    """Cells of one group that may hold one of its next picks, and the bound of all others.
+
+    From the corners of a cell's box come a least and a greatest distance of its rows to the picks. Some row is
+    at least as far as the largest least distance; cells that reach ``REACH`` of it are opened.
+    """
+
+    def choose(boxes: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
+        if not len(boxes) or not len(picks):
+            return boxes.iloc[:0, :2].assign(_limit=0.0)
+        low, high = (boxes[[f"{side}{a}" for a in axes]].to_numpy(float) for side in ("_lo", "_hi"))
+        least, most = np.full(len(boxes), np.inf), np.full(len(boxes), np.inf)
+        for p in picks[list(axes)].to_numpy(float):
+            least = np.minimum(least, (np.maximum(0, np.maximum(low - p, p - high)) ** 2).sum(axis=1))
+            most = np.minimum(most, (np.maximum(abs(p - low), abs(p - high)) ** 2).sum(axis=1))
+        opened = most >= REACH * least.max()
+        limit = most[~opened].max() * (1 + 1e-9) if (~opened).any() else -1.0
+        return boxes.loc[opened].iloc[:, :2].assign(_limit=limit)  # group and cell
+
+    return choose
+
+
+def fps(
+    df: DataFrame, group: str, axes: Sequence[str], quota: DataFrame, key: str, candidates: int = CANDIDATES, cells: int = CELLS
+) -> DataFrame:
     """Farthest-point sampling per group: start nearest the centroid, then greedy max-min distance.
 
-    Returns (group, key, axes, fps_order). No group is ever gathered: the axes are written once, and each
-    round measures every row of an unfinished group against the picks so far, keeps per group the
-    ``candidates`` rows furthest from them (a rank limit that Spark applies before the shuffle), and picks
-    among those while the result is provably the global one. Only the picks are written per round. At least
-    one pick per unfinished group is made per round; usually most of the quota is. ``candidates`` bounds
-    memory, not the result. A quota that covers the group returns it whole, in greedy order.
+    Returns (group, key, axes, fps_order). No group is ever gathered. Rows are written once, each with its cell
+    in a grid of at most ``cells`` cells over its group. A round bounds the distances of whole cells from their
+    boxes, measures only rows of cells that can still hold a next pick, keeps per group the ``candidates``
+    furthest of those (a rank limit that Spark applies before the shuffle), and picks among them while the
+    result is provably the global one. Only the picks are written per round. At least one pick per unfinished
+    group is made per round; usually most of the quota is. ``candidates`` and ``cells`` bound memory, not the
+    result. A quota that covers the group returns it whole, in greedy order.
     """
     axes = list(axes)
-    rows = freeze(df.select(group, key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna())
-    centre = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(a).alias(f"_c{a}") for a in axes])
-    small = fits_one_task(rows)
-    near = lookup(rows, centre, [group], weight="_rows", small=small).withColumn("_d", _square(axes, "_c"))
+    base = df.select(group, key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna()
+    spans = [agg(a).alias(f"{side}{a}") for side, agg in (("_c", F.avg), ("_lo", F.min), ("_hi", F.max)) for a in axes]
+    spans_of = base.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), *spans)
+    small = fits_one_task(base)
+    sides = max(1, int(cells ** (1 / len(axes))))
+    cell = F.lit(0).cast("bigint")
+    for a in axes:
+        wide = F.col(f"_hi{a}") - F.col(f"_lo{a}")
+        step = F.when(wide > 0, F.least(F.floor((F.col(a) - F.col(f"_lo{a}")) / wide * sides), F.lit(sides - 1))).otherwise(F.lit(0))
+        cell = cell * sides + step.cast("bigint")
+    placed = lookup(base, spans_of, [group], weight="_rows", small=small)
+    rows = freeze(placed.select(group, key, *axes, cell.alias("_cell"), _square(axes, "_c").alias("_d")))
+    corners = [agg(a).alias(f"{side}{a}") for side, agg in (("_lo", F.min), ("_hi", F.max)) for a in axes]
+    boxes = freeze(rows.groupBy(group, "_cell").agg(*corners))
     wanted = quota.select(group, "quota").where(F.col("quota") > 0)
-    start = first_per(near.where(F.col("_d").isNotNull()), [group], ["_d", key]).select(group, key, *axes, F.lit(0).alias("fps_order"))
+    start = first_per(rows.where(F.col("_d").isNotNull()), [group], ["_d", key]).select(group, key, *axes, F.lit(0).alias("fps_order"))
     picked = freeze(start.join(wanted.select(group), group, "left_semi"))
     order = [F.col("_far").desc(), F.col(key).asc()]
     schema, rounds = picked.schema, 0
+    open_schema = StructType([boxes.schema[group], boxes.schema["_cell"], StructField("_limit", DoubleType())])
     while True:
         room = picked.groupBy(group).agg(F.count(F.lit(1)).alias("_done")).join(wanted, group)
         room = room.withColumn("_room", F.col("quota") - F.col("_done")).where(F.col("_room") > 0).select(group, "_room", "_done")
+        waiting = boxes.join(room.select(group), group, "left_semi").groupBy(group)
+        known = picked.select(F.col(group).alias("_group"), *axes).groupBy("_group")
+        opened = waiting.cogroup(known).applyInPandas(_open_cells(axes), open_schema)
         # picks per group are at most its quota
         lists = picked.groupBy(group).agg(F.collect_list(F.struct(*axes)).alias("_picks"), F.collect_list(key).alias("_keys"))
         closest = F.array_min(
             F.transform("_picks", lambda p: sum(((F.col(a) - p[a]) * (F.col(a) - p[a]) for a in axes), F.lit(0.0)))
         )
         unfinished = lists.join(room.select(group), group, "left_semi")
-        met = lookup(rows, unfinished, [group], "inner", small=small).where(~F.array_contains("_keys", F.col(key)))
+        near = rows.drop("_d").join(opened, [group, "_cell"]).drop("_cell")
+        met = lookup(near, unfinished, [group], "inner", small=small).where(~F.array_contains("_keys", F.col(key)))
         best = top_k(met.withColumn("_far", closest).drop("_picks", "_keys"), [group], order, candidates)
         block = best.join(room, group).groupBy(group).applyInPandas(_greedy_block(axes, key, candidates), schema)
         fresh = freeze(block.where(F.col("fps_order").isNotNull()))

@@ -6,6 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from peptarium.plans import flows
+from peptarium.sinks import files
 from peptarium.sinks import tables as K
 from peptarium.sources import fasta, outputs, structures
 from peptarium.sources import tables as T
@@ -183,3 +185,54 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
                 session.shared_folder(fake)
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "hdfs:///x/"), sparkContext=SimpleNamespace(master="yarn"))
     assert session.shared_scratch(named, "t").startswith("hdfs:///x/t-")
+
+
+def test_a_task_that_runs_twice_leaves_one_copy(tmp_path):
+    out = str(tmp_path / "out")
+    rows = [("a.json", "1"), ("b.json", "2")]
+    writer = files.RowFileWriter(out, overwrite=True)
+    writer.write(iter(rows[:1]))  # lost with its executor after it had written
+    writer.commit([writer.write(iter(rows)), writer.write(iter([("c.json", None)])), writer.write(iter([]))])
+    found = {f.name: f.read_text() for f in (tmp_path / "out").rglob("*.json")}
+    assert found == {"a.json": "1", "b.json": "2", "c.json": ""} and len(list((tmp_path / "out").rglob("*.json"))) == 3
+    failing = files.RowFileWriter(out, overwrite=True)
+    failing.write(iter([("d.json", "4")]))
+    failing.abort([None])
+    assert len(list((tmp_path / "out").rglob("*.json"))) == 3
+    for bad in ([("x/y", "1")], [("", "1")], [("a", "1"), ("a", "2")]):
+        with pytest.raises(ValueError):
+            files.RowFileWriter(out, overwrite=False).write(iter(bad))
+
+
+def test_row_files_replace_or_add(spark, tmp_path):
+    out = str(tmp_path / "specs")
+    df = spark.range(40).select(F.concat(F.lit("d"), "id").alias("name"), F.col("id").cast("string").alias("json"))
+    manifest = K.write_json_files(df, out, "name").collect()
+    assert sorted(r["name"] for r in manifest) == sorted(f"d{i}" for i in range(40))
+    files.write_row_files(df.limit(3).select(F.concat("name", F.lit("x.json")), "json"), out, mode="append")
+    assert len(list((tmp_path / "specs").rglob("*.json"))) == 43
+    files.write_row_files(df.limit(2), out)
+    assert sorted(f.name for f in (tmp_path / "specs").rglob("*") if f.is_file()) == ["d0", "d1"]
+
+
+@pytest.mark.parametrize("bad, want", [("null", 3), ("drop", 1), ("fail", None)])
+def test_bad_files_follow_the_policy(spark, tmp_path, bad, want):
+    for name, text in {"a_confidences.json": '{"pae": [[1.0]]}', "b_confidences.json": '{"pae": 3}', "sub/c_confidences.json": "cut {"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = outputs.read_pae(spark, str(tmp_path), bad)
+    if want is None:
+        with pytest.raises(Exception, match="unreadable file"):
+            rows.collect()
+    else:
+        assert {r["design_id"] for r in rows.collect()} == set("abc"[:want]) and rows.count() == want
+    with pytest.raises(ValueError, match="policy"):
+        outputs.read_pae(spark, str(tmp_path), "other")
+
+
+def test_first_chain_of_the_file_stands_for_the_target(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">one|Chain A|late\nAAAABCDEFGHIJK\nFIRST\n>two|Chain B|early\nBCDEFGHIJKSECOND\n")
+    chains = fasta.read_fasta(spark, str(tmp_path)).select(F.lit("e").alias("entry"), F.col("seq").alias("c_seq"), "record")
+    queries = spark.createDataFrame([("t", "e", "BCDEFGHIJK")], "target string, entry string, q_seq string")
+    windows = flows.native_tiles(queries, chains, mer=8, step=4)[1].first()
+    assert (windows["native"], windows["status"]) == ("BCDEFGHIJKFIRST", "clean")

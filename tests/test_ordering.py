@@ -123,3 +123,53 @@ def test_lookup_deals_null_keys_and_takes_maps(session, holed):
     assert got.count() == len(holed) and got.where("g is null and id is not null").count() == 0
     safe = O.lookup(df, names, ["g"], null_safe=True)
     assert safe.where("g is null and id = 9").count() == holed["g"].isna().sum() and safe.count() == len(holed)
+
+
+@pytest.mark.parametrize("steps", [100_000, 30, 0])
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_ranks_of_several_metrics_match_pandas(session, rows, groups, steps, monkeypatch):
+    monkeypatch.setattr(O, "BROADCAST_STEPS", steps)
+    frame = rows.assign(w=rows["k"] % 5, u=-rows["v"], extra="x")
+    frame.loc[::7, "v"] = None
+    df = session.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    got = O.with_ranks(df, {"v": "rv", "w": "rw", "u": "ru"}, groups, pct=True)
+    assert got.columns.count("k") == 1 and set(got.columns) == {*frame.columns, "rv", "rw", "ru"}
+    got = got.toPandas().sort_values("k")
+    for c in "vwu":
+        want = frame.groupby(groups)[c].rank(pct=True) if groups else frame[c].rank(pct=True)
+        assert np.allclose(got[f"r{c}"].to_numpy(float), want.to_numpy(), equal_nan=True)
+
+
+def test_wide_rows_move_once_for_any_number_of_metrics(sliced, rows, monkeypatch):
+    monkeypatch.setattr(O, "BROADCAST_STEPS", 0)
+    df = sliced.createDataFrame(rows.assign(a=rows["v"] * 2, b=rows["v"] * 3, note="wide"))
+    for metrics in ({"v": "rv", "a": "ra"}, {"v": "rv", "a": "ra", "b": "rb"}):
+        plan = O.with_ranks(df, metrics, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+        # the wide rows meet all their ranks by row, once; the other joins are of narrow rows
+        assert plan.count("Join LeftOuter, (_row#") == 1 and plan.splitlines()[1].startswith("+- Join LeftOuter, (_row#")
+        assert not any("note#" in line and "Join" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("scale", [1e-300, 1.0, 1e300])
+def test_quantiles_over_all_magnitudes(session, scale):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=150), np.zeros(20), np.full(30, 0.25), rng.lognormal(0, 5, 60)]) * scale
+    frame = pd.DataFrame({"v": v, "g": np.arange(len(v)) % 2})
+    df = session.createDataFrame(frame)
+    probs = {"q0": 0.0, "q3": 0.037, "q5": 0.5, "q9": 0.995, "q1": 1.0}
+    for g, row in {r["g"]: r for r in O.quantiles(df, ["g"], "v", probs).collect()}.items():
+        want = np.quantile(frame[frame.g == g]["v"], list(probs.values()))
+        assert np.allclose([row[n] for n in probs], want, rtol=1e-9, atol=0)
+
+
+def test_input_is_read_once_for_quantiles(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows).mapInArrow(count, "k bigint, g string, v double")
+    O.quantiles(df, ["g"], "v", {"m": 0.5}).collect()
+    assert seen.value == len(rows)

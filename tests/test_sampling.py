@@ -21,21 +21,41 @@ def brute_fps(x, keys, k):
     return [keys[i] for i in chosen]
 
 
-@pytest.mark.parametrize("candidates", [3, 25, 1000])
-def test_fps_matches_brute_force(spark, candidates):
+@pytest.mark.parametrize("candidates, cells", [(3, 4096), (25, 64), (1000, 4096), (1000, 1)])
+def test_fps_matches_brute_force(spark, candidates, cells):
     rng = np.random.default_rng(1)
     n = 160
     # coarse coordinates make ties; a hot group holds most rows
     f = pd.DataFrame({"key": rng.permutation(n), "g": np.where(np.arange(n) < 110, "hot", "cold"), "a": rng.integers(0, 9, n) / 4, "b": rng.integers(0, 9, n) / 4})
     df = spark.createDataFrame(f)
     quota = spark.createDataFrame([("hot", 17), ("cold", 5)], "g string, quota int")
-    got = sampling.fps(df, "g", ["a", "b"], quota, "key", candidates).toPandas()
+    got = sampling.fps(df, "g", ["a", "b"], quota, "key", candidates, cells).toPandas()
     for g, k in (("hot", 17), ("cold", 5)):
         part = f[f.g == g]
         want = brute_fps(part[["a", "b"]].to_numpy(), part["key"].to_numpy(), k)
         assert got[got.g == g].sort_values("fps_order")["key"].tolist() == want
 
 
+def test_rounds_open_few_cells():
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(20_000, 2))
+    boxes = pd.DataFrame({"g": "a", "_cell": (x[:, 0] * 60).astype(int) * 60 + (x[:, 1] * 60).astype(int), "x": x[:, 0], "y": x[:, 1]})
+    boxes = boxes.groupby(["g", "_cell"]).agg(_lox=("x", "min"), _hix=("x", "max"), _loy=("y", "min"), _hiy=("y", "max")).reset_index()
+    keys = np.arange(len(x))
+    picks = brute_fps(x, keys, 40)
+    shares = []
+    for k in (2, 10, 39):
+        chosen = pd.DataFrame(x[picks[:k]], columns=["x", "y"])
+        opened = sampling._open_cells(["x", "y"])(boxes, chosen)
+        cell = (x[picks[k]] * 60).astype(int)
+        assert cell[0] * 60 + cell[1] in set(opened["_cell"])  # the next pick is in an open cell
+        far = ((x[:, None] - chosen.to_numpy()[None]) ** 2).sum(2).min(1)
+        inside = np.isin((x[:, 0] * 60).astype(int) * 60 + (x[:, 1] * 60).astype(int), opened["_cell"])
+        assert far[~inside].max() <= opened["_limit"].iloc[0] < far.max()
+        shares.append(inside.mean())
+    assert max(shares) < 0.45
+
+
 def test_fps_takes_whole_small_group(spark):
     df = spark.createDataFrame([(i, "g", float(i), 0.0) for i in range(4)], "key int, g string, a double, b double")
     quota = sampling.quotas(df, "g", 10)
