@@ -4,9 +4,10 @@ The model holds, per language, log frequencies of known words and of character n
 1 (with word edges marked). A known word scores by its own log frequency; an unseen word by the longest
 n-gram length of which at least one n-gram is known; a word with nothing known scores nothing.
 
-Training uses at most ``sample_per_lang`` labelled rows per language, picked by the hash of the id, and
-keeps the ``top`` most frequent entries per language and length. Both are parameters; they bound the
-model that is broadcast. Everything else covers all rows.
+Training uses at most ``sample_per_lang`` labelled rows per language, picked by the hash of the id. A
+language keeps every entry of a length whose share of that length's occurrences in its sample is at least
+``least_share``; 0 keeps all there are. Both are parameters. A share also bounds the model that is
+broadcast: at most languages x lengths / share entries. Everything else covers all rows.
 
 Defined cases: ``und`` with score 0 for null, empty and letterless texts, and for all texts if nothing
 could be learned; ties go to the smallest language name; rows with a null id are never trained on and
@@ -25,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptarium.llm.common import slices
+from peptarium.llm.common import slices, stored
 
 LONGEST = 5
 SAMPLE_PER_LANG = 5_000
-TOP = 20_000
+LEAST_SHARE = 5e-6
 CACHE = 400_000
 RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str) -> list[str]:
-    return RUN.findall(text.lower())
+    """Runs of letters, in lower case. Numbers that count as word characters, such as ½ or Ⅷ, are no letters."""
+    runs = RUN.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in "".join([c if c.isalpha() else " " for c in run]).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -116,7 +121,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, top: int = TOP) -> Model:
+def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, least_share: float = LEAST_SHARE) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, limit=1 << 24):
             words: Counter = Counter()
@@ -140,8 +145,9 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, top: int = TOP) -> M
 
     source = sample(docs, per_lang).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     counts = source.mapInArrow(count, "lang string, n int, entry string, k bigint").groupBy("lang", "n", "entry").agg(F.sum("k").alias("k"))
-    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "entry")))
-    rows = ranked.where(F.col("_r") <= top).select("lang", "n", "entry", "k").toArrow()
+    counts = stored(counts, "entries")
+    totals = counts.groupBy("lang", "n").agg(F.sum("k").alias("_all"))  # six rows a language
+    rows = counts.join(F.broadcast(totals), ["lang", "n"]).where(F.col("k") >= least_share * F.col("_all")).select("lang", "n", "entry", "k").toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     place = {lang: i for i, lang in enumerate(langs)}
     counted: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
