@@ -15,7 +15,10 @@ from peptarium.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the production policy."""
+    """Documents that pass the production policy.
+
+    Null and empty texts have no words and fail it; repeated rows are judged one by one; all columns stay.
+    """
     return rule_ledger.keep_good(docs)
 
 
@@ -26,17 +29,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate group."""
+    """The first document of each near-duplicate group.
+
+    Null, empty and blank texts are in no group and stay; rows that repeat an id share its fate unless their
+    texts differ; a null id sorts first; all columns stay.
+    """
     return bbit_minhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, small sources up to twice."""
+    """Every document at least once, small sources up to twice.
+
+    Shares are counted in words. Rows come back as often as they are taken; a null source is a source; null and
+    empty texts have no words and come along with every whole pass of their source.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and offset."""
+    """Pieces of at most 2048 tokens with their sequence and offset.
+
+    A null or empty text is its end token alone; repeated rows are packed each on its own.
+    """
     return complement_packing.pack(docs, tokenizer())
 
 
