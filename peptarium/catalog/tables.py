@@ -187,6 +187,15 @@ def mmcif(spark, sf):
     return structures.mmcif_atoms(_cif(spark, sf)).select("design_id", "chain", F.col("res_num").cast("bigint").alias("res_num"), "res_name", "atom_name", "x", "y", "z")
 
 
+@REGISTRY.add("s7_read_mmcif", f"WITH {ATOMS_SQL} SELECT design_id::VARCHAR AS design_id, chain, res_num, res_name, 'CA''' AS atom_name, x, y, z FROM atoms")
+def read_mmcif(spark, sf):
+    """One file per design, written and read back."""
+    out = shared_scratch(spark, "mmcif")
+    write_row_files(_cif(spark, sf).select(F.concat("design_id", F.lit(".cif")), "value"), out)
+    atoms = structures.read_atoms_mmcif(spark, out)
+    return atoms.select("design_id", "chain", F.col("res_num").cast("bigint").alias("res_num"), "res_name", "atom_name", "x", "y", "z")
+
+
 @REGISTRY.add("s8_chain_sequence", f"WITH {ATOMS_SQL} SELECT design_id, 'A' AS chain, 'AGSXAGSXAGSX' AS seq, 12 AS n_res FROM atoms GROUP BY design_id")
 def chain_sequence(spark, sf):
     atoms = _atoms(spark, sf).withColumn("serial", F.col("res_idx"))

@@ -354,6 +354,14 @@ def quantiles(
     return null_safe_join(named.distinct(), found, groups)
 
 
+def medians(df: DataFrame, groups: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Exact medians of several numeric columns per group (``{column: out}``), from one count of (group, metric, value)."""
+    names = list(columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("_metric"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(names)])
+    mids = quantiles(df.select(*groups, F.inline(cells)), [*groups, "_metric"], "_value", {"_mid": 0.5})
+    return mids.groupBy(*groups).agg(*[F.max(F.when(F.col("_metric") == i, F.col("_mid"))).alias(columns[c]) for i, c in enumerate(names)])
+
+
 def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, out: str | None = None) -> DataFrame:
     """The first ``k`` rows of each group. ``order`` must end in a unique key.
 

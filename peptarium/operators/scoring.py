@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peptarium.functions.numeric import logistic, num
-from peptarium.operators.ordering import beside, fits_one_task, lookup, null_safe_join, quantiles, rank_table, row_rank, top_k, with_rank, with_ranks
+from peptarium.operators.ordering import beside, fits_one_task, lookup, medians, null_safe_join, rank_table, row_rank, top_k, with_rank, with_ranks
 from peptarium.operators.predicates import Condition, gate, gates, require_columns
 from peptarium.plans.presets import Metric, PassBonus, Preset
 
@@ -73,12 +73,12 @@ def transform_metrics(df: DataFrame, metrics: Sequence[Metric], scope: Sequence[
     stats: list[Column] = []
     for m in shaped:
         stats += [_AGGREGATES[s](x[m.column]).alias(f"_{s}_{m.column}") for s in _needs(m) if s != "median"]
-    medians = [m for m in shaped if "median" in _needs(m)]
-    if stats or medians:
+    middle = {x[m.column]: f"_median_{m.column}" for m in shaped if "median" in _needs(m)}
+    if stats or middle:
         table = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_rows"), *stats)
-        for m in medians:
-            mid = quantiles(df.where(F.col(x[m.column]).isNotNull()), scope, x[m.column], {f"_median_{m.column}": 0.5}, small)
-            table = null_safe_join(table, mid, scope) if scope else beside(table, mid)
+        if middle:
+            mids = medians(df, scope, middle)
+            table = null_safe_join(table, mids, scope) if scope else beside(table, mids)
         if scope:
             df = lookup(df, table, scope, weight="_rows", small=small)
         else:

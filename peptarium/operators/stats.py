@@ -14,6 +14,7 @@ from peptarium.operators.ordering import (
     beside,
     first_per,
     lookup,
+    medians,
     null_safe_join,
     quantiles,
     row_rank,
@@ -80,9 +81,8 @@ def split_summary(df: DataFrame, group: str, medians: Sequence[str], conditions:
 
 def medians_wide(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact median of several columns per group, in one ranked pass over (group, metric, value)."""
-    long = df.select(*groups, F.inline(F.array(*[F.struct(F.lit(c).alias("_metric"), num(c).alias("_value")) for c in columns])))
-    mids = quantiles(long.where(F.col("_value").isNotNull()), [*groups, "_metric"], "_value", {"_mid": 0.5})
-    return mids.groupBy(*groups).agg(*[F.max(F.when(F.col("_metric") == c, F.col("_mid"))).alias(f"median_{c}") for c in columns])
+    numeric = df.select(*groups, *[num(c).alias(f"_n_{c}") for c in columns])
+    return medians(numeric, groups, {f"_n_{c}": f"median_{c}" for c in columns})
 
 
 def gate_summary(df: DataFrame, keys: Sequence[str], column: str, threshold: float, size: str, order: str) -> DataFrame:
@@ -210,20 +210,32 @@ def set_pr(predicted: DataFrame, true: DataFrame, cell: Sequence[str], member: S
     ``predicted`` is (cell, design, member), ``true`` is (design, member); both distinct.
     """
     key = [*design, *member]
-    cells = predicted.select(*cell).distinct()
     hits = predicted.join(true.withColumn("_t", F.lit(1)), key, "left")
     sizes = hits.groupBy(*cell, *design).agg(n_rows().alias("n_pred"), F.sum(F.coalesce("_t", F.lit(0))).alias("tp"))
     truth = true.groupBy(*design).agg(n_rows().alias("n_true"))
-    designs = predicted.select(*design).unionByName(true.select(*design)).distinct().join(truth, list(design), "left")
-    grid = cells.agg(F.collect_list(F.struct(*cell)).alias("_cells"))  # the parameter grid, a fixed few cells
-    every = beside(designs, grid).select(*design, "n_true", F.inline("_cells"))
-    full = every.join(sizes, [*cell, *design], "left").fillna(0, ["n_true", "n_pred", "tp"])
-    out = full.groupBy(*cell).agg(
+    # a design counts in every cell; where it has no prediction it only adds to the totals of the true sizes
+    everyone = predicted.select(*design).distinct().join(truth, list(design), "full_outer").agg(
+        n_rows().alias("n_designs"), F.coalesce(F.sum("n_true"), F.lit(0)).alias("_y"), F.sum(F.col("n_true").cast("double") * F.col("n_true")).alias("_yy")
+    )
+    met = sizes.join(truth, list(design), "left").withColumn("_x", F.col("n_pred").cast("double"))
+    sums = met.groupBy(*cell).agg(
         F.sum("tp").alias("tp"),
-        F.sum(F.col("n_pred") - F.col("tp")).alias("fp"),
-        F.sum(F.col("n_true") - F.col("tp")).alias("fn"),
-        n_rows().alias("n_designs"),
-        safe_corr("n_pred", "n_true").alias("pearson_r"),
+        F.sum("n_pred").alias("_px"),
+        F.sum(F.col("_x") * F.col("_x")).alias("_xx"),
+        F.sum(F.col("_x") * F.coalesce("n_true", F.lit(0))).alias("_xy"),
+    )
+    full = beside(sums, everyone)
+    n = F.col("n_designs").cast("double")
+    mx, my = F.col("_px") / n, F.col("_y") / n
+    vx, vy = F.col("_xx") / n - mx * mx, F.coalesce("_yy", F.lit(0.0)) / n - my * my
+    spread = F.when((vx > 1e-12 * mx * mx) & (vy > 1e-12 * my * my), F.sqrt(vx * vy))
+    out = full.select(
+        *cell,
+        "tp",
+        (F.col("_px") - F.col("tp")).alias("fp"),
+        (F.col("_y") - F.col("tp")).alias("fn"),
+        "n_designs",
+        ((F.col("_xy") / n - mx * my) / spread).alias("pearson_r"),
     )
     return out.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn")))
 

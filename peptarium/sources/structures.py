@@ -61,7 +61,9 @@ def first_model_atoms(files: DataFrame, text: str = "value", source: str = "desi
 
 
 def read_atoms_fixed_width(spark: SparkSession, path: str) -> DataFrame:
-    return first_model_atoms(spark.read.text(path, wholetext=True).select("value", stem(F.col("_metadata.file_path")).alias("design_id")))
+    """Atoms of every file below ``path``, sub-folders included."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return first_model_atoms(files.select("value", stem(F.col("_metadata.file_path")).alias("design_id")))
 
 
 _TOKENS = r"""'[^']*'|"[^"]*"|\S+"""
@@ -109,8 +111,9 @@ def mmcif_atoms(files: DataFrame, text: str = "value", source: str = "design_id"
 
 
 def read_atoms_mmcif(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select("value", stem(F.col("_metadata.file_path")).alias("design_id"))
-    return mmcif_atoms(files)
+    """Atoms of every file below ``path``, sub-folders included."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return mmcif_atoms(files.select("value", stem(F.col("_metadata.file_path")).alias("design_id")))
 
 
 def chain_sequences(atoms: DataFrame, source: str = "design_id", order: str = "serial") -> DataFrame:
