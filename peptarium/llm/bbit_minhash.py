@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     starred = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     needed = classes.select("node", "_id", "_row").join(members.select("node").distinct(), "node", "left_semi")
     whole = docs.select(id_key().alias("_id"), F.xxhash64("text").alias("_row"), "text")
-    texts = stored(whole.join(needed, ["_id", "_row"]).select("node", "text"), "texts")
+    # rows that repeat an id and a text meet here on one key: one of them stands for the class
+    texts = stored(whole.join(needed, ["_id", "_row"]).dropDuplicates(["_id", "_row", "node"]).select("node", "text"), "texts")
 
     links = stored(confirm(starred, classes, texts), "links")
     left = stored(open_members(members, components(links)), "open")
