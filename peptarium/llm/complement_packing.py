@@ -13,7 +13,11 @@ each on its own; texts are cut only beyond the capacity; an empty table packs in
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,20 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptarium.llm.common import id_key, id_of, slices, stored
+from peptarium.llm.common import Words, id_key, id_of, slices, stored
 
 CAPACITY = 2048
 END_ID = 0
 CACHE = 600_000
 SALTS = 1024
+PIECE_BYTES = 1 << 22
+
+# The parts of a tokenizer file under which words are coded by themselves.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class TokenBytes:
     """Little-endian 32-bit ids of texts, remembering the ids of words.
 
-    The tokenizer drops white space before anything else, so ids of a text are the ids of its
-    space-separated words one after another. Words are remembered as they come until ``cache`` of them are
-    known, which soon holds all frequent ones; later new words are encoded once per piece.
+    The tokenizers this is made for drop white space before anything else, lower-case, and split letters from
+    all else (their file is checked). So ids of a text are the ids of its space-separated words one after
+    another. Words are remembered for two generations of ``cache`` each: what is met again moves to the new
+    one, and the old one is dropped when the new one is full. For any other file texts are encoded whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -46,22 +63,43 @@ class TokenBytes:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_words = (spec.get("normalizer"), spec.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER) and not spec.get("post_processor")
+        self.plain = self._plain_coder(spec["model"]) if self.by_words else None
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.cache = cache
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]  # bytes split at ASCII white space only
-        found = [list(map(self.known.get, words)) for words in split]
-        late = [i for i, ids in enumerate(found) if None in ids]
-        if late:
-            new = self._words({w for i in late for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-            for i in late:
-                found[i] = [new[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-            if len(self.known) < self.cache:
-                self.known.update(new)
-        return [b"".join(ids) for ids in found]
+    def encode(self, texts: pa.LargeStringArray) -> list[bytes]:
+        if not self.by_words:
+            return self._each(texts.to_pylist())
+        found = Words(texts)  # cut at ASCII white space only
+        at, distinct = found.ids()
+        known = self._ids_of(distinct.to_pylist())
+        size = np.array([len(x) // 4 for x in known], np.int64)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        first = (np.cumsum(size) - size)[at] if len(at) else at
+        sizes = size[at] if len(at) else at
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(first - ends + sizes, sizes) + np.arange(len(ends) and ends[-1])]
+        cuts = np.concatenate([[0], ends])[found.first]
+        return [ids[p:q].tobytes() for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = list(map(self.new.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not missing:
+            return found
+        known = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
+        known.update(self._words({w for w in missing if w not in known}))
+        if len(self.new) >= self.cache:
+            self.old, self.new = self.new, {}
+        self.new.update(known)
+        return [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,31 +110,73 @@ class TokenBytes:
         Runs of letters are coded many at once and cut after each word-end token; that is several times cheaper
         than a call for each.
         """
-        parts: dict[bytes, tuple[str, str]] = {}
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
         rest: list[bytes] = []
         for w in words:
-            s = w.decode()
-            core = s.rstrip(".,;:!?")
-            if core.isalpha():
-                parts[w] = (core.lower() if core.isascii() else core, s[len(core) :])
+            if found := ASCII_WORD(w):
+                parts[w] = (found[1].lower(), found[2])
             else:
-                rest.append(w)
+                core = w.rstrip(b".,;:!?")
+                if letters_only(core.decode()):
+                    parts[w] = (core, w[len(core) :])
+                else:
+                    rest.append(w)
         out = dict(zip(rest, self._each([w.decode() for w in rest]), strict=True))
-        core_ids = {c: self.known.get(c.encode()) for c, _ in parts.values()}  # often known without the punctuation
-        cores, tails = [c for c, ids in core_ids.items() if ids is None], list({t for _, t in parts.values()} - {""})
-        tail_ids = dict(zip(["", *tails], [b"", *self._each(tails)], strict=True))
-        for k in range(0, len(cores), 1000):
-            some = cores[k : k + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                core_ids.update(zip(some, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
-            else:  # a tokenizer that does not mark word ends
-                core_ids.update(zip(some, self._each(some), strict=True))
+        core_ids = {c: self._known(c) for c, _ in parts.values()}  # often known without the punctuation
+        cores, tails = [c for c, ids in core_ids.items() if ids is None], list({t for _, t in parts.values()} - {b""})
+        tail_ids = dict(zip([b"", *tails], [b"", *self._each([t.decode() for t in tails])], strict=True))
+        plain = [c for c in cores if self.plain is not None and c.isascii()]
+        for some, code in ((plain, self._code_plain), ([c for c in cores if self.plain is None or not c.isascii()], self._code)):
+            for k in range(0, len(some), 1000):
+                core_ids.update(zip(some[k : k + 1000], self._many(some[k : k + 1000], code), strict=True))
         out.update((w, core_ids[c] + tail_ids[t]) for w, (c, t) in parts.items())
         return out
 
+    def _many(self, cores: list[bytes], code) -> list[bytes]:
+        ids = np.array(code(cores), "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(cores) or cuts[-1] != len(ids):  # a letter the tokenizer takes for something else
+            return self._each([c.decode() for c in cores])
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _code(self, cores: list[bytes]) -> list[int]:
+        return self.tokenizer.encode(b" ".join(cores).decode(), add_special_tokens=False).ids
+
+    def _code_plain(self, cores: list[bytes]) -> list[int]:
+        return self.plain.encode_ordinary(b"|".join([*cores, b""]).decode())
+
+    @staticmethod
+    def _plain_coder(model: dict):
+        """A faster coder of words of a-z with the same merges, where ids rank them; else None.
+
+        The mark of a word's end is one letter of its own here, joined to the last one before any other merge. In
+        a vocabulary made by merging, two tokens that lie side by side and spell a third are its own merge.
+        """
+        import tiktoken
+
+        vocab, mark = model["vocab"], model.get("end_of_word_suffix")
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if not mark or any(vocab.get(x + y) != 512 + k for k, (x, y) in enumerate(pairs)):
+            return None
+        names = {t: i for t, i in vocab.items() if PLAIN_TOKEN(t.removesuffix(mark))}
+        ranks = {(t.removesuffix(mark) + "|" if t.endswith(mark) else t).encode(): i for t, i in names.items()}
+        if any(not 0 <= ranks.get(c.encode(), -1) < 256 <= ranks.get(f"{c}|".encode(), -1) < 512 for c in string.ascii_lowercase):
+            return None
+        return tiktoken.Encoding("plain", pat_str=r"[a-z]+\|", mergeable_ranks=ranks | {b"|": 1 << 20}, special_tokens={})
+
+    def _known(self, word: bytes) -> bytes | None:
+        return self.new.get(word) or self.old.get(word)
+
+
+ASCII_WORD = re.compile(rb"([A-Za-z]+)([.,;:!?]*)").fullmatch
+PLAIN_TOKEN = re.compile("[a-z]+").fullmatch
+
+
+def letters_only(core: str) -> bool:
+    """Whether the tokenizer sees one run of letters, after composing and lower-casing each character."""
+    return "".join([c.lower() for c in unicodedata.normalize("NFC", core)]).isalpha()
+
 
 @cache
 def _coder(path: str) -> TokenBytes:
@@ -110,9 +190,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
-        for part in slices(batches):
+        for part in slices(batches, limit=PIECE_BYTES):
             out: list[tuple] = []
-            for i, row, ids in zip(part.column("_id").to_pylist(), part.column("_row").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
+            for i, row, ids in zip(part.column("_id").to_pylist(), part.column("_row").to_pylist(), coder.encode(part.column("text")), strict=True):
                 ids += end
                 out += [
                     (i, row, k, k * capacity, len(cut) // 4, zlib.crc32(cut))

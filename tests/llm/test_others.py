@@ -9,6 +9,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -118,10 +119,40 @@ def test_exact_complements_come_first():
     assert check_plan({700: 1001}, 2048) == 501
 
 
+def test_words_code_as_whole_texts_do():
+    from tokenizers import Tokenizer
+
+    coder, t = complement_packing.TokenBytes(tokenizer(), cache=50), Tokenizer.from_file(tokenizer())
+    assert coder.by_words and coder.plain is not None
+    rng = random.Random(12)
+    odd = "İıſßΣςﬁǅʼ½²Ⅷ①éé̈ñüÄµªº٣漢字か가각ΐ🙂ａＡ'’.,;:!?-_#0<|>\u0307\u0345\u200d\xad\x85\xa0\u3000 \n"
+    texts = ["GAZETESİ, x", "İ.", "ΣΑΣ, Σ.", "don't, it's."]
+    texts += ["".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice("abcdE tion s") for _ in range(rng.randrange(1, 30))) for _ in range(4000)]
+    texts += [" ".join("".join(rng.choice("etaoinshrdluqxzjvkTHE") for _ in range(rng.randrange(1, 14))) + rng.choice(["", ",", "?!"]) for _ in range(30)) for _ in range(1000)]
+    for k in range(0, len(texts), 500):
+        for text, ids in zip(texts[k : k + 500], coder.encode(pa.array(texts[k : k + 500], pa.large_string())), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_tokenizers_code_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"].pop()  # a cased one
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    coder, t = complement_packing.TokenBytes(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    texts = ["Hello, World. HELLO", "", "İ. x"]
+    assert not coder.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(pa.array(texts, pa.large_string()))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_pack(frame, edge_rows):
     from tokenizers import Tokenizer
 
-    rows = [*brute.corpus(3, 40), *edge_rows, (77, "a<|endoftext|>b 'S ΣΑΣ.\x85x")]
+    rows = [*brute.corpus(3, 40), *edge_rows, (77, "a<|endoftext|>b 'S ΣΑΣ.\x85x"), (78, "GAZETESİ, x İ.")]
     got = complement_packing.pack(frame(rows), tokenizer()).collect()
     t = Tokenizer.from_file(tokenizer())
     want = []
@@ -241,6 +272,61 @@ def test_language(spark, frame, edge_rows):
     assert [r.lang_pred for r in language_id.detect(frame([(1, "a b")]), nothing).collect()] == ["und"]
 
 
+def test_numbers_are_no_letters(frame):
+    assert language_id.words_in("½ ² a½b Ⅷx ①") == ["a", "b", "x"]
+    model = language_id.Model(["de"], [{"x": 0}, *[{}] * 5], [np.zeros((1, 1))] + [np.zeros((0, 1))] * 5)
+    got = {r.doc_id: r.lang_pred for r in language_id.detect(frame([(1, "½ ² ½"), (2, "① Ⅷ"), (3, "½ x")]), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "de"}
+
+
+def plain_languages(rows):
+    """(id, text, lang) rows to (predicted language, score), counted and scored without shortcuts."""
+    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in words(text):
+                for n in range(language_id.LONGEST + 1):
+                    mine = counts.setdefault(lang, {}).setdefault(n, {})
+                    for g in [w] if n == 0 else language_id.grams(w, n):
+                        mine[g] = mine.get(g, 0) + 1
+    langs = sorted(counts)
+    kept = {(x, n): {g: k for g, k in t.items() if k >= language_id.LEAST_SHARE * sum(t.values())} for x in langs for n, t in counts[x].items()}
+    log = {}
+    for n in range(language_id.LONGEST + 1):
+        entries = set().union(*(kept.get((x, n), {}) for x in langs))
+        totals = [sum(kept.get((x, n), {}).values()) for x in langs]
+        log[n] = {g: [np.log((kept.get((x, n), {}).get(g, 0) + 0.5) / (t + 0.5 * len(entries))) for x, t in zip(langs, totals, strict=True)] for g in entries}
+
+    def score(w):
+        if w in log[0]:
+            return np.array(log[0][w])
+        for n in range(language_id.LONGEST, 0, -1):
+            hits = [log[n][g] for g in language_id.grams(w, n) if g in log[n]] if n <= len(w) + 2 else []
+            if hits:
+                return np.mean(hits, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for i, text, _ in rows:
+        total = np.sum([score(w) for w in words(text)], axis=0) if words(text) else None
+        if total is None:
+            out.append((i, "und", 0.0))
+        else:
+            out.append((i, langs[int(np.argmax(total))], float(1 / np.exp(np.maximum(total - total.max(), -700)).sum())))
+    return out
+
+
+def test_language_query_matches_plain_counts(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    from peptarium.llm.catalog import QUERIES
+
+    got = {r.doc_id: r for r in QUERIES["op9_word_first_language"](spark, sf).collect()}
+    for i, lang, score in plain_languages(rows):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4), i
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2]
     docs = spark.createDataFrame([(k, "secretword", "xx") for k in held] + [(k, "plain", "yy") for k in range(200) if k not in held], "doc_id bigint, text string, lang string")

@@ -138,8 +138,18 @@ def test_ledger(frame, rows):
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines) for r in got.collect()], [(i, *brute.quality(t)) for i, t in rows])
 
 
+def test_repeated_rows_make_one_link(spark, frame, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text)] * 200 + [(2, text + " more")] * 200 + [(3, "quite another text with words of its own")]
+    sizes, confirm = [], bbit_minhash.confirm
+    monkeypatch.setattr(bbit_minhash, "confirm", lambda *a: (sizes.append(confirm(*a)), sizes[-1])[1])
+    got = bbit_minhash.near_duplicate_report(frame(rows)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+    assert sizes[0].count() == 1
+
+
 def test_ablations(spark, frame):
-    texts = ["a b", "good words " * 60, " ".join(f"w{k}" for k in range(80)), " ".join(f"## w{k}" for k in range(80)), " ".join(f"W{chr(65 + k % 20)}" for k in range(40))]
+    texts = ["a b", "good words " * 60, " ".join(f"w{k}" for k in range(80)), " ".join(f"### w{k}" for k in range(80)), " ".join(f"W{chr(65 + k % 20)}" for k in range(40))]
     entries = rule_ledger.ledger(frame(list(enumerate(texts)))).cache()
     bits = [r.fail_bits for r in entries.orderBy("doc_id").collect()]
     got = {(r.policy, r.rule): r for r in rule_ledger.ablations(entries).collect()}
