@@ -27,6 +27,7 @@ def _state(e: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with an edge; ``edges`` has long columns a, b; component is its least node.
 
+    Repeated edges and edges from a node to itself change nothing; nodes must not be null; no edges give no rows.
     Edges only ever move towards smaller nodes, so the loop ends; each round is written to the shared
     folder, and a hub's edges are joined, never gathered.
     """

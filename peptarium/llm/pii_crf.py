@@ -12,6 +12,9 @@ Node and chain weights are fitted to the base labels of the whole corpus by pseu
 small classes, so the corpus is first counted per feature pattern, at most a few thousand rows, and the fit
 runs on the counts. The skip weight is the log odds with which alike tokens agree.
 
+Limits of the model, not of the search: tokens are alike from ``MIN_ALIKE`` letters and digits on, and spans
+that the field adds are joined up to ``MOST_DIGITS`` digits, the longest card. Base spans know no such limits.
+
 Defined cases: null and empty texts have no spans; a null doc_id comes back as null; repeated rows are judged
 one by one; with no base span in the corpus nothing is added.
 """

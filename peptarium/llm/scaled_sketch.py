@@ -2,7 +2,7 @@
 
 A sketch keeps every shingle hash below ``2**64 / SCALE``. The threshold is the same for all
 documents, so the sketch grows with the text, the union of two sketches is the sketch of both texts
-together, and the share of one sketch found in another estimates containment even when one text is a
+together (but for the fallback hash below, which a union should leave out), and the share of one sketch found in another estimates containment even when one text is a
 hundred times longer. Shingles are windows of ``WIDTH`` UTF-8 bytes (a shorter text is one shingle).
 
 Defined cases: an empty or null text has the empty sketch; a non-empty text none of whose hashes falls
