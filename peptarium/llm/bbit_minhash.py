@@ -7,11 +7,11 @@
    from the packed bits: with collision chance c = 2**-BITS per position, J = (E - c) / (1 - c) for the
    share E of equal positions. Pairs more than ``SLACK`` (eight standard errors) under the threshold go;
    the rest are confirmed on the full sets. Confirmed links give components.
-4. Buckets whose members are still in different components are opened again, and members of different
-   components are compared: as pairs in buckets of at most ``HOT`` members, else inside the tasks, in
-   blocks streamed past each other, so that a large group sends rows in proportion to its size and only
-   links come out. So no link between components is missed, and a group of copies costs one pair per
-   member and band.
+4. Buckets whose members, the smallest aside, are still in different components are opened again, and
+   members of different components are compared inside the tasks, in blocks streamed past each other: first
+   on bands and packed bits alone, which leaves the members with a likely partner; only those bring their
+   texts to a second such pass, and only links come out of it. So no link between components is missed, and
+   no bucket emits its pairs as rows.
 
 A pair at similarity 0.75 shares none of the 48 bands with probability (1 - 0.75**5)**48 = 2e-6.
 
@@ -36,7 +36,9 @@ from peptarium.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 48, 5, 4
-HOT, BLOCK, RUN = 64, 512, 8192
+#: members of a block and of a run streamed past it, when texts travel with them and when only bits do
+BLOCK, RUN = 512, 8192
+BITS_BLOCK, BITS_RUN = 4096, 65_536
 NEED, OF = 75, 100
 SLACK = 0.25
 
@@ -161,52 +163,59 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that still span several components: key, band, node, c (its component), n."""
-    rows = members.where("n > 2").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    ends = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    return rows.join(ends, "key", "left_semi").select("key", "band", "node", "c", "n")
-
+    """Members to compare again, with their component: key, band, node, c.
 
-def small_pairs(left: DataFrame) -> DataFrame:
-    """All pairs across components in buckets of at most ``HOT`` members."""
-    small = left.where(F.col("n") <= HOT)
-    x = small.select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-    y = small.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, "key").where("a < b and ca != cb").select("a", "b").distinct()
+    The smallest class of a bucket has met all others there and stays out; buckets whose other members are
+    in one component are done.
+    """
+    rows = members.where("node != hub").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    ends = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    return rows.join(ends, "key", "left_semi").select("key", "band", "node", "c")
 
 
-def hot_links(left: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components in buckets above ``HOT`` members, compared inside the tasks.
+def dealt(left: DataFrame, wide: DataFrame, block: int, run: int) -> DataFrame:
+    """Members of open buckets with the columns of ``wide``, dealt and sorted for streaming past blocks.
 
     In each bucket the largest component is the bulk; members of it need not meet each other. The rest is
-    cut into blocks of ``BLOCK``, all members into runs of ``RUN``, and each (block, run) is one group whose
-    run is streamed past the block. A pair is looked at in its first common band only, scored from the packed
-    bits, then confirmed on the full sets; one link per block member and component is reported.
+    cut into blocks, all members into runs, and each (block, run) is one group whose run is streamed past
+    the block.
     """
-    hot = left.where(F.col("n") > HOT)
-    parts = hot.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
-    sized = parts.select("key", F.col("top.c").alias("bulk"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / RUN).cast("int").alias("runs"))
-    rows = hot.join(sized, "key").withColumn("rest", F.col("c") != F.col("bulk"))
+    parts = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
+    sized = parts.select("key", F.col("top.c").alias("bulk"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("blocks"), F.ceil(F.col("all") / run).cast("int").alias("runs"))
+    rows = left.join(sized.where("blocks > 0"), "key").withColumn("rest", F.col("c") != F.col("bulk"))
     at = F.xxhash64(F.lit("block"), "node")
-    block, run_no = F.pmod(at, F.col("blocks")).cast("int"), F.pmod(at, F.col("runs")).cast("int")
+    block_no, run_no = F.pmod(at, F.col("blocks")).cast("int"), F.pmod(at, F.col("runs")).cast("int")
     sides = F.array_union(
-        F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda r: F.struct(block.alias("b"), r.alias("r"), F.lit(0).alias("side")))).otherwise(
+        F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda r: F.struct(block_no.alias("b"), r.alias("r"), F.lit(0).alias("side")))).otherwise(
             F.array().cast("array<struct<b:int,r:int,side:int>>")
         ),
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("b"), run_no.alias("r"), F.lit(1).alias("side"))),
     )
-    dealt = (
-        rows.join(classes.select("node", "bands", "packed"), "node")
-        .join(texts, "node")
-        .select("key", "band", "node", "c", "rest", "bands", "packed", "text", F.explode(sides).alias("at"))
-        .select(F.xxhash64("key", "at.b", "at.r").alias("g"), "at.side", "band", "node", "c", "rest", "bands", "packed", "text")
-    )
-    ordered = dealt.repartition(partitions(left.sparkSession), "g").sortWithinPartitions("g", "side", "node")
-    return ordered.mapInArrow(_stream_past_blocks, "a bigint, b bigint")
+    more = [c for c in wide.columns if c != "node"]
+    spread = rows.join(wide, "node").select("key", "band", "node", "c", "rest", *more, F.explode(sides).alias("at"))
+    named = spread.select(F.xxhash64("key", "at.b", "at.r").alias("g"), "at.side", "key", "band", "node", "c", "rest", *more)
+    return named.repartition(partitions(left.sparkSession), "g").sortWithinPartitions("g", "side", "node")
+
+
+def partnered(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node) of the members whose bands and packed bits speak for a link across components."""
+    bits = dealt(left, classes.select("node", "bands", "packed"), BITS_BLOCK, BITS_RUN)
+    return bits.mapInArrow(_partners_past_blocks, "key bigint, node bigint").distinct()
+
+
+def open_links(left: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components in open buckets; one per block member and component is reported.
+
+    A pair is looked at in its first common band only, scored from the packed bits, then confirmed on the
+    full sets.
+    """
+    near = stored(left.join(partnered(left, classes), ["key", "node"], "left_semi"), "near")
+    return dealt(near, classes.select("node", "bands", "packed").join(texts, "node"), BLOCK, RUN).mapInArrow(_links_past_blocks, "a bigint, b bigint")
 
 
 @dataclass
 class Side:
+    key: np.ndarray
     node: np.ndarray
     c: np.ndarray
     rest: np.ndarray
@@ -216,26 +225,28 @@ class Side:
     sets: list[np.ndarray]
 
     def cut(self, a: int, b: int) -> Side:
-        return Side(self.node[a:b], self.c[a:b], self.rest[a:b], self.band[a:b], self.bands[a:b], self.packed[a:b], self.sets[a:b])
+        return Side(self.key[a:b], self.node[a:b], self.c[a:b], self.rest[a:b], self.band[a:b], self.bands[a:b], self.packed[a:b], self.sets[a:b])
 
     def plus(self, other: Side) -> Side:
-        return Side(*(np.concatenate([getattr(self, f), getattr(other, f)]) for f in ("node", "c", "rest", "band", "bands", "packed")), self.sets + other.sets)
+        return Side(*(np.concatenate([getattr(self, f), getattr(other, f)]) for f in ("key", "node", "c", "rest", "band", "bands", "packed")), self.sets + other.sets)
 
 
-def _stream_past_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _past_blocks(pieces: Iterator[pa.RecordBatch]) -> Iterator[tuple[Side, Side]]:
+    """Each block with each piece of the run that is streamed past it; ``sets`` are empty without texts."""
     group, block = None, None
-    for piece in slices(batches):
+    for piece in pieces:
         column = lambda name: piece.column(piece.schema.get_field_index(name))  # noqa: B023, E731
         wide = lambda name: column(name).flatten().to_numpy().reshape(piece.num_rows, -1)  # noqa: B023, E731
         g, side = column("g").to_numpy(), column("side").to_numpy()
         now = Side(
+            column("key").to_numpy(),
             column("node").to_numpy(),
             column("c").to_numpy(),
             column("rest").to_numpy(zero_copy_only=False),
             column("band").to_numpy(),
             wide("bands"),
             wide("packed").view(np.uint64),
-            shingle_sets(column("text")),
+            shingle_sets(column("text")) if "text" in piece.schema.names else [],
         )
         cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(g)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -243,14 +254,13 @@ def _stream_past_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 block = block.plus(now.cut(a, b)) if block is not None and group == g[a] else now.cut(a, b)
                 group = g[a]
             elif group == g[a]:
-                links = _links(block, now.cut(a, b))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+                yield block, now.cut(a, b)
 
 
-def _links(block: Side, run: Side) -> tuple[list[int], list[int]]:
-    ones, out_a, out_b = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS))), [], []
-    chance, step = 2.0**-BITS, max(1, (1 << 22) // max(1, len(run.node) * BANDS))
-    sizes = np.array([len(s) for s in run.sets])
+def _likely(block: Side, run: Side) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of the block (their start) with index pairs (in the slice, in the run) that score high enough."""
+    ones, chance = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS))), 2.0**-BITS
+    step = max(1, (1 << 22) // max(1, len(run.node) * BANDS))
     for a in range(0, len(block.node), step):
         x = block.cut(a, a + step)
         equal = x.bands[:, None, :] == run.bands[None, :, :]
@@ -262,17 +272,34 @@ def _links(block: Side, run: Side) -> tuple[list[int], list[int]]:
             any_bit = any_bit | (z >> np.uint64(k))
         share = 1 - np.bitwise_count(any_bit & ones).sum(axis=1) / (BANDS * ROWS)
         good = (share - chance) / (1 - chance) >= NEED / OF - SLACK
-        i, j = i[good], j[good]
-        for k in np.unique(i).tolist():
-            own, others = x.sets[k], j[i == k]
-            flat = np.concatenate([run.sets[m] for m in others.tolist()])
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
-            linked = others[OF * both >= NEED * (len(own) + sizes[others] - both)]
-            _, first = np.unique(run.c[linked], return_index=True)
-            out_a += [int(x.node[k])] * len(first)
-            out_b += run.node[linked[first]].tolist()
-    return out_a, out_b
+        yield a, i[good], j[good]
+
+
+def _partners_past_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, run in _past_blocks(b for b in batches if b.num_rows):
+        mine, theirs = np.zeros(len(block.node), bool), np.zeros(len(run.node), bool)
+        for a, i, j in _likely(block, run):
+            mine[a + i], theirs[j] = True, True
+        if theirs.any():
+            found = [np.concatenate([getattr(block, f)[mine], getattr(run, f)[theirs]]) for f in ("key", "node")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["key", "node"])
+
+
+def _links_past_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, run in _past_blocks(slices(batches)):
+        sizes, out_a, out_b = np.array([len(s) for s in run.sets]), [], []
+        for a, i, j in _likely(block, run):
+            for k in np.unique(i).tolist():
+                own, others = block.sets[a + k], j[i == k]
+                flat = np.concatenate([run.sets[m] for m in others.tolist()])
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+                linked = others[OF * both >= NEED * (len(own) + sizes[others] - both)]
+                _, first = np.unique(run.c[linked], return_index=True)
+                out_a += [int(block.node[a + k])] * len(first)
+                out_b += run.node[linked[first]].tolist()
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -296,8 +323,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links = stored(confirm(starred, classes, texts), "links")
     left = stored(open_members(members, components(links)), "open")
-    more = small_pairs(left).join(starred, ["a", "b"], "left_anti")
-    links = stored(links.union(confirm(more, classes, texts)).union(hot_links(left, classes, texts)), "links")
+    links = stored(links.union(open_links(left, classes, texts)), "links")
 
     joined = components(links).join(classes.select("node", "_id"), "node")
     least = joined.groupBy("component").agg(F.min("_id").alias("least"))

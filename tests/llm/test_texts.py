@@ -103,10 +103,10 @@ def test_near_duplicates(frame, rows):
     same([(None if r._id == NULL_ID else r._id, r.n_shingles, r.component) for r in found], brute.near_duplicates(rows))
 
 
-@pytest.mark.parametrize("hot,block,run", [(3, 2, 3), (3, 100, 1000), (64, 512, 8192)])
-def test_near_duplicates_open_hot_buckets(frame, monkeypatch, hot, block, run):
-    """Members that are unlike the hub but like each other are still linked, in hot buckets too."""
-    for name, value in (("HOT", hot), ("BLOCK", block), ("RUN", run)):
+@pytest.mark.parametrize("bits_block,bits_run,block,run", [(2, 3, 2, 3), (3, 2, 100, 1000), (100, 1000, 2, 3), (4096, 65_536, 512, 8192)])
+def test_near_duplicates_open_buckets(frame, monkeypatch, bits_block, bits_run, block, run):
+    """Members that are unlike the hub but like each other are still linked, however the buckets are cut."""
+    for name, value in (("BITS_BLOCK", bits_block), ("BITS_RUN", bits_run), ("BLOCK", block), ("RUN", run)):
         monkeypatch.setattr(bbit_minhash, name, value)
     rows = brute.corpus(7, 150, 3000)
     chain = [f"c{k}" for k in range(120)]
