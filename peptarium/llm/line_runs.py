@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,42 +61,60 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 @dataclass
 class RunStore:
-    """Live runs by level; each is an external bucketed table in the shared folder."""
+    """Live runs by level; each is a bucketed table, one sorted file a bucket, of a database of its own.
+
+    The database lies in the shared folder; ``close`` drops it with its tables and files.
+    """
 
     spark: SparkSession
     fanout: int = FANOUT
-    levels: list[list[tuple[str, str]]] = field(default_factory=list)
+    levels: list[list[str]] = field(default_factory=list)
+    name: str = field(default_factory=lambda: f"line_runs_{uuid.uuid4().hex}")
+
+    def __post_init__(self) -> None:
+        place = shared_scratch(self.spark, self.name).replace("'", "\\'")
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{place}'")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
-    def _write(self, keys: DataFrame) -> tuple[str, str]:
-        name = f"line_run_{uuid.uuid4().hex}"
-        path = shared_scratch(self.spark, name)
-        keys.write.option("path", path).bucketBy(partitions(self.spark), "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
-        return name, path
+    def _write(self, keys: DataFrame) -> str:
+        """``keys`` must be dealt as the buckets are, so that a bucket is one file."""
+        run, n = f"{self.name}.run_{uuid.uuid4().hex}", partitions(self.spark)
+        keys.write.bucketBy(n, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(run)
+        return run
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: hashed lines of the next documents."""
         fresh = batch.groupBy("h1", "h2").agg(F.min("_id").alias("first"))
-        for name, _ in self.live():
-            fresh = fresh.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
-        self._put(0, self._write(fresh))
+        for run in self.live():
+            fresh = fresh.join(self.spark.table(run).hint("merge"), ["h1", "h2"], "left_anti")
+        self._put(0, self._write(fresh.repartition(partitions(self.spark), "h1", "h2")))
 
-    def _put(self, level: int, run: tuple[str, str]) -> None:
+    def _put(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self.rows(self.levels[level]))
-            for name, _ in self.levels[level]:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            merged = self._write(self.merged(self.levels[level]))
+            for old in self.levels[level]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {old}")
             self.levels[level] = []
             self._put(level + 1, merged)
 
-    def live(self) -> list[tuple[str, str]]:
+    def merged(self, runs: list[str]) -> DataFrame:
+        """Bucket meets bucket in a merge join that keeps the keys of both sides; two runs need no shuffle."""
+        out = self.spark.table(runs[0])
+        for run in runs[1:]:
+            other = self.spark.table(run).withColumnRenamed("first", "other").hint("merge")
+            out = out.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", F.least("first", "other").alias("first"))
+        return out
+
+    def live(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
-    def rows(self, runs: list[tuple[str, str]] | None = None) -> DataFrame:
-        paths = [path for _, path in (self.live() if runs is None else runs)]
-        return self.spark.read.schema("h1 bigint, h2 bigint, first bigint").parquet(*paths)
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.union, [self.spark.table(run) for run in self.live()])
 
 
 def batch_edges(docs: DataFrame, batches: int) -> list[int]:
@@ -111,22 +130,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
 
     If the input has columns of those two names they are replaced. ``text`` is never null afterwards.
     """
-    store = RunStore(docs.sparkSession, fanout)
     hashed = stored(hashed_lines(docs, min_chars), "lines")
     edges = batch_edges(docs, batches)
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        batch = hashed
-        if low is not None:
-            batch = batch.where(F.col("_id") >= low)
-        if high is not None:
-            batch = batch.where(F.col("_id") < high)
-        store.add(batch)
-    late = (
-        hashed.join(store.rows(), ["h1", "h2"])
-        .where(F.col("first") < F.col("_id"))
-        .groupBy("_id", "_row")
-        .agg(F.collect_set("_pos").alias("_late"))
-    )
+    store = RunStore(docs.sparkSession, fanout)
+    try:
+        for low, high in zip([None, *edges], [*edges, None], strict=True):
+            batch = hashed
+            if low is not None:
+                batch = batch.where(F.col("_id") >= low)
+            if high is not None:
+                batch = batch.where(F.col("_id") < high)
+            store.add(batch)
+        late = stored(
+            hashed.join(store.rows(), ["h1", "h2"]).where(F.col("first") < F.col("_id")).groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_late")),
+            "late",
+        )
+    finally:
+        store.close()
     # the input row travels as one struct, so its column names cannot clash with ours
     wide = docs.select(F.struct(*docs.columns).alias("_doc"), id_key().alias("_id"), F.xxhash64("text").alias("_row"))
     joined = wide.join(late, ["_id", "_row"], "left").withColumn("_lines", lines_of(F.col("_doc.text")))

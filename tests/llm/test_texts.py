@@ -1,6 +1,7 @@
 """Operators on documents against plain versions, with odd rows and empty tables."""
 
 import hashlib
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -52,6 +53,18 @@ def test_runs_are_levelled_and_disjoint(spark, frame):
     assert [len(level) for level in store.levels] == [1, 0, 1]
     keys = store.rows()
     assert keys.count() == keys.select("h1", "h2").distinct().count() == hashed.where("_id < 180").select("h1", "h2").distinct().count()
+    files = [f for run in store.live() for f in spark.table(run).inputFiles()]
+    assert len(files) <= len(store.live()) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = Path(spark.sql(f"DESCRIBE DATABASE {store.name}").where("info_name = 'Location'").first().info_value.removeprefix("file:"))
+    assert place.exists()
+    store.close()
+    assert not place.exists()
+
+
+def test_no_run_is_left_after_a_call(spark, frame):
+    line_runs.dedup_lines(frame(brute.corpus())).collect()
+    assert not spark.sql("SHOW DATABASES LIKE 'line_runs_*'").count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
 
 
 @pytest.mark.parametrize("share", [None, 1e-9])
