@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peptarium.functions.keys import stable_hash
-from peptarium.functions.numeric import as_col
+from peptarium.functions.numeric import as_col, let
 from peptarium.operators.ordering import first_per, row_rank, top_k
 
 # Fixed value: the grammar of a contig token.
@@ -99,8 +99,11 @@ def shorten_contig(c: str | Column, length: int = 103) -> Column:
 
     The longer terminal flank gives it (C on a tie); when both are empty, the first largest spacer.
     """
-    tokens = contig_tokens(c)
-    total = contig_length(tokens)
+    return let(contig_tokens(c), lambda tokens: let(_giving_token(tokens), lambda give: _shortened(as_col(c), tokens, give, length)))
+
+
+def _giving_token(tokens: Column) -> Column:
+    """Struct(index, where) of the token that gives a residue."""
     last = F.size(tokens) - 1
     flank = lambda i: F.when(~F.get(tokens, i)["is_island"], F.get(tokens, i)["a"]).otherwise(F.lit(-1))
     n_flank, c_flank = flank(F.lit(0)), flank(last)
@@ -112,26 +115,25 @@ def shorten_contig(c: str | Column, length: int = 103) -> Column:
         lambda s: s["inner"] & (s["len"] >= 1),
     )
     spacer = -F.array_max(inner)["neg"]
-    index = (
-        F.when((c_flank >= 1) & (c_flank >= n_flank), last).when(n_flank >= 1, F.lit(0)).otherwise(spacer)
-    )
-    where = (
-        F.when((c_flank >= 1) & (c_flank >= n_flank), F.lit("C"))
-        .when(n_flank >= 1, F.lit("N"))
-        .otherwise(F.concat(F.lit("spacer@"), spacer.cast("string")))
+    at_c, at_n = (c_flank >= 1) & (c_flank >= n_flank), n_flank >= 1
+    return F.struct(
+        F.when(at_c, last).when(at_n, F.lit(0)).otherwise(spacer).alias("index"),
+        F.when(at_c, F.lit("C")).when(at_n, F.lit("N")).otherwise(F.concat(F.lit("spacer@"), spacer.cast("string"))).alias("where"),
     )
+
+
+def _shortened(text: Column, tokens: Column, give: Column, length: int) -> Column:
+    left = lambda t, i: t["a"] - (i == give["index"]).cast("int")
     edited = F.array_join(
         F.transform(
             tokens,
-            lambda t, i: F.when(t["is_island"], F.format_string("A%d-%d", t["a"], t["b"])).otherwise(
-                F.format_string("%d-%d", t["a"] - (i == index).cast("int"), t["a"] - (i == index).cast("int"))
-            ),
+            lambda t, i: F.when(t["is_island"], F.format_string("A%d-%d", t["a"], t["b"])).otherwise(F.format_string("%d-%d", left(t, i), left(t, i))),
         ),
         "/",
     )
-    ok = (total == length + 1) & index.isNotNull()
-    message = F.concat(F.lit("cannot shorten contig "), as_col(c))
-    return F.when(ok, F.struct(edited.alias("contig"), where.alias("where"))).otherwise(F.raise_error(message))
+    ok = (contig_length(tokens) == length + 1) & give["index"].isNotNull()
+    message = F.concat(F.lit("cannot shorten contig "), text)
+    return F.when(ok, F.struct(edited.alias("contig"), give["where"].alias("where"))).otherwise(F.raise_error(message))
 
 
 def expand_contigs(df: DataFrame, seeds: Sequence[int], reps: int, id_col: str = "id") -> DataFrame:
