@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from peptarium.functions import contigs as C
+from peptarium.operators import spatial as R
+from peptarium.operators import stats
 
 
 def plan_of(df):
@@ -19,3 +21,30 @@ def test_shorten_contig_parses_once(spark):
     inner = rows.where(F.col("c").startswith("0-")).select(C.shorten_contig("c", 22).alias("s")).first().s
     assert (inner.contig, inner.where) == ("0-0/A5-9/2-2/A40-50/3-3/A60-60/0-0", "spacer@4")
     assert plan_of(rows.select(C.shorten_contig("c").alias("s"))).count("regexp_extract") == 2
+
+
+def _shipped(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line]
+
+
+def test_copies_of_targets_are_not_broadcast(spark, monkeypatch):
+    points = spark.range(40).select((F.col("id") % 4).alias("design_id"), F.col("id").alias("res_idx"), *[(F.col("id") * k % 7).cast("double").alias(x) for k, x in ((1, "x"), (2, "y"), (3, "z"))])
+    whole = R._meet(points, points, 2.0, ["design_id"], R.squared_distance() < 4.0, "left_semi")
+    assert not _shipped(whole) and "_cx" not in plan_of(whole)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 10)
+    cells = R._meet(points, points, 2.0, ["design_id"], R.squared_distance() < 4.0, "left_semi", copied="targets")
+    assert not _shipped(cells) and "_cx" in plan_of(cells)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cells.collect()))
+
+
+def test_sweep_report_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return float(v % 5)
+
+    rows = spark.range(100).select((F.col("id") % 2).alias("cell"), counted(F.col("id")).alias("s"), (F.col("id") % 3 == 0).alias("l"))
+    assert len(stats.sweep_report(rows, ["cell"], "s", "l").collect()) == 2
+    assert seen.value <= 200  # the score is tested for null and used: at most twice a row, in one read
