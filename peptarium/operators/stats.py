@@ -18,6 +18,7 @@ from peptarium.operators.ordering import (
     null_safe_join,
     quantiles,
     row_rank,
+    running_total,
     value_ladder,
     value_steps,
     with_ranks,
@@ -25,6 +26,7 @@ from peptarium.operators.ordering import (
 from peptarium.operators.predicates import FOUR_FILTER, Condition, all_of
 from peptarium.operators.scoring import best_first, score_and_select
 from peptarium.plans.presets import SCORED, Preset
+from peptarium.session import rows_per_task
 
 
 def n_rows() -> Column:
@@ -187,7 +189,15 @@ def auc(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> Da
     """
     rows = df.select(*groups, num(score).alias("_s"), F.col(label).cast("boolean").alias("_l"))
     rows = rows.where(F.col("_s").isNotNull() & F.col("_l").isNotNull())
-    ladder = value_ladder(rows, groups, "_s", [F.sum(F.col("_l").cast("bigint")).alias("_pos")], descending=True)
+    steps, n = value_steps(rows, [*groups, "_l"], "_s")
+    return _auc_of(steps, groups, n <= rows_per_task(df.sparkSession))
+
+
+def _auc_of(steps: DataFrame, groups: Sequence[str], small: bool) -> DataFrame:
+    """The AUC from counts ``n_ties`` per (group, ``_l``, ``_s``)."""
+    groups = list(groups)
+    ladder = steps.groupBy(*groups, "_s").agg(F.sum("n_ties").alias("n_ties"), F.sum(F.when(F.col("_l"), F.col("n_ties")).otherwise(0)).alias("_pos"))
+    ladder = running_total(ladder, groups, [F.col("_s").desc()], "n_ties", "below", small=small)
     table = ladder.groupBy(*groups).agg(
         F.sum("_pos").alias("n_pos"), F.sum(F.col("n_ties") - F.col("_pos")).alias("n_neg"), F.sum(F.col("_pos") * average_rank()).alias("_ranks")
     )
@@ -197,9 +207,11 @@ def auc(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> Da
 
 def sweep_report(df: DataFrame, cell: Sequence[str], score: str, label: str) -> DataFrame:
     """AUC and both class medians per parameter cell."""
-    ranks = auc(df, score, label, cell)
     classes = df.select(*cell, num(score).alias("_s"), F.col(label).cast("boolean").alias("_l")).where(F.col("_s").isNotNull() & F.col("_l").isNotNull())
-    mids = quantiles(classes, [*cell, "_l"], "_s", {"_m": 0.5})
+    steps, n = value_steps(classes, [*cell, "_l"], "_s")  # the only time the input is read
+    small = n <= rows_per_task(df.sparkSession)
+    ranks = _auc_of(steps, cell, small)
+    mids = quantiles(steps, [*cell, "_l"], "_s", {"_m": 0.5}, small, steps)
     mids = mids.groupBy(*cell).agg(F.max(F.when(F.col("_l"), F.col("_m"))).alias("med_free"), F.max(F.when(~F.col("_l"), F.col("_m"))).alias("med_clash"))
     return null_safe_join(ranks, mids, list(cell))
 
