@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from peptarium.functions.contigs import comma_contig
 from peptarium.functions.keys import number_from_text
-from peptarium.sinks.files import drop_partition, write_row_files
+from peptarium.sinks.files import drop_partition, read_row_files, write_row_files
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -109,8 +109,10 @@ def sequence_payload(df: DataFrame, seed: int = 1, name: str = "name", seq: str
 def write_json_files(df: DataFrame, out: str, key: str) -> DataFrame:
     """Write (key, json) as one ``<key>.json`` each and return the (key, path) manifest of what is there."""
     write_row_files(df.select(F.concat(F.col(key).cast("string"), F.lit(".json")), "json"), out)
-    found = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(out).select("path")
-    return found.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias(key), "path")
+    found = read_row_files(df.sparkSession, out, content=False)
+    if found is None:  # no row, no file
+        return df.sparkSession.createDataFrame([], f"{key} string, path string")
+    return found.select(F.regexp_extract("name", r"^(.+)\.json$", 1).alias(key), "path")
 
 
 def emit_json_specs(df: DataFrame, out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peptarium.functions.numeric import as_col, num
 from peptarium.operators.ordering import first_per
+from peptarium.sinks.files import read_row_files
 from peptarium.sources.structures import stem
 
 # Names the matrix goes by, in order of preference.
@@ -27,6 +28,9 @@ def pae_matrix(c: str | Column) -> Column:
 
 def whole_files(spark: SparkSession, path: str, wanted: str) -> DataFrame:
     """(value, path) of the files below ``path`` whose name matches ``wanted``, sub-folders included."""
+    written = read_row_files(spark, path)
+    if written is not None:
+        return written.where(F.col("name").rlike(wanted)).select("value", "path")
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     named = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("_name"))
     return named.where(F.col("_name").rlike(wanted)).drop("_name")
@@ -87,5 +91,8 @@ def index_paths(paths: DataFrame, key_regex: str, keys: Sequence[str], prefer: S
 
 def index_artifacts(spark: SparkSession, root: str, key_regex: str, keys: Sequence[str], prefer: Sequence[Column] = ()) -> DataFrame:
     """Index files below ``root``; file contents are pruned from the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    files = read_row_files(spark, root, content=False)
+    if files is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = files.select("path")
     return index_paths(files, key_regex, keys, prefer)
