@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from peptarium.catalog import tables
 from peptarium.functions import contigs as C
 from peptarium.operators import spatial as R
 from peptarium.operators import stats
+from peptarium.sinks import files
+from peptarium.sources import outputs
 
 
 def plan_of(df):
@@ -48,3 +51,20 @@ def test_sweep_report_reads_its_input_once(spark):
     rows = spark.range(100).select((F.col("id") % 2).alias("cell"), counted(F.col("id")).alias("s"), (F.col("id") % 3 == 0).alias("l"))
     assert len(stats.sweep_report(rows, ["cell"], "s", "l").collect()) == 2
     assert seen.value <= 200  # the score is tested for null and used: at most twice a row, in one read
+
+
+def test_written_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.range(40).coalesce(1).select(F.concat("id", F.lit(".json")).alias("name"), F.col("id").cast("string"))
+    files.write_row_files(rows, out)
+    assert len([n for n in files.listed(out) if n.startswith("part-")]) > 1  # one input partition, several writers
+    got = outputs.whole_files(spark, out, r"\.json$")
+    assert sorted(int(r["value"]) for r in got.collect()) == list(range(40))
+    assert "BatchScan row_files" in got._jdf.queryExecution().executedPlan().toString()
+    assert outputs.index_artifacts(spark, out, r"^(\d)\d*\.json$", ["first"]).count() == 10
+    assert files.read_row_files(spark, str(tmp_path / "none")) is None
+
+
+def test_structures_are_files_in_few_folders(spark):
+    out = tables._pdb_files(spark, "/root/testdata/sf0.001")
+    assert 0 < len(files.listed(out)) <= 2 * spark.sparkContext.defaultParallelism + 1
