@@ -6,6 +6,7 @@ from peptarium.catalog import tables
 from peptarium.functions import contigs as C
 from peptarium.operators import spatial as R
 from peptarium.operators import stats
+from peptarium.plans import flows
 from peptarium.sinks import files
 from peptarium.sources import outputs
 
@@ -68,3 +69,12 @@ def test_written_files_are_listed_and_read_by_tasks(spark, tmp_path):
 def test_structures_are_files_in_few_folders(spark):
     out = tables._pdb_files(spark, "/root/testdata/sf0.001")
     assert 0 < len(files.listed(out)) <= 2 * spark.sparkContext.defaultParallelism + 1
+
+
+def test_native_tiles_are_not_searched_for(spark):
+    text = "ACDEFGHIKLMNPQRSTVWY" * 3
+    queries = spark.createDataFrame([("t", "e", text[7:])], "target string, entry string, q_seq string")
+    chains = spark.createDataFrame([("e", text, 1)], "entry string, c_seq string, record int")
+    tiles, _ = flows.native_tiles(queries, chains)
+    assert {(r["start"], r["tile"]) for r in tiles.collect()} == {(i + 1, text[7 + i : 37 + i]) for i in (0, 6, 12, 18, 23)}
+    assert "contains(" not in plan_of(tiles.select("target", "start", "tile")).lower()
