@@ -6,6 +6,7 @@ from peptarium.catalog import tables
 from peptarium.functions import contigs as C
 from peptarium.operators import spatial as R
 from peptarium.operators import stats
+from peptarium.operators.joins import relabel_by_sequence
 from peptarium.plans import flows
 from peptarium.sinks import files
 from peptarium.sources import outputs
@@ -78,3 +79,11 @@ def test_native_tiles_are_not_searched_for(spark):
     tiles, _ = flows.native_tiles(queries, chains)
     assert {(r["start"], r["tile"]) for r in tiles.collect()} == {(i + 1, text[7 + i : 37 + i]) for i in (0, 6, 12, 18, 23)}
     assert "contains(" not in plan_of(tiles.select("target", "start", "tile")).lower()
+
+
+def test_oligos_are_translated_once(spark):
+    oligos = spark.createDataFrame([("a_1", "AAGCTTT", 1), ("b_1", "AANNNTT", 2), ("c_1", "AAGCTTGCTT", 3)], "id string, oligo string, row int")
+    peptides = spark.createDataFrame([("x", "A"), ("y", "AC")], "name string, seq string")
+    out = relabel_by_sequence(oligos, peptides, "AA", "TT")
+    assert {r["name"]: r["oligo"] for r in out.collect()} == {"x": "AAGCTTT", "y": "AAGCTTGCTT"}
+    assert plan_of(out).count("regexp_extract_all") == 1
