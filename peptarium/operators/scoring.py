@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peptarium.functions.numeric import logistic, num
-from peptarium.operators.ordering import beside, fits_one_task, lookup, medians, null_safe_join, rank_table, row_rank, top_k, with_rank, with_ranks
+from peptarium.operators.ordering import average_rank, beside, fits_one_task, lookup, medians, null_safe_join, row_rank, running_total, top_k, with_rank, with_ranks
 from peptarium.operators.predicates import Condition, gate, gates, require_columns
 from peptarium.plans.presets import Metric, PassBonus, Preset
+from peptarium.session import freeze_counted, rows_per_task
 
 # name -> (value, metric, stats) -> score; stats maps min, max, avg, sd, median to columns
 TRANSFORMS: dict[str, Callable[[Column, Metric, dict[str, Column]], Column]] = {}
@@ -166,18 +167,21 @@ def swap_term(df: DataFrame, old_term: str, value: str, weight: float, method: s
 
 
 def calibrate_ties(df: DataFrame, value: str, stored: str, weight: float) -> DataFrame:
-    """Which tie method reproduces a stored score: one row per method with its largest error."""
-    small = fits_one_task(df)
-    methods = ("average", "min", "max", "dense")
-    tables = [rank_table(df, value, out=f"_{m}", method=m, pct=True, small=small) for m in methods]
-    ladder_rows = df
-    for table in tables:
-        ladder_rows = lookup(ladder_rows, table, [value], weight="_ties", small=small)
+    """Which tie method reproduces a stored score: one row per method with its largest error.
+
+    Rows of one value share their ranks, so the least and the greatest stored score of a value hold its largest error.
+    """
     target = F.col(stored) / F.lit(weight)
-    errors = ladder_rows.agg(
-        *[F.max(F.abs(F.lit(1.0) - F.col(f"_{m}") - target)).alias(m) for m in methods]
-    )
-    return errors.unpivot([], list(methods), "method", "max_error")
+    steps = df.where(F.col(value).isNotNull()).groupBy(value)
+    steps, distinct = freeze_counted(steps.agg(F.count(F.lit(1)).alias("n_ties"), F.min(target).alias("_lo"), F.max(target).alias("_hi")))
+    small = distinct <= rows_per_task(df.sparkSession)
+    ladder = running_total(steps, [], [F.col(value)], "n_ties", "below", small=small)
+    ladder = running_total(ladder, [], [F.col(value)], out="_dense", small=small)
+    ladder = beside(ladder, steps.agg(F.sum("n_ties").alias("_n")))
+    n, before, ties = F.col("_n"), F.col("below"), F.col("n_ties")
+    ranks = {"average": average_rank() / n, "min": (before + 1.0) / n, "max": (before + ties).cast("double") / n, "dense": (F.col("_dense") + 1.0) / F.lit(distinct)}
+    worst = lambda r: F.max(F.greatest(F.abs(F.lit(1.0) - r - F.col("_lo")), F.abs(F.lit(1.0) - r - F.col("_hi"))))
+    return ladder.agg(*[worst(r).alias(m) for m, r in ranks.items()]).unpivot([], list(ranks), "method", "max_error")
 
 
 def compare_presets(df: DataFrame, first: Preset, second: Preset, key: Sequence[str], value: str, group: str = "id") -> DataFrame:

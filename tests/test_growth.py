@@ -7,6 +7,7 @@ from peptarium.functions import contigs as C
 from peptarium.operators import spatial as R
 from peptarium.operators import stats
 from peptarium.operators.joins import relabel_by_sequence
+from peptarium.operators.scoring import calibrate_ties
 from peptarium.plans import flows
 from peptarium.sinks import files
 from peptarium.sources import outputs
@@ -87,3 +88,17 @@ def test_oligos_are_translated_once(spark):
     out = relabel_by_sequence(oligos, peptides, "AA", "TT")
     assert {r["name"]: r["oligo"] for r in out.collect()} == {"x": "AAGCTTT", "y": "AAGCTTGCTT"}
     assert plan_of(out).count("regexp_extract_all") == 1
+
+
+def test_calibrate_ties_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def stored(v):
+        seen.add(1)
+        return 1.0 - (v % 5 + 1) / 5.0  # the dense rank of id % 5
+
+    rows = spark.range(50).select((F.col("id") % 5).alias("v"), stored("id").alias("s"))
+    errors = {r["method"]: r["max_error"] for r in calibrate_ties(rows, "v", "s", 1.0).collect()}
+    assert set(errors) == {"average", "min", "max", "dense"} and errors["dense"] < 1e-9 < errors["min"]
+    assert seen.value == 50
