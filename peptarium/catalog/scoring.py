@@ -9,7 +9,7 @@ from peptarium.catalog.views import NEAR_SQL, POOL_SQL, near_pass, pool, r6
 from peptarium.operators import scoring, stats
 from peptarium.operators.numbering import number_members, quote_names, runs
 from peptarium.operators.predicates import four_filter
-from peptarium.plans.flows import score_component
+from peptarium.plans.flows import cut_component
 from peptarium.plans.presets import CLASH, EPITOPE_PAE, EPITOPE_RMSD, OVERALL_RMSD, PRESETS, Metric, Preset, comparison_presets
 
 KEY = ["key"]
@@ -212,10 +212,12 @@ def recut(spark, sf):
 SELECT key, round(composite - old + 0.35 * ({pct_sql("cylinder_native_aware")}), 8) AS composite_swapped FROM s""",
 )
 def swap_term(spark, sf):
-    scored = scoring.score(pool(spark, sf), PRESETS["antibody"])
-    stored = scoring.transform_metrics(scored, [Metric("cylinder_ca_clashes", 0.35)], [])
+    rows = pool(spark, sf)
+    # the old term comes first: its few values are looked up without a shuffle, the score's price ranks are not
+    stored = scoring.transform_metrics(rows, [Metric("cylinder_ca_clashes", 0.35)], [])
     stored = stored.withColumn("old_term", F.lit(0.35) * F.col("score_cylinder_ca_clashes"))
-    return r6(scoring.swap_term(stored, "old_term", "cylinder_native_aware", 0.35).select("key", "composite_swapped"), 8)
+    scored = scoring.score(stored, PRESETS["antibody"])
+    return r6(scoring.swap_term(scored, "old_term", "cylinder_native_aware", 0.35, population=rows).select("key", "composite_swapped"), 8)
 
 
 @REGISTRY.add(
@@ -284,7 +286,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY composite DESC, key)
 SELECT key, id, round(composite, 8) AS composite, rank_in_group FROM r WHERE rank_in_group <= 5""",
 )
 def score_and_rank(spark, sf):
-    _, cut = score_component(pool(spark, sf), PRESETS["antibody_softgate"], ["id"], KEY, 5, exclude=["7"])
+    cut = cut_component(pool(spark, sf), PRESETS["antibody_softgate"], ["id"], KEY, 5, exclude=["7"])
     return r6(cut.select("key", "id", "composite", "rank_in_group"), 8)
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peptarium.functions.numeric import logistic, num
-from peptarium.operators.ordering import average_rank, beside, fits_one_task, lookup, medians, null_safe_join, row_rank, running_total, top_k, with_rank, with_ranks
-from peptarium.operators.predicates import Condition, gate, gates, require_columns
+from peptarium.operators.ordering import average_rank, beside, fits_one_task, key_load, lookup, medians, null_safe_join, row_rank, running_total, top_k, with_rank, with_ranks
+from peptarium.operators.predicates import Condition, all_of, gate, gates, require_columns
 from peptarium.plans.presets import Metric, PassBonus, Preset
 from peptarium.session import freeze_counted, rows_per_task
 
@@ -58,8 +59,14 @@ def _needs(m: Metric) -> tuple[str, ...]:
     return NEEDS[m.transform]
 
 
-def transform_metrics(df: DataFrame, metrics: Sequence[Metric], scope: Sequence[str], small: bool | None = None) -> DataFrame:
-    """Add ``score_<column>`` for each metric, computed inside ``scope`` (empty = the whole table)."""
+def transform_metrics(
+    df: DataFrame, metrics: Sequence[Metric], scope: Sequence[str], small: bool | None = None, ranks: dict[str, str] | None = None
+) -> DataFrame:
+    """Add ``score_<column>`` for each metric, computed inside ``scope`` (empty = the whole table).
+
+    ``ranks`` names columns that already hold the percentile of a metric (``{column: percentile}``).
+    """
+    ranks = ranks or {}
     unknown = [m.transform for m in metrics if m.transform != "percentile" and m.transform not in TRANSFORMS]
     if unknown:
         raise ValueError(f"unknown transform: {unknown[0]!r}")
@@ -89,10 +96,11 @@ def transform_metrics(df: DataFrame, metrics: Sequence[Metric], scope: Sequence[
         df = df.withColumn(f"score_{m.column}", TRANSFORMS[m.transform](F.col(x[m.column]), m, named))
     df = df.drop(*[c for c in df.columns if any(c == f"_{s}_{m.column}" for m in shaped for s in _needs(m))])
 
-    if ranked:
-        df = with_ranks(df, {x[m.column]: f"_pct_{m.column}" for m in ranked}, scope, pct=True, small=small)
+    fresh = [m for m in ranked if m.column not in ranks]
+    if fresh:
+        df = with_ranks(df, {x[m.column]: f"_pct_{m.column}" for m in fresh}, scope, pct=True, small=small)
     for m in ranked:
-        pct = F.col(f"_pct_{m.column}")
+        pct = F.col(ranks.get(m.column, f"_pct_{m.column}"))
         oriented = pct if m.better == "high" else F.lit(1.0) - pct
         if scope:  # a row without a scope value belongs to no population
             oriented = F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scope]), oriented)
@@ -106,8 +114,8 @@ def pass_indicator(bonus: PassBonus) -> Column:
     return reduce(lambda a, b: a * b, parts, F.lit(1.0))
 
 
-def score(df: DataFrame, preset: Preset) -> DataFrame:
-    """Gate, transform and fold into ``composite``. Keeps every gated row."""
+def score(df: DataFrame, preset: Preset, ranks: dict[str, str] | None = None) -> DataFrame:
+    """Gate, transform and fold into ``composite``. Keeps every gated row. ``ranks`` as in ``transform_metrics``."""
     require_columns(df, [c for c, _, _ in preset.prefilter])
     df = gates(df, [Condition(*f) for f in preset.prefilter])
     if preset.gate:
@@ -116,7 +124,7 @@ def score(df: DataFrame, preset: Preset) -> DataFrame:
     if not present:
         raise ValueError("no scoring metric of the preset is present")
     scope = [preset.antigen_col] if preset.scope == "per_antigen" and preset.antigen_col in df.columns else []
-    df = transform_metrics(df, present, scope)
+    df = transform_metrics(df, present, scope, ranks=ranks)
     total = sum(m.weight for m in present)
     terms = [F.lit(m.weight / total) * F.coalesce(F.col(f"score_{m.column}"), F.lit(0.0)) for m in present]
     df = df.withColumn("composite", reduce(lambda a, b: a + b, terms, F.lit(0.0)))
@@ -155,13 +163,59 @@ def select_dedup_topk(df: DataFrame, dedupe: str, group: str, key: Sequence[str]
     return top_k(best, [group], best_first(key, composite), k, out="rank_in_group")
 
 
+def row_wise(preset: Preset) -> bool:
+    """Whether no score of the preset depends on other rows, percentiles aside."""
+    return all(m.transform == "percentile" or not _needs(m) for m in preset.metrics)
+
+
+def select_all(df: DataFrame, presets: dict[str, Preset], key: Sequence[str], group: str, keep: Sequence[str]) -> DataFrame:
+    """The selections of several presets, tagged by ``world``: (world, group, keep).
+
+    Presets that take the same top k of ``group`` share one pass: percentiles are ranked together, rows are dealt
+    by group once, scored there, and each preset ranks them in place. That holds a group in one task, so groups
+    of more rows than that, and presets whose scores need statistics of the rows they keep, go one by one.
+    """
+    first = next(iter(presets.values()))
+    gated = lambda p: bool(p.gate or p.prefilter)
+    percentiles = lambda p: [m.column for m in p.metrics if m.transform == "percentile" and m.column in df.columns]
+    alike = group in df.columns and all(
+        p.group == group and p.topk and p.topk == first.topk and row_wise(p) and (not percentiles(p) or not gated(p) and p.scope == "pooled") for p in presets.values()
+    )
+    if not alike or key_load(df, [group])[1] > rows_per_task(df.sparkSession):
+        picks = [score_and_select(df, p, key).select(F.lit(name).alias("world"), group, *keep) for name, p in presets.items()]
+        return reduce(DataFrame.unionByName, picks)
+    ranks = {c: f"_rank_{c}" for p in presets.values() for c in percentiles(p)}
+    dealt = df.withColumns({f"_of_{c}": num(c) for c in ranks})
+    if ranks:
+        dealt = with_ranks(dealt, {f"_of_{c}": r for c, r in ranks.items()}, pct=True)
+    dealt = dealt.repartition(F.col(group))
+    columns = dealt.columns
+    for name, p in presets.items():
+        require_columns(df, [c for c, _, _ in p.prefilter] + ([p.gate[0]] if p.gate else []))
+        held = all_of([Condition(*f) for f in p.prefilter] + ([Condition(p.gate[0], "<=", p.gate[1])] if p.gate else []))
+        scored = score(dealt, replace(p, gate=None, prefilter=()), ranks)
+        dealt = scored.withColumn(f"_c_{name}", F.when(held, F.col("composite"))).select(*columns, f"_c_{name}")
+        columns = dealt.columns
+    worlds = []
+    for name in presets:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*best_first(key, f"_c_{name}")))
+        dealt = dealt.withColumn(f"_n_{name}", place)  # rows a preset does not keep come last
+        worlds.append(F.when(F.col(f"_c_{name}").isNotNull() & (F.col(f"_n_{name}") <= first.topk), F.lit(name)))
+    return dealt.select(F.explode(F.array_compact(F.array(*worlds))).alias("world"), group, *keep)
+
+
 def recut(df: DataFrame, depth: int) -> DataFrame:
     return df.where(F.col("rank_in_group") <= depth)
 
 
-def swap_term(df: DataFrame, old_term: str, value: str, weight: float, method: str = "average", out: str = "composite_swapped") -> DataFrame:
-    """Replace one weighted term of a stored composite by the percentile of another metric (lower is better)."""
-    ranked = with_rank(df, value, out="_pct", method=method, pct=True)
+def swap_term(
+    df: DataFrame, old_term: str, value: str, weight: float, method: str = "average", out: str = "composite_swapped", population: DataFrame | None = None
+) -> DataFrame:
+    """Replace one weighted term of a stored composite by the percentile of another metric (lower is better).
+
+    ``population`` is a table with the same rows that is cheaper to read, such as the one that was scored.
+    """
+    ranked = with_rank(df, value, out="_pct", method=method, pct=True, population=population)
     fresh = F.lit(weight) * (F.lit(1.0) - F.col("_pct"))
     return ranked.withColumn(out, F.col("composite") - F.col(old_term) + fresh).drop("_pct")
 

@@ -24,9 +24,9 @@ from peptarium.operators.ordering import (
     with_ranks,
 )
 from peptarium.operators.predicates import FOUR_FILTER, Condition, all_of
-from peptarium.operators.scoring import best_first, score_and_select
+from peptarium.operators.scoring import best_first, select_all
 from peptarium.plans.presets import SCORED, Preset
-from peptarium.session import rows_per_task
+from peptarium.session import freeze, rows_per_task
 
 
 def n_rows() -> Column:
@@ -417,11 +417,8 @@ def count_bins(lo: float, hi: float) -> tuple[float, float, int]:
 
 def world_table(df: DataFrame, presets: dict[str, Preset], key: Sequence[str], group: str = "id") -> DataFrame:
     """Medians of the scored metrics over each preset's selection, per id and pooled (null id)."""
-    # a selection is at most k rows per id; the pooled median still goes through the exact ladder
-    picks = [
-        score_and_select(df, p, key).select(F.lit(name).alias("world"), group, *[num(c).alias(c) for c in SCORED]) for name, p in presets.items()
-    ]
-    both = reduce(DataFrame.unionByName, picks)
+    # a selection is at most k rows per id, written once; the pooled median still goes through the exact ladder
+    both = freeze(select_all(df, presets, key, group, [num(c).alias(c) for c in SCORED]))
     scoped = both.select("world", F.explode(F.array(F.col(group).cast("string"), F.lit("*"))).alias("scope"), *SCORED)
     n = scoped.groupBy("world", "scope").agg(n_rows().alias("n"))
     return null_safe_join(n, medians_wide(scoped, ["world", "scope"], SCORED), ["world", "scope"])

@@ -1,14 +1,20 @@
 """What a step reads, ships and works out must not grow faster than its input."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from peptarium.catalog import tables
 from peptarium.functions import contigs as C
+from peptarium.operators import scoring, stats
 from peptarium.operators import spatial as R
-from peptarium.operators import stats
 from peptarium.operators.joins import relabel_by_sequence
-from peptarium.operators.scoring import calibrate_ties
+from peptarium.operators.ordering import lookup, row_rank
+from peptarium.operators.scoring import calibrate_ties, swap_term
 from peptarium.plans import flows
+from peptarium.plans.presets import PRESETS, SCORED, comparison_presets
+from peptarium.session import ROWS_PER_TASK_CONF
 from peptarium.sinks import files
 from peptarium.sources import outputs
 
@@ -102,3 +108,55 @@ def test_calibrate_ties_reads_its_input_once(spark):
     errors = {r["method"]: r["max_error"] for r in calibrate_ties(rows, "v", "s", 1.0).collect()}
     assert set(errors) == {"average", "min", "max", "dense"} and errors["dense"] < 1e-9 < errors["min"]
     assert seen.value == 50
+
+
+def test_swap_term_reads_scored_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def composite(v):
+        seen.add(1)
+        return v / 2.0
+
+    rows = spark.range(50).select((F.col("id") % 5).alias("v"), F.lit(1.0).alias("old"))
+    out = swap_term(rows.withColumn("composite", composite("v")), "old", "v", 0.5, population=rows)
+    assert sorted({r["composite_swapped"] for r in out.collect()}) == pytest.approx(sorted({v / 2 - 1 + 0.5 * (1 - (10 * v + 5.5) / 50) for v in range(5)}))
+    assert seen.value == 50
+
+
+def test_ranks_of_small_groups_are_not_written(sliced):
+    rows = sliced.range(400).select((F.col("id") % 20).alias("g"), "id")
+    ranked = row_rank(rows, ["g"], ["id"])
+    assert "LogicalRDD" not in plan_of(ranked) and {r["n"] for r in ranked.groupBy("g").agg(F.max("rank_in_group").alias("n")).collect()} == {20}
+    assert "LogicalRDD" in plan_of(row_rank(rows.withColumn("g", F.lit(0)), ["g"], ["id"]))
+
+
+def test_lookup_counts_keys_without_shuffling_them(sliced):
+    rows, ref = sliced.range(400), sliced.range(390).withColumn("v", F.col("id") + 1)
+    out = lookup(rows, ref, ["id"])
+    assert "_salt" not in plan_of(out) and out.where("v = id + 1").count() == 390 and out.count() == 400
+
+
+def test_world_selections_deal_rows_once(spark):
+    rng = np.random.default_rng(4)
+    f = pd.DataFrame({c: rng.integers(0, 12, 300) / 2.0 for c in (*SCORED, "mean_pae")}).assign(key=range(300), id=np.arange(300) % 7)
+    f.loc[f.index % 9 == 0, "epitope_pae"] = np.nan
+    rows = spark.createDataFrame(f)
+    presets = comparison_presets(topk=6)
+    got = scoring.select_all(rows, presets, ["key"], "id", ["key"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(id") <= 1
+    want = {(name, r["id"], r["key"]) for name, p in presets.items() for r in scoring.score_and_select(rows, p, ["key"]).collect()}
+    assert {(r["world"], r["id"], r["key"]) for r in got.collect()} == want
+    spark.conf.set(ROWS_PER_TASK_CONF, "20")  # ids are larger than a task: presets go one by one
+    try:
+        assert {(r["world"], r["id"], r["key"]) for r in scoring.select_all(rows, presets, ["key"], "id", ["key"]).collect()} == want
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_CONF)
+
+
+def test_cut_component_keeps_no_full_ranking(sliced):
+    rows = sliced.range(300).select(F.col("id").alias("key"), F.lit("a").alias("id"), *[(F.col("id") % k / 2.0).alias(c) for k, c in ((7, "af3_n_clash_res"), (5, "epitope_chunk_rmsd"), (11, "overall_rmsd"), (13, "epitope_pae"), (3, "mean_pae"))])
+    cut = flows.cut_component(rows, PRESETS["antibody_softgate"], ["id"], ["key"], 5)
+    _, want = flows.score_component(rows, PRESETS["antibody_softgate"], ["id"], ["key"], 5)
+    assert "LogicalRDD" not in plan_of(cut)
+    assert [tuple(r) for r in cut.select("key", "rank_in_group").orderBy("key").collect()] == [tuple(r) for r in want.select("key", "rank_in_group").orderBy("key").collect()]
