@@ -12,12 +12,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from peptarium.functions.keys import stable_hash
 from peptarium.functions.numeric import num
-from peptarium.operators.ordering import first_per, fits_one_task, lookup, row_rank, top_k, with_ranks
-from peptarium.session import freeze
+from peptarium.operators.ordering import first_per, lookup, row_rank, top_k, with_ranks
+from peptarium.session import freeze, freeze_counted, rows_per_task
 
 CANDIDATES = 1000
 CELLS = 4096  # per group
 REACH = 0.5  # of a squared distance
+SHIPPED = 200_000  # rows of a broadcast
 
 
 def quotas(df: DataFrame, group: str, total: int) -> DataFrame:
@@ -74,24 +75,32 @@ def _greedy_block(axes: Sequence[str], key: str, depth: int):
     return pick
 
 
-def _open_cells(axes: Sequence[str]):
-    """Cells of one group that may hold one of its next picks, and the bound of all others.
+def _open_cells(axes: Sequence[str], depth: int = CANDIDATES):
+    """Cells of one group that may hold one of its next picks, the bound of all others, and a floor.
 
     From the corners of a cell's box come a least and a greatest distance of its rows to the picks. Some row is
-    at least as far as the largest least distance; cells that reach ``REACH`` of it are opened.
+    at least as far as the largest least distance; cells that reach ``REACH`` of it are opened. Cells whose rows
+    are all beyond the floor hold ``depth`` rows that are not picked yet, so the ``depth`` furthest rows are beyond
+    it too. Boxes without a count of rows (``_rows``) give no floor.
     """
 
     def choose(boxes: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
         if not len(boxes) or not len(picks):
-            return boxes.iloc[:0, :2].assign(_limit=0.0)
+            return boxes.iloc[:0, :2].assign(_limit=0.0, _floor=-1.0)
         low, high = (boxes[[f"{side}{a}" for a in axes]].to_numpy(float) for side in ("_lo", "_hi"))
         least, most = np.full(len(boxes), np.inf), np.full(len(boxes), np.inf)
         for p in picks[list(axes)].to_numpy(float):
             least = np.minimum(least, (np.maximum(0, np.maximum(low - p, p - high)) ** 2).sum(axis=1))
             most = np.minimum(most, (np.maximum(abs(p - low), abs(p - high)) ** 2).sum(axis=1))
-        opened = most >= REACH * least.max()
+        floor = -1.0
+        if "_rows" in boxes:
+            far_first = np.argsort(-least, kind="stable")
+            enough = np.flatnonzero(boxes["_rows"].to_numpy()[far_first].cumsum() >= depth + len(picks))
+            if len(enough):  # a shade below, as rows are measured in another order of steps
+                floor = least[far_first[enough[0]]] * (1 - 1e-9)
+        opened = most >= max(REACH * least.max(), floor)
         limit = most[~opened].max() * (1 + 1e-9) if (~opened).any() else -1.0
-        return boxes.loc[opened].iloc[:, :2].assign(_limit=limit)  # group and cell
+        return boxes.loc[opened].iloc[:, :2].assign(_limit=limit, _floor=floor)  # group and cell
 
     return choose
 
@@ -101,50 +110,75 @@ def fps(
 ) -> DataFrame:
     """Farthest-point sampling per group: start nearest the centroid, then greedy max-min distance.
 
-    Returns (group, key, axes, fps_order). No group is ever gathered. Rows are written once, each with its cell
-    in a grid of at most ``cells`` cells over its group. A round bounds the distances of whole cells from their
-    boxes, measures only rows of cells that can still hold a next pick, keeps per group the ``candidates``
+    Returns (group, key, axes, fps_order). No group is ever gathered. Rows are written once; each belongs to a
+    cell in a grid of at most ``cells`` cells over its group. A round bounds the distances of whole cells from
+    their boxes, measures only rows of cells that can still hold a next pick, keeps per group the ``candidates``
     furthest of those (a rank limit that Spark applies before the shuffle), and picks among them while the
     result is provably the global one. Only the picks are written per round. At least one pick per unfinished
     group is made per round; usually most of the quota is. ``candidates`` and ``cells`` bound memory, not the
     result. A quota that covers the group returns it whole, in greedy order.
+
+    Rows stay where they were written: what a round needs to know of groups, cells and picks is broadcast as long
+    as it is at most ``SHIPPED`` rows; beyond that it is joined.
     """
     axes = list(axes)
     base = df.select(group, key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna()
+    return _fps(freeze(base), group, axes, quota, key, candidates, cells)
+
+
+def _fps(base: DataFrame, group: str, axes: Sequence[str], quota: DataFrame, key: str, candidates: int = CANDIDATES, cells: int = CELLS) -> DataFrame:
+    """``fps`` over written rows (group, key, axes) without nulls in them."""
+    axes = list(axes)
+    base = base.where(F.col(group).isNotNull())
     spans = [agg(a).alias(f"{side}{a}") for side, agg in (("_c", F.avg), ("_lo", F.min), ("_hi", F.max)) for a in axes]
-    spans_of = base.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), *spans)
-    small = fits_one_task(base)
+    spans_of, groups = freeze_counted(base.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), *spans))
+    n, most = spans_of.agg(F.sum("_rows"), F.max("_rows")).first()
+    small = (n or 0) <= rows_per_task(base.sparkSession)
     sides = max(1, int(cells ** (1 / len(axes))))
     cell = F.lit(0).cast("bigint")
     for a in axes:
         wide = F.col(f"_hi{a}") - F.col(f"_lo{a}")
         step = F.when(wide > 0, F.least(F.floor((F.col(a) - F.col(f"_lo{a}")) / wide * sides), F.lit(sides - 1))).otherwise(F.lit(0))
         cell = cell * sides + step.cast("bigint")
-    placed = lookup(base, spans_of, [group], weight="_rows", small=small)
-    rows = freeze(placed.select(group, key, *axes, cell.alias("_cell"), _square(axes, "_c").alias("_d")))
+    shipped = groups <= SHIPPED
+    placed = base.join(F.broadcast(spans_of.drop("_rows")), group) if shipped else lookup(base, spans_of, [group], "inner", weight="_rows", small=small, most=most)
+    rows = placed.select(group, key, *axes, cell.alias("_cell"), _square(axes, "_c").alias("_d"))
+    if not shipped:  # where the cell of a row takes a join, it is written with the row
+        rows = freeze(rows)
     corners = [agg(a).alias(f"{side}{a}") for side, agg in (("_lo", F.min), ("_hi", F.max)) for a in axes]
-    boxes = freeze(rows.groupBy(group, "_cell").agg(*corners))
-    wanted = quota.select(group, "quota").where(F.col("quota") > 0)
-    start = first_per(rows.where(F.col("_d").isNotNull()), [group], ["_d", key]).select(group, key, *axes, F.lit(0).alias("fps_order"))
-    picked = freeze(start.join(wanted.select(group), group, "left_semi"))
+    nearest = F.min("_d").alias("_near")
+    boxes, n_boxes = freeze_counted(rows.groupBy(group, "_cell").agg(*corners, F.count(F.lit(1)).alias("_rows"), nearest))
+    wanted = freeze(quota.select(group, "quota").where(F.col("quota") > 0))
+    picks = wanted.agg(F.sum("quota")).first()[0] or 0
+    ship = lambda df, n: F.broadcast(df) if n <= SHIPPED else df
+    # only rows as near to the centroid as any are put in order
+    least = ship(boxes.groupBy(group).agg(F.min("_near").alias("_near")).join(wanted.select(group), group), groups)
+    nearby = rows.join(least, group).where(F.col("_d") <= F.col("_near"))
+    start = first_per(nearby, [group], ["_d", key]).select(group, key, *axes, F.lit(0).alias("fps_order"))
+    boxes = boxes.drop("_near")
+    picked = freeze(start)
     order = [F.col("_far").desc(), F.col(key).asc()]
     schema, rounds = picked.schema, 0
-    open_schema = StructType([boxes.schema[group], boxes.schema["_cell"], StructField("_limit", DoubleType())])
+    open_schema = StructType([boxes.schema[group], boxes.schema["_cell"], StructField("_limit", DoubleType()), StructField("_floor", DoubleType())])
     while True:
         room = picked.groupBy(group).agg(F.count(F.lit(1)).alias("_done")).join(wanted, group)
         room = room.withColumn("_room", F.col("quota") - F.col("_done")).where(F.col("_room") > 0).select(group, "_room", "_done")
-        waiting = boxes.join(room.select(group), group, "left_semi").groupBy(group)
+        if room.isEmpty():
+            return picked
+        waiting = boxes.join(ship(room.select(group), groups), group, "left_semi").groupBy(group)
         known = picked.select(F.col(group).alias("_group"), *axes).groupBy("_group")
-        opened = waiting.cogroup(known).applyInPandas(_open_cells(axes), open_schema)
+        opened = waiting.cogroup(known).applyInPandas(_open_cells(axes, candidates), open_schema)
         # picks per group are at most its quota
         lists = picked.groupBy(group).agg(F.collect_list(F.struct(*axes)).alias("_picks"), F.collect_list(key).alias("_keys"))
         closest = F.array_min(
             F.transform("_picks", lambda p: sum(((F.col(a) - p[a]) * (F.col(a) - p[a]) for a in axes), F.lit(0.0)))
         )
         unfinished = lists.join(room.select(group), group, "left_semi")
-        near = rows.drop("_d").join(opened, [group, "_cell"]).drop("_cell")
-        met = lookup(near, unfinished, [group], "inner", small=small).where(~F.array_contains("_keys", F.col(key)))
-        best = top_k(met.withColumn("_far", closest).drop("_picks", "_keys"), [group], order, candidates)
+        near = rows.drop("_d").join(ship(opened, n_boxes), [group, "_cell"]).drop("_cell")
+        met = near.join(F.broadcast(unfinished), group) if picks <= SHIPPED else lookup(near, unfinished, [group], "inner", small=small)
+        far = met.where(~F.array_contains("_keys", F.col(key))).withColumn("_far", closest).drop("_picks", "_keys")
+        # enough rows lie beyond the floor, so nothing short of it is put in order
+        best = top_k(far.where(F.col("_far") >= F.col("_floor")).drop("_floor"), [group], order, candidates)
         block = best.join(room, group).groupBy(group).applyInPandas(_greedy_block(axes, key, candidates), schema)
         fresh = freeze(block.where(F.col("fps_order").isNotNull()))
         if fresh.isEmpty():
@@ -160,7 +194,7 @@ def sample_half(df: DataFrame, group: str, axes: Sequence[str], total: int, key:
     rows = df.select(group, key, *[num(a).alias(a) for a in axes]).dropna()
     rows = rows.withColumnsRenamed({a: f"_raw_{a}" for a in axes})
     rows = freeze(with_ranks(rows, {f"_raw_{a}": a for a in axes}, pct=True).select(group, key, *axes))
-    return fps(rows, group, axes, quotas(rows, group, total), key).select(group, key, "fps_order")
+    return _fps(rows, group, axes, quotas(rows, group, total), key).select(group, key, "fps_order")
 
 
 def titration(df: DataFrame, group: str, base_axes: Sequence[str], first: str, second: str, total: int, key: str) -> DataFrame:
