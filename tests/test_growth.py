@@ -9,9 +9,11 @@ from peptarium.catalog import tables
 from peptarium.functions import contigs as C
 from peptarium.operators import scoring, stats
 from peptarium.operators import spatial as R
-from peptarium.operators.joins import relabel_by_sequence
+from peptarium.operators.joins import longest_block, relabel_by_sequence
 from peptarium.operators.ordering import lookup, row_rank
+from peptarium.operators.predicates import to_library_schema
 from peptarium.operators.scoring import calibrate_ties, swap_term
+from peptarium.operators.validation import verify_order
 from peptarium.plans import flows
 from peptarium.plans.presets import PRESETS, SCORED, comparison_presets
 from peptarium.session import ROWS_PER_TASK_CONF
@@ -160,3 +162,38 @@ def test_cut_component_keeps_no_full_ranking(sliced):
     _, want = flows.score_component(rows, PRESETS["antibody_softgate"], ["id"], ["key"], 5)
     assert "LogicalRDD" not in plan_of(cut)
     assert [tuple(r) for r in cut.select("key", "rank_in_group").orderBy("key").collect()] == [tuple(r) for r in want.select("key", "rank_in_group").orderBy("key").collect()]
+
+
+def test_verify_order_joins_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(v):
+        seen.add(1)
+        return v
+
+    rows = [("a_1", "AAGCTTT", 1), ("b_1", "AANNNTT", 2), ("c_1", "AAGCTTGCTT", 3), ("a_2", "AAGCTTT", 4), ("z_1", "AATT", 5)]
+    oligos = spark.createDataFrame(rows, "id string, oligo string, row int").withColumn("oligo", named("oligo"))
+    peptides = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "AA"), ("d", "C")], "name string, seq string")
+    got = {tuple(r) for r in verify_order(oligos, peptides, "AA", "TT").collect()}
+    assert got == {("a_2", "more_than_one_encoding"), ("b_1", "untranslatable_core"), ("c_1", "unequal_length"), ("z_1", "unknown_peptide"), ("d", "no_encoding")}
+    assert seen.value == 5  # oligos are read for their checks once
+
+
+def test_assembled_texts_move_once_per_step(spark):
+    fields = "component string, design_ID string, sequence string, designedSequence string"
+    part = lambda rows: to_library_schema(spark.createDataFrame(rows, fields), keep=("component",))
+    one = part([("C1", "a", "ACD", "aCD"), ("C1", "b", "KLM", "own"), ("C1", "c", None, "x")])
+    out = flows.assemble([one, part([("C4", "d", "ACD", "ACd"), ("C4", "e", "XYZ", "xyz")])])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("sequence#" in line and "hashpartitioning(sequence" in line for line in plan.splitlines())
+    got = [(r["library_member"], r["design_ID"], r["sequence"], r["designedSequence"]) for r in out.orderBy("design_ID").collect()]
+    assert got == [("LIB_1", "a", "ACD", "aCD"), ("LIB_2", "b", "KLM", "own"), ("LIB_3", "c", None, "x"), ("LIB_4", "e", "XYZ", "xyz")]
+
+
+def test_longest_block_gets_pairs_in_small_lots(spark):
+    rows = spark.createDataFrame([(1, "abcdefgh"), (2, "xxxx")], "k int, a_seq string")
+    out = longest_block(rows, rows.withColumnRenamed("a_seq", "b_seq"), ["k"])
+    assert [tuple(r) for r in out.collect()] == [(1, 8, 0, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
