@@ -124,7 +124,7 @@ def _paired(df: DataFrame, x: str, y: str, keep: Sequence[str] = ()) -> DataFram
 
 
 def _ranked_pair(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    ranked = with_ranks(rows, {"_x": "_rx", "_y": "_ry"}, groups)
+    ranked = with_ranks(rows, {"_x": "_rx", "_y": "_ry"}, groups, many_groups=bool(groups))
     return ranked.withColumn("_x", F.col("_rx")).withColumn("_y", F.col("_ry"))
 
 

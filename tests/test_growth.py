@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peptarium.catalog import tables
 from peptarium.functions import contigs as C
+from peptarium.operators import ordering as O
 from peptarium.operators import scoring, stats
 from peptarium.operators import spatial as R
 from peptarium.operators.joins import longest_block, relabel_by_sequence
@@ -197,3 +198,21 @@ def test_longest_block_gets_pairs_in_small_lots(spark):
     assert [tuple(r) for r in out.collect()] == [(1, 8, 0, 0)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_values_of_a_percentile_are_not_written(spark, monkeypatch):
+    written, freeze = [], O.freeze
+
+    def counted(df):
+        out = freeze(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(O, "freeze", counted)
+    monkeypatch.setattr(O, "BROADCAST_STEPS", 1_000)
+    rows = spark.range(6_000).select("id", (F.col("id") % 2).alias("g"), (1_000 + F.col("id") / 64.0).alias("v"), (F.col("id") % 3).cast("double").alias("w"))
+    got = O.with_ranks(rows, {"v": "rv", "w": "rw"}, ["g"], pct=True)
+    # id is the (id // 2 + 1)th of the 3,000 in its group
+    assert got.where(F.abs(F.col("rv") - (F.floor(F.col("id") / 2) + 1) / 3_000) < 1e-12).count() == 6_000
+    assert {round(r["rw"], 9) for r in got.collect()} == {round((1_000 * k + 500.5) / 3_000, 9) for k in range(3)}
+    assert 0 < sum(written) <= 2_000

@@ -140,6 +140,24 @@ def test_ranks_of_several_metrics_match_pandas(session, rows, groups, steps, mon
         assert np.allclose(got[f"r{c}"].to_numpy(float), want.to_numpy(), equal_nan=True)
 
 
+@pytest.mark.parametrize(("kind", "metrics"), [("double", "u"), ("double", "vuw"), ("float", "v"), ("bigint", "v")])
+def test_ranks_dealt_by_cell_equal_ranks_by_value(session, kind, metrics):
+    rng = np.random.default_rng(11)
+    n = 900
+    v = np.where(rng.random(n) < 0.3, 5_000.0, 4_000 + np.round(rng.random(n) * 40, 1))  # many values a cell, and a frequent one
+    u = np.concatenate([-np.round(rng.lognormal(9, 0.02, 300), 1), np.zeros(100), rng.lognormal(9, 0.02, 500)])
+    frame = [(i, None if i % 11 == 0 else "ab"[i % 2], None if i % 7 == 0 else float(x), float(y), float(i % 6)) for i, (x, y) in enumerate(zip(v, u))]
+    odd = [(n + i, "a", x, x, x) for i, x in enumerate([-0.0, 0.0, 1e-300, -1e-300])]
+    if kind != "bigint":
+        odd += [(n + 10 + i, "a", x, x, x) for i, x in enumerate([float("nan"), float("nan"), float("inf"), float("-inf"), 1e30, -1e30])]
+    df = session.createDataFrame(frame + odd, "k bigint, g string, v double, u double, w double").withColumn("note", F.create_map("k", "g"))
+    df = df.withColumns({c: F.col(c).cast(kind) for c in "vuw"}).localCheckpoint()
+    names = {m: f"r{m}" for m in metrics}
+    for groups, pct in (([], False), (["g"], True)):
+        got, want = (sorted(map(tuple, O.with_ranks(df, names, groups, pct, many_groups=many).select("k", *names.values()).collect())) for many in (False, True))
+        assert got == want and len(got) == len(frame + odd)
+
+
 def test_wide_rows_move_once_for_any_number_of_metrics(sliced, rows, monkeypatch):
     monkeypatch.setattr(O, "BROADCAST_STEPS", 0)
     df = sliced.createDataFrame(rows.assign(a=rows["v"] * 2, b=rows["v"] * 3, note="wide"))
