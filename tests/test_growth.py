@@ -192,6 +192,81 @@ def test_assembled_texts_move_once_per_step(spark):
     assert got == [("LIB_1", "a", "ACD", "aCD"), ("LIB_2", "b", "KLM", "own"), ("LIB_3", "c", None, "x"), ("LIB_4", "e", "XYZ", "xyz")]
 
 
+def _library_rows(spark, name, sequence, rows=300):
+    """Two arms over the same sequences; names and sequences follow from the row number ``id``."""
+    arm = lambda c, start: spark.range(start, start + rows).select(
+        F.lit(c).alias("component"), F.expr(name).alias("design_ID"), F.expr(sequence).alias("sequence"), F.lower(F.expr(sequence)).alias("designedSequence")
+    )
+    return [to_library_schema(arm(c, start), keep=("component",)) for c, start in (("C4", 0), ("C1", rows // 2), ("other", 0))]
+
+
+def _assembled_plainly(parts):
+    """One row per sequence by (component, name), numbered by (component, name, sequence), without Spark."""
+    place = {c: i for i, c in enumerate(flows.COMPONENT_ORDER)}
+    rows = sorted((place.get(r["component"], 99), r["design_ID"] is not None, r["design_ID"] or "", r["sequence"]) for p in parts for r in p.collect())
+    kept = sorted({r[3]: r for r in reversed(rows)}.values())
+    return [(f"LIB_{i + 1}", r[2] if r[1] else None, r[3]) for i, r in enumerate(kept)]
+
+
+@pytest.mark.parametrize("limit", ["40", "100000"])
+def test_library_is_numbered_without_its_texts(spark, limit):
+    spark.conf.set(ROWS_PER_TASK_CONF, limit)
+    try:
+        parts = _library_rows(spark, "concat('d', id)", "concat('AC', id % 280)")
+        out = flows.assemble(parts)
+        plan = plan_of(out)
+        assert "LogicalRDD" not in plan  # no row is written before it is numbered
+        windows = [line for line in plan.splitlines() if "Window" in line or "RepartitionByExpression" in line]
+        assert windows and not any("designedSequence" in line for line in windows)
+        got = out.select("library_member", "design_ID", "sequence").collect()
+        assert sorted(map(tuple, got)) == sorted(_assembled_plainly(parts))
+        # copies of whole rows change nothing, and are not a reason to move texts for their numbers
+        twice = flows.assemble([*parts, *parts])
+        assert "LogicalRDD" not in plan_of(twice)
+        assert sorted(map(tuple, twice.select("library_member", "design_ID", "sequence").collect())) == sorted(map(tuple, got))
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_CONF)
+
+
+@pytest.mark.parametrize("name", ["concat('d', id div 2)", "if(id % 3 = 0, null, concat('d', id))", "cast(null as string)", "concat('d', id div 2, '_d', id div 2, '_0_model')"])
+def test_names_of_several_sequences_are_numbered_by_them(sliced, name):
+    parts = _library_rows(sliced, name, "concat('AC', 1000 - id % 280)", 60)
+    out = flows.assemble(parts).select("library_member", "design_ID", "sequence").collect()
+    want = [(member, d and d.split("_")[0] + ("_0_model" if "_" in d else ""), s) for member, d, s in _assembled_plainly(parts)]
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
+def test_census_and_cut_points(sliced):
+    rows = sliced.range(1_000).select(F.format_string("k%04d", "id").alias("k"))
+    n, most, sample = O.key_census(rows, F.col("k"))
+    assert (n, most, sample) == (1_000, 1, [f"k{i:04d}" for i in range(1_000)])
+    assert O.key_census(rows.union(rows.limit(1)), F.col("k"))[:2] == (1_001, 2)
+    assert O.key_census(sliced.sql("SELECT cast(null as string) AS k"), F.col("k"))[:2] == (1, 2)
+    assert O.key_census(rows.limit(0), F.col("k")) == (0, 0, []) and O.cut_points([], 5) == []
+    for slices in (1, 7, 64, 5_000):
+        points = O.cut_points(sample, slices)
+        assert len(points) < slices
+        got = rows.select("k", O.slice_of(F.col("k"), points).alias("s")).collect()
+        assert all(r["s"] == sum(p <= r["k"] for p in points) for r in got)
+        ranked = O.rank_between(rows, F.col("k"), points, ["k"], "n").collect()
+        assert all(r["n"] == int(r["k"][1:]) + 1 for r in ranked) and len(ranked) == 1_000
+
+
+def test_numbering_works_its_rows_out_once(sliced):
+    orders = sliced.read.parquet("/root/testdata/sf0.001/orders.parquet").repartition(8, "o_orderkey")
+    rows = orders.select(F.format_string("k%08d", "o_orderkey").alias("k"))
+    out = O.rank_between(rows, F.col("k"), ["k00000300", "k00000700"], ["k"], "n")
+    assert len(out.collect()) == rows.count()
+    assert out._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+
+
+def test_letters_of_a_library_are_found_once(spark):
+    from peptarium.catalog.sequences import _library_parts
+
+    for part in _library_parts(spark, "/root/testdata/sf0.001"):
+        assert plan_of(part.select("design_ID", "sequence", "designedSequence")).count("regexp_replace") == 1
+
+
 def test_longest_block_gets_pairs_in_small_lots(spark):
     rows = spark.createDataFrame([(1, "abcdefgh"), (2, "xxxx")], "k int, a_seq string")
     out = longest_block(rows, rows.withColumnRenamed("a_seq", "b_seq"), ["k"])
